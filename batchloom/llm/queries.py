@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, simhash, url_filter
+from . import bpe, mixing, simhash, token_count, url_filter
 from .common import table
 
 URL_RULES = [
@@ -19,6 +20,15 @@ URL_RULES = [
 ]
 
 
+def op1_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.transcode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -33,8 +43,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+QUERIES = (op1_bpe_roundtrip, op7_token_counts, op8_simhash_near_dedup, op9_source_mixing, op10_url_filter)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_simhash_near_dedup, op9_source_mixing, op10_url_filter)}
+    return {f.__name__: f for f in QUERIES}
 
 
 OP10_SQL = r"""
