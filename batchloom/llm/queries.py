@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, simhash, token_count, toxicity, url_filter
+from . import bpe, langid, mixing, quality, simhash, token_count, toxicity, url_filter
 from .common import table
 
 URL_RULES = [
@@ -38,6 +38,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -56,7 +60,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = (op1_bpe_roundtrip, op2_language_id, op4_toxicity, op7_token_counts, op8_simhash_near_dedup, op9_source_mixing, op10_url_filter)
+QUERIES = (op1_bpe_roundtrip, op2_language_id, op4_toxicity, op5_quality_rules, op7_token_counts, op8_simhash_near_dedup, op9_source_mixing, op10_url_filter)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
