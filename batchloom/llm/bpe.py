@@ -9,12 +9,12 @@ A word that the lexicon lacks is merged by rank, exactly; both ways give the sam
 from __future__ import annotations
 
 import functools
-import hashlib
 import mmap
 import os
 import struct
 import tempfile
 import unicodedata
+import uuid
 from array import array
 from collections import Counter
 from collections.abc import Iterator
@@ -26,15 +26,18 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
 from .vocab import Vocabulary, vocabulary
 
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Words that the lexicon holds at most.
-LEXICON_WORDS = 100_000
+LEXICON_WORDS = 200_000
+#: Steps per doubling of the count at which the lexicon's least frequent words are cut off.
+STEPS = 16
 #: Longest word, in bytes, that the lexicon takes.
 LONGEST = 64
-#: Words that a worker counts, or keeps with their ids, before it sends them on or forgets them.
-HELD = 400_000
+#: Words that a worker counts before it sends them on, and words outside the lexicon that it keeps before it forgets them.
+HELD, RARE = 400_000, 100_000
 #: Characters of text that one result batch comes from, about.
 OUT_CHARS = 4_000_000
 
@@ -155,11 +158,21 @@ def lexicon(name: str) -> Lexicon:
 
 
 def distribute_lexicon(docs: DataFrame, path: str, size: int = LEXICON_WORDS) -> str:
-    """Compile the corpus's most frequent words (ties in code point order) and hand the file to all executors."""
+    """Compile the corpus's most frequent words, `size` at most, and hand the file to all executors.
+
+    Words are taken from a count on: the least, of STEPS to a doubling, from which on there are at most `size`.
+    """
     spark, v = docs.sparkSession, vocabulary(path)
-    top = count_words(docs, path).orderBy(F.desc("n"), "word").limit(size).collect()
+    counts = materialize(count_words(docs, path).withColumn("step", F.floor(F.log2("n") * STEPS).cast("int")), "word-counts")
+    least, taken = None, 0
+    for r in sorted(counts.groupBy("step").agg(F.count("*").alias("words")).collect(), key=lambda r: -r.step):
+        taken += r.words
+        if taken > size:
+            break
+        least = r.step
+    top = counts.where(F.col("step") >= least).select("word").collect() if least is not None else []
     data = compile_lexicon({r.word: v.encode_word(r.word) for r in top})
-    name = f"lexicon-{hashlib.sha256(data).hexdigest()[:16]}.bin"
+    name = f"lexicon-{uuid.uuid4().hex}.bin"
     file = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="lexicon-")), name)
     with open(file, "wb") as f:
         f.write(data)
@@ -173,15 +186,18 @@ class Encoder:
     def __init__(self, path: str, name: str) -> None:
         self.v = vocabulary(path)
         self.split, self.lexicon = Splitter(self.v), lexicon(name)
-        self.held: dict[str, bytes] = {}
+        self.held: dict[str, bytes] = {}  # words of the lexicon that came up
+        self.rare: dict[str, bytes] = {}
 
     def word(self, w: str) -> bytes:
-        ids = self.lexicon.get(w.encode("utf-8", "surrogatepass"))
+        if (out := self.rare.get(w)) is not None:
+            return out
+        keep, ids = self.held, self.lexicon.get(w.encode("utf-8", "surrogatepass"))
         if ids is None:
-            ids = self.v.encode_word(w)
-        if len(self.held) >= HELD:
-            self.held.clear()
-        out = self.held[w] = struct.pack(f"<{len(ids)}I", *ids)
+            keep, ids = self.rare, self.v.encode_word(w)
+            if len(keep) >= RARE:
+                keep.clear()
+        out = keep[w] = struct.pack(f"<{len(ids)}I", *ids)
         return out
 
     def encode(self, text: str) -> bytes:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, quality, simhash, token_count, toxicity, url_filter
+from . import bpe, embed_dedup, langid, mixing, quality, simhash, token_count, toxicity, url_filter
 from .common import table
 
 URL_RULES = [
@@ -31,6 +31,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, learned).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     weights = toxicity.learn_weights(docs, labels.where(~toxicity.held_out(F.col("doc_id"))))
@@ -60,7 +64,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = (op1_bpe_roundtrip, op2_language_id, op4_toxicity, op5_quality_rules, op7_token_counts, op8_simhash_near_dedup, op9_source_mixing, op10_url_filter)
+QUERIES = (op1_bpe_roundtrip, op2_language_id, op3_embedding_near_dedup, op4_toxicity, op5_quality_rules, op7_token_counts, op8_simhash_near_dedup, op9_source_mixing, op10_url_filter)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -44,19 +44,15 @@ class Vocabulary:
     def merge(self, symbols: list[str]) -> list[str]:
         """Join the adjacent pair of lowest rank, leftmost first, until no pair has a rank."""
         rank, none = self.rank.get, len(self.rank)
-        while len(symbols) > 1:
-            best = min(rank(p, none) for p in zip(symbols, symbols[1:]))
-            if best == none:
-                break
-            i, out, n = 0, [], len(symbols)
-            while i < n:
-                if i + 1 < n and rank((symbols[i], symbols[i + 1]), none) == best:
-                    out.append(symbols[i] + symbols[i + 1])
-                    i += 2
-                else:
-                    out.append(symbols[i])
-                    i += 1
-            symbols = out
+        ranks = [rank(p, none) for p in zip(symbols, symbols[1:])]
+        while ranks and (best := min(ranks)) < none:
+            i = ranks.index(best)
+            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank((symbols[i - 1], symbols[i]), none)
+            if i < len(ranks):
+                ranks[i] = rank((symbols[i], symbols[i + 1]), none)
         return symbols
 
     def encode_word(self, word: str) -> list[int]:
