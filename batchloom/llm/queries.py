@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed_dedup, langid, mixing, quality, simhash, token_count, toxicity, url_filter
+from . import bpe, embed_dedup, langid, mixing, quality, simhash, substring, token_count, toxicity, url_filter
 from .common import table
 
 URL_RULES = [
@@ -46,6 +46,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -64,7 +68,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = (op1_bpe_roundtrip, op2_language_id, op3_embedding_near_dedup, op4_toxicity, op5_quality_rules, op7_token_counts, op8_simhash_near_dedup, op9_source_mixing, op10_url_filter)
+QUERIES = (op1_bpe_roundtrip, op2_language_id, op3_embedding_near_dedup, op4_toxicity, op5_quality_rules, op6_substring_dedup, op7_token_counts, op8_simhash_near_dedup, op9_source_mixing, op10_url_filter)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
