@@ -73,6 +73,16 @@ def minimizers(s: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return np.flatnonzero(keep)
 
 
+def occurrences(values: np.ndarray) -> np.ndarray:
+    """How often each value came before."""
+    order = np.argsort(values, kind="stable")
+    starts = np.concatenate([[True], values[order][1:] != values[order][:-1]]) if len(values) else np.empty(0, bool)
+    at = np.arange(len(values))
+    out = np.empty(len(values), np.int64)
+    out[order] = at - np.maximum.accumulate(np.where(starts, at, 0))
+    return out
+
+
 def seeds(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> (seed, doc, pos, first): first marks a seed's first position in the document."""
 
@@ -84,12 +94,13 @@ def seeds(docs: DataFrame) -> DataFrame:
                 s = shingles(words.of(t.as_py()))
                 p = minimizers(s)
                 v = s[p].view(np.int64)
-                f = np.zeros(len(p), bool)
-                f[np.unique(v, return_index=True)[1]] = True
-                doc.append(np.full(len(p), d, np.int64))
-                pos.append(p)
+                n = occurrences(v)
+                again = n > 0  # the second, third ... time: also a seed of its own, for texts that repeat themselves
+                v = np.concatenate([v, (v[again] ^ (n[again] << 20)) * np.int64(0x5851F42D4C957F2D)])
+                doc.append(np.full(len(v), d, np.int64))
+                pos.append(np.concatenate([p, p[again]]))
                 seed.append(v)
-                first.append(f)
+                first.append(np.concatenate([~again, np.ones(again.sum(), bool)]))
             cols = [np.concatenate(c) for c in (seed, doc, pos, first)]
             yield pa.record_batch([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2].astype(np.int32)), pa.array(cols[3])], names=["seed", "doc", "pos", "first"])
 
