@@ -170,3 +170,19 @@ def identify(docs: DataFrame, learned: dict[str, np.ndarray], profile: int = PRO
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+
+def identified(docs: DataFrame, learned: dict[str, np.ndarray], profile: int = PROFILE) -> DataFrame:
+    """docs, all columns and as they are, without the rows whose language can't be told (`und`)."""
+    known, names = Profiles(learned, profile), docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = np.zeros(b.num_rows, bool)
+            if known.names:
+                for at, syms in blocks((i, t.as_py() or "") for i, t in enumerate(b.column(names.index("text")))):
+                    lang, _ = known.nearest(syms)
+                    keep[at] = np.array([known.names[k] != UNKNOWN for k in lang])
+            yield b.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

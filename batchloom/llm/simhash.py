@@ -197,3 +197,134 @@ def simhash_components(docs: DataFrame, k: int = 3, radius: int = 2) -> DataFram
     found = connected_components(linked(reps.where("rep is not null"), radius), "simhash-links")
     named = reps.join(found, reps.rep == found.node, "left").select(F.col("fp").alias("fp_"), F.coalesce("component", "rep").alias("component_id"))
     return fps.join(named, fps.fp == named.fp_).select("doc_id", "fp", "component_id")
+
+
+#: 64-bit words of a wide fingerprint.
+WORDS = 4
+#: Trees that near_copies looks through, and the rows aimed at in one of their leaves.
+TREES, LEAF_ROWS = 40, 4
+_MIX = tuple(np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
+
+
+def wide_fingerprints(docs: DataFrame, k: int = 5) -> DataFrame:
+    """(doc_id, text) -> (doc_id, f0 .. f3): the majority bits of four independent remixes of each shingle's hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = np.zeros((b.num_rows, WORDS), np.uint64)
+            for i, t in enumerate(b.column("text")):
+                h = shingle_hashes(t.as_py(), k)
+                for j, m in enumerate(_MIX):
+                    x = (h ^ (h >> np.uint64(31))) * m
+                    out[i, j] = majority(x ^ (x >> np.uint64(29)))
+            yield pa.record_batch([b.column("doc_id"), *(pa.array(out[:, j].view(np.int64)) for j in range(WORDS))], names=["doc_id", *NAMES])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, f0 long, f1 long, f2 long, f3 long")
+
+
+NAMES = [f"f{i}" for i in range(WORDS)]
+
+
+def wide_radius(similarity: float, deviations: float = 1.25) -> int:
+    """Differing bits, of all, that two texts with this Jaccard similarity of shingles rarely exceed.
+
+    Equal-sized sets with similarity s have cosine 2 s / (1 + s); a bit differs with the angle over pi.
+    """
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    n = 64 * WORDS
+    return int(n * p + deviations * np.sqrt(n * p * (1 - p)))
+
+
+def near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, trees: int = TREES) -> DataFrame:
+    """(doc_id, text) -> (doc_id, component_id): groups of texts whose k-word shingles are that similar, or more.
+
+    At such distances triangle bounds on one fingerprint prune nothing. So a wider fingerprint is looked up in
+    `trees` shallow trees, each over its own random bits; two texts meet where all bits of one tree agree, and are
+    linked if their whole fingerprints are within wide_radius(). The trees' depth follows the number of texts, so
+    leaves stay small; a leaf that copies fill is searched as a vantage-point tree. Texts that differ by more than
+    the least similarity may be linked, and pairs just above it may be missed (about one in seven at 0.8, less
+    than one in fifty from 0.85 on), unless a third text joins them.
+    """
+    fps = materialize(wide_fingerprints(docs, k), "wide")
+    reps = materialize(fps.groupBy(*NAMES).agg(F.min("doc_id").alias("rep")), "wide-reps").where("rep IS NOT NULL")
+    bits = int(np.clip(np.ceil(np.log2(max(1, reps.count()) / LEAF_ROWS)), 4, 40))
+    chosen = [np.random.default_rng(SEED + t).permutation(64 * WORDS)[:bits] for t in range(trees)]
+    radius = wide_radius(similarity)
+
+    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = np.stack([b.column(n).to_numpy() for n in NAMES], axis=1).view(np.uint64)
+            for t, at in enumerate(chosen):
+                leaf = np.full(len(fps), t, np.int64)
+                for i in at:
+                    leaf = (leaf << 1) | ((fps[:, i >> 6] >> np.uint64(i & 63)) & np.uint64(1)).astype(np.int64)
+                yield pa.record_batch([pa.array(leaf), b.column("rep"), *(b.column(n) for n in NAMES)], names=["leaf", "rep", *NAMES])
+
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _whole_groups(batches, "leaf"):
+            leaf, rep = g["leaf"], g["rep"]
+            fps = np.stack([g[n] for n in NAMES], axis=1).view(np.uint64)
+            label = np.arange(len(rep))
+            starts = np.flatnonzero(np.concatenate([[True], leaf[1:] != leaf[:-1]]))
+            sizes = np.diff(np.append(starts, len(leaf)))
+            small = np.repeat(sizes <= 64, sizes)
+            a, b = [label], [label]
+            for d in range(1, 64):
+                at = np.flatnonzero((leaf[d:] == leaf[:-d]) & small[d:])
+                if not len(at):
+                    break
+                hit = at[np.bitwise_count(fps[at] ^ fps[at + d]).sum(axis=1) <= radius]
+                a.append(hit)
+                b.append(hit + d)
+            label = forest(len(rep), np.concatenate(a), np.concatenate(b))
+            for i, n in zip(starts[sizes > 64], sizes[sizes > 64], strict=True):
+                for x, y in wide_pairs(fps[i : i + n], radius):
+                    label = forest(len(rep), np.concatenate([np.arange(len(rep)), i + x]), np.concatenate([label, i + y]))
+            far = label != np.arange(len(rep))
+            if far.any():
+                yield pa.record_batch([pa.array(rep[far]), pa.array(rep[label[far]])], names=["src", "dst"])
+
+    sent = reps.mapInArrow(visits, "leaf long, rep long, f0 long, f1 long, f2 long, f3 long")
+    found = sent.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(edges, "src long, dst long")
+    roots = connected_components(found, "wide-links")
+    named = reps.join(roots, reps.rep == roots.node, "left").select(*(F.col(n).alias(n + "_") for n in NAMES), F.coalesce("component", "rep").alias("component_id"))
+    same = [F.col(n) == F.col(n + "_") for n in NAMES]
+    return fps.join(named, same).select("doc_id", "component_id")
+
+
+def wide_pairs(fps: np.ndarray, radius: int, at: np.ndarray | None = None, guests: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of wide fingerprints within the radius, by a vantage-point tree."""
+    at = np.arange(len(fps)) if at is None else at
+    guests = at if guests is None else guests
+    if not len(at) or not len(guests):
+        return
+    if len(at) > LEAF:
+        v = fps[at[len(at) // 2]]
+        dh, dg = (np.bitwise_count(fps[x] ^ v).sum(axis=1, dtype=np.int64) for x in (at, guests))
+        t = int(np.median(dh))
+        inner = dh <= t
+        if inner.any() and not inner.all():
+            yield from wide_pairs(fps, radius, at[inner], guests[dg <= t + radius])
+            yield from wide_pairs(fps, radius, at[~inner], guests[dg >= t + 1 - radius])
+            return
+    step = max(1, BLOCK // WORDS // len(at))
+    for i in range(0, len(guests), step):
+        g = guests[i : i + step]
+        a, b = np.nonzero(np.bitwise_count(fps[at][:, None, :] ^ fps[g][None, :, :]).sum(axis=2) <= radius)
+        yield at[a], g[b]
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[dict[str, np.ndarray]]:
+    """Batches that are sorted by a key, cut so that no group is split."""
+    rest: dict[str, np.ndarray] | None = None
+    for b in batches:
+        cols = {n: b.column(n).to_numpy(zero_copy_only=False) for n in b.schema.names}
+        if rest is not None:
+            cols = {n: np.concatenate([rest[n], c]) for n, c in cols.items()}
+        k = cols[key]
+        cut = int(np.searchsorted(k, k[-1])) if len(k) else 0
+        if cut:
+            yield {n: c[:cut] for n, c in cols.items()}
+        rest = {n: c[cut:] for n, c in cols.items()}
+    if rest is not None and len(rest[key]):
+        yield rest
