@@ -237,12 +237,12 @@ def reconciliation_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 PREFIX = """pre AS (SELECT event_id AS position, 'gw-' || (user_id % 2) AS endpoint_alias, 'batch-' || user_id AS remote_batch_id FROM events ORDER BY event_id LIMIT 400),
-uni AS (SELECT min(position) AS position, endpoint_alias, remote_batch_id FROM pre GROUP BY ALL ORDER BY 1 LIMIT 40)"""
+uni AS (SELECT min(position) AS position, endpoint_alias, remote_batch_id FROM pre GROUP BY ALL ORDER BY 1 LIMIT 10)"""
 
 
 def _prefix(spark: SparkSession, d: str) -> DataFrame:
     o = fixtures.observations(spark, d).select((F.col("observation_order") - 1).alias("position"), "endpoint_alias", "remote_batch_id")
-    return reconcile.unique_prefix(o, max_jobs=40)
+    return reconcile.unique_prefix(o, max_jobs=10)
 
 
 @query(f"WITH {PREFIX} SELECT * FROM uni")

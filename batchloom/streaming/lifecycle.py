@@ -7,11 +7,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import _parse_datatype_string
 
 from ..operators.lifecycle import KEYS, STATE, advance
 
-_NAMES = [f.name for f in _parse_datatype_string(STATE)]
+_NAMES = [c.split()[0] for c in STATE.split(", ")]
 _TIMES = ("first_seen_at", "last_observed_at", "terminal_at", "updated_at")
 
 

@@ -1,0 +1,107 @@
+from __future__ import annotations
+
+import hashlib
+
+import pytest
+
+from batchloom.errors import CheckpointConflict, ResultApplicationError, ValidationError
+from batchloom.operators import checkpoints, results
+from batchloom.streaming.results import Applier
+
+FILES = "batch_id string, file_kind string, file_id string, content string"
+R1, R2, E1 = '{"custom_id": "1"}', '{"custom_id": "2"}', '{"custom_id": "3", "error": {"code": "x"}}'
+
+
+@pytest.fixture(scope="module")
+def files(spark):
+    return spark.createDataFrame([("b", "result", "f1", f"\n{R1}\r\n\n{R2}"), ("b", "error", "f2", f"{E1}\n"), ("c", "result", "f3", ""), ("d", "error", "f4", "x\n\n[1]\n")], FILES)
+
+
+def test_framing(files):
+    got = results.records(files).where("batch_id = 'b'").orderBy("record_count").collect()
+    assert [(r.file_kind, r.record, r.file_line_number, r.batch_line_count, r.record_count, r.is_object) for r in got] == [("result", R1, 2, 2, 1, True), ("result", R2, 4, 4, 2, True), ("error", E1, 1, 5, 3, True)]
+    assert [r.newline_terminated for r in got] == [True, False, True]
+    assert [r.is_object for r in results.records(files).where("batch_id = 'd'").collect()] == [False, False]
+
+
+def test_lenient(spark):
+    f = spark.createDataFrame([("b", "result", "f", ' \n{"a": NaN, "a": 1}\n\n[1]\n ')], FILES)
+    assert [(r.line_number, r.is_object) for r in results.lenient_records(f).orderBy("line_number").collect()] == [(1, True), (3, False)]
+
+
+def test_budgets(files):
+    got = {(r.batch_id, r.budget): r.at_line for r in results.over_budget(files, file_bytes=40, line_bytes=20, batch_lines=4, batch_records=2).collect()}
+    assert got == {("b", "batch_lines"): 5, ("b", "batch_records"): 5, ("b", "line_bytes"): 5, ("b", "file_bytes"): 0}
+    assert results.over_budget(files).count() == 0
+    with pytest.raises(ValidationError):
+        results.over_budget(files, batch_lines=0)
+
+
+def test_prefix_digests(files):
+    def frame(tag, payload):
+        return len(tag).to_bytes(2, "big") + tag + len(payload).to_bytes(8, "big") + payload
+
+    raw = frame(b"domain", results.DOMAIN) + frame(b"batch_id", b"b") + frame(b"endpoint_alias", b"gw")
+    want = []
+    for kind, file, lines in ((b"result", b"f1", [(b"", 1), (R1.encode() + b"\r", 1), (b"", 1), (R2.encode(), 0)]), (b"error", b"f2", [(E1.encode(), 1)])):
+        raw += frame(b"file_kind", kind) + frame(b"file_id", file)
+        for i, (line, end) in enumerate(lines, 1):
+            raw += frame(b"file_line_number", i.to_bytes(8, "big")) + frame(b"line_bytes", line) + frame(b"newline_terminated", bytes([end]))
+            if line.strip():
+                want.append(hashlib.sha256(raw).hexdigest())
+    c = results.valid_checkpoint(results.checkpoints(files, "gw"))
+    got = c.where("batch_id = 'b'").orderBy("record_count").collect()
+    assert [r.prefix_sha256 for r in got] == want and all(r.is_valid for r in got)
+
+
+def test_resume(files):
+    c = results.checkpoints(files, "gw")
+    rows = c.where("batch_id = 'b'").orderBy("record_count").collect()
+    assert [r.record_count for r in results.resume_after(c, rows[0].asDict()).orderBy("record_count").collect()] == [2, 3]
+    assert results.resume_after(c, rows[2].asDict()).count() == 0
+    for change, reason in (({"prefix_sha256": "0" * 64}, "mismatch"), ({"file_id": "other"}, "mismatch"), ({"record_count": 9}, "not_found")):
+        with pytest.raises(CheckpointConflict) as e:
+            results.resume_after(c, rows[0].asDict() | change)
+        assert e.value.details["reason"] == reason
+
+
+def test_summary_import_and_completion(spark, files):
+    s = {r.batch_id: (r.response_count, r.error_count, r.has_errors, r.batch_succeeded) for r in results.summary(results.records(files)).collect()}
+    assert s["b"] == (2, 1, True, False)
+    line = '{"custom_id": "i", "response": {"body": {"choices": [{"message": {"content": "hi"}}], "usage": {"prompt_tokens": 3, "total_tokens": "x"}}}}'
+    r = results.imported(results.records(spark.createDataFrame([("b", "result", "f", line)], FILES))).first()
+    assert (r.custom_id, r.response_content, r.prompt_tokens, r.completion_tokens, r.total_tokens) == ("i", "hi", 3, 0, 0)
+    for status, n in (("in_progress", 1), ("completed", 0)):
+        with pytest.raises(ValidationError):
+            results.require_complete(status, n)
+
+
+def checkpoint(n, lines=None, **more):
+    return {"file_kind": "result", "file_id": "f", "file_line_number": n, "batch_line_count": lines or n, "record_count": n, "prefix_sha256": "0"} | more
+
+
+def test_swap_rules(spark):
+    one, two, fork = checkpoint(1), checkpoint(2), checkpoint(2, prefix_sha256="1")
+    steps = [(one, two, "expected_previous_missing", None), (one, None, "inserted", 1), (one, two, "idempotent", 1), (two, None, "expected_previous_stale", 1), (two, fork, "expected_previous_stale", 1), (two, one, "updated", 2), (one, two, "checkpoint_regression", 2), (fork, two, "checkpoint_regression", 2), (checkpoint(3, 2), two, "checkpoint_regression", 2), (checkpoint(3, 4), two, "updated", 3)]
+    struct = "struct<file_kind: string, file_id: string, file_line_number: long, batch_line_count: long, record_count: long, prefix_sha256: string>"
+    rows = [("t", "c", "gw", "b", i, tuple(n.values()), e and tuple(e.values())) for i, (n, e, _, _) in enumerate(steps)]
+    df = spark.createDataFrame(rows, f"tenant_scope string, consumer string, endpoint_alias string, batch_id string, attempt long, checkpoint {struct}, expected_previous {struct}")
+    got = checkpoints.outcomes(df).orderBy("attempt").collect()
+    assert [(r.outcome, r.record_count) for r in got] == [(o, n) for _, _, o, n in steps]
+    assert checkpoints.current(df).first().checkpoint.record_count == 3
+
+
+def test_records_are_applied_once(spark, files):
+    c = results.checkpoints(files, "gw").where("batch_id = 'b'").cache()
+    held = {"stored": c.limit(0), "seen": []}
+    apply = Applier(lambda: held["stored"], lambda df: held.update(stored=spark.createDataFrame(df.collect(), df.schema)), lambda df: held["seen"].extend(sorted(r.record_count for r in df.collect())), same_file=False)
+    apply(c.where("record_count <= 2"))
+    apply(c.where("record_count <= 2"))
+    apply(c)
+    assert held["seen"] == [1, 2, 3] and held["stored"].first().record_count == 3
+    held["stored"] = c.where("record_count = 1")
+    with pytest.raises(ResultApplicationError):
+        apply(c.where("record_count = 3"))
+    strict = Applier(lambda: c.where("record_count = 2"), lambda df: None, lambda df: None)
+    with pytest.raises(ResultApplicationError):
+        strict(c.where("record_count = 3"))

@@ -1,0 +1,125 @@
+from __future__ import annotations
+
+import json
+import threading
+from http.server import BaseHTTPRequestHandler, HTTPServer
+
+import pytest
+
+from batchloom.errors import GatewayError, ValidationError
+from batchloom.operators import results
+from batchloom.sources import files
+from batchloom.sources.provider import Provider, ProviderFiles, wait_bounds
+
+
+def test_result_files(spark, tmp_path):
+    (tmp_path / "b-1.result.jsonl").write_bytes('{"custom_id": "é"}\r\n\n'.encode())
+    (tmp_path / "b-1.error.jsonl").write_bytes(b"{}")
+    (tmp_path / "note.txt").write_bytes(b"x")
+    found = files.result_files(spark, str(tmp_path))
+    assert [(r.file_kind, r.record, r.record_count) for r in results.records(found).orderBy("record_count").collect()] == [("result", '{"custom_id": "é"}', 1), ("error", "{}", 2)]
+    with pytest.raises(Exception, match="size bound"):
+        files.result_files(spark, str(tmp_path), 3).collect()
+    (tmp_path / "b-2.result.jsonl").write_bytes(b"\xff")
+    with pytest.raises(Exception, match="not UTF-8"):
+        files.result_files(spark, str(tmp_path)).collect()
+
+
+def test_lines_keep_carriage_returns(spark, tmp_path):
+    (tmp_path / "x").write_bytes(b"a\rb\r\nc")
+    assert [r.value for r in files.lines(spark, str(tmp_path / "x")).collect()] == ["a\rb\r", "c"]
+
+
+def test_tables(spark, tmp_path):
+    assert files.table(spark, str(tmp_path), "llm_queues").count() == 0
+    row = spark.createDataFrame([("q", "name", "active", None, None, None)], files.TABLES["llm_queues"])
+    files.write_table(row, str(tmp_path), "llm_queues")
+    assert files.table(spark, str(tmp_path), "llm_queues").first().queue_name == "name"
+    payload = spark.createDataFrame([("u", "f", ("x\n", 1), None, None)], files.TABLES["llm_batch_file_payloads"])
+    files.write_table(payload, str(tmp_path), "llm_batch_file_payloads")
+    assert files.table(spark, str(tmp_path), "llm_batch_file_payloads").first().content.line_count == 1
+
+
+def test_payloads_are_written(spark, tmp_path):
+    docs = spark.createDataFrame([("f1", "a\nb\n"), ("f2", "c\n")], "file_id string, text string")
+    files.write_payloads(docs, str(tmp_path / "out"))
+    parts = list((tmp_path / "out" / "file_id=f1").glob("*.txt"))
+    assert [p.read_text() for p in parts] == ["a\nb\n"]
+
+
+class Stub(BaseHTTPRequestHandler):
+    calls: list[tuple[str, str]] = []
+    failures = 0
+
+    def answer(self, code, body, **headers):
+        raw = body if isinstance(body, bytes) else json.dumps(body).encode()
+        self.send_response(code)
+        for k, v in headers.items():
+            self.send_header(k.replace("_", "-"), v)
+        self.send_header("Content-Length", str(len(raw)))
+        self.end_headers()
+        self.wfile.write(raw)
+
+    def do_GET(self):  # noqa: N802
+        Stub.calls.append(("GET", self.path))
+        if Stub.failures:
+            Stub.failures -= 1
+            return self.answer(503, {}, Retry_After="0")
+        if self.path == "/batches/b1":
+            return self.answer(200, {"id": "b1", "status": "completed", "output_file_id": "f1", "error_file_id": None, "request_counts": {"total": 3, "completed": 2, "failed": 0}})
+        if self.path == "/batches/odd":
+            return self.answer(200, {"id": "odd", "status": "completed", "request_counts": {"total": 1, "completed": 2, "failed": 0}})
+        if self.path == "/batches/open":
+            return self.answer(200, {"id": "open", "status": "in_progress"})
+        return self.answer(200, b'{"custom_id": "1"}\n')
+
+    def do_POST(self):  # noqa: N802
+        Stub.calls.append(("POST", self.path))
+        body = self.rfile.read(int(self.headers["Content-Length"] or 0))
+        if self.path == "/files":
+            return self.answer(200, {"id": "f9", "has_file": b"custom_id" in body})
+        if self.path.endswith("/cancel"):
+            return self.answer(409, {})
+        return self.answer(200, {"id": "b9"} | json.loads(body))
+
+    def do_DELETE(self):  # noqa: N802
+        self.answer(200, {"id": self.path.rsplit("/", 1)[1], "deleted": self.path.endswith("f1")})
+
+    def log_message(self, *args):
+        pass
+
+
+@pytest.fixture
+def base():
+    server = HTTPServer(("127.0.0.1", 0), Stub)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    Stub.calls.clear()
+    yield f"http://127.0.0.1:{server.server_port}"
+    server.shutdown()
+
+
+def test_provider(base):
+    waits: list[float] = []
+    p = Provider(base, "key", sleep=waits.append)
+    Stub.failures = 2
+    s = p.status("b1")
+    assert (s["progress_percentage"], s["is_complete"], len(waits)) == (66.67, True, 2)
+    Stub.failures = 3
+    with pytest.raises(GatewayError):
+        p.status("b1")
+    assert p.upload("x", b'{"custom_id": 1}', 3600) == "f9"
+    assert p.create("f9", "/v1/embeddings", {"a": "b"})["completion_window"] == "24h"
+    assert p.cancel("b1")["cancelled"] is False
+    p.delete("f1")
+    for call in (lambda: p.delete("f2"), lambda: p.status("odd"), lambda: p.content("f1", most=3), lambda: p.wait("open", 1, 0)):
+        with pytest.raises(GatewayError):
+            call()
+    with pytest.raises(ValidationError):
+        p.upload("x", b"", 10)
+    assert wait_bounds(1) == (0.25, 0.5) and wait_bounds(9) == (15.0, 30.0)
+
+
+def test_provider_as_a_source(spark, base):
+    spark.dataSource.register(ProviderFiles)
+    df = spark.read.format("provider_files").option("base_url", base).option("key", "k").option("batch_ids", "b1").load()
+    assert [(r.batch_id, r.file_kind, r.record) for r in results.records(df).collect()] == [("b1", "result", '{"custom_id": "1"}')]
