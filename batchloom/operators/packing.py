@@ -16,6 +16,8 @@ from ..functions.tokens import Tokenizer, request_tokens, whitespace_tokens
 from .fold import Row, ordered_fold
 
 ORDER = ["created_at", "request_uuid"]
+#: Requests aimed at in a span of a batch.
+BLOCK = 100_000
 
 
 def queued(requests: DataFrame) -> DataFrame:
@@ -45,13 +47,33 @@ def oversize(requests: DataFrame, max_tokens: int, max_bytes: int) -> DataFrame:
     return requests.withColumn("reason", why).where("reason IS NOT NULL")
 
 
-def runs(requests: DataFrame, batch: str = "batch_uuid", by_model: bool = True) -> DataFrame:
-    """run_index: how often the model has changed before, in the batch's order."""
+def runs(requests: DataFrame, batch: str = "batch_uuid", by_model: bool = True, block: int = BLOCK) -> DataFrame:
+    """run_index: how often the model has changed before, in the batch's order.
+
+    A batch of more than `block` requests is cut into spans of time that have about as many each. Changes are
+    counted inside spans and between neighbouring spans, so no task has to see a whole batch.
+    """
     if not by_model:
         return requests.withColumn("run_index", F.lit(0).cast("long"))
-    w = Window.partitionBy(batch).orderBy(*ORDER)
+    at = F.unix_micros("created_at")
+    spans = requests.groupBy(F.col(batch).alias("b_")).agg(F.min(at).alias("low_"), F.max(at).alias("high_"), F.count("*").alias("n_"))
+    width = F.greatest(F.lit(1.0), (F.col("high_") - F.col("low_")) / F.ceil(F.col("n_") / block))
+    spans = spans.select("b_", "low_", width.alias("width_"))
+    rows = requests.join(spans, F.col(batch).eqNullSafe(F.col("b_"))).withColumn("span_", F.floor((at - F.col("low_")) / F.col("width_"))).drop("b_", "low_", "width_")
+
+    w = Window.partitionBy(batch, "span_").orderBy(*ORDER)
     changed = (~F.col("model_name").eqNullSafe(F.lag("model_name").over(w)) & (F.row_number().over(w) > 1)).cast("long")
-    return requests.withColumn("changed_", changed).withColumn("run_index", F.sum("changed_").over(w)).drop("changed_")
+    rows = rows.withColumn("changed_", changed)
+    place = F.struct("created_at", "request_uuid")
+    ends = rows.groupBy(F.col(batch).alias("b_"), F.col("span_").alias("s_")).agg(F.min_by(F.struct("model_name"), place).alias("first_"), F.max_by(F.struct("model_name"), place).alias("last_"), F.sum("changed_").alias("inside_"))
+    order = Window.partitionBy("b_").orderBy("s_")
+    cut = (~F.col("first_").eqNullSafe(F.lag("last_").over(order)) & (F.row_number().over(order) > 1)).cast("long")
+    ends = ends.withColumn("cut_", cut)
+    before = F.sum("cut_").over(order) + F.coalesce(F.sum("inside_").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ends = ends.select("b_", "s_", before.alias("before_"))
+    numbered = rows.join(ends, F.col(batch).eqNullSafe(F.col("b_")) & (F.col("span_") == F.col("s_")))
+    inside = F.sum("changed_").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return numbered.withColumn("run_index", F.col("before_") + inside).drop("b_", "s_", "span_", "changed_", "before_")
 
 
 def pack(requests: DataFrame, max_tokens: int, max_bytes: int | None = None, max_records: int | None = None, batch: str = "batch_uuid", by_model: bool = True, on_oversize: str = "error") -> DataFrame:

@@ -96,7 +96,8 @@ def render_request_lines(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {MEASURED}, c AS (SELECT *, row_number() OVER w AS rn, model_name IS DISTINCT FROM lag(model_name) OVER w AS changed FROM mea WINDOW w AS (PARTITION BY batch_uuid ORDER BY created, request_uuid))
 SELECT request_uuid, batch_uuid, sum((changed AND rn > 1)::INT) OVER (PARTITION BY batch_uuid ORDER BY rn)::BIGINT AS run_index FROM c""")
 def model_runs(spark: SparkSession, d: str) -> DataFrame:
-    return packing.runs(fixtures.requests(spark, d)).select("request_uuid", "batch_uuid", "run_index")
+    slim = fixtures.requests(spark, d).select("request_uuid", "batch_uuid", "model_name", "created_at")
+    return packing.runs(slim).select("request_uuid", "batch_uuid", "run_index")
 
 
 @query(f"WITH RECURSIVE {PARTS} SELECT * FROM prt")

@@ -83,6 +83,21 @@ def test_packing_is_the_plain_fold(spark, rows, tokens, size, records):
     assert {r.request_uuid: (r.part_index, r.position) for r in got} == brute(rows, tokens, size, records)
 
 
+@pytest.mark.parametrize("block", [1, 3, 7, 1000])
+def test_runs_do_not_depend_on_spans(spark, block):
+    import random
+
+    r = random.Random(block)
+    rows = [(r.choice("pq"), r.choice(["x", "y", None]), 1, 1) for _ in range(60)]
+    got = {x.request_uuid: x.run_index for x in packing.runs(slim(spark, rows), block=block).collect()}
+    want, last, n = {}, {}, {}
+    for i, (b, m, _, _) in enumerate(rows):
+        n[b] = n.get(b, 0) + (b in last and last[b] != m)
+        last[b] = m
+        want[f"r{i:03}"] = n[b]
+    assert got == want
+
+
 def test_latest_model_row(spark):
     at = lambda d: dt.datetime(2024, 1, d, tzinfo=dt.UTC)
     models = spark.createDataFrame([("1", "m", "a", "CHAT ", at(1)), ("2", "m", "b", " Embedding", at(2)), ("3", "m", "c", "x", None)], "endpoint_uuid string, model_id string, tokenizer_model string, model_mode string, last_verified_at timestamp")
