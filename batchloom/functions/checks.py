@@ -120,3 +120,12 @@ def flight_key(domain: bytes, *fields: Column) -> Column:
         raw = f.cast("binary")
         parts += [F.unhex(F.lpad(F.hex(F.octet_length(raw)), 16, "0")), raw]
     return F.conv(F.substring(F.sha2(F.concat(*parts), 256), 1, 16), 16, -10).cast("long")
+
+
+#: Fixed names of failures that reports may show.
+FAILURES = ("timeout", "connection", "rate_limited", "unauthorized", "not_found", "invalid_response", "conflict")
+
+
+def failure_name(c: Column, known: tuple[str, ...] = FAILURES) -> Column:
+    """A failure by name; what isn't in the vocabulary is _OTHER, null stays null."""
+    return F.when(c.isin(*known), c).when(c.isNotNull(), "_OTHER")

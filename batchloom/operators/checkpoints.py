@@ -5,7 +5,9 @@ from __future__ import annotations
 from typing import Any
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..errors import CheckpointConflict
 from .fold import Row, ordered_fold
 
 KEYS = ["tenant_scope", "consumer", "endpoint_alias", "batch_id"]
@@ -45,3 +47,19 @@ def current(attempts: DataFrame) -> DataFrame:
         return ({k: row[k] for k in KEYS}, stored), []
 
     return ordered_fold(attempts, KEYS, ["attempt"], schema, lambda: None, step, lambda s: [{**s[0], "checkpoint": s[1]}] if s[1] else [])
+
+
+def load(stored: DataFrame, tenant: str, consumer: str, endpoint_alias: str, batch_id: str) -> Row | None:
+    """The checkpoint under a key. A row that breaks the rules of checkpoints is an error, as are two rows."""
+    key = dict(zip(KEYS, (tenant, consumer, endpoint_alias, batch_id), strict=True))
+    found = stored
+    for k, v in key.items():
+        found = found.where(F.col(k) == v)
+    rows = found.select("checkpoint.*").limit(2).collect()
+    if not rows:
+        return None
+    c = rows[0].asDict()
+    places = [c[n] for n in ("file_line_number", "batch_line_count", "record_count")]
+    if len(rows) > 1 or c["file_kind"] not in ("result", "error") or any(p is None or p < 1 for p in places) or c["batch_line_count"] < max(c["file_line_number"], c["record_count"]):
+        raise CheckpointConflict("the stored checkpoint is damaged", **key)
+    return c

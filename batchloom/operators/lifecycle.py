@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import checks
 from ..functions.strict_json import canonical_metadata
 from ..schemas import TERMINAL_STATUSES
 from .fold import Row, ordered_fold
+from .tenancy import visible
 
 KEYS = ["tenant_scope", "endpoint_alias", "remote_batch_id"]
 STATE = (
@@ -111,3 +112,13 @@ def status_view(state: DataFrame) -> DataFrame:
     """States with progress_percentage and is_complete."""
     p = checks.progress_percentage(F.col("total_requests"), F.col("completed_requests"), F.col("failed_requests"))
     return state.withColumns({"progress_percentage": p, "is_complete": checks.is_terminal(F.col("batch_status"))})
+
+
+def point(states: DataFrame, tenant: str | None, endpoint_alias: str, remote_batch_id: str) -> DataFrame:
+    """A job's state, if the tenant has it."""
+    return visible(states, tenant).where((F.col("endpoint_alias") == endpoint_alias) & (F.col("remote_batch_id") == remote_batch_id))
+
+
+def ordered(observations: DataFrame, reserved: int, by: list[str]) -> DataFrame:
+    """Observations of one micro-batch with the next order numbers after those reserved so far."""
+    return observations.withColumn("observation_order", F.lit(reserved) + F.row_number().over(Window.orderBy(*by)))

@@ -60,3 +60,13 @@ def integrity(payloads: DataFrame) -> DataFrame:
         .when(F.col("bad_"), "json")
     )
     return payloads.join(bad, F.col("file_id") == F.col("f_"), "left").select("file_id", "text", "line_count", problem.alias("problem"))
+
+
+def load(payloads: DataFrame, file_id: str) -> str | None:
+    """A stored payload's text, or None; a damaged one is an error."""
+    row = integrity(payloads.where(F.col("file_id") == file_id)).head()
+    if row is None:
+        return None
+    if row["problem"]:
+        raise ValidationError("the stored payload is damaged", file=file_id, problem=row["problem"])
+    return row["text"]
