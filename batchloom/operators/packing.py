@@ -13,11 +13,14 @@ from pyspark.sql import functions as F
 from ..errors import TokenLimitExceeded, ValidationError
 from ..functions.render import line_bytes, request_line
 from ..functions.tokens import Tokenizer, request_tokens, whitespace_tokens
+from ..storage import bounded, materialize
 from .fold import Row, ordered_fold
 
 ORDER = ["created_at", "request_uuid"]
 #: Requests aimed at in a span of a batch.
 BLOCK = 100_000
+#: Models that may be broadcast; with more, requests are shuffled to them.
+MODELS = 100_000
 
 
 def queued(requests: DataFrame) -> DataFrame:
@@ -30,7 +33,7 @@ def with_model(requests: DataFrame, models: DataFrame) -> DataFrame:
     w = Window.partitionBy("model_id").orderBy(F.desc_nulls_last("last_verified_at"), F.col("endpoint_uuid"))
     mode = F.lower(F.trim("model_mode"))
     latest = models.withColumn("rn_", F.row_number().over(w)).where("rn_ = 1").select(F.col("model_id").alias("model_"), F.when(mode != "", mode).alias("model_mode"), "tokenizer_model")
-    return requests.join(latest, F.col("model_name") == F.col("model_"), "left").drop("model_")
+    return requests.join(bounded(latest, MODELS), F.col("model_name") == F.col("model_"), "left").drop("model_")
 
 
 def measured(requests: DataFrame, tokenizer: Tokenizer = whitespace_tokens) -> DataFrame:
@@ -85,11 +88,12 @@ def pack(requests: DataFrame, max_tokens: int, max_bytes: int | None = None, max
         raise ValidationError("on_oversize is error or quarantine", value=on_oversize)
     most_bytes, most_records = max_bytes or (1 << 62), max_records or (1 << 62)
     large = (F.col("total_tokens") > max_tokens) | (F.col("byte_size") > most_bytes)
+    slim = requests.select(F.col(batch).alias("batch_uuid"), "request_uuid", "model_name", "created_at", "total_tokens", "byte_size")
+    slim = materialize(slim, "requests")  # texts are read and counted once
     if on_oversize == "quarantine":
-        requests = requests.where(~large)
-    elif (bad := requests.where(large).select("request_uuid", "total_tokens").head()) is not None:
+        slim = slim.where(~large)
+    elif (bad := slim.where(large).select("request_uuid", "total_tokens").head()) is not None:
         raise TokenLimitExceeded("a request is larger than any part", request=bad[0], tokens=bad[1])
-    slim = requests.select(F.col(batch).alias("batch_uuid"), "request_uuid", "model_name", "created_at", "total_tokens", "byte_size")
 
     def start() -> list[int]:
         return [0, 0, 0, 0]  # part, tokens, bytes, records
@@ -102,7 +106,7 @@ def pack(requests: DataFrame, max_tokens: int, max_bytes: int | None = None, max
         return s, [{**r, "part_in_run": part, "position": records + 1}]
 
     schema = "batch_uuid string, request_uuid string, model_name string, run_index long, part_in_run long, position long, total_tokens long, byte_size long"
-    packed = ordered_fold(runs(slim, by_model=by_model), ["batch_uuid", "run_index"], ORDER, schema, start, step)
+    packed = materialize(ordered_fold(runs(slim, by_model=by_model), ["batch_uuid", "run_index"], ORDER, schema, start, step), "packed")
     counts = packed.groupBy("batch_uuid", "run_index").agg((F.max("part_in_run") + 1).alias("n"))
     w = Window.partitionBy("batch_uuid").orderBy("run_index").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select(F.col("batch_uuid").alias("b_"), F.col("run_index").alias("r_"), F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
