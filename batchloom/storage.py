@@ -24,15 +24,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialize(df: DataFrame, label: str, compact: bool = False) -> DataFrame:
+def materialize(df: DataFrame, label: str, compact: int = 0) -> DataFrame:
     """Write df once to the shared folder and read it back: lineage is cut and a lost executor costs nothing.
 
-    compact: for narrow tables with few bytes a task; they get no more files than twice the cluster's cores, or a
-    sixteenth of the shuffle partitions where that is more (a cluster may still be growing).
+    compact: for narrow tables with few bytes a task; they get no more files than twice the cluster's cores, or this
+    part of the shuffle partitions where that is more (a cluster may still be growing).
     """
     if compact:
         spark = df.sparkSession
-        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16))
+        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // compact))
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
