@@ -1,42 +1,58 @@
-"""Shared pieces: tables in the shared folder, hashes, and connected components."""
+"""Shared pieces: what workers keep, batches of texts, hashes, and connected components."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
+import contextlib
+import ctypes
+import gc
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import materialize, shared_dir
+
+__all__ = ["connected_components", "forest", "materialize", "only", "shared_dir", "table", "texts", "unit"]
+
 #: ASCII white space as the contracts define it; everything else is part of a word.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+_heavy: list = [None, None]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir as the session has it.
+def only(key: object = None, make: Callable[[], object] = lambda: None) -> object:
+    """What a Python worker keeps between tasks: one thing at a time. Another key frees what was kept before.
 
-    Where it is unset (tests, a laptop) a temporary folder is made and removed at exit.
+    Workers outlive stages, so what one operator leaves behind would else count against the next one's memory.
+    Memory that became free goes back to the machine.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = tempfile.mkdtemp(prefix="batchloom-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if _heavy[0] != key:
+        _heavy[:] = [None, None]
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # another C library has no such call
+            ctypes.CDLL(None).malloc_trim(0)
+        _heavy[:] = [key, make()]
+    return _heavy[1]
+
 
+#: Rows that go to Python at a time, at most. Texts are large, and every batch is held more than once.
+BATCH_ROWS = 2000
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: lineage is cut and a lost executor costs nothing."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+def texts(docs: DataFrame, *columns: Column) -> DataFrame:
+    """These columns of docs, for a Python operator; the session's Arrow batches are cut down to BATCH_ROWS."""
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, BATCH_ROWS)
+    return docs.select(*columns)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def unit(key: Column, seed: int) -> Column:
@@ -65,20 +81,20 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def connected_components(edges: DataFrame, label: str = "components", max_rounds: int = 60) -> DataFrame:
     """(src, dst) -> (node, component): the smallest node reachable, for every node that has an edge.
 
-    Alternating large-star and small-star steps. Each step is a grouped minimum (map-side combined) joined back
-    on the node, so that a node with very many edges is a skewed join and not a task of its own. Edge sets are
-    written to the shared folder between rounds. Rows with a null end and loops are ignored.
+    Alternating large-star and small-star steps, each a grouped minimum (map-side combined) joined back on the node.
+    The large star's minima are written to the shared folder first: both sides of that join are then plain shuffles,
+    so that a node with very many edges is split at run time and not a task of its own. Edges are written each round. Rows with a null end and loops are ignored.
     """
     pairs = edges.select(F.col("src").cast("long").alias("u"), F.col("dst").cast("long").alias("v"))
     e = pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e, before = materialize(e, label), None
+    e, before = materialize(e, label, compact=16), None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("m"))
+        low = materialize(both.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("m")), label, compact=16)
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"))  # no node has many smaller neighbours by now
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        e = materialize(small, label)
+        e = materialize(small, label, compact=16)
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 20)))).first()
         if now == before:
             nodes = e.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -163,7 +163,7 @@ def links(reps: DataFrame, dim: int, threshold: float = THRESHOLD, slack: float
 
     dealt = homes.select("rep", "n", "v").mapInArrow(deal, "task long, role int, home long, rep long, n long, seen binary, v array<double>")
     found = dealt.repartition("task").sortWithinPartitions("task", "role").mapInArrow(compare, "rep long, linked long, root long")
-    found = materialize(found, "cell-links")
+    found = materialize(found, "cell-links", compact=4)
     return found.groupBy("rep").agg(F.sum("linked").alias("linked")), found.where("rep <> root").select(F.col("rep").alias("src"), F.col("root").alias("dst"))
 
 

@@ -12,18 +12,19 @@ import functools
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, only, texts
 
 #: n-grams of a profile.
 PROFILE = 300
 #: Languages that can be learned, at most; the profiles are kept by every worker.
 MAX_LANGUAGES = 2_000
 #: Letters that are counted at a time.
-BLOCK = 1_500_000
+BLOCK = 400_000
 UNKNOWN = "und"
 
 
@@ -81,9 +82,10 @@ def blocks(rows: Iterator[tuple[int, str]]) -> Iterator[tuple[list[int], list[np
 
 def learn_profiles(docs: DataFrame, profile: int = PROFILE) -> dict[str, np.ndarray]:
     """(text, lang) -> each language's n-grams by falling count, then gram, over all rows whose lang isn't null."""
-    rows = docs.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    rows = texts(docs.where("lang is not null and text is not null"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
         held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
         for b in batches:
             langs = b.column("lang").to_pylist()
@@ -99,7 +101,7 @@ def learn_profiles(docs: DataFrame, profile: int = PROFILE) -> dict[str, np.ndar
             g, n = _merged(parts)
             yield pa.record_batch([pa.array([x] * len(g), pa.string()), pa.array(g, pa.int64()), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
 
-    counts = materialize(rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "language-grams")
+    counts = materialize(rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "language-grams", compact=4)
     langs = [r.lang for r in counts.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect()]
     if len(langs) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
@@ -157,6 +159,7 @@ def identify(docs: DataFrame, learned: dict[str, np.ndarray], profile: int = PRO
     known = Profiles(learned, profile)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
         for b in batches:
             texts = b.column("text")
             lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
@@ -168,21 +171,23 @@ def identify(docs: DataFrame, learned: dict[str, np.ndarray], profile: int = PRO
                         lang[i] = known.names[k]
             yield pa.record_batch([b.column("doc_id"), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = texts(docs, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def identified(docs: DataFrame, learned: dict[str, np.ndarray], profile: int = PROFILE) -> DataFrame:
     """docs, all columns and as they are, without the rows whose language can't be told (`und`)."""
-    known, names = Profiles(learned, profile), docs.columns
+    known = Profiles(learned, profile)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = np.zeros(b.num_rows, bool)
+    def told(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        only()
+        for texts in parts:
+            keep = np.zeros(len(texts), bool)
             if known.names:
-                for at, syms in blocks((i, t.as_py() or "") for i, t in enumerate(b.column(names.index("text")))):
+                for at, syms in blocks((i, t or "") for i, t in enumerate(texts)):
                     lang, _ = known.nearest(syms)
                     keep[at] = np.array([known.names[k] != UNKNOWN for k in lang])
-            yield b.filter(pa.array(keep))
+            yield pd.Series(keep)
 
-    return docs.mapInArrow(run, docs.schema)
+    told.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return texts(docs, "*").where(F.pandas_udf(told, "boolean")(F.col("text").cast("string")))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, forest, materialize
+from .common import connected_components, forest, materialize, only, texts
 
 SEED = 42
 #: Fingerprints that the tree's vantage points and thresholds are fitted on, at most.
@@ -57,11 +57,12 @@ def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
     """(doc_id, text) -> (doc_id, fp long). Null and wordless texts get fingerprint zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
         for b in batches:
             fps = np.array([majority(shingle_hashes(t.as_py(), k)) for t in b.column("text")], dtype=np.uint64)
             yield pa.record_batch([b.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return texts(docs, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 @dataclass(frozen=True)
@@ -193,7 +194,7 @@ def simhash_components(docs: DataFrame, k: int = 3, radius: int = 2) -> DataFram
     each other in pairs. component_id is the smallest doc_id reachable, the document itself included.
     """
     fps = materialize(fingerprints(docs, k), "simhash")
-    reps = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-reps")
+    reps = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-reps", compact=16)
     found = connected_components(linked(reps.where("rep is not null"), radius), "simhash-links")
     named = reps.join(found, reps.rep == found.node, "left").select(F.col("fp").alias("fp_"), F.coalesce("component", "rep").alias("component_id"))
     return fps.join(named, fps.fp == named.fp_).select("doc_id", "fp", "component_id")
@@ -210,6 +211,7 @@ def wide_fingerprints(docs: DataFrame, k: int = 5) -> DataFrame:
     """(doc_id, text) -> (doc_id, f0 .. f3): the majority bits of four independent remixes of each shingle's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
         for b in batches:
             out = np.zeros((b.num_rows, WORDS), np.uint64)
             for i, t in enumerate(b.column("text")):
@@ -219,7 +221,7 @@ def wide_fingerprints(docs: DataFrame, k: int = 5) -> DataFrame:
                     out[i, j] = majority(x ^ (x >> np.uint64(29)))
             yield pa.record_batch([b.column("doc_id"), *(pa.array(out[:, j].view(np.int64)) for j in range(WORDS))], names=["doc_id", *NAMES])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, f0 long, f1 long, f2 long, f3 long")
+    return texts(docs, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, f0 long, f1 long, f2 long, f3 long")
 
 
 NAMES = [f"f{i}" for i in range(WORDS)]
@@ -246,7 +248,7 @@ def near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, trees: int
     than one in fifty from 0.85 on), unless a third text joins them.
     """
     fps = materialize(wide_fingerprints(docs, k), "wide")
-    reps = materialize(fps.groupBy(*NAMES).agg(F.min("doc_id").alias("rep")), "wide-reps").where("rep IS NOT NULL")
+    reps = materialize(fps.groupBy(*NAMES).agg(F.min("doc_id").alias("rep")), "wide-reps", compact=16)
     bits = int(np.clip(np.ceil(np.log2(max(1, reps.count()) / LEAF_ROWS)), 4, 40))
     chosen = [np.random.default_rng(SEED + t).permutation(64 * WORDS)[:bits] for t in range(trees)]
     radius = wide_radius(similarity)
@@ -284,7 +286,7 @@ def near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, trees: int
             if far.any():
                 yield pa.record_batch([pa.array(rep[far]), pa.array(rep[label[far]])], names=["src", "dst"])
 
-    sent = reps.mapInArrow(visits, "leaf long, rep long, f0 long, f1 long, f2 long, f3 long")
+    sent = reps.where("rep IS NOT NULL").mapInArrow(visits, "leaf long, rep long, f0 long, f1 long, f2 long, f3 long")
     found = sent.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(edges, "src long, dst long")
     roots = connected_components(found, "wide-links")
     named = reps.join(roots, reps.rep == roots.node, "left").select(*(F.col(n).alias(n + "_") for n in NAMES), F.coalesce("component", "rep").alias("component_id"))

@@ -13,7 +13,6 @@ to the last such boundary, text after it). Maps compose associatively and a text
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,6 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import only, texts
 from .vocab import Vocabulary, byte_letters, vocabulary
 
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -179,11 +179,6 @@ class Counter:
         return self.count(m.head) + m.n + self.count(m.tail) if m.closed else self.count(m.head)
 
 
-@functools.lru_cache(maxsize=2)
-def counter(path: str) -> Counter:
-    return Counter(path)
-
-
 def count_tokens(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     """(doc_id, text) -> (doc_id, n_bytes, n_tokens, over_limit), one row per input row; a null text is empty.
 
@@ -192,10 +187,10 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = counter(path)
+        c = only(("counts", path), lambda: Counter(path))
         for b in batches:
             n = [c.tokens(t.as_py() or "") for t in b.column("text")]
             yield pa.record_batch([b.column("doc_id"), b.column("n_bytes"), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.col("text").cast("string").alias("text"))
+    rows = texts(docs, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import unit
+from .common import only, texts, unit
 
 BITS = 20
 #: Labelled rows that the model is fitted on, about, at most: a documented bound, for learning alone.
@@ -98,9 +98,10 @@ def learn_weights(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epoc
     n = marks.count()
     if n > sample:
         marks = marks.where(F.col("u") < sample / n)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(marks, "doc_id")
+    rows = texts(docs, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(marks, "doc_id")
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
         made = Features()
         for b in batches:
             f = [made.of(t.as_py()).tobytes() for t in b.column("text")]
@@ -127,11 +128,12 @@ def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
         made, w = Features(), np.zeros(1 << BITS)
         w[sent.value[0]] = sent.value[1]
         for b in batches:
             x = np.array([w[made.of(t.as_py())].sum() for t in b.column("text")], float)
             yield pa.record_batch([b.column("doc_id"), pa.array(sigmoid(x))], names=["doc_id", "score"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = texts(docs, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, score double")
