@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, only, texts
 from .simhash import _runs
 
 K = 5
-WINDOW = 10
+WINDOW = 12
 MIN_WORDS = 50
 SIMILARITY = 0.8
 #: Cost of each word that a chain skips on either side; a seed scores K.
@@ -87,6 +87,7 @@ def seeds(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> (seed, doc, pos, first): first marks a seed's first position in the document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
         words = WordHashes()
         for b in batches:
             doc, pos, seed, first = [], [], [], []
@@ -104,13 +105,15 @@ def seeds(docs: DataFrame) -> DataFrame:
             cols = [np.concatenate(c) for c in (seed, doc, pos, first)]
             yield pa.record_batch([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2].astype(np.int32)), pa.array(cols[3])], names=["seed", "doc", "pos", "first"])
 
-    rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    rows = texts(docs.where("doc_id IS NOT NULL AND text IS NOT NULL"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     return rows.mapInArrow(run, "seed long, doc long, pos int, first boolean")
 
 
 def matches(found: DataFrame) -> DataFrame:
     """Seeds -> (doc, pos, source, source_pos): each occurrence beside the seed's first document, that one left out."""
     anchors = found.where("first").groupBy("seed").agg(F.count("*").alias("n"), F.min("doc").alias("source"), F.min_by("pos", "doc").alias("source_pos")).where("n > 1")
+    # As a table of its own, so that both sides of the join are plain shuffles and a seed that very many texts have is split.
+    anchors = materialize(anchors.select("seed", "source", "source_pos"), "anchors", compact=4)
     both = found.select("seed", "doc", "pos").join(anchors.select(F.col("seed").alias("seed_"), "source", "source_pos"), F.col("seed") == F.col("seed_"))
     return both.where("doc <> source").select("doc", "pos", "source", "source_pos")
 
@@ -203,7 +206,7 @@ def slices(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 out.append(h[i:j].tobytes())
             yield pa.record_batch([b.column("doc"), b.column("start"), b.column("stop"), pa.array(out, pa.binary())], names=["doc", "start", "stop", "words"])
 
-    rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    rows = texts(docs.where("doc_id IS NOT NULL AND text IS NOT NULL"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     both = rows.join(_bounded(wanted), F.col("doc_id") == F.col("doc"))
     # A doc_id that several rows share is read where it comes first.
     return both.select("doc", "text", "start", "stop").mapInArrow(run, "doc long, start int, stop int, words binary").groupBy("doc", "start", "stop").agg(F.max("words").alias("words"))
@@ -273,12 +276,12 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
     repetition inside one document. Null texts, null ids, and texts shorter than a passage have none. Of rows
     that share a doc_id the greatest slice stands for all.
     """
-    found = materialize(chained(matches(seeds(docs))), "chains")
+    found = materialize(chained(matches(seeds(docs))), "chains", compact=4)
     low = lambda c: F.greatest(F.lit(0), F.expr(f"{c}[0]") - REACH)
     high = lambda c: F.element_at(c, -1) + K + REACH
     c = found.select("*", low("at").alias("s"), high("at").alias("e"), low("source_at").alias("ss"), high("source_at").alias("se"))
     wanted = c.select("doc", F.col("s").alias("start"), F.col("e").alias("stop")).unionByName(c.select(F.col("source").alias("doc"), F.col("ss").alias("start"), F.col("se").alias("stop"))).distinct()
-    got = materialize(slices(docs, materialize(wanted, "slices-wanted")), "slices")
+    got = materialize(slices(docs, materialize(wanted, "slices-wanted", compact=4)), "slices")
     named = lambda p: got.select(*(F.col(n).alias(p + n) for n in got.columns))
     c = c.join(named("a_"), (F.col("doc") == F.col("a_doc")) & (F.col("s") == F.col("a_start")) & (F.col("e") == F.col("a_stop")))
     c = c.join(named("b_"), (F.col("source") == F.col("b_doc")) & (F.col("ss") == F.col("b_start")) & (F.col("se") == F.col("b_stop")))
@@ -330,10 +333,12 @@ def without_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
     cuts = passages.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("cut_spans_")).withColumnRenamed("doc_id", "cut_doc_")
     cuts = materialize(cuts, "cuts")
     both = docs.join(_bounded(cuts), docs.doc_id == F.col("cut_doc_"), "left")
-    # Tokens are spaces and words in turn, from the spaces before the first word (maybe none) on: 2 i is the space before word i.
-    spaces, words = F.split("text", r"[^\x20\x09-\x0D]+"), F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    both = both.withColumns({"cut_spaces_": F.when(F.col("cut_doc_").isNotNull(), spaces), "cut_words_": F.when(F.col("cut_doc_").isNotNull(), words)})
-    kept = F.expr("filter(transform(cut_words_, (w, i) -> IF(exists(cut_spans_, c -> i >= c.start_word AND i < c.end_word), NULL, concat(cut_spaces_[i], w))), x -> x IS NOT NULL)")
-    both = both.withColumn("cut_kept_", kept).where("cut_doc_ IS NULL OR size(cut_kept_) > 0")
-    text = F.when(F.col("cut_doc_").isNull(), F.col("text")).otherwise(F.concat(F.array_join("cut_kept_", ""), F.element_at("cut_spaces_", -1)))
+    # Spaces and words in turn, from the spaces before the first word (maybe none) on. Each split stands outside
+    # the lambda, which would else repeat it for every word.
+    kept = F.expr(
+        r"""filter(transform(zip_with(split(text, '[^\\x20\\x09-\\x0D]+'), filter(split(text, '[\\x20\\x09-\\x0D]+'), w -> w <> ''), (s, w) -> concat(s, w)),
+            (x, i) -> IF(exists(cut_spans_, c -> i >= c.start_word AND i < c.end_word), NULL, x)), x -> x IS NOT NULL)"""
+    )
+    both = both.withColumn("cut_kept_", F.when(F.col("cut_doc_").isNotNull(), kept)).where("cut_doc_ IS NULL OR size(cut_kept_) > 0")
+    text = F.when(F.col("cut_doc_").isNull(), F.col("text")).otherwise(F.concat(F.array_join("cut_kept_", ""), F.regexp_extract("text", r"([\x20\x09-\x0D]*)\z", 1)))
     return both.withColumn("text", text).select(*docs.columns)
