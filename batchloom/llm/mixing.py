@@ -27,7 +27,7 @@ MAX_SOURCES = 1_000_000
 #: The table of sources is broadcast up to this many rows, and joined by shuffle beyond.
 BROADCAST_SOURCES = 10_000
 #: Documents of one source and size class that make one group of the tree's leaves, about.
-GROUP = 20_000
+GROUP = 1_000
 SEED = 20_240_601
 #: Bits that the size class loses at each level of the tree; at the last the class is the source.
 LEVELS = (0, 2, 4, 8)
@@ -142,7 +142,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MAX
 
     def level(df: DataFrame, keys: list[str]) -> DataFrame:
         dealt = df.repartition(*keys).sortWithinPartitions(*keys, "size", "doc_id")
-        return materialize(dealt.mapInPandas(lambda b: _round_groups(b, keys), df.schema), "mixing-rounds")
+        return materialize(dealt.mapInPandas(lambda b: _round_groups(b, keys), df.schema), "mixing-rounds", compact=4)
 
     open_ = (F.col("p") > 0) & (F.col("p") < 1)
     now = level(rows, ["src", "kind", "salt"])
