@@ -204,7 +204,7 @@ fld AS (
 cur AS (SELECT * FROM fld QUALIFY row_number() OVER (PARTITION BY tenant_scope, endpoint_alias, remote_batch_id ORDER BY rn DESC) = 1)"""
 
 
-@query(f"WITH {OBSERVED} SELECT tenant_scope, endpoint_alias, remote_batch_id, ord AS observation_order, status AS batch_status, output_file_id, total AS total_requests, known AS total_requests_known, completed AS completed_requests, failed::BIGINT AS failed_requests, meta AS provider_metadata, terminal AS is_terminal, CASE WHEN bad THEN 'counts' ELSE '' END AS problems FROM cln")
+@query(f"WITH {OBSERVED} SELECT tenant_scope, endpoint_alias, remote_batch_id, ord AS observation_order, status AS batch_status, output_file_id, total::BIGINT AS total_requests, known AS total_requests_known, completed AS completed_requests, failed::BIGINT AS failed_requests, meta AS provider_metadata, terminal AS is_terminal, CASE WHEN bad THEN 'counts' ELSE '' END AS problems FROM cln")
 def lifecycle_normalized(spark: SparkSession, d: str) -> DataFrame:
     n = lifecycle.normalized(fixtures.observations(spark, d))
     return n.select("tenant_scope", "endpoint_alias", "remote_batch_id", "observation_order", "batch_status", "output_file_id", "total_requests", "total_requests_known", "completed_requests", "failed_requests", "provider_metadata", F.col("terminal_at").isNotNull().alias("is_terminal"), F.array_join("errors", ",").alias("problems"))
@@ -367,7 +367,7 @@ def config_upsert(spark: SparkSession, d: str) -> DataFrame:
     return config.upserted(changes)
 
 
-@query("SELECT * FROM (VALUES ('a', 'alpha', 'alpha', NULL), ('b', 'beta', 'beta', NULL)) t(secret_key, plain, right_key, wrong_key)")
+@query("SELECT *, NULL::VARCHAR AS wrong_key FROM (VALUES ('a', 'alpha', 'alpha'), ('b', 'beta', 'beta')) t(secret_key, plain, right_key)")
 def secrets_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     s = spark.createDataFrame([("a", "alpha"), ("b", "beta")], "secret_key string, secret_value string")
     key = b"0123456789abcdef"
