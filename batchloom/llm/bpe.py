@@ -8,9 +8,11 @@ A word that the lexicon lacks is merged by rank, exactly; both ways give the sam
 
 from __future__ import annotations
 
-import functools
+import atexit
 import mmap
 import os
+import re
+import shutil
 import struct
 import tempfile
 import unicodedata
@@ -26,31 +28,43 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, only, texts
 from .vocab import Vocabulary, vocabulary
 
-WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The words of a stretch; letters come first because no other alternative can start with one.
+WORDS = r"\p{L}+|'(?:s|t|re|ve|m|ll|d)|\p{N}|[^\s\p{L}\p{N}]+"
+#: The same for lower-case ASCII, for a quicker library.
+ASCII_WORDS = r"[a-z]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\sa-z0-9]+"
 #: Words that the lexicon holds at most.
 LEXICON_WORDS = 200_000
 #: Steps per doubling of the count at which the lexicon's least frequent words are cut off.
 STEPS = 16
 #: Longest word, in bytes, that the lexicon takes.
 LONGEST = 64
-#: Words that a worker counts before it sends them on, and words outside the lexicon that it keeps before it forgets them.
+#: Chunks that a worker counts before it sends their words on, and words outside the lexicon that it keeps before it forgets them.
 HELD, RARE = 400_000, 100_000
 #: Characters of text that one result batch comes from, about.
 OUT_CHARS = 4_000_000
 
 
+def chunks(text: str) -> list[str]:
+    """The text between white space. Python also splits at U+001C to U+001F, which are no white space here."""
+    if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
+        return regex.split(r"\s+", text.strip(" \t\n\r\f\v"))
+    return text.split()
+
+
 class Splitter:
     """Special strings, then normalisation, then words, as the tokenizer file says."""
 
     def __init__(self, v: Vocabulary) -> None:
-        self.find = regex.compile(WORDS).findall
+        self.find, self.find_ascii = regex.compile(WORDS).findall, re.compile(ASCII_WORDS, re.ASCII).findall
         self.special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(v.special, key=len, reverse=True)) + ")")
 
     def words(self, text: str) -> list[str]:
         """The words of a stretch without special strings. Lower case is taken letter by letter."""
+        if text.isascii():
+            return self.find_ascii(text.lower())
         return self.find(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 
     def parts(self, text: str) -> list[str]:
@@ -62,23 +76,28 @@ def count_words(docs: DataFrame, path: str) -> DataFrame:
     """(text) -> (word, n) over all texts. Workers count before they shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s, held = Splitter(vocabulary(path)), Counter()
+        only()
+        held = Counter()
         for b in batches:
             for t in b.column("text"):
-                for part in s.parts(t.as_py() or "")[::2]:
-                    held.update(s.words(part))
+                held.update(chunks(t.as_py() or ""))
             if len(held) > HELD:
                 yield from flush(held)
                 held = Counter()
         yield from flush(held)
 
     def flush(held: Counter) -> Iterator[pa.RecordBatch]:
-        words = [w for w in held if len(w.encode("utf-8", "surrogatepass")) <= LONGEST]
+        s, counts = Splitter(vocabulary(path)), Counter()
+        for chunk, n in held.items():
+            for part in s.parts(chunk)[::2]:
+                for w in s.words(part):
+                    counts[w] += n
+        words = [w for w in counts if len(w.encode("utf-8", "surrogatepass")) <= LONGEST]
         for i in range(0, len(words), 50_000):
             some = words[i : i + 50_000]
-            yield pa.record_batch([pa.array(some, pa.string()), pa.array([held[w] for w in some], pa.int64())], names=["word", "n"])
+            yield pa.record_batch([pa.array(some, pa.string()), pa.array([counts[w] for w in some], pa.int64())], names=["word", "n"])
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts(docs, F.col("text").cast("string").alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def compile_lexicon(words: dict[str, list[int]]) -> bytes:
@@ -152,28 +171,25 @@ class Lexicon:
         return self.ids[self.places[number] : self.places[number + 1]].tolist() if self.finals[state] else None
 
 
-@functools.lru_cache(maxsize=2)
-def lexicon(name: str) -> Lexicon:
-    return Lexicon(SparkFiles.get(name))
-
-
 def distribute_lexicon(docs: DataFrame, path: str, size: int = LEXICON_WORDS) -> str:
     """Compile the corpus's most frequent words, `size` at most, and hand the file to all executors.
 
     Words are taken from a count on: the least, of STEPS to a doubling, from which on there are at most `size`.
     """
     spark, v = docs.sparkSession, vocabulary(path)
-    counts = materialize(count_words(docs, path).withColumn("step", F.floor(F.log2("n") * STEPS).cast("int")), "word-counts")
+    counts = materialize(count_words(docs, path).withColumn("step", F.floor(F.log2("n") * STEPS).cast("int")), "word-counts", compact=4)
     least, taken = None, 0
     for r in sorted(counts.groupBy("step").agg(F.count("*").alias("words")).collect(), key=lambda r: -r.step):
         taken += r.words
         if taken > size:
             break
         least = r.step
-    top = counts.where(F.col("step") >= least).select("word").collect() if least is not None else []
-    data = compile_lexicon({r.word: v.encode_word(r.word) for r in top})
+    top = counts.where(F.col("step") >= least).select("word").toArrow().column("word").to_pylist() if least is not None else []
+    data = compile_lexicon({w: v.encode_word(w) for w in top})
     name = f"lexicon-{uuid.uuid4().hex}.bin"
-    file = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="lexicon-")), name)
+    folder = os.path.realpath(tempfile.mkdtemp(prefix="lexicon-"))  # the driver hands the file out from here
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    file = os.path.join(folder, name)
     with open(file, "wb") as f:
         f.write(data)
     spark.sparkContext.addFile(file)
@@ -185,11 +201,13 @@ class Encoder:
 
     def __init__(self, path: str, name: str) -> None:
         self.v = vocabulary(path)
-        self.split, self.lexicon = Splitter(self.v), lexicon(name)
+        self.split, self.lexicon = Splitter(self.v), Lexicon(SparkFiles.get(name))
+        self.mark = os.path.commonprefix(list(self.v.special))  # what any special string starts with
         self.held: dict[str, bytes] = {}  # words of the lexicon that came up
         self.rare: dict[str, bytes] = {}
 
     def word(self, w: str) -> bytes:
+        """Ids of a word that isn't held: the lexicon's, else merged."""
         if (out := self.rare.get(w)) is not None:
             return out
         keep, ids = self.held, self.lexicon.get(w.encode("utf-8", "surrogatepass"))
@@ -202,12 +220,12 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        out, get = [], self.held.get
+        get, miss = self.held.get, self.word
+        if self.mark not in text:
+            return b"".join([get(w) or miss(w) for w in self.split.words(text)])
+        out = []
         for i, part in enumerate(self.split.parts(text)):
-            if i % 2:
-                out.append(struct.pack("<I", self.v.special[part]))
-            elif part:
-                out += [get(w) or self.word(w) for w in self.split.words(part)]
+            out += [struct.pack("<I", self.v.special[part])] if i % 2 else [get(w) or miss(w) for w in self.split.words(part)]
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
@@ -215,11 +233,6 @@ class Encoder:
         return " ".join(map(self.v.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-@functools.lru_cache(maxsize=2)
-def encoder(path: str, name: str) -> Encoder:
-    return Encoder(path, name)
-
-
 def transcode(docs: DataFrame, path: str, size: int = LEXICON_WORDS, decoded: bool = True) -> DataFrame:
     """(doc_id, text) -> (doc_id, n_tokens, ids, decoded), one row per input row; a null text is empty.
 
@@ -229,7 +242,7 @@ def transcode(docs: DataFrame, path: str, size: int = LEXICON_WORDS, decoded: bo
     name = distribute_lexicon(docs, path, size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(path, name)
+        e = only(("bpe", path, name), lambda: Encoder(path, name))
         for b in batches:
             doc, ids, texts, chars = [], [], [], 0
             for d, t in zip(b.column("doc_id"), b.column("text"), strict=True):
@@ -246,5 +259,5 @@ def transcode(docs: DataFrame, path: str, size: int = LEXICON_WORDS, decoded: bo
     def batch(doc: list, ids: list, texts: list) -> pa.RecordBatch:
         return pa.record_batch([pa.array(doc, pa.int64()), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = texts(docs, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded string")
