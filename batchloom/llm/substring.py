@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import bounded
 from .common import materialize, only, texts
 from .simhash import _runs
 
@@ -188,11 +189,6 @@ def chained(found: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "doc long, source long, at array<int>, source_at array<int>")
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if it is small enough."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def slices(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Word hashes of (doc, start, stop): (doc, start, words), words cut at the text's end."""
 
@@ -207,7 +203,7 @@ def slices(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.record_batch([b.column("doc"), b.column("start"), b.column("stop"), pa.array(out, pa.binary())], names=["doc", "start", "stop", "words"])
 
     rows = texts(docs.where("doc_id IS NOT NULL AND text IS NOT NULL"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    both = rows.join(_bounded(wanted), F.col("doc_id") == F.col("doc"))
+    both = rows.join(bounded(wanted, BROADCAST_ROWS), F.col("doc_id") == F.col("doc"))
     # A doc_id that several rows share is read where it comes first.
     return both.select("doc", "text", "start", "stop").mapInArrow(run, "doc long, start int, stop int, words binary").groupBy("doc", "start", "stop").agg(F.max("words").alias("words"))
 
@@ -332,7 +328,7 @@ def without_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """
     cuts = passages.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("cut_spans_")).withColumnRenamed("doc_id", "cut_doc_")
     cuts = materialize(cuts, "cuts")
-    both = docs.join(_bounded(cuts), docs.doc_id == F.col("cut_doc_"), "left")
+    both = docs.join(bounded(cuts, BROADCAST_ROWS), docs.doc_id == F.col("cut_doc_"), "left")
     # Spaces and words in turn, from the spaces before the first word (maybe none) on. Each split stands outside
     # the lambda, which would else repeat it for every word.
     kept = F.expr(
