@@ -98,7 +98,7 @@ def learn_weights(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epoc
     n = marks.count()
     if n > sample:
         marks = marks.where(F.col("u") < sample / n)
-    rows = texts(docs, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(marks, "doc_id")
+    rows = texts(docs, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(marks), "doc_id")  # about `sample` rows at most
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only()
