@@ -208,31 +208,61 @@ def slices(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return both.select("doc", "text", "start", "stop").mapInArrow(run, "doc long, start int, stop int, words binary").groupBy("doc", "start", "stop").agg(F.max("words").alias("words"))
 
 
-def align(a: np.ndarray, b: np.ndarray, at: list[int], other: list[int]) -> tuple[int, int, int, int, float]:
-    """(start, stop, source start, source stop, similarity) of the alignment through a chain's seeds.
+def align(a: np.ndarray, b: np.ndarray, at: list[int], other: list[int], similarity: float = SIMILARITY) -> list[tuple[int, int, int, int, float]]:
+    """(start, stop, source start, source stop, similarity) of each stretch of a chain that is similar enough by itself.
 
     Between seeds the least edits are counted; beyond the ends single words are compared in step until the score
-    falls DROP below its best. Similarity is the share of equal words among all aligned ones.
+    falls DROP below its best. Similarity is the share of equal words among all aligned ones. A chain may lead over
+    gaps that are unlike, so what counts is every longest stretch from a seed to a seed, not the whole chain.
     """
     x, y = a.tolist(), b.tolist()
-    i, j, same, all_ = at[0], other[0], 0, 0
+    i, j = at[0], other[0]
+    parts: list[tuple[int, int, int, int]] = []  # seeds: both starts, words before it and the equal ones among them
+    ends: list[tuple[int, int]] = []
     for p, q in zip(at, other, strict=True):
+        n = same = step = 0
         if p < i or q < j:  # seeds that overlap: only what is new counts
             step = max(i - p, j - q)
-            p, q = p + step, q + step
-            left = K - step
         else:
-            left = K
-            n, edits = max(p - i, q - j), _edits(x[i:p], y[j:q])
-            same, all_ = same + n - edits, all_ + n
-        if left > 0:
-            same, all_ = same + left, all_ + left
-            i, j = p + left, q + left
-    ahead, ahead_same = _extend(x[i : i + REACH], y[j : j + REACH])
-    s, t = at[0], other[0]
-    back, back_same = _extend(x[max(0, s - REACH) : s][::-1], y[max(0, t - REACH) : t][::-1])
-    same, all_ = same + ahead_same + back_same, all_ + ahead + back
-    return s - back, i + ahead, t - back, j + ahead, same / all_
+            n = max(p - i, q - j)
+            same = n - _edits(x[i:p], y[j:q])
+        if step < K:
+            parts.append((p + step, q + step, n, same))
+            i, j = p + K, q + K
+            ends.append((i, j))
+    out = []
+    for m, o, same, all_ in stretches([(e[0] - s[0], s[2], s[3]) for s, e in zip(parts, ends, strict=True)], similarity):
+        (s, t), (i, j) = parts[m][:2], ends[o]
+        ahead = _extend(x[i : i + REACH], y[j : j + REACH])
+        back = _extend(x[max(0, s - REACH) : s][::-1], y[max(0, t - REACH) : t][::-1])
+        # What lies beyond the ends may not cost the stretch its similarity.
+        v, u = max(((v, u) for v in (ahead, (0, 0)) for u in (back, (0, 0)) if same + v[1] + u[1] >= similarity * (all_ + v[0] + u[0]) - 1e-9), key=lambda w: w[0][0] + w[1][0], default=((0, 0), (0, 0)))
+        out.append((s - u[0], i + v[0], t - u[0], j + v[0], (same + v[1] + u[1]) / (all_ + v[0] + u[0])))
+    return out
+
+
+def stretches(parts: list[tuple[int, int, int]], similarity: float) -> list[tuple[int, int, int, int]]:
+    """Seeds (words, words of the gap before, equal ones among them) -> (first, last, equal words, words).
+
+    Every stretch of seeds and the gaps between them that has the similarity and isn't within another that has it.
+    With the sum of (equal - similarity * words) up to each seed, a stretch's sum mustn't fall.
+    """
+    before, after, at, equal, all_ = [], [], 0.0, [0], [0]
+    for words, gap, same in parts:
+        at += same - similarity * gap
+        before.append(at)
+        at += (1 - similarity) * words
+        after.append(at)
+        equal += [equal[-1] + same, equal[-1] + same + words]
+        all_ += [all_[-1] + gap, all_[-1] + gap + words]
+    top = np.maximum.accumulate(np.array(after)[::-1]) if parts else np.empty(0)  # the greatest from each seed on, last one first
+    out, reach = [], -1
+    for m, low in enumerate(before):
+        o = len(parts) - 1 - int(np.searchsorted(top, low - 1e-9))
+        if o > reach:
+            reach = o
+            out.append((m, o, equal[2 * o + 2] - equal[2 * m + 1], all_[2 * o + 2] - all_[2 * m + 1]))
+    return out
 
 
 def _edits(x: list[int], y: list[int]) -> int:
@@ -289,10 +319,10 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
             for i in range(b.num_rows):
                 s, ss = d["s"][i], d["ss"][i]
                 x, y = np.frombuffer(d["a_words"][i], np.uint32), np.frombuffer(d["b_words"][i], np.uint32)
-                u, v, p, q, same = align(x, y, [z - s for z in d["at"][i]], [z - ss for z in d["source_at"][i]])
-                out.append((s + u, s + v, ss + p, ss + q, same))
-            cols = list(zip(*out)) or [()] * 5
-            yield pa.record_batch([b.column("doc"), b.column("source"), *(pa.array(x, pa.int32()) for x in cols[:4]), pa.array(cols[4], pa.float64())], names=["doc", "source", "start", "stop", "source_start", "source_stop", "same"])
+                for u, v, p, q, same in align(x, y, [z - s for z in d["at"][i]], [z - ss for z in d["source_at"][i]], similarity):
+                    out.append((d["doc"][i], d["source"][i], s + u, s + v, ss + p, ss + q, same))
+            cols = list(zip(*out)) or [()] * 7
+            yield pa.record_batch([*(pa.array(x, pa.int64()) for x in cols[:2]), *(pa.array(x, pa.int32()) for x in cols[2:6]), pa.array(cols[6], pa.float64())], names=["doc", "source", "start", "stop", "source_start", "source_stop", "same"])
 
     aligned = c.select("doc", "source", "at", "source_at", "s", "ss", "a_words", "b_words").mapInArrow(run, "doc long, source long, start int, stop int, source_start int, source_stop int, same double").where(F.col("same") >= similarity)
 

@@ -65,6 +65,17 @@ def test_planted_passages(spark):
     assert all(r.similarity == 1 for r in rows if r.doc_id != 9) and 0.8 <= next(r.similarity for r in rows if r.doc_id == 9) < 1
 
 
+def test_two_passages_with_unlike_words_between(spark):
+    rows, want = [], {}
+    for i, gap in enumerate((30, 40, 80, 120, 160)):
+        p, q = prose(9000 + i, 60), prose(9100 + i, 100)
+        rows += [(i, f"{prose(9200 + i, 20)} {p} {prose(9300 + i, gap)} {q}"), (100 + i, f"{p} {prose(9400 + i, gap)} {q} {prose(9500 + i, 20)}")]
+        want[100 + i] = set(range(60)) | set(range(60 + gap, 160 + gap))
+    got = covered(substring.repeated_passages(documents(spark, rows)).collect())
+    assert all(want[i] <= got.get(i, set()) for i in want)
+    assert all(len(got[i] - want[i]) <= 6 for i in want if len(want[i]) < 0.8 * (max(want[i]) + 1))
+
+
 def test_long_repeats_of_the_tables_are_found(spark, tables):
     d = tables.replace("sf0.001", "sf0.01")
     docs = spark.read.parquet(f"{d}/documents.parquet")
