@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import product
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -202,8 +203,9 @@ def simhash_components(docs: DataFrame, k: int = 3, radius: int = 2) -> DataFram
 
 #: 64-bit words of a wide fingerprint.
 WORDS = 4
-#: Trees that near_copies looks through, and the rows aimed at in one of their leaves.
-TREES, LEAF_ROWS = 40, 4
+#: Pairs of the least similarity that may share no leaf of any tree, and the rows aimed at in a leaf. Each bit less
+#: in the trees' paths saves more trees than the larger leaves cost.
+MISSED, LEAF_ROWS = 0.01, 128
 _MIX = tuple(np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
 
@@ -237,19 +239,39 @@ def wide_radius(similarity: float, deviations: float = 1.25) -> int:
     return int(n * p + deviations * np.sqrt(n * p * (1 - p)))
 
 
-def near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, trees: int = TREES) -> DataFrame:
+def trees_for(bits: int, similarity: float, missed: float = MISSED) -> int:
+    """The least number of trees over so many random bits that leave at most that share of pairs without a common leaf.
+
+    The bits in which a pair differs are binomial, and a tree's bits are drawn without replacement.
+    """
+    n = 64 * WORDS
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    chance = np.array([comb(n, d) * p**d * (1 - p) ** (n - d) for d in range(n + 1)])
+    meet = np.array([comb(n - d, bits) / comb(n, bits) for d in range(n + 1)])
+    low, high = 0, 1
+    while chance @ (1 - meet) ** high > missed:
+        low, high = high, 2 * high
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if chance @ (1 - meet) ** middle > missed else (low, middle)
+    return high
+
+
+def near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, trees: int | None = None) -> DataFrame:
     """(doc_id, text) -> (doc_id, component_id): groups of texts whose k-word shingles are that similar, or more.
 
     At such distances triangle bounds on one fingerprint prune nothing. So a wider fingerprint is looked up in
-    `trees` shallow trees, each over its own random bits; two texts meet where all bits of one tree agree, and are
-    linked if their whole fingerprints are within wide_radius(). The trees' depth follows the number of texts, so
-    leaves stay small; a leaf that copies fill is searched as a vantage-point tree. Texts that differ by more than
-    the least similarity may be linked, and pairs just above it may be missed (about one in seven at 0.8, less
-    than one in fifty from 0.85 on), unless a third text joins them.
+    shallow trees, each over its own random bits; two texts meet where all bits of one tree agree, and are linked if
+    their whole fingerprints are within wide_radius(). The trees' depth follows the number of texts, so leaves stay
+    small, and their number follows the depth (trees_for), so that at any size MISSED of the pairs at the least
+    similarity meet nowhere. A leaf that copies fill is searched as a vantage-point tree. Texts that differ by more
+    than the least similarity may be linked, and the radius leaves out some pairs just above it (about one in nine at
+    0.8), unless a third text joins them.
     """
     fps = materialize(wide_fingerprints(docs, k), "wide")
     reps = materialize(fps.groupBy(*NAMES).agg(F.min("doc_id").alias("rep")), "wide-reps", compact=16)
     bits = int(np.clip(np.ceil(np.log2(max(1, reps.count()) / LEAF_ROWS)), 4, 40))
+    trees = trees or trees_for(bits, similarity)
     chosen = [np.random.default_rng(SEED + t).permutation(64 * WORDS)[:bits] for t in range(trees)]
     radius = wide_radius(similarity)
 
@@ -278,10 +300,13 @@ def near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, trees: int
                 hit = at[np.bitwise_count(fps[at] ^ fps[at + d]).sum(axis=1) <= radius]
                 a.append(hit)
                 b.append(hit + d)
-            label = forest(len(rep), np.concatenate(a), np.concatenate(b))
             for i, n in zip(starts[sizes > 64], sizes[sizes > 64], strict=True):
+                root = np.arange(n)
                 for x, y in wide_pairs(fps[i : i + n], radius):
-                    label = forest(len(rep), np.concatenate([np.arange(len(rep)), i + x]), np.concatenate([label, i + y]))
+                    root = forest(n, np.concatenate([np.arange(n), x]), np.concatenate([root, y]))
+                a.append(np.arange(i, i + n))
+                b.append(i + root)
+            label = forest(len(rep), np.concatenate(a), np.concatenate(b))
             far = label != np.arange(len(rep))
             if far.any():
                 yield pa.record_batch([pa.array(rep[far]), pa.array(rep[label[far]])], names=["src", "dst"])

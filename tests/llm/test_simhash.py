@@ -100,3 +100,10 @@ def test_a_large_group_of_near_copies(spark):
     docs = documents(spark, [(i, text.replace(text.split()[i % 290], f"w{i}", 1)) for i in range(290)] + [(9999, prose(2, 300))])
     got = simhash.near_copies(docs)
     assert got.where(F.col("component_id") == 0).count() == 290
+
+
+def test_deep_trees_find_as_many(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "LEAF_ROWS", 2**-11)  # 400 texts as if they were 100 million rows with leaves of 128
+    docs = documents(spark, [(i + j, changed(prose(i, 300), 60) if j else prose(i, 300)) for i in range(0, 400, 2) for j in (0, 1)])
+    got = simhash.near_copies(docs).where("doc_id <> component_id").count()  # similarity 0.84
+    assert got >= 185
