@@ -10,7 +10,7 @@ of the pairs leaves a task, so a group of n near copies gives n rows and not n *
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import product
 from math import comb
@@ -206,18 +206,23 @@ WORDS = 4
 #: Pairs of the least similarity that may share no leaf of any tree, and the rows aimed at in a leaf. Each bit less
 #: in the trees' paths saves more trees than the larger leaves cost.
 MISSED, LEAF_ROWS = 0.01, 128
+#: Trees at least, so that small inputs lose still fewer.
+TREES = 40
 _MIX = tuple(np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
 
 def wide_fingerprints(docs: DataFrame, k: int = 5) -> DataFrame:
-    """(doc_id, text) -> (doc_id, f0 .. f3): the majority bits of four independent remixes of each shingle's hash."""
+    """(doc_id, text) -> (doc_id, f0 .. f3): the majority bits of four independent remixes of each shingle's hash.
+
+    A shingle counts once however often it repeats, as it does in the similarity.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only()
         for b in batches:
             out = np.zeros((b.num_rows, WORDS), np.uint64)
             for i, t in enumerate(b.column("text")):
-                h = shingle_hashes(t.as_py(), k)
+                h = np.unique(shingle_hashes(t.as_py(), k))
                 for j, m in enumerate(_MIX):
                     x = (h ^ (h >> np.uint64(31))) * m
                     out[i, j] = majority(x ^ (x >> np.uint64(29)))
@@ -229,7 +234,7 @@ def wide_fingerprints(docs: DataFrame, k: int = 5) -> DataFrame:
 NAMES = [f"f{i}" for i in range(WORDS)]
 
 
-def wide_radius(similarity: float, deviations: float = 1.25) -> int:
+def wide_radius(similarity: float, deviations: float = 3) -> int:
     """Differing bits, of all, that two texts with this Jaccard similarity of shingles rarely exceed.
 
     Equal-sized sets with similarity s have cosine 2 s / (1 + s); a bit differs with the angle over pi.
@@ -261,17 +266,20 @@ def near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, trees: int
     """(doc_id, text) -> (doc_id, component_id): groups of texts whose k-word shingles are that similar, or more.
 
     At such distances triangle bounds on one fingerprint prune nothing. So a wider fingerprint is looked up in
-    shallow trees, each over its own random bits; two texts meet where all bits of one tree agree, and are linked if
-    their whole fingerprints are within wide_radius(). The trees' depth follows the number of texts, so leaves stay
-    small, and their number follows the depth (trees_for), so that at any size MISSED of the pairs at the least
-    similarity meet nowhere. A leaf that copies fill is searched as a vantage-point tree. Texts that differ by more
-    than the least similarity may be linked, and the radius leaves out some pairs just above it (about one in nine at
-    0.8), unless a third text joins them.
+    shallow trees, each over its own random bits; two texts meet where all bits of one tree agree, and are candidates
+    if their whole fingerprints are within wide_radius(). The trees' depth follows the number of texts, so leaves stay
+    small, and their number follows the depth (trees_for), so that at any size at most MISSED of the pairs at the
+    least similarity meet nowhere. A leaf that copies fill is searched as a vantage-point tree.
+
+    Only texts whose sets of shingles are that similar are linked. A forest of the candidates is tried first. Where
+    that leaves a group of candidates in parts, each text is tried with the nearest one of other parts, and at last
+    all candidates in different parts are. So no pair inside a part is ever sent, and no candidate is left untried
+    that could join two parts. Texts with equal fingerprints count as copies.
     """
     fps = materialize(wide_fingerprints(docs, k), "wide")
     reps = materialize(fps.groupBy(*NAMES).agg(F.min("doc_id").alias("rep")), "wide-reps", compact=16)
     bits = int(np.clip(np.ceil(np.log2(max(1, reps.count()) / LEAF_ROWS)), 4, 40))
-    trees = trees or trees_for(bits, similarity)
+    trees = trees or max(TREES, trees_for(bits, similarity))
     chosen = [np.random.default_rng(SEED + t).permutation(64 * WORDS)[:bits] for t in range(trees)]
     radius = wide_radius(similarity)
 
@@ -282,7 +290,42 @@ def near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, trees: int
                 leaf = np.full(len(fps), t, np.int64)
                 for i in at:
                     leaf = (leaf << 1) | ((fps[:, i >> 6] >> np.uint64(i & 63)) & np.uint64(1)).astype(np.int64)
-                yield pa.record_batch([pa.array(leaf), b.column("rep"), *(b.column(n) for n in NAMES)], names=["leaf", "rep", *NAMES])
+                yield pa.record_batch([pa.array(leaf), *b.columns], names=["leaf", *b.schema.names])
+
+    def leaves(rows: DataFrame) -> DataFrame:
+        sent = rows.mapInArrow(visits, "leaf long, " + ", ".join(f"{n} long" for n in rows.columns))
+        return sent.repartition("leaf").sortWithinPartitions("leaf")
+
+    def across(nearest: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        """Candidates in different parts: the nearest of each text, or all."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for g in _whole_groups(batches, "leaf"):
+                fps = np.stack([g[n] for n in NAMES], axis=1).view(np.uint64)
+                starts = [0, *(np.flatnonzero(g["leaf"][1:] != g["leaf"][:-1]) + 1), len(fps)]
+                for i, j in zip(starts, starts[1:]):
+                    rep, part = g["rep"][i:j], g["part"][i:j]
+                    best, other = np.full(j - i, radius + 1), np.zeros(j - i, np.int64)
+                    for x, y in wide_pairs(fps[i:j], radius):
+                        open_ = part[x] != part[y]
+                        x, y = x[open_], y[open_]
+                        if nearest:
+                            d = np.bitwise_count(fps[i + x] ^ fps[i + y]).sum(axis=1, dtype=np.int64)
+                            order = np.lexsort((d, x))
+                            x, y, d = x[order], y[order], d[order]
+                            first = np.concatenate([[True], x[1:] != x[:-1]]) if len(x) else np.empty(0, bool)
+                            x, y, d = x[first], y[first], d[first]
+                            less = d < best[x]
+                            best[x[less]], other[x[less]] = d[less], y[less]
+                        else:
+                            down = rep[x] > rep[y]
+                            yield pa.record_batch([pa.array(rep[x[down]]), pa.array(rep[y[down]])], names=["src", "dst"])
+                    x = np.flatnonzero(best <= radius)
+                    if len(x):
+                        a, b = rep[x], rep[other[x]]
+                        yield pa.record_batch([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["src", "dst"])
+
+        return run
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in _whole_groups(batches, "leaf"):
@@ -311,14 +354,52 @@ def near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, trees: int
             if far.any():
                 yield pa.record_batch([pa.array(rep[far]), pa.array(rep[label[far]])], names=["src", "dst"])
 
-    sent = reps.where("rep IS NOT NULL").mapInArrow(visits, "leaf long, rep long, f0 long, f1 long, f2 long, f3 long")
-    found = sent.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(edges, "src long, dst long")
-    roots = connected_components(found, "wide-links")
+    nodes = reps.where("rep IS NOT NULL").select("rep", *NAMES)
+    tried = materialize(leaves(nodes).mapInArrow(edges, "src long, dst long").distinct(), "wide-tried", compact=16)
+    groups = connected_components(tried, "wide-groups").select(F.col("node").alias("in_"), F.col("component").alias("group_"))
+    links = similar(docs, tried, k, similarity)
+    for nearest in (True, False):
+        parts = connected_components(links, "wide-parts").select(F.col("node").alias("of_"), F.col("component").alias("part_"))
+        placed = groups.join(parts, F.col("in_") == F.col("of_"), "left").select("in_", "group_", F.coalesce("part_", "in_").alias("part"))
+        split = placed.groupBy("group_").agg(F.min("part").alias("least_"), F.max("part").alias("most_")).where("least_ <> most_").select(F.col("group_").alias("split_"))
+        open_ = materialize(placed.join(split, F.col("group_") == F.col("split_"), "left_semi").select("in_", "part"), "wide-open", compact=16)
+        if open_.isEmpty():
+            break
+        rows = nodes.join(open_, F.col("rep") == F.col("in_")).select("rep", "part", *NAMES)
+        tried = materialize(leaves(rows).mapInArrow(across(nearest), "src long, dst long").distinct(), "wide-tried", compact=4)
+        links = links.unionByName(similar(docs, tried, k, similarity))
+    roots = connected_components(links, "wide-links")
     named = reps.join(roots, reps.rep == roots.node, "left").select(*(F.col(n).alias(n + "_") for n in NAMES), F.coalesce("component", "rep").alias("component_id"))
     same = [F.col(n) == F.col(n + "_") for n in NAMES]
     return fps.join(named, same).select("doc_id", "component_id")
 
 
+def similar(docs: DataFrame, pairs: DataFrame, k: int, similarity: float) -> DataFrame:
+    """Those of the pairs (src, dst) of doc_ids whose texts have sets of shingles with that Jaccard similarity."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
+        for b in batches:
+            yield pa.record_batch([b.column("doc_id"), pa.array([np.unique(shingle_hashes(t.as_py(), k)).tobytes() for t in b.column("text")], pa.binary())], names=["node_", "set_"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column("a"), b.column("b"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= similarity * max(len(x), len(y)) else 0
+                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield pa.record_batch([b.column("src"), b.column("dst")], names=["src", "dst"]).filter(pa.array(keep, pa.bool_()))
+
+    wanted = pairs.select(F.explode(F.array("src", "dst")).alias("want_")).distinct()
+    rows = texts(docs.where("doc_id IS NOT NULL"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    # Written first, so that both sides of each join are plain shuffles and a text with very many pairs is split.
+    found = materialize(rows.join(wanted, F.col("doc_id") == F.col("want_"), "left_semi").mapInArrow(sets, "node_ long, set_ binary"), "wide-sets")
+    a, b = (found.select(F.col("node_").alias(n + "_node"), F.col("set_").alias(n)) for n in "ab")
+    both = pairs.join(a, F.col("src") == F.col("a_node")).join(b, F.col("dst") == F.col("b_node"))
+    return materialize(both.select("src", "dst", "a", "b").mapInArrow(check, "src long, dst long").distinct(), "wide-similar", compact=16)
+
+
 def wide_pairs(fps: np.ndarray, radius: int, at: np.ndarray | None = None, guests: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of wide fingerprints within the radius, by a vantage-point tree."""
     at = np.arange(len(fps)) if at is None else at

@@ -107,3 +107,21 @@ def test_deep_trees_find_as_many(spark, monkeypatch):
     docs = documents(spark, [(i + j, changed(prose(i, 300), 60) if j else prose(i, 300)) for i in range(0, 400, 2) for j in (0, 1)])
     got = simhash.near_copies(docs).where("doc_id <> component_id").count()  # similarity 0.84
     assert got >= 185
+
+
+def test_links_are_the_similar_pairs(spark):
+    line, rows = prose(77, 16), []
+    for i in range(0, 40, 2):  # one repeated line, and texts at 0.81 and 0.7
+        rows += [(i + j, f"{(line + ' ') * 10}{prose(1000 + i + j, 104)}") for j in (0, 1)]
+        rows += [(100 + i + j, changed(prose(i, 300), 50) if j else prose(i, 300)) for j in (0, 1)]
+        rows += [(200 + i + j, changed(prose(500 + i, 300), 30) if j else prose(500 + i, 300)) for j in (0, 1)]
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in rows)}
+    want = {i: min(j for j in sets if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])) for i in sets}
+    assert {r.doc_id: r.component_id for r in simhash.near_copies(documents(spark, rows)).collect()} == want
+    assert sum(i != j for i, j in want.items()) == 20
+
+
+def test_parts_of_a_group_are_joined_by_any_similar_pair(spark):
+    w = prose(5, 400).split()  # windows that slide on: only near ones are similar, and the last ids lie between the first
+    rows = [(i if n % 2 == 0 else 100 + i, " ".join(w[10 * n : 10 * n + 150])) for i, n in enumerate((0, 2, 4, 6, 1, 3, 5))]
+    assert {r.component_id for r in simhash.near_copies(documents(spark, rows)).collect()} == {0}
