@@ -1,8 +1,8 @@
 """Repeated passages by collinear chaining of shared word k-mers.
 
 Seeds are the minimizers of a text's 5-word shingles, so that texts which share a run of WINDOW + 4 words share a
-seed. Each seed is anchored at its first document; every other occurrence meets that anchor alone, so a seed that
-a third of all documents has gives a row per occurrence and no pairs. Between two documents the matches that lie
+seed. Each seed is anchored at its first document; every other occurrence meets that anchor and the document before
+it that has the seed, so a seed that a third of all documents has gives two rows per occurrence and no pairs. Between two documents the matches that lie
 in the same order are chained under gap costs, with a Fenwick tree for the best chain to extend. Chains are then
 aligned word by word, within the gaps and beyond the ends, and a document's aligned spans are united to passages.
 """
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..storage import bounded
 from .common import materialize, only, texts
-from .simhash import _runs
+from .simhash import _runs, _whole_groups
 
 K = 5
 WINDOW = 12
@@ -27,8 +27,6 @@ MIN_WORDS = 50
 SIMILARITY = 0.8
 #: Cost of each word that a chain skips on either side; a seed scores K.
 GAP = 0.1
-#: Chains that span fewer words of their document aren't aligned.
-LEAST_CHAIN = 15
 #: Words beyond a chain's ends that its alignment may take in.
 REACH = 40
 #: Rows that may be broadcast; beyond, the same join shuffles.
@@ -111,12 +109,49 @@ def seeds(docs: DataFrame) -> DataFrame:
 
 
 def matches(found: DataFrame) -> DataFrame:
-    """Seeds -> (doc, pos, source, source_pos): each occurrence beside the seed's first document, that one left out."""
+    """Seeds -> (doc, pos, source, source_pos): each occurrence beside the seed's first document and the one before."""
     anchors = found.where("first").groupBy("seed").agg(F.count("*").alias("n"), F.min("doc").alias("source"), F.min_by("pos", "doc").alias("source_pos")).where("n > 1")
     # As a table of its own, so that both sides of the join are plain shuffles and a seed that very many texts have is split.
-    anchors = materialize(anchors.select("seed", "source", "source_pos"), "anchors", compact=4)
-    both = found.select("seed", "doc", "pos").join(anchors.select(F.col("seed").alias("seed_"), "source", "source_pos"), F.col("seed") == F.col("seed_"))
-    return both.where("doc <> source").select("doc", "pos", "source", "source_pos")
+    anchors = materialize(anchors.select("seed", "n", "source", "source_pos"), "anchors", compact=4)
+    both = found.select("seed", "doc", "pos").join(anchors.select(F.col("seed").alias("seed_"), "n", "source", "source_pos"), F.col("seed") == F.col("seed_"))
+    both = materialize(both.where("doc <> source").select("seed", "n", "doc", "pos", "source", "source_pos"), "repeats")
+    return both.select("doc", "pos", "source", "source_pos").unionByName(preceding(both.where("n > 2").select("seed", "doc", "pos")))
+
+
+def preceding(found: DataFrame) -> DataFrame:
+    """(seed, doc, pos) -> (doc, pos, source, source_pos): each occurrence beside the seed's last document before.
+
+    Rows are dealt by ranges of seed and document, so that no seed is a task of its own. What a range can't know of
+    those before it, the last document of each range tells.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = tail = None
+        for g in _whole_groups(batches, "seed"):
+            seed, doc, pos = g["seed"], g["doc"], g["pos"]
+            new = np.concatenate([[True], (seed[1:] != seed[:-1]) | (doc[1:] != doc[:-1])])
+            starts = np.flatnonzero(new)
+            before = starts[np.maximum(np.cumsum(new) - 2, 0)]
+            has = (seed[before] == seed) & (doc[before] != doc)
+            if head is None:
+                head = seed[0]
+                yield batch(g, ~has & (seed == head), before, 1)
+            yield batch(g, has, before, 0)
+            tail = {n: c[starts[-1] :][:1] for n, c in g.items()}
+        if tail is not None:
+            yield batch(tail, np.ones(1, bool), np.zeros(1, np.int64), 2)
+
+    def batch(g: dict[str, np.ndarray], at: np.ndarray, before: np.ndarray, kind: int) -> pa.RecordBatch:
+        cols = g["seed"][at], g["doc"][at], g["pos"][at], g["doc"][before[at]], g["pos"][before[at]], np.full(at.sum(), kind, np.int32)
+        return pa.record_batch([pa.array(c) for c in cols], names=["seed", "doc", "pos", "source", "source_pos", "kind"])
+
+    dealt = found.repartitionByRange("seed", "doc").sortWithinPartitions("seed", "doc", "pos")
+    met = materialize(dealt.mapInArrow(run, "seed long, doc long, pos int, source long, source_pos int, kind int"), "preceding")
+    tails = met.where("kind = 2").select(F.col("seed").alias("seed_"), F.col("doc").alias("last"), F.col("pos").alias("last_pos"))
+    heads = met.where("kind = 1").select("seed", "doc", "pos").join(tails, (F.col("seed") == F.col("seed_")) & (F.col("last") < F.col("doc")))
+    heads = heads.groupBy("seed", "doc", "pos").agg(F.max("last").alias("source"), F.max_by("last_pos", "last").alias("source_pos"))
+    cols = "doc", "pos", "source", "source_pos"
+    return met.where("kind = 0").select(*cols).unionByName(heads.select(*cols))
 
 
 def chains(pos: np.ndarray, other: np.ndarray) -> list[list[int]]:
@@ -163,19 +198,16 @@ def chains(pos: np.ndarray, other: np.ndarray) -> list[list[int]]:
 
 
 def chained(found: DataFrame) -> DataFrame:
-    """Matches -> (id, doc, source, at, source_at): the positions of each chain that is long enough to be aligned."""
+    """Matches -> (id, doc, source, at, source_at): the positions of each chain."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for g in _runs(batches, "doc"):
             cuts = [0, *(np.flatnonzero(g["source"][1:] != g["source"][:-1]) + 1), len(g["source"])]
             for i, j in zip(cuts, cuts[1:]):
-                if g["pos"][j - 1] + K - g["pos"][i] < LEAST_CHAIN:
-                    continue
                 pos, other = g["pos"][i:j].astype(np.int64), g["source_pos"][i:j].astype(np.int64)
                 for c in chains(pos, other):
-                    if pos[c[-1]] + K - pos[c[0]] >= LEAST_CHAIN:
-                        rows.append((g["doc"][0], g["source"][i], pos[c].tolist(), other[c].tolist()))
+                    rows.append((g["doc"][0], g["source"][i], pos[c].tolist(), other[c].tolist()))
             if len(rows) > 2000:
                 yield batch(rows)
                 rows = []

@@ -76,6 +76,23 @@ def test_two_passages_with_unlike_words_between(spark):
     assert all(len(got[i] - want[i]) <= 6 for i in want if len(want[i]) < 0.8 * (max(want[i]) + 1))
 
 
+def test_passages_of_frequent_lines(spark):
+    rows, want = [], set()
+    for i in range(30):  # each line stands in a document of its own first
+        lines = [prose(20_000 + 10 * i + j, n) for j, n in enumerate((12, 15, 12, 14, 12))]
+        rows += [(10 * i + j, f"{prose(21_000 + 10 * i + j, 30)} {x}") for j, x in enumerate(lines)]
+        rows += [(1000 + i, f"{prose(22_000 + i, 20)} {' '.join(lines)}"), (2000 + i, f"{prose(23_000 + i, 20)} {' '.join(lines)}")]
+        want.add(2000 + i)
+    got = covered(substring.repeated_passages(documents(spark, rows)).collect())
+    assert all(set(range(20, 85)) <= got.get(i, set()) for i in want)
+
+
+def test_each_occurrence_meets_the_one_before(spark):
+    rows = [(s, 10 * d + s % 3, p) for s in range(5) for d in range(40 if s == 2 else 3) for p in (d, d + 100)]
+    got = {tuple(r) for r in substring.preceding(spark.createDataFrame(rows, "seed long, doc long, pos int")).collect()}
+    assert got == {(d, p, d - 10, (d - 10) // 10) for _, d, p in rows if d >= 10}
+
+
 def test_long_repeats_of_the_tables_are_found(spark, tables):
     d = tables.replace("sf0.001", "sf0.01")
     docs = spark.read.parquet(f"{d}/documents.parquet")
