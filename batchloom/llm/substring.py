@@ -22,7 +22,7 @@ from .common import materialize, only, texts
 from .simhash import _runs, _whole_groups
 
 K = 5
-WINDOW = 12
+WINDOW = 8
 MIN_WORDS = 50
 SIMILARITY = 0.8
 #: Cost of each word that a chain skips on either side; a seed scores K.

@@ -43,6 +43,15 @@ def test_minimizers_cover_every_window():
         assert all(at & set(range(i, i + substring.WINDOW)) for i in range(n - substring.WINDOW + 1)) and (n == 0) == (not at)
 
 
+def test_twelve_equal_words_share_a_seed():
+    r = np.random.default_rng(3)
+    for _ in range(300):
+        a, b = (r.integers(0, 1 << 32, 60, dtype=np.uint32) for _ in "ab")
+        b[30:42] = a[10:22]
+        x, y = (substring.shingles(h) for h in (a, b))
+        assert np.isin(x[substring.minimizers(x)], y[substring.minimizers(y)]).any()
+
+
 def covered(rows):
     out = {}
     for r in rows:
