@@ -215,7 +215,9 @@ class Encoder:
             keep, ids = self.rare, self.v.encode_word(w)
             if len(keep) >= RARE:
                 keep.clear()
-        out = keep[w] = struct.pack(f"<{len(ids)}I", *ids)
+        out = struct.pack(f"<{len(ids)}I", *ids)
+        if len(w) <= LONGEST:  # very long words aren't kept
+            keep[w] = out
         return out
 
     def encode(self, text: str) -> bytes:

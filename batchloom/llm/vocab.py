@@ -4,6 +4,11 @@ from __future__ import annotations
 
 import functools
 import json
+from heapq import heapify, heappop, heappush
+
+
+#: Symbols from which on a heap finds the next merge; below, looking at all pairs is quicker.
+LONG = 48
 
 
 @functools.cache
@@ -43,6 +48,8 @@ class Vocabulary:
 
     def merge(self, symbols: list[str]) -> list[str]:
         """Join the adjacent pair of lowest rank, leftmost first, until no pair has a rank."""
+        if len(symbols) >= LONG:
+            return self.merge_long(symbols)
         rank, none = self.rank.get, len(self.rank)
         ranks = [rank(p, none) for p in zip(symbols, symbols[1:])]
         while ranks and (best := min(ranks)) < none:
@@ -55,6 +62,29 @@ class Vocabulary:
                 ranks[i] = rank((symbols[i], symbols[i + 1]), none)
         return symbols
 
+    def merge_long(self, symbols: list[str]) -> list[str]:
+        """The same in n log n steps: a heap of the pairs that have a rank, and links over what was joined."""
+        rank, n = self.rank.get, len(symbols)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i) for i, p in enumerate(zip(symbols, symbols[1:])) if (r := rank(p)) is not None]
+        heapify(heap)
+        out: list[str | None] = list(symbols)
+        while heap:
+            r, i = heappop(heap)
+            j = after[i]
+            if out[i] is None or j >= n or rank((out[i], out[j])) != r:
+                continue  # one of the two was joined to another meanwhile
+            out[i], out[j] = out[i] + out[j], None
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if (s := rank((out[i], out[k]))) is not None:
+                    heappush(heap, (s, i))
+            if (h := before[i]) >= 0 and (s := rank((out[h], out[i]))) is not None:
+                heappush(heap, (s, h))
+        symbols[:] = [s for s in out if s is not None]
+        return symbols
+
     def encode_word(self, word: str) -> list[int]:
         """Ids of one piece that pre-tokenization has cut out."""
         letters = list(self.letters(word))

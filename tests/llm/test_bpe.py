@@ -83,3 +83,15 @@ def test_odd_rows(spark, odd, none, library):
 def test_lexicon_takes_the_frequent_words(spark):
     df = spark.createDataFrame([("b a b c. b",), (None,), ("B a",)], "text string")
     assert {r.word: r.n for r in bpe.count_words(df, PATH).collect()} == {"a": 2, "b": 4, "c": 1, ".": 1}
+
+
+@pytest.mark.parametrize("n", [47, 48, 49, 200, 3000, 1_000_000])
+def test_very_long_words_are_the_library_s(library, n):
+    r = random.Random(n)
+    word = "".join(r.choices("etaoinshrdlucé", k=n))
+    assert vocabulary(PATH).encode_word(word) == library.encode(word, add_special_tokens=False).ids
+
+
+def test_equal_pairs_are_merged_from_the_left(library):
+    for word in ("a" * 300, "ab" * 151, "aab" * 77, "e" * 4097):
+        assert vocabulary(PATH).encode_word(word) == library.encode(word, add_special_tokens=False).ids
