@@ -1,9 +1,10 @@
 """Quality by weak supervision, with DataFrame functions alone.
 
-Rules vote good or bad on a document, or abstain. No rule is trusted outright: expectation-maximisation estimates,
-from how votes agree over the whole corpus, how often each rule's vote is right.
-It runs on the counts of vote patterns, of which there are at most 3 ** len(RULES) whatever the corpus. The
-posterior probability that a document is good decides.
+Rules vote good or bad on a document, or abstain. No rule is trusted outright, and none can reject a document alone:
+expectation-maximisation estimates, from how votes agree over the whole corpus, what share of the documents is good
+and how often each rule votes good, votes bad or abstains on good and on bad documents. The posterior probability
+that a document is good decides. The estimate runs on the counts of vote patterns, of which there are at most
+3 ** len(RULES) whatever the corpus.
 """
 
 from __future__ import annotations
@@ -16,53 +17,49 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-SPACES = " \t\n\x0b\f\r"
-SPACE = r"[\x20\x09-\x0D]+"
-SYMBOLS = "#*$%&|<>"
-MARKS = "#*$%&|<>!@=+_{}[]~^/\\\"()0123456789"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+SPACE, NO_SPACE = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]"
+SYMBOLS = r"[#*$%&|<>]"
+MARKS = r"[#*$%&|<>!@=+_{}\[\]~^/\\\"()0-9]"
 WINDOW = 8
-ROUNDS = 60
-#: Weight of a rule's first accuracy in its estimate, as a number of votes.
+#: Rounds at most, and the change of the log likelihood a document under which they end.
+ROUNDS, SETTLED = 200, 1e-9
+#: Weight of what is first assumed in each estimate, as a number of documents.
 SMOOTH = 20.0
 
 
 @dataclass(frozen=True)
 class Rule:
-    """Looks at the share top / bottom: votes bad from `bad` on, good up to `good`; else, and for None, it abstains."""
+    """Looks at the share top / bottom: votes good up to `good`, bad from `bad` on, and abstains between them."""
 
     name: str
     top: str
     bottom: str
-    good: float | None
-    bad: float | None
+    good: float
+    bad: float
 
     def vote(self) -> Column:
         share = F.col(self.top) / F.greatest(F.col(self.bottom), F.lit(1))
-        bad = F.lit(False) if self.bad is None else share >= self.bad
-        good = F.lit(False) if self.good is None else share <= self.good
-        return F.when(F.col("n_words") == 0, 0).when(bad, -1).when(good, 1).otherwise(0)
+        return F.when(F.col("n_words") == 0, 0).when(share >= self.bad, -1).when(share <= self.good, 1).otherwise(0)
 
 
 RULES = (
-    Rule("symbols", "n_symbols", "n_words", None, 0.1),
-    Rule("lines", "n_dup_lines", "n_lines", None, 0.5),
-    Rule("repeats", "n_repeat_words", "n_words", None, 0.25),
-    Rule("capitals", "n_upper", "word_chars", None, 0.5),
-    Rule("digits", "n_digits", "word_chars", None, 0.25),
-    Rule("shouts", "n_shouts", "n_words", None, 0.2),
-    Rule("letters", "word_chars", "n_words", None, 25.0),
-    Rule("plain", "n_marks", "word_chars", 0.02, None),
+    Rule("symbols", "n_symbols", "n_words", 0.02, 0.1),
+    Rule("lines", "n_dup_lines", "n_lines", 0.1, 0.3),
+    Rule("repeats", "n_repeat_words", "n_words", 0.05, 0.2),
+    Rule("capitals", "n_upper", "word_chars", 0.1, 0.3),
+    Rule("digits", "n_digits", "word_chars", 0.02, 0.15),
+    Rule("shouts", "n_shouts", "n_words", 0.02, 0.2),
+    Rule("letters", "word_chars", "n_words", 6.5, 7.5),
+    Rule("plain", "n_marks", "word_chars", 0.05, 0.1),
 )
-#: What a rule is first taken for: how often its vote is right.
-ACCURACY = {"symbols": 0.9, "lines": 0.8, "repeats": 0.8, "capitals": 0.9, "digits": 0.8, "shouts": 0.9, "letters": 0.8, "plain": 0.75}
-#: Bounds of an accuracy, so that no rule is taken for worse than chance or for certain.
-LEAST, MOST = 0.55, 0.99
+#: What is first assumed: the share of good documents, and how often a rule votes bad, abstains, votes good on
+#: good documents and on bad ones.
+PRIOR, ON_GOOD, ON_BAD = 0.8, (0.05, 0.25, 0.70), (0.40, 0.25, 0.35)
 
 
-def _removed(text: Column, chars: str) -> Column:
-    """How many of these characters a text has."""
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+def _found(pattern: str) -> Column:
+    """How often a text has this."""
+    return F.regexp_count("t", F.lit(pattern))
 
 
 def measures(docs: DataFrame) -> DataFrame:
@@ -72,20 +69,22 @@ def measures(docs: DataFrame) -> DataFrame:
     d = d.select(
         "doc_id",
         F.filter(F.split("t", SPACE), lambda w: w != "").alias("words"),
-        F.filter(F.split("t", "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0).alias("lines"),
-        (F.length("t") - _removed(F.col("t"), SPACES)).alias("word_chars"),
-        _removed(F.col("t"), SYMBOLS).alias("n_symbols"),
-        _removed(F.col("t"), UPPER).alias("n_upper"),
-        _removed(F.col("t"), "0123456789").alias("n_digits"),
-        _removed(F.col("t"), "!").alias("n_shouts"),
-        _removed(F.col("t"), MARKS).alias("n_marks"),
+        F.filter(F.split("t", "\n"), lambda x: x.rlike(NO_SPACE)).alias("lines"),
+        _found(SYMBOLS).alias("n_symbols"),
+        _found("[A-Z]").alias("n_upper"),
+        _found("[0-9]").alias("n_digits"),
+        _found("!").alias("n_shouts"),
+        _found(MARKS).alias("n_marks"),
     )
     d = d.withColumns({
         "n_words": F.size("words"),
+        "word_chars": F.length(F.array_join("words", "")),
         "n_lines": F.size("lines"),
         "n_dup_lines": F.size("lines") - F.size(F.array_distinct("lines")),
-        "hashes": F.expr(f"IF(size(words) >= {WINDOW}, transform(sequence(1, size(words) - {WINDOW - 1}), i -> xxhash64(slice(words, i, {WINDOW}))), array())"),
-    })
+    }).withColumn("h", F.expr("transform(words, w -> xxhash64(w))"))
+    for step in (1, 2, 4):  # the hash of a window is that of its two halves' hashes
+        d = d.withColumn("h", F.expr(f"zip_with(h, slice(h, {step + 1}, n_words), (a, b) -> xxhash64(a, b))"))
+    d = d.withColumn("hashes", F.expr(f"slice(h, 1, greatest(0, n_words - {WINDOW - 1}))")).drop("h")
     d = d.drop("words", "lines")
     # Only a text with a window found twice sorts its windows, to bring equal ones together.
     d = d.withColumn("sorted", F.expr("IF(size(array_distinct(hashes)) < size(hashes), array_sort(transform(hashes, (h, i) -> struct(h, i))), array())")).drop("hashes")
@@ -95,39 +94,53 @@ def measures(docs: DataFrame) -> DataFrame:
     return d.select("doc_id", *(F.col(n).cast("long").alias(n) for n in names), covered.cast("long").alias("n_repeat_words"))
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> list[float]:
-    """Each rule's accuracy, by expectation-maximisation over (votes, count).
-
-    Good and bad are equally likely before the votes, and an abstention says nothing. A rule that never votes
-    keeps its first accuracy.
-    """
-    accuracy = [ACCURACY[r.name] for r in RULES]
+def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> tuple[float, list[tuple[tuple[float, ...], tuple[float, ...]]]]:
+    """Expectation-maximisation over (votes, count): the share of good documents, and for each rule how often it
+    votes bad, abstains, votes good on good documents and on bad ones."""
+    prior, rates, total = PRIOR, [(ON_GOOD, ON_BAD)] * len(RULES), sum(n for _, n in patterns)
+    before = -math.inf
     for _ in range(rounds):
-        right, cast = [SMOOTH * ACCURACY[r.name] for r in RULES], [SMOOTH] * len(RULES)
+        sums = [([SMOOTH * x for x in ON_GOOD], [SMOOTH * x for x in ON_BAD]) for _ in RULES]
+        good, likelihood = 0.0, 0.0
         for votes, n in patterns:
-            p = 1.0 / (1.0 + math.exp(-sum(v * math.log(a / (1.0 - a)) for v, a in zip(votes, accuracy, strict=True))))
-            for i, v in enumerate(votes):
-                if v:
-                    right[i] += n * (p if v > 0 else 1.0 - p)
-                    cast[i] += n
-        accuracy = [min(MOST, max(LEAST, r / c)) for r, c in zip(right, cast, strict=True)]
-    return accuracy
+            g = math.log(prior) + sum(math.log(r[0][v + 1]) for v, r in zip(votes, rates, strict=True))
+            b = math.log(1.0 - prior) + sum(math.log(r[1][v + 1]) for v, r in zip(votes, rates, strict=True))
+            most = max(g, b)
+            likelihood += n * (most + math.log(math.exp(g - most) + math.exp(b - most)))
+            p = posterior(g - b)
+            good += n * p
+            for v, s in zip(votes, sums, strict=True):
+                s[0][v + 1] += n * p
+                s[1][v + 1] += n * (1.0 - p)
+        prior = (good + SMOOTH * PRIOR) / (total + SMOOTH)
+        rates = [tuple(tuple(x / sum(s) for x in s) for s in rule) for rule in sums]
+        if abs(likelihood - before) <= SETTLED * max(1, total):
+            break
+        before = likelihood
+    return prior, rates
+
+
+def posterior(logit: float) -> float:
+    return 1.0 / (1.0 + math.exp(-logit)) if logit >= 0 else math.exp(logit) / (1.0 + math.exp(logit))
 
 
 def judge(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """(doc_id, text) -> the counts, base_failed, p_good and kept, one row per input row.
 
     kept needs p_good >= least and the base conditions: at least 20 words, and at most 30 in 100 words inside
-    windows of eight that the text has twice or more.
+    windows of eight that the text has twice or more. All rules abstain on a text without words, null texts among
+    them; it fails the base conditions. Equal rows are judged alike, a null doc_id is kept as it is, and an empty
+    table gives none. The estimate is over all rows, so a document's p_good depends on its corpus.
     """
     found = materialize(measures(docs), "quality-measures")
     votes = {f"v_{r.name}": r.vote() for r in RULES}
     voted = found.select("*", *(v.alias(n) for n, v in votes.items()))
-    counts = voted.groupBy(*votes).agg(F.count("*").alias("n")).collect()
-    accuracy = estimate(sorted((tuple(r[n] for n in votes), r["n"]) for r in counts))
-    logit = F.lit(0.0)
-    for name, a in zip(votes, accuracy, strict=True):
-        logit = logit + F.col(name) * math.log(a / (1.0 - a))
+    counts = voted.groupBy(*votes).agg(F.count("*").alias("n")).collect()  # 3 ** len(RULES) rows at most
+    prior, rates = estimate(sorted((tuple(r[n] for n in votes), r["n"]) for r in counts))
+    logit = F.lit(math.log(prior / (1.0 - prior)))
+    for name, (on_good, on_bad) in zip(votes, rates, strict=True):
+        weight = [math.log(g / b) for g, b in zip(on_good, on_bad, strict=True)]
+        logit = logit + F.when(F.col(name) < 0, weight[0]).when(F.col(name) > 0, weight[2]).otherwise(weight[1])
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     p = 1.0 / (1.0 + F.exp(-logit))
     return voted.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), p.alias("p_good"), (~failed & (p >= least)).alias("kept"))
