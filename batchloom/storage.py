@@ -7,17 +7,26 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
+
+from .errors import ConfigError
+
+#: Bytes that may be broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir as the session has it.
 
-    Where it is unset (tests, a laptop) a temporary folder is made and removed at exit.
+    Where it is unset (tests, a laptop) a temporary folder is made and removed at exit. On a cluster that is an error:
+    every executor would write to a disk of its own.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ConfigError("spark.checkpoint.dir is unset; on a cluster it must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="batchloom-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -38,6 +47,24 @@ def materialize(df: DataFrame, label: str, compact: int = 0) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bounded(df: DataFrame, rows: int) -> DataFrame:
-    """df, to be broadcast if it has no more than so many rows; beyond, the same join shuffles."""
-    return F.broadcast(df) if df.count() <= rows else df
+def bounded(df: DataFrame, rows: int, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df, to be broadcast if it has no more than so many rows and bytes; beyond, the same join shuffles.
+
+    df is run once to tell, and again by the join: give it a written table, or what costs little.
+    """
+    n = F.count("*")
+    held = F.sum(sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema), F.lit(0)))
+    found = df.agg(n.alias("n"), held.alias("b")).first()
+    return F.broadcast(df) if found["n"] <= rows and (found["b"] or 0) <= most else df
+
+
+def _bytes(c: Column, kind: DataType) -> Column:
+    """About the bytes of a value."""
+    if isinstance(kind, StringType | BinaryType):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 8
+    if isinstance(kind, ArrayType):
+        inner = F.coalesce(F.size(c), F.lit(0))
+        if isinstance(kind.elementType, StringType | BinaryType | ArrayType | MapType):
+            return F.coalesce(F.octet_length(c.cast("string")), F.lit(0)) + 8
+        return inner * (8 * len(kind.elementType) if isinstance(kind.elementType, StructType) else 8) + 8
+    return F.lit(8)
