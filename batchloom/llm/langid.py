@@ -9,20 +9,20 @@ list's length. The nearest language wins, ties by code point.
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, only, texts
 
 #: n-grams of a profile.
 PROFILE = 300
-#: Languages that can be learned, at most; the profiles are kept by every worker.
-MAX_LANGUAGES = 2_000
+#: A text's least score to be taken for the nearest language at all; texts in other scripts score about 0.
+LEAST = 0.2
 #: Letters that are counted at a time.
 BLOCK = 400_000
 UNKNOWN = "und"
@@ -102,14 +102,12 @@ def learn_profiles(docs: DataFrame, profile: int = PROFILE) -> dict[str, np.ndar
             yield pa.record_batch([pa.array([x] * len(g), pa.string()), pa.array(g, pa.int64()), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
 
     counts = materialize(rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "language-grams", compact=4)
-    langs = [r.lang for r in counts.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect()]
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    out = {}
-    for x in sorted(langs):
-        top = counts.where(F.col("lang") == x).orderBy(F.desc("n"), "gram").limit(profile).collect()
-        out[x] = np.array([r.gram for r in top], np.int64)
-    return out
+    best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
+    top = counts.withColumn("place", F.row_number().over(best)).where(F.col("place") <= profile).select("lang", "place", "gram").collect()  # `profile` rows a language
+    out: dict[str, list[int]] = {}
+    for r in sorted(top):
+        out.setdefault(r.lang, []).append(r.gram)
+    return {x: np.array(g, np.int64) for x, g in out.items()}
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +121,7 @@ class Profiles:
     def __init__(self, learned: dict[str, np.ndarray], profile: int = PROFILE) -> None:
         self.names, self.profile = sorted(learned), profile
         self.grams = np.unique(np.concatenate([*learned.values(), np.empty(0, np.int64)]))
-        self.rank = np.full((len(self.grams) + 1, len(self.names)), profile, np.int32)  # the last row: in no list
+        self.rank = np.full((len(self.grams) + 1, len(self.names)), profile, np.int16)  # the last row: in no list
         for i, x in enumerate(self.names):
             self.rank[np.searchsorted(self.grams, learned[x]), i] = np.arange(len(learned[x]))
 
@@ -139,9 +137,9 @@ class Profiles:
         at = np.searchsorted(self.grams, gram)
         at[(at == len(self.grams)) | (self.grams[np.minimum(at, len(self.grams) - 1)] != gram)] = len(self.grams)
         rank = self.rank[at]
-        away = np.where(rank == self.profile, self.profile, np.abs(rank - place[:, None]))
+        away = np.where(rank == self.profile, self.profile, np.abs(rank - place[:, None].astype(np.int16)))
         starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-        sums = np.add.reduceat(away, starts, axis=0)
+        sums = np.add.reduceat(away, starts, axis=0, dtype=np.int64)
         best = sums.argmin(axis=1)
         most = np.diff(np.append(starts, len(owner))) * self.profile
         return best, 1.0 - sums[np.arange(len(best)), best] / most
@@ -175,18 +173,26 @@ def identify(docs: DataFrame, learned: dict[str, np.ndarray], profile: int = PRO
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def identified(docs: DataFrame, learned: dict[str, np.ndarray], profile: int = PROFILE) -> DataFrame:
-    """docs, all columns and as they are, without the rows whose language can't be told (`und`)."""
+def identified(docs: DataFrame, learned: dict[str, np.ndarray], languages: Collection[str] | None = None, least: float = LEAST, profile: int = PROFILE) -> DataFrame:
+    """docs, all columns and as they are, whose nearest profile is one of `languages` (of all learned, if None).
+
+    Rejected are also texts too far from every profile (score below `least`: another language, or no prose) and those
+    without a letter, null ones among them. If nothing was learned no language can be told apart, and every text
+    with a letter stays.
+    """
     known = Profiles(learned, profile)
+    fine = np.array([languages is None or x in languages for x in known.names], bool)
 
     def told(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         only()
         for texts in parts:
             keep = np.zeros(len(texts), bool)
-            if known.names:
-                for at, syms in blocks((i, t or "") for i, t in enumerate(texts)):
-                    lang, _ = known.nearest(syms)
-                    keep[at] = np.array([known.names[k] != UNKNOWN for k in lang])
+            for at, syms in blocks((i, t or "") for i, t in enumerate(texts)):
+                if known.names:
+                    lang, score = known.nearest(syms)
+                    keep[at] = fine[lang] & (score >= least)
+                else:
+                    keep[at] = True
             yield pd.Series(keep)
 
     told.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}

@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import bounded
 from .common import WORD, materialize, unit
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -26,6 +27,8 @@ MAX_FACTOR = 3.0
 MAX_SOURCES = 1_000_000
 #: The table of sources is broadcast up to this many rows, and joined by shuffle beyond.
 BROADCAST_SOURCES = 10_000
+#: Rows of the table of copies that may be broadcast; beyond, texts are shuffled to them.
+BROADCAST_COPIES = 1_000_000
 #: Documents of one source and size class that make one group of the tree's leaves, about.
 GROUP = 1_000
 SEED = 20_240_601
@@ -153,3 +156,20 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MAX
     last = now.where(open_).withColumn("p", (F.col("u") < F.col("p")).cast("double"))
     whole = (F.col("base") + F.col("p").cast("int")).cast("long")
     return done.unionByName(last).select("doc_id", "source", "size", "source_size", "target", whole.alias("copies"))
+
+
+def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MAX_FACTOR, seed: int = SEED) -> DataFrame:
+    """docs, all columns: each row as often as mix() takes it, none times for many.
+
+    Rows with equal doc_id, text and source share their copies; which of their other columns the copies have isn't
+    defined.
+    """
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce(F.col("source").cast("string"), F.lit("")))
+    copies = mix(docs.select(key.alias("doc_id"), "text", "source"), weights, most, seed)
+    copies = copies.groupBy(F.col("doc_id").alias("mixed_")).agg(F.sum("copies").cast("int").alias("copies_"), F.count("*").alias("rows_")).where("copies_ > 0")
+    copies = materialize(copies, "mix-copies", compact=16)
+    rows, again = docs.withColumn("key_", key), copies.where("rows_ > 1")
+    out = rows.join(bounded(copies.where("rows_ = 1"), BROADCAST_COPIES), F.col("key_") == F.col("mixed_"))
+    if not again.isEmpty():
+        out = out.unionByName(rows.join(bounded(again, BROADCAST_COPIES), F.col("key_") == F.col("mixed_")).dropDuplicates(["key_"]))
+    return out.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies_")))).select(*docs.columns)

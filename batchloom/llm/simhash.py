@@ -18,9 +18,10 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import bounded
 from .common import connected_components, forest, materialize, only, texts
 
 SEED = 42
@@ -30,6 +31,9 @@ TREE_SAMPLE = 4096
 SHARD_TARGET = 1000
 MAX_LEVELS = 16
 LEAF = 256
+STEP = 20_000
+#: Keys that may be broadcast; with more, texts are shuffled to them.
+BROADCAST_ROWS = 200_000
 BLOCK = 2_000_000
 
 
@@ -208,30 +212,39 @@ WORDS = 4
 MISSED, LEAF_ROWS = 0.01, 128
 #: Trees at least, so that small inputs lose still fewer.
 TREES = 40
+#: Rows of a leaf up to which all its pairs are looked at in the first pass; a larger one is cut by vantage points.
+HOT = 4096
+#: Bins of a sketch, each the last byte of the least hash that falls into it; this byte marks an empty one.
+BINS, EMPTY = 128, 255
 _MIX = tuple(np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
+NAMES = [f"f{i}" for i in range(WORDS)]
+
+
+def row_key() -> Column:
+    """A row's key: equal for rows with equal doc_id and text, else different but for one in 2 ** 64."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
 def wide_fingerprints(docs: DataFrame, k: int = 5) -> DataFrame:
-    """(doc_id, text) -> (doc_id, f0 .. f3): the majority bits of four independent remixes of each shingle's hash.
+    """(doc_id, text) -> (doc_id, key, size, f0 .. f3): the majority bits of four independent remixes of each shingle's hash.
 
-    A shingle counts once however often it repeats, as it does in the similarity.
+    A shingle counts once however often it repeats, as it does in the similarity; size is the number of them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only()
         for b in batches:
-            out = np.zeros((b.num_rows, WORDS), np.uint64)
+            out, size = np.zeros((b.num_rows, WORDS), np.uint64), np.zeros(b.num_rows, np.int32)
             for i, t in enumerate(b.column("text")):
                 h = np.unique(shingle_hashes(t.as_py(), k))
+                size[i] = len(h)
                 for j, m in enumerate(_MIX):
                     x = (h ^ (h >> np.uint64(31))) * m
                     out[i, j] = majority(x ^ (x >> np.uint64(29)))
-            yield pa.record_batch([b.column("doc_id"), *(pa.array(out[:, j].view(np.int64)) for j in range(WORDS))], names=["doc_id", *NAMES])
-
-    return texts(docs, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, f0 long, f1 long, f2 long, f3 long")
-
+            yield pa.record_batch([b.column("doc_id"), b.column("key"), pa.array(size), *(pa.array(out[:, j].view(np.int64)) for j in range(WORDS))], names=["doc_id", "key", "size", *NAMES])
 
-NAMES = [f"f{i}" for i in range(WORDS)]
+    rows = texts(docs, F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, key long, size int, f0 long, f1 long, f2 long, f3 long")
 
 
 def wide_radius(similarity: float, deviations: float = 3) -> int:
@@ -262,25 +275,70 @@ def trees_for(bits: int, similarity: float, missed: float = MISSED) -> int:
     return high
 
 
+def sketch(h: np.ndarray) -> bytes:
+    """BINS bytes of a set of hashes; the share of bins that two sets have alike is their similarity, about."""
+    x = (h ^ (h >> np.uint64(33))) * _MIX[2]
+    low = np.full(BINS, np.iinfo(np.uint64).max, np.uint64)
+    np.minimum.at(low, (x & np.uint64(BINS - 1)).astype(np.int64), x >> np.uint64(7))
+    return np.where(low == np.iinfo(np.uint64).max, EMPTY, low % np.uint64(EMPTY)).astype(np.uint8).tobytes()
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Similarities of sketches, row by row, and three standard errors of what a pair of the least similarity would show."""
+    some = (a != EMPTY) | (b != EMPTY)
+    n = np.maximum(1, some.sum(axis=1))
+    return ((a == b) & some).sum(axis=1) / n, 3 * np.sqrt(0.16 / n)
+
+
+def spanning(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Numbers of the edges of a lightest spanning forest: each part takes its lightest edge out, again and again."""
+    label, taken, order = np.arange(n), [], np.lexsort((np.arange(len(a)), weight))
+    a, b = a[order], b[order]
+    at = np.arange(len(a))
+    while len(at):
+        la, lb = label[a[at]], label[b[at]]
+        open_ = la != lb
+        at, la, lb = at[open_], la[open_], lb[open_]
+        if not len(at):
+            break
+        best = np.full(n, len(a))
+        np.minimum.at(best, la, at)
+        np.minimum.at(best, lb, at)
+        best = np.unique(best[best < len(a)])
+        taken.append(best)
+        label = forest(n, np.concatenate([np.arange(n), a[best]]), np.concatenate([label, b[best]]))
+    return order[np.concatenate(taken)] if taken else np.empty(0, np.int64)
+
+
 def near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, trees: int | None = None) -> DataFrame:
-    """(doc_id, text) -> (doc_id, component_id): groups of texts whose k-word shingles are that similar, or more.
+    """(doc_id, text) -> (doc_id, key, component_id, group), a row per input row: groups of texts whose k-word shingles are that similar, or more.
+
+    component_id is the smallest doc_id of the group (null if none has one), key the row's key, group the same for all
+    rows of a group. Texts with equal fingerprints count as copies; texts without words, null ones too, are one group.
+    Rows that share a doc_id and not the text are rows of their own.
 
     At such distances triangle bounds on one fingerprint prune nothing. So a wider fingerprint is looked up in
     shallow trees, each over its own random bits; two texts meet where all bits of one tree agree, and are candidates
-    if their whole fingerprints are within wide_radius(). The trees' depth follows the number of texts, so leaves stay
-    small, and their number follows the depth (trees_for), so that at any size at most MISSED of the pairs at the
-    least similarity meet nowhere. A leaf that copies fill is searched as a vantage-point tree.
-
-    Only texts whose sets of shingles are that similar are linked. A forest of the candidates is tried first. Where
-    that leaves a group of candidates in parts, each text is tried with the nearest one of other parts, and at last
-    all candidates in different parts are. So no pair inside a part is ever sent, and no candidate is left untried
-    that could join two parts. Texts with equal fingerprints count as copies.
+    if their whole fingerprints are within wide_radius() and their sizes allow it. The trees' depth follows the number
+    of texts, so leaves stay small, and their number follows the depth (trees_for), so that at any size at most MISSED
+    of the pairs at the least similarity meet nowhere.
+
+    Only texts whose sets of shingles are that similar are linked. The lightest spanning forest of each leaf's
+    candidates is tried first; a leaf that copies fill is cut by vantage points for it, without overlap. Where
+    that leaves a group of candidates in parts, each text is tried with the most similar one of other parts, and at
+    last all candidates in different parts are whose sketches allow it; here leaves are searched as vantage-point
+    trees, over the near boundaries. So no pair inside a part is ever sent, and no candidate is left untried that
+    could join two parts.
     """
     fps = materialize(wide_fingerprints(docs, k), "wide")
-    reps = materialize(fps.groupBy(*NAMES).agg(F.min("doc_id").alias("rep")), "wide-reps", compact=16)
+    reps = materialize(fps.groupBy(*NAMES).agg(F.min(F.struct("key", "size")).alias("r")).select(F.col("r.key").alias("rep"), F.col("r.size").alias("size"), *NAMES), "wide-reps", compact=16)
     bits = int(np.clip(np.ceil(np.log2(max(1, reps.count()) / LEAF_ROWS)), 4, 40))
     trees = trees or max(TREES, trees_for(bits, similarity))
     chosen = [np.random.default_rng(SEED + t).permutation(64 * WORDS)[:bits] for t in range(trees)]
+    masks = np.zeros((trees, WORDS), np.uint64)
+    for t, at in enumerate(chosen):
+        for i in at:
+            masks[t, i >> 6] |= np.uint64(1 << int(i & 63))
     radius = wide_radius(similarity)
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,68 +351,85 @@ def near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, trees: int
                 yield pa.record_batch([pa.array(leaf), *b.columns], names=["leaf", *b.schema.names])
 
     def leaves(rows: DataFrame) -> DataFrame:
-        sent = rows.mapInArrow(visits, "leaf long, " + ", ".join(f"{n} long" for n in rows.columns))
+        sent = rows.mapInArrow(visits, "leaf long, " + ", ".join(f"{n} {t}" for n, t in rows.dtypes))
         return sent.repartition("leaf").sortWithinPartitions("leaf")
 
-    def across(nearest: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-        """Candidates in different parts: the nearest of each text, or all."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for g in _whole_groups(batches, "leaf"):
-                fps = np.stack([g[n] for n in NAMES], axis=1).view(np.uint64)
-                starts = [0, *(np.flatnonzero(g["leaf"][1:] != g["leaf"][:-1]) + 1), len(fps)]
-                for i, j in zip(starts, starts[1:]):
-                    rep, part = g["rep"][i:j], g["part"][i:j]
-                    best, other = np.full(j - i, radius + 1), np.zeros(j - i, np.int64)
-                    for x, y in wide_pairs(fps[i:j], radius):
-                        open_ = part[x] != part[y]
-                        x, y = x[open_], y[open_]
-                        if nearest:
-                            d = np.bitwise_count(fps[i + x] ^ fps[i + y]).sum(axis=1, dtype=np.int64)
-                            order = np.lexsort((d, x))
-                            x, y, d = x[order], y[order], d[order]
-                            first = np.concatenate([[True], x[1:] != x[:-1]]) if len(x) else np.empty(0, bool)
-                            x, y, d = x[first], y[first], d[first]
-                            less = d < best[x]
-                            best[x[less]], other[x[less]] = d[less], y[less]
-                        else:
-                            down = rep[x] > rep[y]
-                            yield pa.record_batch([pa.array(rep[x[down]]), pa.array(rep[y[down]])], names=["src", "dst"])
-                    x = np.flatnonzero(best <= radius)
-                    if len(x):
-                        a, b = rep[x], rep[other[x]]
-                        yield pa.record_batch([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["src", "dst"])
+    def fit(size: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y])
 
-        return run
+    def batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["src", "dst"])
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in _whole_groups(batches, "leaf"):
-            leaf, rep = g["leaf"], g["rep"]
+            leaf, rep, size = g["leaf"], g["rep"], g["size"]
             fps = np.stack([g[n] for n in NAMES], axis=1).view(np.uint64)
-            label = np.arange(len(rep))
             starts = np.flatnonzero(np.concatenate([[True], leaf[1:] != leaf[:-1]]))
             sizes = np.diff(np.append(starts, len(leaf)))
             small = np.repeat(sizes <= 64, sizes)
-            a, b = [label], [label]
+            found = [(np.empty(0, np.int64),) * 3]
             for d in range(1, 64):
                 at = np.flatnonzero((leaf[d:] == leaf[:-d]) & small[d:])
                 if not len(at):
                     break
-                hit = at[np.bitwise_count(fps[at] ^ fps[at + d]).sum(axis=1) <= radius]
-                a.append(hit)
-                b.append(hit + d)
+                away = np.bitwise_count(fps[at] ^ fps[at + d]).sum(axis=1, dtype=np.int64)
+                near = (away <= radius) & fit(size, at, at + d)
+                found.append((at[near], at[near] + d, away[near]))
             for i, n in zip(starts[sizes > 64], sizes[sizes > 64], strict=True):
-                root = np.arange(n)
-                for x, y in wide_pairs(fps[i : i + n], radius):
-                    root = forest(n, np.concatenate([np.arange(n), x]), np.concatenate([root, y]))
-                a.append(np.arange(i, i + n))
-                b.append(i + root)
-            label = forest(len(rep), np.concatenate(a), np.concatenate(b))
-            far = label != np.arange(len(rep))
-            if far.any():
-                yield pa.record_batch([pa.array(rep[far]), pa.array(rep[label[far]])], names=["src", "dst"])
+                own = (np.empty(0, np.int64),) * 3
+                for x, y in wide_pairs(fps[i : i + n], radius, overlap=n <= HOT):
+                    keep = (x < y) & fit(size[i : i + n], x, y)
+                    x, y = x[keep], y[keep]
+                    away = np.bitwise_count(fps[i + x] ^ fps[i + y]).sum(axis=1, dtype=np.int64)
+                    own = tuple(np.concatenate(c) for c in zip(own, (x, y, away), strict=True))
+                    take = spanning(n, *own)  # what a leaf keeps never exceeds a forest and a block's pairs
+                    own = tuple(c[take] for c in own)
+                found.append((own[0] + i, own[1] + i, own[2]))
+            a, b, away = (np.concatenate(c) for c in zip(*found, strict=True))
+            take = spanning(len(rep), a, b, away)
+            if len(take):
+                yield batch(rep[a[take]], rep[b[take]])
+
+    def across(nearest: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        """Candidates in different parts: the most similar of each text, or all."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for g in _runs(batches, "leaf"):
+                fps = np.stack([g[n] for n in NAMES], axis=1).view(np.uint64)
+                rep, part, size = g["rep"], g["part"], g["size"]
+                marks = np.frombuffer(b"".join(g["sketch"]), np.uint8).reshape(-1, BINS)
+                names, number, count = np.unique(part, return_inverse=True, return_counts=True)
+                if len(names) < 2:
+                    continue
+                guests = np.flatnonzero(number != count.argmax())  # any pair has one that isn't in the largest part
+                best, other = np.full(len(rep), -1.0), np.zeros(len(rep), np.int64)
+                for x, y in wide_pairs(fps, radius, guests=guests):
+                    keep = (part[x] != part[y]) & fit(size, x, y)
+                    x, y = x[keep], y[keep]
+                    like, error = alike(marks[x], marks[y])
+                    keep = like >= similarity - error
+                    x, y, like = x[keep], y[keep], like[keep]
+                    if not nearest:
+                        tree = int(g["leaf"][0]) >> bits
+                        for i in range(0, len(x), STEP):  # once: in the first tree that they meet in
+                            differ = fps[x[i : i + STEP]] ^ fps[y[i : i + STEP]]
+                            new = ~((differ[:, None, :] & masks[None, :tree]) == 0).all(axis=2).any(axis=1)
+                            yield batch(rep[x[i : i + STEP][new]], rep[y[i : i + STEP][new]])
+                        continue
+                    for p, q in ((x, y), (y, x)):
+                        order = np.lexsort((q, -like, p))
+                        p, q, l = p[order], q[order], like[order]
+                        first = np.concatenate([[True], p[1:] != p[:-1]]) if len(p) else np.empty(0, bool)
+                        p, q, l = p[first], q[first], l[first]
+                        more = l > best[p]
+                        best[p[more]], other[p[more]] = l[more], q[more]
+                x = np.flatnonzero(best >= 0)
+                if len(x):
+                    yield batch(rep[x], rep[other[x]])
+
+        return run
 
-    nodes = reps.where("rep IS NOT NULL").select("rep", *NAMES)
+    nodes = reps.select("rep", "size", *NAMES)
     tried = materialize(leaves(nodes).mapInArrow(edges, "src long, dst long").distinct(), "wide-tried", compact=16)
     groups = connected_components(tried, "wide-groups").select(F.col("node").alias("in_"), F.col("component").alias("group_"))
     links = similar(docs, tried, k, similarity)
@@ -365,22 +440,51 @@ def near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, trees: int
         open_ = materialize(placed.join(split, F.col("group_") == F.col("split_"), "left_semi").select("in_", "part"), "wide-open", compact=16)
         if open_.isEmpty():
             break
-        rows = nodes.join(open_, F.col("rep") == F.col("in_")).select("rep", "part", *NAMES)
+        marks = shingle_sets(docs, open_.select(F.col("in_").alias("want_")), k, True)
+        rows = nodes.join(open_, F.col("rep") == F.col("in_")).join(marks, F.col("rep") == F.col("node_")).select("rep", "part", "size", F.col("set_").alias("sketch"), *NAMES)
         tried = materialize(leaves(rows).mapInArrow(across(nearest), "src long, dst long").distinct(), "wide-tried", compact=4)
         links = links.unionByName(similar(docs, tried, k, similarity))
     roots = connected_components(links, "wide-links")
-    named = reps.join(roots, reps.rep == roots.node, "left").select(*(F.col(n).alias(n + "_") for n in NAMES), F.coalesce("component", "rep").alias("component_id"))
-    same = [F.col(n) == F.col(n + "_") for n in NAMES]
-    return fps.join(named, same).select("doc_id", "component_id")
+    named = reps.join(roots, reps.rep == roots.node, "left").select(*(F.col(n).alias(n + "_") for n in NAMES), F.coalesce("component", "rep").alias("group"))
+    placed = fps.join(named, [F.col(n) == F.col(n + "_") for n in NAMES]).select("doc_id", "key", "group")
+    least = placed.groupBy(F.col("group").alias("group_")).agg(F.min("doc_id").alias("component_id"))
+    return placed.join(least, F.col("group") == F.col("group_")).select("doc_id", "key", "component_id", "group")
 
 
-def similar(docs: DataFrame, pairs: DataFrame, k: int, similarity: float) -> DataFrame:
-    """Those of the pairs (src, dst) of doc_ids whose texts have sets of shingles with that Jaccard similarity."""
+def without_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs, all columns, one row of each group of near copies: that with the smallest doc_id, null last.
+
+    Rows with equal doc_id and text are copies as well, whatever their other columns; one of them stays.
+    """
+    groups = materialize(near_copies(docs, k, similarity).select("doc_id", "key", "group"), "near-groups", compact=16)
+    first = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("key"))).alias("w")).select(F.col("w.key").alias("key_"))
+    counts = groups.groupBy(F.col("key").alias("k_")).agg(F.count("*").alias("rows_"))
+    kept = materialize(first.join(counts, F.col("key_") == F.col("k_")).select("key_", "rows_"), "near-kept", compact=16)
+    rows = docs.withColumn("row_key_", row_key())
+    once = rows.join(kept.where("rows_ = 1"), F.col("row_key_") == F.col("key_"), "left_semi").select(*docs.columns)
+    if (again := kept.where("rows_ > 1")).isEmpty():
+        return once
+    more = rows.join(again, F.col("row_key_") == F.col("key_"), "left_semi").dropDuplicates(["row_key_"])
+    return once.unionByName(more.select(*docs.columns))
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, k: int, sketched: bool = False) -> DataFrame:
+    """(node_, set_) of the rows with the wanted keys: their shingles' hashes, sorted, or a sketch of them."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only()
         for b in batches:
-            yield pa.record_batch([b.column("doc_id"), pa.array([np.unique(shingle_hashes(t.as_py(), k)).tobytes() for t in b.column("text")], pa.binary())], names=["node_", "set_"])
+            h = (np.unique(shingle_hashes(t.as_py(), k)) for t in b.column("text"))
+            yield pa.record_batch([b.column("key"), pa.array([sketch(x) if sketched else x.tobytes() for x in h], pa.binary())], names=["node_", "set_"])
+
+    rows = texts(docs, row_key().alias("key"), F.col("text").cast("binary").alias("text"))
+    found = rows.join(bounded(wanted, BROADCAST_ROWS), F.col("key") == F.col("want_"), "left_semi")
+    # Written, so that both sides of later joins are plain shuffles and a text with very many pairs is split.
+    return materialize(found.mapInArrow(sets, "node_ long, set_ binary").groupBy("node_").agg(F.first("set_").alias("set_")), "wide-sets")
+
+
+def similar(docs: DataFrame, pairs: DataFrame, k: int, similarity: float) -> DataFrame:
+    """Those of the pairs (src, dst) of row keys whose texts have sets of shingles with that Jaccard similarity."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -391,17 +495,15 @@ def similar(docs: DataFrame, pairs: DataFrame, k: int, similarity: float) -> Dat
                 keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield pa.record_batch([b.column("src"), b.column("dst")], names=["src", "dst"]).filter(pa.array(keep, pa.bool_()))
 
-    wanted = pairs.select(F.explode(F.array("src", "dst")).alias("want_")).distinct()
-    rows = texts(docs.where("doc_id IS NOT NULL"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    # Written first, so that both sides of each join are plain shuffles and a text with very many pairs is split.
-    found = materialize(rows.join(wanted, F.col("doc_id") == F.col("want_"), "left_semi").mapInArrow(sets, "node_ long, set_ binary"), "wide-sets")
+    found = shingle_sets(docs, pairs.select(F.explode(F.array("src", "dst")).alias("want_")).distinct(), k)
+    found = bounded(found, BROADCAST_ROWS)
     a, b = (found.select(F.col("node_").alias(n + "_node"), F.col("set_").alias(n)) for n in "ab")
     both = pairs.join(a, F.col("src") == F.col("a_node")).join(b, F.col("dst") == F.col("b_node"))
     return materialize(both.select("src", "dst", "a", "b").mapInArrow(check, "src long, dst long").distinct(), "wide-similar", compact=16)
 
 
-def wide_pairs(fps: np.ndarray, radius: int, at: np.ndarray | None = None, guests: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of wide fingerprints within the radius, by a vantage-point tree."""
+def wide_pairs(fps: np.ndarray, radius: int, at: np.ndarray | None = None, guests: np.ndarray | None = None, overlap: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of wide fingerprints within the radius, by a vantage-point tree; without overlap, those that no boundary parts."""
     at = np.arange(len(fps)) if at is None else at
     guests = at if guests is None else guests
     if not len(at) or not len(guests):
@@ -411,9 +513,13 @@ def wide_pairs(fps: np.ndarray, radius: int, at: np.ndarray | None = None, guest
         dh, dg = (np.bitwise_count(fps[x] ^ v).sum(axis=1, dtype=np.int64) for x in (at, guests))
         t = int(np.median(dh))
         inner = dh <= t
+        if inner.all():  # more than half of them at the greatest distance
+            t -= 1
+            inner = dh <= t
         if inner.any() and not inner.all():
-            yield from wide_pairs(fps, radius, at[inner], guests[dg <= t + radius])
-            yield from wide_pairs(fps, radius, at[~inner], guests[dg >= t + 1 - radius])
+            reach = radius if overlap else 0
+            yield from wide_pairs(fps, radius, at[inner], guests[dg <= t + reach], overlap)
+            yield from wide_pairs(fps, radius, at[~inner], guests[dg >= t + 1 - reach], overlap)
             return
     step = max(1, BLOCK // WORDS // len(at))
     for i in range(0, len(guests), step):

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..storage import bounded
 from .common import materialize, only, texts
-from .simhash import _runs, _whole_groups
+from .simhash import _runs, _whole_groups, row_key
 
 K = 5
 WINDOW = 8
@@ -383,14 +383,34 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
 PASSAGE = ["doc_id", "start_word", "end_word", "source_doc_id", "source_start", "source_end", "similarity"]
 
 
-def without_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with passage_id_, by which no two different texts go: the doc_id where it is the only one or its row the
+    first of those that share it (by key); else, and for a null doc_id, a number above 2 ** 62."""
+    keyed = docs.withColumn("row_key_", row_key())
+    first = keyed.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("shared_")).agg(F.min("row_key_").alias("first_"), F.max("row_key_").alias("last_")).where("first_ <> last_")
+    first = bounded(materialize(first.select("shared_", "first_"), "shared-ids", compact=16), BROADCAST_ROWS)
+    both = keyed.join(first, F.col("doc_id").cast("long") == F.col("shared_"), "left")
+    own = F.col("row_key_").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    is_first = F.col("doc_id").isNotNull() & (F.col("shared_").isNull() | (F.col("row_key_") == F.col("first_")))
+    return both.withColumn("passage_id_", F.when(is_first, F.col("doc_id").cast("long")).otherwise(own)).drop("row_key_", "shared_", "first_")
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """docs, all columns, without the passages that earlier documents have. Rows that share a doc_id, and rows without
+    one, are documents of their own; identical ones are cut alike."""
+    rows = numbered(docs)
+    found = repeated_passages(rows.select(F.col("passage_id_").alias("doc_id"), "text"))
+    return without_passages(rows, found, "passage_id_").select(*docs.columns)
+
+
+def without_passages(docs: DataFrame, passages: DataFrame, key: str = "doc_id") -> DataFrame:
     """docs, all columns, with the passages cut out of their texts; a document that they make wordless goes.
 
     Spaces before a passage stay, those after it go with it. Documents without passages stay as they are.
     """
     cuts = passages.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("cut_spans_")).withColumnRenamed("doc_id", "cut_doc_")
     cuts = materialize(cuts, "cuts")
-    both = docs.join(bounded(cuts, BROADCAST_ROWS), docs.doc_id == F.col("cut_doc_"), "left")
+    both = docs.join(bounded(cuts, BROADCAST_ROWS), docs[key] == F.col("cut_doc_"), "left")
     # Spaces and words in turn, from the spaces before the first word (maybe none) on. Each split stands outside
     # the lambda, which would else repeat it for every word.
     kept = F.expr(

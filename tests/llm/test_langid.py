@@ -68,8 +68,53 @@ def test_odd_rows(spark, odd, none):
     got = langid.identify(odd, learned)
     assert got.count() == odd.count()
     assert {r.doc_id for r in got.where("lang_pred = 'und'").collect()} == {1, 2, 3, 4}
-    kept = langid.identified(odd, learned)
+    kept = langid.identified(odd, learned, least=0)
     assert kept.columns == odd.columns and kept.count() == odd.count() - 4
     assert langid.learn_profiles(none) == {} and langid.learn_profiles(odd.withColumn("lang", F.lit(None).cast("string"))) == {}
     assert langid.identify(odd, {}).where("lang_pred <> 'und' OR score <> 0").count() == 0
     assert langid.identify(none, learned).count() == 0
+
+
+def test_other_languages_go(spark):
+    train = documents(spark, ["the cat and the dog and the house", "the bird in the tree"], "en").unionByName(documents(spark, ["der hund und die katze", "das haus und der baum"], "de"))
+    learned = langid.learn_profiles(train)
+    docs = documents(spark, ["the dog and the tree", "der baum und das haus", "猫は家の中で静かに眠っている", "кошка спит дома", "12", None])
+    left = lambda *a: {r.doc_id for r in langid.identified(docs, learned, *a).collect()}
+    assert left(None, 0.1) == {0, 1} and left({"de"}, 0.1) == {1} and left(None, 0.0) == {0, 1, 2, 3}
+    assert {r.doc_id for r in langid.identified(docs, {}).collect()} == {0, 1, 2, 3}
+
+
+def test_query_is_the_brute_force_prediction(spark, tables):
+    """Each text's distances by plain dictionaries, over profiles counted by plain dictionaries."""
+    docs = spark.read.parquet(f"{tables}/documents.parquet").collect()
+    counts: dict[str, Counter] = {}
+    for r in docs:
+        if r.lang is not None and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+            counts.setdefault(r.lang, Counter()).update(plain_grams(r.text))
+    order = lambda c: [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))][: langid.PROFILE]
+    profiles = {x: {g: i for i, g in enumerate(order(c))} for x, c in sorted(counts.items())}
+    got = {r.doc_id: r for r in queries.op2_language_id(spark, tables).collect()}
+    for r in docs:
+        own = order(plain_grams(r.text or ""))
+        if not own:
+            assert got[r.doc_id].lang_pred == "und" and got[r.doc_id].score == 0
+            continue
+        far = {x: sum(abs(i - p[g]) if g in p else langid.PROFILE for i, g in enumerate(own)) for x, p in profiles.items()}
+        best = min(far, key=lambda x: (far[x], x))
+        assert got[r.doc_id].lang_pred == best and abs(got[r.doc_id].score - (1 - far[best] / (langid.PROFILE * len(own)))) < 1e-9
+
+
+def plain_grams(text):
+    """Grams as numbers: letters of 16 bits, 1 for what stands between words."""
+    s = [1]
+    for c in text.lower():
+        x = max(2, ord(c) & 0xFFFF) if c.isalpha() else 1
+        if x != 1 or s[-1] != 1:
+            s.append(x)
+    s += [1] if s[-1] != 1 else []
+    if len(s) < 2:
+        return Counter()
+    one = Counter(x for x in s if x != 1)
+    two = Counter((a << 16) | b for a, b in zip(s, s[1:]))
+    three = Counter((a << 32) | (b << 16) | c for a, b, c in zip(s, s[1:], s[2:]))
+    return one + two + three
