@@ -1,9 +1,9 @@
 """Repeated passages by collinear chaining of shared word k-mers.
 
 Seeds are the minimizers of a text's 5-word shingles, so that texts which share a run of WINDOW + 4 words share a
-seed. Each seed is anchored at its first document; every other occurrence meets that anchor and the document before
-it that has the seed, so a seed that a third of all documents has gives two rows per occurrence and no pairs. Between two documents the matches that lie
-in the same order are chained under gap costs, with a Fenwick tree for the best chain to extend. Chains are then
+seed. Each seed is anchored at its first document; every other occurrence meets that anchor and the document
+before it that has the seed, so a seed that a third of all documents has gives two rows per occurrence and no pairs.
+Between two documents the matches that lie in the same order are chained under gap costs, with a Fenwick tree for the best chain to extend. Chains are then
 aligned word by word, within the gaps and beyond the ends, and a document's aligned spans are united to passages.
 """
 
@@ -298,17 +298,25 @@ def stretches(parts: list[tuple[int, int, int]], similarity: float) -> list[tupl
 
 
 def _edits(x: list[int], y: list[int]) -> int:
-    """Edit distance of two gaps."""
+    """Edit distance of two gaps, a column of the table at a time: its steps up and down are the bits of two integers."""
     if x == y:
         return 0
     if not x or not y:
         return max(len(x), len(y))
-    row = list(range(len(y) + 1))
-    for i, c in enumerate(x, 1):
-        last, row[0] = row[0], i
-        for j, d in enumerate(y, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != d))
-    return row[-1]
+    where: dict[int, int] = {}  # bit i of a word's mask: x[i] is that word
+    for i, c in enumerate(x):
+        where[c] = where.get(c, 0) | 1 << i
+    full, last = (1 << len(x)) - 1, 1 << (len(x) - 1)
+    up, down, edits = full, 0, len(x)  # rows where the column's value grows by one, where it falls by one
+    for c in y:
+        equal = where.get(c, 0)
+        v = equal | down
+        h = (((equal & up) + up) ^ up) | equal
+        grow, fall = down | (full & ~(h | up)), up & h
+        edits += bool(grow & last) - bool(fall & last)
+        grow, fall = grow << 1 | 1, fall << 1
+        up, down = (fall | ~(v | grow)) & full, grow & v & full
+    return edits
 
 
 def _extend(x: list[int], y: list[int]) -> tuple[int, int]:
@@ -334,7 +342,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
     repetition inside one document. Null texts, null ids, and texts shorter than a passage have none. Of rows
     that share a doc_id the greatest slice stands for all.
     """
-    found = materialize(chained(matches(seeds(docs))), "chains", compact=4)
+    found = materialize(chained(matches(materialize(seeds(docs), "seeds"))), "chains", compact=4)
     low = lambda c: F.greatest(F.lit(0), F.expr(f"{c}[0]") - REACH)
     high = lambda c: F.element_at(c, -1) + K + REACH
     c = found.select("*", low("at").alias("s"), high("at").alias("e"), low("source_at").alias("ss"), high("source_at").alias("se"))

@@ -139,3 +139,36 @@ def test_odd_rows(spark, odd, none):
     assert same.exceptAll(odd).isEmpty() and odd.exceptAll(same).isEmpty()
     twice = documents(spark, [(1, prose(1)), (1, prose(1)), (2, prose(1))])
     assert [(r.doc_id, r.source_doc_id) for r in substring.repeated_passages(twice.select("*", F.lit(1).alias("stop"))).collect()] == [(2, 1)]
+
+
+def test_edits_are_those_of_the_whole_table():
+    r = random.Random(8)
+    for _ in range(300):
+        x, y = ([r.randrange(4) for _ in range(r.randrange(1, 150))] for _ in "ab")
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            last, row[0] = row[0], i
+            for j, d in enumerate(y, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != d))
+        assert substring._edits(x, y) == row[-1]
+
+
+def test_rows_are_those_of_brute_force(spark):
+    """Each run of 50 equal words or more, by comparing all positions of all pairs; the words around are all different."""
+    passages = [prose(900 + i, n).split() for i, n in enumerate((50, 70, 120))]
+    rows = [(10 * i, " ".join([*prose(i, 30 + 7 * i).split(), *passages[i % 3], *prose(100 + i, 45).split()])) for i in range(12)]
+    words = {d: t.split() for d, t in rows}
+    want = set()
+    for d in words:
+        best = None
+        for e in (e for e in words if e < d):
+            for i in range(len(words[d])):
+                for j in range(len(words[e])):
+                    n = 0
+                    while i + n < len(words[d]) and j + n < len(words[e]) and words[d][i + n] == words[e][j + n]:
+                        n += 1
+                    if n >= 50 and (best is None or n > best[2] - best[1]):
+                        best = (d, i, i + n, e, j, j + n, 1.0)
+        want |= {best} - {None}
+    got = {tuple(r) for r in substring.repeated_passages(documents(spark, rows)).collect()}
+    assert got == want and len(want) == 9
