@@ -33,6 +33,9 @@ REACH = 40
 BROADCAST_ROWS = 200_000
 HELD = 500_000
 MATCH, MISS, DROP = 1, -2, 8
+#: A match is alone if the document has no other one, with any source, this many words before or after it. The
+#: passages that rest on one match alone are left out: most such matches are chance.
+APART, LEAST = 2 * REACH, K + 1
 
 
 class WordHashes(dict):
@@ -126,6 +129,7 @@ def preceding(found: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
         head = tail = None
         for g in _whole_groups(batches, "seed"):
             seed, doc, pos = g["seed"], g["doc"], g["pos"]
@@ -197,25 +201,53 @@ def chains(pos: np.ndarray, other: np.ndarray) -> list[list[int]]:
     return out
 
 
-def chained(found: DataFrame) -> DataFrame:
-    """Matches -> (id, doc, source, at, source_at): the positions of each chain."""
+def dense(doc: np.ndarray, pos: np.ndarray, least: int) -> np.ndarray:
+    """Which matches have neighbours no more than APART words away, with any sources, that together span so many words.
+
+    In a run of equal words two matches are at most WINDOW + K words apart, also where one source ends and another
+    begins, and the first and the last lie less than that from its ends: no match of such a run of 50 words is alone.
+    """
+    order = np.lexsort((pos, doc))
+    d, p = doc[order], pos[order]
+    new = np.concatenate([[True], (d[1:] != d[:-1]) | (p[1:] - p[:-1] > APART)])
+    starts = np.flatnonzero(new)
+    span = p[np.append(starts[1:], len(p)) - 1] + K - p[starts]
+    out = np.empty(len(doc), bool)
+    out[order] = span[np.cumsum(new) - 1] >= least
+    return out
+
+
+def chained(found: DataFrame, least: int = LEAST) -> DataFrame:
+    """Matches -> (doc, source, at, source_at): the positions of each chain.
+
+    Matches that are alone are left out (dense).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        for g in _runs(batches, "doc"):
-            cuts = [0, *(np.flatnonzero(g["source"][1:] != g["source"][:-1]) + 1), len(g["source"])]
-            for i, j in zip(cuts, cuts[1:]):
-                pos, other = g["pos"][i:j].astype(np.int64), g["source_pos"][i:j].astype(np.int64)
-                for c in chains(pos, other):
-                    rows.append((g["doc"][0], g["source"][i], pos[c].tolist(), other[c].tolist()))
-            if len(rows) > 2000:
-                yield batch(rows)
-                rows = []
-        yield batch(rows)
-
-    def batch(rows: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*rows)) or [()] * 4
-        return pa.record_batch([pa.array([int(x) for x in cols[0]], pa.int64()), pa.array([int(x) for x in cols[1]], pa.int64()), pa.array(cols[2], pa.list_(pa.int32())), pa.array(cols[3], pa.list_(pa.int32()))], names=["doc", "source", "at", "source_at"])
+        only()
+        for g in _whole_groups(batches, "doc"):
+            keep = dense(g["doc"], g["pos"], least)
+            doc, source, pos, other = (g[n][keep] for n in ("doc", "source", "pos", "source_pos"))
+            if not len(doc):
+                continue
+            starts = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (source[1:] != source[:-1])]))
+            sizes = np.diff(np.append(starts, len(doc)))
+            alone = starts[sizes == 1]
+            yield batch(doc[alone], source[alone], np.arange(len(alone) + 1), pos[alone], other[alone])
+            first, ends, p, q = [], [0], [], []
+            for i, n in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
+                a, b = pos[i : i + n].astype(np.int64), other[i : i + n].astype(np.int64)
+                for c in chains(a, b):
+                    first.append(i)
+                    p.append(a[c])
+                    q.append(b[c])
+                    ends.append(ends[-1] + len(c))
+            if first:
+                yield batch(doc[first], source[first], np.array(ends), np.concatenate(p), np.concatenate(q))
+
+    def batch(doc: np.ndarray, source: np.ndarray, ends: np.ndarray, p: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
+        lists = (pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(x.astype(np.int32))) for x in (p, q))
+        return pa.record_batch([pa.array(doc), pa.array(source), *lists], names=["doc", "source", "at", "source_at"])
 
     dealt = found.repartition("doc").sortWithinPartitions("doc", "source", "pos", "source_pos")
     return dealt.mapInArrow(run, "doc long, source long, at array<int>, source_at array<int>")
@@ -225,19 +257,19 @@ def slices(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Word hashes of (doc, start, stop): (doc, start, words), words cut at the text's end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
         words, last, h = WordHashes(), None, np.empty(0, np.uint32)
         for b in batches:
             out = []
             for d, t, i, j in zip(b.column("doc").to_pylist(), b.column("text"), b.column("start").to_pylist(), b.column("stop").to_pylist(), strict=True):
-                if d != last:
-                    last, h = d, words.of(t.as_py())
+                if (d, t) != last:
+                    last, h = (d, t), words.of(t.as_py())
                 out.append(h[i:j].tobytes())
             yield pa.record_batch([b.column("doc"), b.column("start"), b.column("stop"), pa.array(out, pa.binary())], names=["doc", "start", "stop", "words"])
 
     rows = texts(docs.where("doc_id IS NOT NULL AND text IS NOT NULL"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     both = rows.join(bounded(wanted, BROADCAST_ROWS), F.col("doc_id") == F.col("doc"))
-    # A doc_id that several rows share is read where it comes first.
-    return both.select("doc", "text", "start", "stop").mapInArrow(run, "doc long, start int, stop int, words binary").groupBy("doc", "start", "stop").agg(F.max("words").alias("words"))
+    return both.select("doc", "text", "start", "stop").mapInArrow(run, "doc long, start int, stop int, words binary")
 
 
 def align(a: np.ndarray, b: np.ndarray, at: list[int], other: list[int], similarity: float = SIMILARITY) -> list[tuple[int, int, int, int, float]]:
@@ -339,8 +371,8 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
     A row for each passage of min_words words or more (of A-Z lower-cased text, in positions from 0, the end not
     included) that repeats, with that similarity or more, what smaller doc_ids have; the source is the one with
     the longest part of it, ties by smaller doc_id. The first document of a passage has no row for it, nor has
-    repetition inside one document. Null texts, null ids, and texts shorter than a passage have none. Of rows
-    that share a doc_id the greatest slice stands for all.
+    repetition inside one document. Null texts, null ids, and texts shorter than a passage have none. Rows
+    that share a doc_id are versions of one document: a passage counts that any of them has.
     """
     found = materialize(chained(matches(materialize(seeds(docs), "seeds"))), "chains", compact=4)
     low = lambda c: F.greatest(F.lit(0), F.expr(f"{c}[0]") - REACH)
@@ -353,6 +385,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
     c = c.join(named("b_"), (F.col("source") == F.col("b_doc")) & (F.col("ss") == F.col("b_start")) & (F.col("se") == F.col("b_stop")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
         for b in batches:
             d = b.to_pydict()
             out = []
