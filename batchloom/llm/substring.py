@@ -159,7 +159,10 @@ def preceding(found: DataFrame) -> DataFrame:
 
 
 def chains(pos: np.ndarray, other: np.ndarray) -> list[list[int]]:
-    """Chains of matches (sorted by pos, then other) that grow on both sides, best first; each match is in one at most.
+    """Chains of matches (sorted by pos, then other) that grow on both sides, best first.
+
+    Each match is in one at most, and so is each position of pos: what a better chain has there, others needn't show
+    again. (A word that a text repeats meets the source's first one each time.)
 
     A chain scores K a match less GAP a word that it moves on, on either side. The cost is a sum of both ends'
     positions, so the best predecessor is a maximum over all matches before in both orders: a Fenwick tree's query.
@@ -189,18 +192,37 @@ def chains(pos: np.ndarray, other: np.ndarray) -> list[list[int]]:
                     tree[r] = entry
                 r += r & -r
         i = j
-    used, out = [False] * n, []
+    used, taken, out = [False] * n, set(), []
     for m in sorted(range(n), key=lambda m: -score[m]):
         chain = []
         while m >= 0 and not used[m]:
             used[m] = True
-            chain.append(m)
+            if p[m] not in taken:
+                chain.append(m)
             m = before[m]
+        taken.update(p[c] for c in chain)
         if chain:
             out.append(chain[::-1])
     return out
 
 
+def within(pos: np.ndarray, other: np.ndarray, found: list[list[int]]) -> list[list[int]]:
+    """Chains without the lone matches where a longer chain with the same source reaches, and without those that meet
+    a place in the source that another chain has already (a phrase that only this text repeats)."""
+    spans = sorted((pos[c[0]] - REACH, pos[c[-1]] + K + REACH) for c in found if len(c) > 1)
+    low = np.array([s for s, _ in spans], np.int64)
+    high = np.maximum.accumulate([e for _, e in spans]) if spans else low
+    met, out = {other[m] for c in found if len(c) > 1 for m in c}, []
+    for c in found:
+        if len(c) == 1:
+            i = int(np.searchsorted(low, pos[c[0]], side="right")) - 1
+            if other[c[0]] in met or i >= 0 and high[i] >= pos[c[0]] + K:
+                continue
+            met.add(other[c[0]])
+        out.append(c)
+    return out
+
+
 def dense(doc: np.ndarray, pos: np.ndarray, least: int) -> np.ndarray:
     """Which matches have neighbours no more than APART words away, with any sources, that together span so many words.
 
@@ -237,7 +259,7 @@ def chained(found: DataFrame, least: int = LEAST) -> DataFrame:
             first, ends, p, q = [], [0], [], []
             for i, n in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
                 a, b = pos[i : i + n].astype(np.int64), other[i : i + n].astype(np.int64)
-                for c in chains(a, b):
+                for c in within(a, b, chains(a, b)):
                     first.append(i)
                     p.append(a[c])
                     q.append(b[c])
