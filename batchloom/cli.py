@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import os
+import re
 import sys
 from pathlib import Path
 
@@ -40,7 +41,7 @@ def parser() -> argparse.ArgumentParser:
 
 def run(args: argparse.Namespace) -> object:
     if args.command == "count-tokens":
-        return {"tokens": len(read_text(sys.stdin.buffer.read(MAX_TEXT + 1)).split())}
+        return {"tokens": len(re.findall(r"[^ \t\n\r\x0b\f]+", read_text(sys.stdin.buffer.read(MAX_TEXT + 1))))}
     if args.command in ("tables", "health"):
         from .schemas import TABLES
 

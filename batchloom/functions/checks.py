@@ -9,6 +9,9 @@ from ..schemas import ENDPOINTS, REMOTE_STATUSES, RETRY_STATUSES, TERMINAL_STATU
 
 RESOURCE_ID = r"^[A-Za-z0-9][A-Za-z0-9._:-]{0,255}\z"
 SCOPE = r"^[A-Za-z0-9][A-Za-z0-9._:-]{0,127}\z"
+#: Fixed: the first segment of a path has no dots.
+ENDPOINT_PATH = r"^/[A-Za-z0-9_~-]+(?:/[A-Za-z0-9._~-]+){0,15}\z"
+GATEWAY_URL = r"^(?i:https?)://(?:\[[0-9A-Fa-f:.]+\]|[^/:@?#\s\\]+)(?::[0-9]{1,5})?(?:/[^?#\s\\@]*)?\z"
 UUID = r"^[0-9A-Fa-f]{8}-?[0-9A-Fa-f]{4}-?[0-9A-Fa-f]{4}-?[0-9A-Fa-f]{4}-?[0-9A-Fa-f]{12}\z"
 NUL = "\x00"
 
@@ -43,7 +46,7 @@ def is_exact_alias(c: Column) -> Column:
 def is_endpoint_path(c: Column) -> Column:
     """1 to 16 segments, 256 characters at most, no dot segments."""
     parts = F.split(c, "/", -1)
-    return _true(c.rlike(r"^(?:/[A-Za-z0-9._-]+){1,16}\z") & (F.length(c) <= 256) & F.forall(parts, lambda p: (p != ".") & (p != "..")))
+    return _true(c.rlike(ENDPOINT_PATH) & (F.length(c) <= 256) & F.forall(parts, lambda p: (p != ".") & (p != "..")))
 
 
 def is_known_endpoint(c: Column) -> Column:
@@ -68,7 +71,7 @@ def is_gateway_url(c: Column) -> Column:
     host = F.lower(F.regexp_extract(c, r"^(?i:https?)://(\[[^\]/]*\]|[^/:]*)", 1))
     port = F.regexp_extract(c, r"^(?i:https?)://(?:\[[^\]/]*\]|[^/:]*):([0-9]*)", 1)
     local = host.isin("localhost", "[::1]") | host.rlike(r"^127(?:\.[0-9]{1,3}){3}\z")
-    shape = c.rlike(r"^(?i:https?)://(?:\[[0-9A-Fa-f:.]+\]|[^/:@?#\s\\]+)(?::[0-9]{1,5})?(?:/[^?#\s\\@]*)?\z")
+    shape = c.rlike(GATEWAY_URL)
     fine_port = (port == "") | F.coalesce(port.try_cast("int").between(1, 65535), F.lit(False))
     return _true(shape & fine_port & (c.rlike(r"^(?i:https)://") | local))
 

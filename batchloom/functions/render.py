@@ -11,7 +11,11 @@ CHAT_URL, EMBEDDING_URL = "/v1/chat/completions", "/v1/embeddings"
 def json_text(value: Column) -> Column:
     """A string as a JSON literal, null as null; letters beyond ASCII stay as they are."""
     inner = F.to_json(F.array(value))
-    return F.when(value.isNull(), "null").otherwise(F.substring(inner, F.lit(2), F.length(inner) - 2))
+    inner = F.substring(inner, F.lit(2), F.length(inner) - 2)
+    lower = inner  # Spark writes the hex digits of control characters in upper case
+    for c in "ABCDEF":
+        lower = F.regexp_replace(lower, rf"(?<!\\)((?:\\\\)*)\\u00([01]){c}", rf"$1\\u00$2{c.lower()}")
+    return F.when(value.isNull(), "null").when(inner.rlike(r"\\u00[01][A-F]"), lower).otherwise(inner)
 
 
 def is_embedding(mode: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -52,6 +53,15 @@ def is_strict_object(text: str | Column) -> Column:
     return F.pandas_udf(check, "boolean")(text)
 
 
+def all_strict(text: str | Column) -> Column:
+    """Whether each line of a text is a strict object; the newline at its end parts nothing."""
+
+    def check(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: isinstance(t, str) and all(_is_object(x, parse_strict) for x in t.removesuffix("\n").split("\n"))).astype(bool)
+
+    return F.pandas_udf(check, "boolean")(text)
+
+
 def is_lenient_object(text: str | Column) -> Column:
     """Repeated names and NaN pass."""
 
@@ -67,7 +77,7 @@ def canonical(text: str | None) -> str:
         out = json.dumps(parse_strict(text or ""), sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
     except (ValueError, RecursionError):
         return "{}"
-    return "{}" if "\\u0000" in out or len(out.encode("utf-8", "replace")) > MAX_METADATA_BYTES else out
+    return "{}" if re.search(r"(?<!\\)(?:\\\\)*\\u0000", out) or len(out.encode("utf-8", "replace")) > MAX_METADATA_BYTES else out
 
 
 def canonical_metadata(text: str | Column) -> Column:

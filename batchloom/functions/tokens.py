@@ -50,6 +50,15 @@ class Tokenizers:
             raise ValidationError("unknown tokenizer", name=name)
         return self._known[name]
 
+    def by_model(self, text: Column, tokenizer_model: Column, model: Column) -> Column:
+        """Counts of a text by its model's tokenizer: by its tokenizer's name, else by the model's own. None is an error."""
+        name = F.coalesce(F.when(F.trim(tokenizer_model) != "", F.trim(tokenizer_model)), model)
+        out = None
+        for known in self.available():  # each tokenizer sees its own rows' texts alone
+            count = self._known[known](F.when(name == known, text))
+            out = F.when(name == known, count) if out is None else out.when(name == known, count)
+        return out.otherwise(F.raise_error(F.concat(F.lit("unknown tokenizer: "), F.coalesce(name, F.lit("none")))).cast("long"))
+
     def available(self) -> list[str]:
         return sorted(self._known)
 

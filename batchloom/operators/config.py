@@ -28,12 +28,12 @@ def defaults(spark, tree: dict[str, dict[str, object]] = DEFAULTS) -> DataFrame:
 def typed(stored: DataFrame, tree: dict[str, dict[str, object]] = DEFAULTS) -> DataFrame:
     """All settings by key with category, name, value (as text) and whether it is stored; a bad value gives the default."""
     d = defaults(stored.sparkSession, tree)
-    s = stored.select(F.col("config_key").alias("k_"), F.trim("config_value").alias("v_"))
+    s = stored.select(F.col("config_key").alias("k_"), F.col("config_value").alias("v_"))
     v = F.lower("v_")
     value = (
         F.when(F.col("kind") == "bool", F.when(v.isin(*TRUE), "true").when(v.isin(*FALSE), "false"))
-        .when(F.col("kind") == "int", F.col("v_").try_cast("long").cast("string"))
-        .when(F.col("kind") == "float", F.col("v_").try_cast("double").cast("string"))
+        .when(F.col("kind") == "int", F.trim("v_").try_cast("long").cast("string"))
+        .when(F.col("kind") == "float", F.trim("v_").try_cast("double").cast("string"))
         .when(F.col("kind") == "json", F.when(F.try_parse_json("v_").isNotNull(), F.col("v_")))
         .otherwise(F.col("v_"))
     )

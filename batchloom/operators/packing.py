@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..errors import TokenLimitExceeded, ValidationError
 from ..functions.render import line_bytes, request_line
-from ..functions.tokens import Tokenizer, request_tokens, whitespace_tokens
+from ..functions.tokens import Tokenizer, Tokenizers, request_tokens, whitespace_tokens
 from ..storage import bounded, materialize
 from .fold import Row, ordered_fold
 
@@ -36,8 +36,14 @@ def with_model(requests: DataFrame, models: DataFrame) -> DataFrame:
     return requests.join(bounded(latest, MODELS), F.col("model_name") == F.col("model_"), "left").drop("model_")
 
 
-def measured(requests: DataFrame, tokenizer: Tokenizer = whitespace_tokens) -> DataFrame:
-    """Requests with their line, tokens and bytes. An embedding has no system prompt."""
+def measured(requests: DataFrame, tokenizer: Tokenizer | Tokenizers = whitespace_tokens) -> DataFrame:
+    """Requests with their line, tokens and bytes. An embedding has no system prompt.
+
+    With Tokenizers each request is counted by its model's: tokenizer_model, else model_name; an unknown one is an error.
+    """
+    if isinstance(tokenizer, Tokenizers):
+        known = tokenizer
+        tokenizer = lambda text: known.by_model(text, F.col("tokenizer_model"), F.col("model_name"))
     system = F.when(F.coalesce(F.lower(F.trim("model_mode")) == "embedding", F.lit(False)), "").otherwise(F.coalesce("system_prompt", F.lit("")))
     line = request_line(F.col("request_uuid"), F.col("model_name"), F.col("model_mode"), system, F.col("user_prompt"))
     out = requests.withColumns({**request_tokens(system, F.coalesce("user_prompt", F.lit("")), tokenizer), "line": line})

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..errors import ValidationError
 from ..functions.checks import payload_id
-from ..functions.strict_json import is_strict_object
+from ..functions.strict_json import all_strict
 
 
 def lines(requests: DataFrame, assigned: DataFrame) -> DataFrame:
@@ -49,17 +49,16 @@ def assign(requests: DataFrame, lines_: DataFrame, expected: int | None = None)
 
 
 def integrity(payloads: DataFrame) -> DataFrame:
-    """(file_id, text, line_count) -> the same and `problem`: null, or what is wrong with the file."""
-    split = F.split(F.substring("text", F.lit(1), F.length("text") - 1), "\n", -1)
-    exploded = payloads.select("file_id", F.explode(split).alias("line"))
-    bad = exploded.where(~is_strict_object("line")).select("file_id").distinct().withColumn("bad_", F.lit(True)).withColumnRenamed("file_id", "f_")
+    """(file_id, text, line_count) -> the same and `problem`: null, or what is wrong with the file. An empty file has no line."""
+    lines_ = F.size(F.split(F.substring("text", F.lit(1), F.length("text") - 1), "\n", -1))
     problem = (
-        F.when(F.col("text").isNull() | F.col("line_count").isNull() | (F.col("line_count") < 1), "shape")
+        F.when(F.col("text").isNull() | F.col("line_count").isNull() | (F.col("line_count") < 0), "shape")
+        .when((F.col("text") == "") & (F.col("line_count") == 0), None)
         .when(~F.endswith("text", F.lit("\n")), "newline")
-        .when(F.size(split) != F.col("line_count"), "line_count")
-        .when(F.col("bad_"), "json")
+        .when(lines_ != F.col("line_count"), "line_count")
+        .when(~F.col("strict_"), "json")
     )
-    return payloads.join(bad, F.col("file_id") == F.col("f_"), "left").select("file_id", "text", "line_count", problem.alias("problem"))
+    return payloads.select("file_id", "text", "line_count").withColumn("strict_", all_strict("text")).select("file_id", "text", "line_count", problem.alias("problem"))
 
 
 def load(payloads: DataFrame, file_id: str) -> str | None:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import checks
 from ..operators import checkpoints, config, lifecycle, packing, payloads, reconcile, results, rules
 from ..operators.tenancy import visible
+from ..functions.tokens import Tokenizers
+from ..storage import materialize
 from ..schemas import DEFAULT_TENANT, HEALTH_COMPONENTS, REMOTE_STATUSES, Limits
 from . import fixtures
 
@@ -93,6 +95,18 @@ def render_request_lines(spark: SparkSession, d: str) -> DataFrame:
     return _measured(spark, d).select("request_uuid", "line", "byte_size")
 
 
+@query(f"WITH {MEASURED} SELECT request_uuid, CASE model_name WHEN 'de' THEN length(prompt) WHEN 'fr' THEN 2 * tokens ELSE tokens END::BIGINT AS total_tokens FROM mea")
+def token_counts_by_model(spark: SparkSession, d: str) -> DataFrame:
+    """A tokenizer by name for de, one by the model's own name for fr, whose row names none, words for the rest."""
+    models = fixtures.models(spark).withColumn("tokenizer_model", F.when(F.col("model_id") == "de", "letters").otherwise(F.col("tokenizer_model")))
+    known = Tokenizers()
+    known.register("words", known.get("whitespace"))
+    known.register("letters", lambda text: F.coalesce(F.length(text), F.lit(0)).cast("long"))
+    known.register("fr", lambda text: 2 * known.get("whitespace")(text))
+    m = packing.measured(packing.with_model(fixtures.requests(spark, d), models), known)
+    return m.select("request_uuid", "total_tokens")
+
+
 @query(f"""WITH {MEASURED}, c AS (SELECT *, row_number() OVER w AS rn, model_name IS DISTINCT FROM lag(model_name) OVER w AS changed FROM mea WINDOW w AS (PARTITION BY batch_uuid ORDER BY created, request_uuid))
 SELECT request_uuid, batch_uuid, sum((changed AND rn > 1)::INT) OVER (PARTITION BY batch_uuid ORDER BY rn)::BIGINT AS run_index FROM c""")
 def model_runs(spark: SparkSession, d: str) -> DataFrame:
@@ -255,7 +269,7 @@ def reconciliation_unique_prefix(spark: SparkSession, d: str) -> DataFrame:
   SELECT u.*, CASE WHEN c.status IS NULL THEN 'failed' WHEN NOT c.terminal THEN 'polled' WHEN c.output_file_id IS NOT NULL THEN 'retrieved' ELSE 'deferred' END AS outcome FROM uni u LEFT JOIN cur c USING (endpoint_alias, remote_batch_id))
 SELECT count(*) AS processed, count_if(outcome = 'retrieved')::BIGINT AS retrieved, count_if(outcome = 'failed')::BIGINT AS failed FROM out""")
 def reconciliation_report(spark: SparkSession, d: str) -> DataFrame:
-    states = _current(spark, d)
+    states = materialize(_current(spark, d), "states", compact=4)
     return reconcile.report(reconcile.outcomes(_prefix(spark, d), states, states.where("output_file_id IS NOT NULL")))
 
 
@@ -397,12 +411,12 @@ def retry_schedule(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", checks.should_retry(F.col("method"), F.col("status"), F.col("attempt"), F.col("wait")).alias("retry"), checks.backoff_ceiling(F.col("attempt")).alias("ceiling"))
 
 
-@query(r"""SELECT page_id, regexp_full_match(url, '[A-Za-z0-9][A-Za-z0-9._:-]{0,255}') AS is_resource_id, regexp_matches(url, '^https://[^/:@?#\s\\]+(:[0-9]{1,5})?(/[^?#\s\\@]*)?$') AS is_gateway,
-  regexp_full_match(p, '(/[A-Za-z0-9._-]+){1,16}') AND length(p) <= 256 AS is_endpoint FROM (SELECT page_id, url, regexp_extract(url, '://[^/]*(/[^?#]*)', 1) AS p FROM pages)""")
+@query(r"""SELECT page_id, regexp_full_match(regexp_extract(url, '[^/]*$'), '[A-Za-z0-9][A-Za-z0-9._:-]{0,255}') AS is_resource_id, regexp_matches(url, '^https://[^/:@?#\s\\]+(:[0-9]{1,5})?(/[^?#\s\\@]*)?$') AS is_gateway,
+  regexp_full_match(p, '/[A-Za-z0-9_~-]+(/[A-Za-z0-9._~-]+){0,15}') AND length(p) <= 256 AS is_endpoint FROM (SELECT page_id, url, regexp_extract(url, '://[^/]*(/[^?#]*)', 1) AS p FROM pages)""")
 def id_validation(spark: SparkSession, d: str) -> DataFrame:
     p = fixtures.table(spark, d, "pages")
     path = F.regexp_extract("url", "://[^/]*(/[^?#]*)", 1)
-    return p.select("page_id", checks.is_resource_id(F.col("url")).alias("is_resource_id"), checks.is_gateway_url(F.col("url")).alias("is_gateway"), checks.is_endpoint_path(path).alias("is_endpoint"))
+    return p.select("page_id", checks.is_resource_id(F.regexp_extract("url", r"([^/]*)\z", 1)).alias("is_resource_id"), checks.is_gateway_url(F.col("url")).alias("is_gateway"), checks.is_endpoint_path(path).alias("is_endpoint"))
 
 
 @query("SELECT l_orderkey AS k, l_linenumber AS line, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1 UNION ALL SELECT o_custkey, 0, count(*) FROM orders GROUP BY o_custkey HAVING count(*) > 1")

@@ -33,10 +33,13 @@ class DurableProvider:
     def _call(self, f: Callable[[], dict[str, Any]], batch_id: str | None = None) -> dict[str, Any]:
         order = self.reserve()
         answer = f()
+        self._keep(order, answer, batch_id)
+        return answer
+
+    def _keep(self, order: int, answer: dict[str, Any], batch_id: str | None) -> None:
         if batch_id is not None and answer.get("id") != batch_id:
             raise GatewayError("the answer is about another batch", batch=batch_id)
         self.record(observation(self.tenant, self.alias, order, answer, self.now()))
-        return answer
 
     def create(self, input_file_id: str, endpoint: str, metadata: dict[str, str] | None = None) -> dict[str, Any]:
         return self._call(lambda: self.provider.create(input_file_id, endpoint, metadata))
@@ -45,7 +48,9 @@ class DurableProvider:
         return self._call(lambda: self.provider.status(batch_id), batch_id)
 
     def cancel(self, batch_id: str) -> dict[str, Any]:
+        """The order is reserved before the call, so that no later poll gets a lower one; a refusal is no observation."""
+        order = self.reserve()
         answer = self.provider.cancel(batch_id)
-        if answer.get("cancelled") is False:
-            return answer
-        return self._call(lambda: answer, batch_id)
+        if answer.get("cancelled") is not False:
+            self._keep(order, answer, batch_id)
+        return answer

@@ -106,3 +106,22 @@ def test_effective_limit():
     assert Limits().effective() == 4_750_000_000
     assert Limits(per_batch=101, buffer_percentage=10).effective() == 90
     assert Limits().effective(7) == 7
+
+
+def test_control_letters_are_those_of_json_dumps(spark):
+    texts = ["".join(map(chr, range(32))) + "\x7f\u2028", "\\u001B \\\x1b\x1b\\\\\x1f", "\x0b\x0e\x0f\x1a\x1c"]
+    assert values(spark, texts, render.json_text) == [json.dumps(t, ensure_ascii=False) for t in texts]
+
+
+def test_only_a_real_nul_empties_metadata():
+    assert canonical('{"a": "x\\\\u0000y"}') == '{"a":"x\\\\u0000y"}' and canonical('{"a": "x\\u0000y"}') == "{}"
+
+
+def test_tokenizers_are_chosen_by_model(spark):
+    known = tokens.Tokenizers()
+    known.register("letters", lambda t: F.coalesce(F.length(t), F.lit(0)).cast("long"))
+    rows = spark.createDataFrame([("a b c", "letters", "m"), ("a b c", None, "whitespace"), ("a b", " ", "letters"), (None, "letters", "m")], "t string, tokenizer_model string, model string")
+    count = lambda df: [r[0] for r in df.select(known.by_model(F.col("t"), F.col("tokenizer_model"), F.col("model"))).collect()]
+    assert count(rows) == [5, 3, 3, 0]
+    with pytest.raises(Exception, match="unknown tokenizer: m"):
+        count(rows.withColumn("tokenizer_model", F.lit(None).cast("string")))

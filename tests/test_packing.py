@@ -122,9 +122,9 @@ def test_payloads(spark):
 
 
 def test_integrity_problems(spark):
-    rows = [("ok", '{"a": 1}\n', 1), ("newline", '{"a": 1}', 1), ("count", '{"a": 1}\n', 2), ("json", '{"a": 1}\n{"a": 1, "a": 2}\n', 2), ("shape", None, 1), ("zero", "", 0)]
+    rows = [("ok", '{"a": 1}\n', 1), ("newline", '{"a": 1}', 1), ("count", '{"a": 1}\n', 2), ("json", '{"a": 1}\n{"a": 1, "a": 2}\n', 2), ("shape", None, 1), ("zero", "", 0), ("below", "", -1), ("one", "", 1), ("blank", "{}\n\n", 2)]
     got = {r.file_id: r.problem for r in payloads.integrity(spark.createDataFrame(rows, "file_id string, text string, line_count long")).collect()}
-    assert got == {"ok": None, "newline": "newline", "count": "line_count", "json": "json", "shape": "shape", "zero": "shape"}
+    assert got == {"ok": None, "newline": "newline", "count": "line_count", "json": "json", "shape": "shape", "zero": None, "below": "shape", "one": "newline", "blank": "json"}
 
 
 def test_virtual_paths():

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import datetime as dt
 import json
 import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
@@ -9,7 +10,7 @@ import pytest
 from batchloom.errors import GatewayError, ValidationError
 from batchloom.operators import results
 from batchloom.sources import files
-from batchloom.sources.provider import Provider, ProviderFiles, wait_bounds
+from batchloom.sources.provider import Provider, ProviderFiles, endpoint_path, gateway_url, retry_after, wait_bounds
 
 
 def test_result_files(spark, tmp_path):
@@ -69,6 +70,9 @@ class Stub(BaseHTTPRequestHandler):
             return self.answer(200, {"id": "b1", "status": "completed", "output_file_id": "f1", "error_file_id": None, "request_counts": {"total": 3, "completed": 2, "failed": 0}})
         if self.path == "/batches/odd":
             return self.answer(200, {"id": "odd", "status": "completed", "request_counts": {"total": 1, "completed": 2, "failed": 0}})
+        if self.path.startswith("/batches/bad"):
+            counts = {"bad1": [1], "bad2": "x", "bad3": {"total": True}, "bad4": {"total": "1"}, "bad5": {"total": -1}}.get(self.path[9:])
+            return self.answer(200, {"id": self.path[9:], "request_counts": counts} | ({"status": "in_progress"} if counts else {"status": 3} if self.path.endswith("6") else {}))
         if self.path == "/batches/open":
             return self.answer(200, {"id": "open", "status": "in_progress"})
         return self.answer(200, b'{"custom_id": "1"}\n')
@@ -123,3 +127,38 @@ def test_provider_as_a_source(spark, base):
     spark.dataSource.register(ProviderFiles)
     df = spark.read.format("provider_files").option("base_url", base).option("key", "k").option("batch_ids", "b1").load()
     assert [(r.batch_id, r.file_kind, r.record) for r in results.records(df).collect()] == [("b1", "result", '{"custom_id": "1"}')]
+
+
+def test_provider_refuses_odd_answers(base):
+    p = Provider(base, "key", sleep=lambda s: None)
+    for n in range(1, 8):
+        with pytest.raises(GatewayError):
+            p.status(f"bad{n}")
+
+
+@pytest.mark.parametrize("bad", ["", "../files/f", "a/b", ".a", "a b", "a" * 257, "a\n", None, 3])
+def test_ids_are_checked_before_they_go_into_a_path(base, bad):
+    p = Provider(base, "key")
+    for call in (p.status, p.cancel, p.delete, p.content, lambda x: p.create(x, "/v1/embeddings")):
+        with pytest.raises(ValidationError):
+            call(bad)
+    assert Stub.calls == []
+
+
+@pytest.mark.parametrize("bad", ["", "v1/x", "//h/v1", "/v1/x/", "/v1//x", "/v1/./x", "/v1/../x", "/v1/x?a=b", "/v1/x#f", "/v1/a%2Fb", "/v1\\x", "/v1/x y", "/v1.0/a", "/" + "/".join(["s"] * 17), "/" + "a" * 256, None, 1, True])
+def test_endpoint_paths_are_checked(base, bad):
+    with pytest.raises(ValidationError):
+        Provider(base, "key").create("f1", bad)
+    assert Stub.calls == [] and endpoint_path("/v1/~me/x.y") == "/v1/~me/x.y"
+
+
+@pytest.mark.parametrize("bad", ["ftp://x", "http://example.org", "https://u@h/v1", "https://h/v1?q", "https://h:0/v1", "https://h:99999", "https://h h", "", None])
+def test_base_urls_are_checked(bad):
+    with pytest.raises(ValidationError):
+        Provider(bad, "key")
+    assert gateway_url("https://h/v1/") == "https://h/v1" and gateway_url("http://127.0.0.1:8080") == "http://127.0.0.1:8080"
+
+
+def test_retry_after():
+    now = dt.datetime(2026, 1, 1, tzinfo=dt.UTC)
+    assert [retry_after(x, now) for x in (" 7 ", "Thu, 01 Jan 2026 00:00:30 GMT", "Thu, 01 Jan 2026 01:00:30 +0100", "Wed, 31 Dec 2025 00:00:00 GMT", "soon", "", None, "1.5")] == [7, 30, 30, 0, None, None, None, None]
