@@ -152,8 +152,10 @@ def preceding(found: DataFrame) -> DataFrame:
     dealt = found.repartitionByRange("seed", "doc").sortWithinPartitions("seed", "doc", "pos")
     met = materialize(dealt.mapInArrow(run, "seed long, doc long, pos int, source long, source_pos int, kind int"), "preceding")
     tails = met.where("kind = 2").select(F.col("seed").alias("seed_"), F.col("doc").alias("last"), F.col("pos").alias("last_pos"))
-    heads = met.where("kind = 1").select("seed", "doc", "pos").join(tails, (F.col("seed") == F.col("seed_")) & (F.col("last") < F.col("doc")))
-    heads = heads.groupBy("seed", "doc", "pos").agg(F.max("last").alias("source"), F.max_by("last_pos", "last").alias("source_pos"))
+    firsts = met.where("kind = 1").select("seed", "doc", "pos")
+    sought = firsts.select(F.col("seed").alias("h_"), F.col("doc").alias("d_")).distinct()  # a text may have a seed very often
+    sought = sought.join(tails, (F.col("h_") == F.col("seed_")) & (F.col("last") < F.col("d_"))).groupBy("h_", "d_").agg(F.max("last").alias("source"), F.max_by("last_pos", "last").alias("source_pos"))
+    heads = firsts.join(sought, (F.col("seed") == F.col("h_")) & (F.col("doc") == F.col("d_")))
     cols = "doc", "pos", "source", "source_pos"
     return met.where("kind = 0").select(*cols).unionByName(heads.select(*cols))
 
