@@ -292,7 +292,7 @@ def slices(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.record_batch([b.column("doc"), b.column("start"), b.column("stop"), pa.array(out, pa.binary())], names=["doc", "start", "stop", "words"])
 
     rows = texts(docs.where("doc_id IS NOT NULL AND text IS NOT NULL"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    both = rows.join(bounded(wanted, BROADCAST_ROWS), F.col("doc_id") == F.col("doc"))
+    both = rows.join(wanted, F.col("doc_id") == F.col("doc"))
     return both.select("doc", "text", "start", "stop").mapInArrow(run, "doc long, start int, stop int, words binary")
 
 
