@@ -9,7 +9,6 @@ aligned word by word, within the gaps and beyond the ends, and a document's alig
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,25 +30,38 @@ GAP = 0.1
 REACH = 40
 #: Rows that may be broadcast; beyond, the same join shuffles.
 BROADCAST_ROWS = 200_000
-HELD = 500_000
 MATCH, MISS, DROP = 1, -2, 8
 #: A match is alone if the document has no other one, with any source, this many words before or after it. The
 #: passages that rest on one match alone are left out: most such matches are chance.
 APART, LEAST = 2 * REACH, K + 1
 
 
-class WordHashes(dict):
-    """32-bit hashes of words."""
+SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= HELD:
-            self.clear()
-        h = self[word] = zlib.crc32(word)
-        return h
+
+class WordHashes:
+    """32-bit hashes of words: polynomials in their bytes, for all words of a text at once."""
+
+    def __init__(self) -> None:
+        self.powers = np.ones(1, np.uint64)
 
     def of(self, text: bytes | None) -> np.ndarray:
         """The words of A-Z lower-cased text."""
-        return np.array(list(map(self.__getitem__, (text or b"").lower().split())), np.uint32)
+        raw = np.frombuffer((text or b"").lower(), np.uint8)
+        blank = SPACE[raw]
+        edges = np.flatnonzero(np.diff(blank, prepend=True, append=True))
+        starts, ends = edges[::2], edges[1::2]
+        if not len(starts):
+            return np.empty(0, np.uint32)
+        lengths = ends - starts
+        if (longest := int(lengths.max())) > len(self.powers):
+            self.powers = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(2 * longest, FACTOR))])
+        firsts = np.cumsum(lengths) - lengths
+        place = np.arange(firsts[-1] + lengths[-1]) - np.repeat(firsts, lengths)
+        h = np.add.reduceat((raw[~blank] + np.uint64(1)) * self.powers[place], firsts)
+        h = (h ^ (h >> np.uint64(32))) * FACTOR
+        return (h >> np.uint64(32)).astype(np.uint32)
 
 
 def shingles(h: np.ndarray) -> np.ndarray:
@@ -59,7 +71,7 @@ def shingles(h: np.ndarray) -> np.ndarray:
         return np.empty(0, np.uint64)
     out = np.zeros(n, np.uint64)
     for i in range(K):
-        out = (out ^ h[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out = (out ^ h[i : i + n]) * FACTOR
         out ^= out >> np.uint64(32)
     return out
 
@@ -68,10 +80,15 @@ def minimizers(s: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """Positions that are the (rightmost) least of some window of shingles."""
     if len(s) <= window:
         return np.array([len(s) - 1 - s[::-1].argmin()], np.int64) if len(s) else np.empty(0, np.int64)
-    views = np.lib.stride_tricks.sliding_window_view(s[::-1], window)
-    at = views.argmin(axis=1) + np.arange(len(views))
+    least, at, width = s, np.arange(len(s)), 1
+    while width < window:  # the least of twice as many shingles each time
+        step = min(width, window - width)
+        right = least[step:] <= least[:-step]
+        at = np.where(right, at[step:], at[:-step])
+        least = np.minimum(least[step:], least[:-step])
+        width += step
     keep = np.zeros(len(s), bool)
-    keep[len(s) - 1 - at] = True
+    keep[at] = True
     return np.flatnonzero(keep)
 
 
