@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -406,6 +407,51 @@ def _extend(x: list[int], y: list[int]) -> tuple[int, int]:
     return out
 
 
+def _words(c: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All words of a column of slices, and where each slice starts, with the end of the last."""
+    if not len(c):
+        return np.empty(0, np.uint32), np.zeros(1, np.int64)
+    _, offsets, data = c.buffers()
+    ends = np.frombuffer(offsets, np.int32)[c.offset : c.offset + len(c) + 1].astype(np.int64) // 4
+    return np.frombuffer(data, np.uint32, ends[-1]), ends
+
+
+def _extend_all(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, room: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """_extend for many pairs: from words i of x and j of y on, by step, for at most room words each."""
+    n = np.arange(REACH)
+    there = n < room[:, None]
+    at, other = (np.where(there, k[:, None] + step * n, 0) for k in (i, j))
+    same = (x[at] == y[other]) & there
+    score = np.cumsum(np.where(same, MATCH, MISS), axis=1)
+    best = np.maximum(np.maximum.accumulate(score, axis=1), 0)
+    over = np.logical_or.accumulate(~there | (score < best - DROP), axis=1)
+    score = np.where(over, 0, score)
+    top = score.argmax(axis=1)
+    rows = np.arange(len(i))
+    good = score[rows, top] > 0
+    return np.where(good, top + 1, 0), np.where(good, np.cumsum(same, axis=1)[rows, top], 0)
+
+
+def align_lone(b: pa.RecordBatch, similarity: float = SIMILARITY) -> list[np.ndarray]:
+    """align for chains of one match, all of them at once: doc, source, both spans and similarity."""
+    (x, xs), (y, ys) = (_words(b.column(n)) for n in ("a_words", "b_words"))
+    doc, source, s, ss = (b.column(n).to_numpy(zero_copy_only=False) for n in ("doc", "source", "s", "ss"))
+    at, other = (b.column(n).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for n in ("at", "source_at"))
+    if not len(doc):
+        return [doc, source, at, at, other, other, np.empty(0)]
+    i, j = at - s + xs[:-1], other - ss + ys[:-1]
+    ahead = _extend_all(x, y, i + K, j + K, np.minimum(xs[1:] - i, ys[1:] - j) - K, 1)
+    back = _extend_all(x, y, i - 1, j - 1, np.minimum(i - xs[:-1], j - ys[:-1]), -1)
+    # What lies beyond the ends may not cost the match its similarity: the longest of four ways that doesn't.
+    none = np.zeros_like(i), np.zeros_like(i)
+    ways = [(v, u) for v in (ahead, none) for u in (back, none)]
+    alike = [(K + v[1] + u[1]) >= similarity * (K + v[0] + u[0]) - 1e-9 for v, u in ways]
+    way = np.argmax([np.where(ok, v[0] + u[0], -1) for ok, (v, u) in zip(alike, ways, strict=True)], axis=0)
+    after, before = np.where(way < 2, ahead, 0), np.where(way % 2 == 0, back, 0)
+    same = (K + after[1] + before[1]) / (K + after[0] + before[0])
+    return [doc, source, at - before[0], at + K + after[0], other - before[0], other + K + after[0], same]
+
+
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, text) -> (doc_id, start_word, end_word, source_doc_id, source_start, source_end, similarity).
 
@@ -428,15 +474,18 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only()
         for b in batches:
-            d = b.to_pydict()
+            lone = pc.equal(pc.list_value_length(b.column("at")), 1)
+            yield batch(align_lone(b.filter(lone), similarity))
+            d = b.filter(pc.invert(lone)).to_pydict()
             out = []
-            for i in range(b.num_rows):
-                s, ss = d["s"][i], d["ss"][i]
+            for i, (s, ss) in enumerate(zip(d["s"], d["ss"], strict=True)):
                 x, y = np.frombuffer(d["a_words"][i], np.uint32), np.frombuffer(d["b_words"][i], np.uint32)
                 for u, v, p, q, same in align(x, y, [z - s for z in d["at"][i]], [z - ss for z in d["source_at"][i]], similarity):
                     out.append((d["doc"][i], d["source"][i], s + u, s + v, ss + p, ss + q, same))
-            cols = list(zip(*out)) or [()] * 7
-            yield pa.record_batch([*(pa.array(x, pa.int64()) for x in cols[:2]), *(pa.array(x, pa.int32()) for x in cols[2:6]), pa.array(cols[6], pa.float64())], names=["doc", "source", "start", "stop", "source_start", "source_stop", "same"])
+            yield batch(list(zip(*out)) or [()] * 7)
+
+    def batch(cols: list) -> pa.RecordBatch:
+        return pa.record_batch([*(pa.array(x, pa.int64()) for x in cols[:2]), *(pa.array(x, pa.int32()) for x in cols[2:6]), pa.array(cols[6], pa.float64())], names=["doc", "source", "start", "stop", "source_start", "source_stop", "same"])
 
     aligned = c.select("doc", "source", "at", "source_at", "s", "ss", "a_words", "b_words").mapInArrow(run, "doc long, source long, start int, stop int, source_start int, source_stop int, same double").where(F.col("same") >= similarity)
 

@@ -172,3 +172,48 @@ def test_rows_are_those_of_brute_force(spark):
         want |= {best} - {None}
     got = {tuple(r) for r in substring.repeated_passages(documents(spark, rows)).collect()}
     assert got == want and len(want) == 9
+
+
+def test_words_have_hashes_of_their_own():
+    r, words, seen = random.Random(1), substring.WordHashes(), {}
+    for _ in range(2000):
+        t = bytes(r.choice(b" \t\n\r\v\faAbBzZ\xc3\xa9\x00\xff") for _ in range(r.randrange(40)))
+        h, want = words.of(t), t.lower().split()
+        assert len(h) == len(want) and all(seen.setdefault(w, x) == x for w, x in zip(want, h))
+    assert len(set(seen.values())) == len(seen) > 1000
+    assert len(words.of(None)) == len(words.of(b" \n")) == 0
+    assert len(set(words.of(b"x" * 300_000 + b" y " + b"X" * 300_000).tolist())) == 2
+
+
+def test_minimizers_are_the_rightmost_least():
+    g = np.random.default_rng(0)
+    for _ in range(300):
+        s = g.integers(0, g.integers(1, 40) + 1, g.integers(0, 60)).astype(np.uint64)
+        for w in (1, 2, 3, 5, 8, 12):
+            views = [s[i : i + w] for i in range(max(1, len(s) - w + 1))] if len(s) else []
+            assert substring.minimizers(s, w).tolist() == sorted({i + len(v) - 1 - int(v[::-1].argmin()) for i, v in enumerate(views)})
+
+
+def test_lone_matches_are_aligned_as_others():
+    import pyarrow as pa
+
+    g, rows = np.random.default_rng(5), []
+    for n in range(2000):
+        a = g.integers(0, 6, 130, dtype=np.uint32)
+        b, changed = a.copy(), g.random(130) < g.random() / 2
+        b[changed] = g.integers(0, 6, changed.sum())
+        p = int(g.integers(0, 100))
+        b[p : p + 5] = a[p : p + 5]
+        s, ss = max(0, p - substring.REACH), max(0, p - int(g.integers(0, substring.REACH + 1)))
+        e, ee = (min(int(g.integers(p + 5, 131)), p + 5 + substring.REACH) for _ in "ab")
+        rows.append((n, n + 1, [p + 7], [p + 3], s + 7, ss + 3, a[s:e].tobytes(), b[ss:ee].tobytes()))
+    kinds = pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.binary(), pa.binary()
+    names = ["doc", "source", "at", "source_at", "s", "ss", "a_words", "b_words"]
+    whole = pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+    for batch in (whole, whole.slice(17, 500), whole.slice(0, 0)):
+        want = []
+        for r in batch.to_pylist():
+            x, y = (np.frombuffer(r[n], np.uint32) for n in ("a_words", "b_words"))
+            for u, v, p, q, same in substring.align(x, y, [r["at"][0] - r["s"]], [r["source_at"][0] - r["ss"]]):
+                want.append((r["doc"], r["source"], r["s"] + u, r["s"] + v, r["ss"] + p, r["ss"] + q, same))
+        assert list(zip(*(np.asarray(c).tolist() for c in substring.align_lone(batch)))) == want
