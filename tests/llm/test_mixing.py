@@ -64,8 +64,15 @@ def test_rounding_keeps_expectations():
 
 
 def test_query(spark, tables):
-    rows = queries.op9_source_mixing(spark, tables).collect()
-    assert sum(r.size for r in rows) == pytest.approx(sum({r.source_size: 0 for r in rows} or [0]), rel=1) and all(0 <= r.taken <= 3 * r.size for r in rows)
+    rows = {r.doc_id: r for r in queries.op9_source_mixing(spark, tables).collect()}
+    docs = spark.read.parquet(f"{tables}/documents.parquet").select("doc_id", "text", "source").collect()
+    assert len(rows) == len(docs) and all(rows[d.doc_id].size == len((d.text or "").encode().split()) for d in docs)
+    names = sorted({d.source for d in docs}, key=lambda s: (s is None, s or ""))
+    own = [[rows[d.doc_id] for d in docs if d.source == s] for s in names]
+    sizes = [sum(r.size for r in o) for o in own]
+    for o, n, t in zip(own, sizes, mixing.fill(sizes, [mixing.WEIGHTS[i % 3] for i in range(len(names))]), strict=True):
+        assert {r.source_size for r in o} == {n} and all(r.target == pytest.approx(t) and 0 <= r.taken <= 3 * r.size for r in o)
+        assert abs(sum(r.taken for r in o) - t) <= 3 * max(r.size for r in o)
 
 
 def test_odd_rows(spark, odd, none):
