@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit, bpe, embed_dedup, langid, mixing, quality, simhash, substring, token_count, toxicity, url_filter
+from . import best_fit, bpe, centroids, embed_dedup, langid, mixing, quality, simhash, substring, token_count, toxicity, url_filter
 from .common import table
 
 URL_RULES = [
@@ -68,12 +68,17 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight clusters of all vectors with 64 finite components, after ten rounds. Other vectors have no row."""
+    return centroids.cluster(table(spark, sf_dir, "embeddings"), k=8, rounds=10, dim=64, salt="3")
+
+
 def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens. A null text is empty; repeated rows are documents of their own."""
     return best_fit.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = (op1_bpe_roundtrip, op2_language_id, op3_embedding_near_dedup, op4_toxicity, op5_quality_rules, op6_substring_dedup, op7_token_counts, op8_simhash_near_dedup, op9_source_mixing, op10_url_filter, op13_best_fit_packing)
+QUERIES = (op1_bpe_roundtrip, op2_language_id, op3_embedding_near_dedup, op4_toxicity, op5_quality_rules, op6_substring_dedup, op7_token_counts, op8_simhash_near_dedup, op9_source_mixing, op10_url_filter, op11_centroid_clustering, op13_best_fit_packing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
