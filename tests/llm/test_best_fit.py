@@ -101,13 +101,15 @@ def test_slots_stay_few():
     assert len(slots["length"]) < 70_000
 
 
-def test_stretches_are_exact(library, monkeypatch):
-    monkeypatch.setattr(best_fit, "SLICE", 7)
+def test_ids_are_the_library_s(library):
     encode, r = best_fit.Encoder(PATH), random.Random(8)
-    parts = ["a", "the", " ", "  ", "\n", "\t", "\x1c", "\x85", "　", "é", "1", "'s", "<|endoftext|>", "!", "中", "\U0001f600", "\xa0", "x" * 70]
+    parts = ["a", "the", " ", "  ", "\n", "\t", "\x1c", "\x85", "\u3000", "é", "1", "'s", "'LL", "<|endoftext|>", "!", "中", "\U0001f600", "\xa0", "x" * 70, "\u180e", "\u200b"]
     for _ in range(3000):
         text = "".join(r.choice(parts) for _ in range(r.randint(0, 30)))
-        assert b"".join(encode(text)) + b"\0\0\0\0" == plain(library, text)
+        assert encode(text) + b"\0\0\0\0" == plain(library, text)
+    for c in map(chr, [*range(0xD800), *range(0xE000, 0x20000, 7)]):
+        text = f"a{c} b {c}.{c}1{c}{c}"
+        assert encode(text) + b"\0\0\0\0" == plain(library, text)
 
 
 def test_query(spark, tables, library):
