@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit, bpe, centroids, embed_dedup, langid, mixing, quality, simhash, substring, token_count, toxicity, url_filter
+from . import best_fit, bpe, centroids, embed_dedup, langid, mixing, phrases, quality, simhash, substring, token_count, toxicity, url_filter
 from .common import table
 
 URL_RULES = [
@@ -73,12 +73,17 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"), k=8, rounds=10, dim=64, salt="3")
 
 
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 collocations of each language, phrases of up to five words that occur 100 times. A null lang is "und"."""
+    return phrases.collocations(table(spark, sf_dir, "documents"), least=100, within=100, top=2000)
+
+
 def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens. A null text is empty; repeated rows are documents of their own."""
     return best_fit.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = (op1_bpe_roundtrip, op2_language_id, op3_embedding_near_dedup, op4_toxicity, op5_quality_rules, op6_substring_dedup, op7_token_counts, op8_simhash_near_dedup, op9_source_mixing, op10_url_filter, op11_centroid_clustering, op13_best_fit_packing)
+QUERIES = (op1_bpe_roundtrip, op2_language_id, op3_embedding_near_dedup, op4_toxicity, op5_quality_rules, op6_substring_dedup, op7_token_counts, op8_simhash_near_dedup, op9_source_mixing, op10_url_filter, op11_centroid_clustering, op12_phrase_mining, op13_best_fit_packing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -104,6 +109,31 @@ SELECT page_id, host, path, best.rule AS rule,
 FROM judged
 """
 
+OP12_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n-\r]')) AS piece
+  FROM documents WHERE text IS NOT NULL),
+words AS (SELECT lang, regexp_extract_all(piece, '[^ \t]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+grams AS (
+  SELECT lang, s AS size, array_to_string(w[i:i + s - 1], ' ') AS phrase FROM (
+    SELECT lang, w, s, unnest(range(1, len(w) - s + 2)) AS i FROM words, (SELECT unnest([1, 2, 3, 4, 5]) AS s))),
+f AS (SELECT lang, size, phrase, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 100),
+cuts AS (
+  SELECT f.lang, f.size, f.phrase, f.a, l.a AS l, r.a AS r, t.n, k, 1000::HUGEINT * f.a * t.n // (l.a::HUGEINT * r.a) AS score
+  FROM (SELECT *, string_split(phrase, ' ') AS w, unnest(range(1, size)) AS k FROM f WHERE size > 1) f
+  JOIN f l ON l.lang = f.lang AND l.phrase = array_to_string(f.w[:k], ' ') JOIN f r ON r.lang = f.lang AND r.phrase = array_to_string(f.w[k + 1:], ' ')
+  JOIN totals t ON t.lang = f.lang),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_ AS (
+  SELECT lang, array_to_string(w[i:i + s - 1], ' ') AS phrase, max(a) AS most FROM (
+    SELECT lang, a, w, s, unnest(range(1, size - s + 2)) AS i FROM (SELECT lang, a, size, string_split(phrase, ' ') AS w, unnest(range(2, size)) AS s FROM f WHERE size > 2)) GROUP BY ALL),
+kept AS (SELECT b.* FROM best b LEFT JOIN inner_ i ON i.lang = b.lang AND i.phrase = b.phrase WHERE i.most IS NULL OR 100 * i.most < 100 * b.a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score FROM kept)
+WHERE rank <= 2000
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_url_filter": OP10_SQL}
+    return {"op10_url_filter": OP10_SQL, "op12_phrase_mining": OP12_SQL}
