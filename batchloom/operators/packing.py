@@ -1,8 +1,7 @@
 """Order-preserving packing of requests into parts under token, byte and record limits.
 
 Within a batch a new part begins where the model changes and where one more request would break a limit. Runs of
-one model start empty, so they are packed independently and side by side; parts are then numbered through the
-batch by a running sum over runs.
+one model start empty; a long run is cut in blocks whose maps from entry to exit are composed (cuts.py).
 """
 
 from __future__ import annotations
@@ -14,7 +13,8 @@ from ..errors import TokenLimitExceeded, ValidationError
 from ..functions.render import line_bytes, request_line
 from ..functions.tokens import Tokenizer, Tokenizers, request_tokens, whitespace_tokens
 from ..storage import bounded, materialize
-from .fold import Row, ordered_fold
+from .cuts import BLOCK as ROWS
+from .cuts import Most, assigned
 
 ORDER = ["created_at", "request_uuid"]
 #: Requests aimed at in a span of a batch.
@@ -85,10 +85,11 @@ def runs(requests: DataFrame, batch: str = "batch_uuid", by_model: bool = True,
     return numbered.withColumn("run_index", F.col("before_") + inside).drop("b_", "s_", "span_", "changed_", "before_")
 
 
-def pack(requests: DataFrame, max_tokens: int, max_bytes: int | None = None, max_records: int | None = None, batch: str = "batch_uuid", by_model: bool = True, on_oversize: str = "error") -> DataFrame:
+def pack(requests: DataFrame, max_tokens: int, max_bytes: int | None = None, max_records: int | None = None, batch: str = "batch_uuid", by_model: bool = True, on_oversize: str = "error", block: int = ROWS) -> DataFrame:
     """Measured requests -> (batch, request_uuid, model_name, part_index, position, total_tokens, byte_size).
 
-    A request above a limit on its own raises, or is left out if on_oversize is "quarantine".
+    A request above a limit on its own raises, or is left out if on_oversize is "quarantine". A run is cut in blocks of
+    rows side by side, however long it is.
     """
     if on_oversize not in ("error", "quarantine"):
         raise ValidationError("on_oversize is error or quarantine", value=on_oversize)
@@ -101,28 +102,12 @@ def pack(requests: DataFrame, max_tokens: int, max_bytes: int | None = None, max
     elif (bad := slim.where(large).select("request_uuid", "total_tokens").head()) is not None:
         raise TokenLimitExceeded("a request is larger than any part", request=bad[0], tokens=bad[1])
 
-    def start() -> list[int]:
-        return [0, 0, 0, 0]  # part, tokens, bytes, records
+    return assigned(slim, Most(max_tokens, most_bytes, most_records), by_model, block)
 
-    def step(s: list[int], r: Row) -> tuple[list[int], list[Row]]:
-        part, tokens, size, records = s
-        if records and (tokens + r["total_tokens"] > max_tokens or size + r["byte_size"] > most_bytes or records >= most_records):
-            part, tokens, size, records = part + 1, 0, 0, 0
-        s = [part, tokens + r["total_tokens"], size + r["byte_size"], records + 1]
-        return s, [{**r, "part_in_run": part, "position": records + 1}]
 
-    schema = "batch_uuid string, request_uuid string, model_name string, run_index long, part_in_run long, position long, total_tokens long, byte_size long"
-    packed = materialize(ordered_fold(runs(slim, by_model=by_model), ["batch_uuid", "run_index"], ORDER, schema, start, step), "packed")
-    counts = packed.groupBy("batch_uuid", "run_index").agg((F.max("part_in_run") + 1).alias("n"))
-    w = Window.partitionBy("batch_uuid").orderBy("run_index").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select(F.col("batch_uuid").alias("b_"), F.col("run_index").alias("r_"), F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
-    numbered = packed.join(before, F.col("batch_uuid").eqNullSafe(F.col("b_")) & (F.col("run_index") == F.col("r_")))
-    return numbered.select("batch_uuid", "request_uuid", "model_name", (F.col("before") + F.col("part_in_run")).alias("part_index"), "position", "total_tokens", "byte_size")
-
-
-def parts(assigned: DataFrame, max_files: int | None = None) -> DataFrame:
+def parts(assigned_: DataFrame, max_files: int | None = None) -> DataFrame:
     """A row per part: its model, totals, and whether it is ready or overflows the job."""
-    out = assigned.groupBy("batch_uuid", "part_index").agg(F.first("model_name").alias("model_name"), F.count("*").alias("record_count"), F.sum("total_tokens").alias("total_tokens"), F.sum("byte_size").alias("byte_size"))
+    out = assigned_.groupBy("batch_uuid", "part_index").agg(F.first("model_name").alias("model_name"), F.count("*").alias("record_count"), F.sum("total_tokens").alias("total_tokens"), F.sum("byte_size").alias("byte_size"))
     return out.withColumn("state", F.when(F.lit(max_files is None) | (F.col("part_index") < F.lit(max_files or 0)), "ready").otherwise("overflow"))
 
 

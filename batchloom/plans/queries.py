@@ -124,6 +124,17 @@ def pack_assignment(spark: SparkSession, d: str) -> DataFrame:
     return _packed(spark, d)
 
 
+@query(f"""WITH RECURSIVE {MEASURED}, o AS (SELECT *, row_number() OVER (ORDER BY created, request_uuid) AS rn FROM mea WHERE tokens <= {MAX_TOKENS} AND bytes <= {MAX_BYTES}),
+p AS (SELECT request_uuid, rn, 0::BIGINT AS part, tokens AS t, bytes AS b, 1::BIGINT AS n, tokens, bytes FROM o WHERE rn = 1
+  UNION ALL SELECT o.request_uuid, o.rn, p.part + c.cut::INT, CASE WHEN c.cut THEN 0 ELSE p.t END + o.tokens, CASE WHEN c.cut THEN 0 ELSE p.b END + o.bytes, CASE WHEN c.cut THEN 0 ELSE p.n END + 1, o.tokens, o.bytes
+  FROM p JOIN o ON o.rn = p.rn + 1, LATERAL (SELECT p.t + o.tokens > {MAX_TOKENS} OR p.b + o.bytes > {MAX_BYTES} OR p.n + 1 > {MAX_RECORDS} AS cut) c)
+SELECT 'all' AS batch_uuid, request_uuid, 'any' AS model_name, part AS part_index, n AS position, tokens AS total_tokens, bytes AS byte_size FROM p""")
+def pack_single_run(spark: SparkSession, d: str) -> DataFrame:
+    """All documents one batch of one model: a single run, cut in several tasks."""
+    m = _measured(spark, d).withColumns({"batch_uuid": F.lit("all"), "model_name": F.lit("any")})
+    return packing.pack(m, MAX_TOKENS, MAX_BYTES, MAX_RECORDS, on_oversize="quarantine")
+
+
 @query(f"""WITH RECURSIVE {MEASURED}, o AS (SELECT *, row_number() OVER (PARTITION BY batch_uuid ORDER BY created, request_uuid) AS rn FROM mea WHERE tokens <= {MAX_TOKENS}),
 p AS (SELECT batch_uuid, rn, 0::BIGINT AS part, tokens AS t, 1::BIGINT AS n, tokens FROM o WHERE rn = 1
   UNION ALL SELECT o.batch_uuid, o.rn, p.part + c.cut::INT, CASE WHEN c.cut THEN 0 ELSE p.t END + o.tokens, CASE WHEN c.cut THEN 0 ELSE p.n END + 1, o.tokens

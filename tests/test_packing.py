@@ -1,13 +1,15 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from batchloom.errors import TokenLimitExceeded, ValidationError
-from batchloom.operators import packing, payloads
+from batchloom.operators import cuts, packing, payloads
 
 SLIM = "batch_uuid string, request_uuid string, model_name string, created_at timestamp, total_tokens long, byte_size long"
 
@@ -79,14 +81,49 @@ def test_internal_split(spark):
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.sampled_from("pqr"), st.sampled_from("xy"), st.integers(0, 9), st.integers(1, 9)), max_size=40), st.integers(9, 25), st.integers(9, 30), st.integers(1, 5))
 def test_packing_is_the_plain_fold(spark, rows, tokens, size, records):
-    got = packing.pack(slim(spark, rows), tokens, size, records).collect()
+    got = packing.pack(slim(spark, rows), tokens, size, records, block=7).collect()
     assert {r.request_uuid: (r.part_index, r.position) for r in got} == brute(rows, tokens, size, records)
 
 
+@pytest.mark.parametrize(("block", "tokens", "size", "records"), [(1, 9, 300, 500), (3, 200, 500, 7), (5, 60, 47, 1 << 40), (16, 1 << 40, 1 << 40, 45)])
+def test_one_run_over_many_blocks(spark, block, tokens, size, records):
+    """Parts shorter and longer than blocks, zeros, and a second batch behind."""
+    r = random.Random(block)
+    rows = [("p", "x", r.choice([0, 0, r.randint(0, 9)]), r.randint(1, 9)) for _ in range(170)] + [("q", None, 1, 1)] * 40
+    got = packing.pack(slim(spark, rows), tokens, size, records, block=block).collect()
+    assert {x.request_uuid: (x.part_index, x.position) for x in got} == brute(rows, tokens, size, records)
+
+
+def test_a_run_is_spread_over_tasks(spark):
+    rows = slim(spark, [("p", "x", 1, 1)] * 500)
+    blocks = cuts.blocks_of(rows, True, 50)
+    found = blocks.select("part", "seq", "n", "token_sum", "size_sum", "first_change", "first", "last").collect()
+    assert len({r.part for r in found}) > 1 and max(r.n for r in found) <= 50
+    at = cuts.Layout.of(found, True)
+    assert at.rows[-1] == 500 and sum(at.begins_run) == 1 and at.longest_run() == len(found) - 1
+    assert packing.pack(rows.limit(0), 5).collect() == []
+
+
+def test_the_plan_has_no_single_task(spark):
+    packed = packing.pack(slim(spark, [("p", "x", 1, 1)] * 50), 7, block=9)
+    assert "SinglePartition" not in packed._jdf.queryExecution().executedPlan().toString()
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 9), st.integers(1, 9), st.booleans()), min_size=1, max_size=60), st.integers(9, 40), st.integers(9, 40), st.integers(1, 9))
+def test_pointers_are_the_plain_chain(rows, tokens, size, records):
+    t, s, heads = (np.array(c) for c in zip(*rows, strict=True))
+    p = cuts.Pointers(t, s, heads, cuts.Most(tokens, size, records))
+    for i in range(len(rows)):
+        j, T, S = i, 0, 0
+        while j < len(rows) and (j == i or not heads[j]) and T + t[j] <= tokens and S + s[j] <= size and j - i < records:
+            T, S, j = T + t[j], S + s[j], j + 1
+        assert p.next[i] == j
+        assert p.last()[i] == p.cuts(i)[-1]
+
+
 @pytest.mark.parametrize("block", [1, 3, 7, 1000])
 def test_runs_do_not_depend_on_spans(spark, block):
-    import random
-
     r = random.Random(block)
     rows = [(r.choice("pq"), r.choice(["x", "y", None]), 1, 1) for _ in range(60)]
     got = {x.request_uuid: x.run_index for x in packing.runs(slim(spark, rows), block=block).collect()}
