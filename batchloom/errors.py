@@ -33,6 +33,10 @@ class CheckpointConflict(EngineError):
     code = "CHECKPOINT_CONFLICT"
 
 
+class StoreConflict(EngineError):
+    code = "STORE_CONFLICT"
+
+
 class ResultApplicationError(EngineError):
     code = "RESULT_APPLICATION_ERROR"
 

@@ -1,4 +1,4 @@
-"""Compare-and-swap of checkpoints, as a fold over attempts in order."""
+"""Compare-and-swap of checkpoints: a fold over attempts in order, alone or onto a stored table."""
 
 from __future__ import annotations
 
@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import CheckpointConflict
+from ..sources.leases import Lease
+from ..sources.store import Merge, Store
+from ..storage import materialize
 from .fold import Row, ordered_fold
 
 KEYS = ["tenant_scope", "consumer", "endpoint_alias", "batch_id"]
@@ -49,6 +52,27 @@ def current(attempts: DataFrame) -> DataFrame:
     return ordered_fold(attempts, KEYS, ["attempt"], schema, lambda: None, step, lambda s: [{**s[0], "checkpoint": s[1]}] if s[1] else [])
 
 
+TABLE = "tenant_scope string, consumer string, endpoint_alias string, batch_id string, checkpoint struct<file_kind: string, file_id: string, file_line_number: bigint, batch_line_count: bigint, record_count: bigint, prefix_sha256: string>"
+
+
+def _after(stored: DataFrame, attempts: DataFrame) -> DataFrame:
+    """What is stored counts as an attempt before all others, which nothing precedes."""
+    kept = stored.select(*KEYS, F.lit(None).cast(attempts.schema["attempt"].dataType).alias("attempt"), "checkpoint", F.lit(None).cast(attempts.schema["expected_previous"].dataType).alias("expected_previous"))
+    return kept.unionByName(attempts.select(*KEYS, "attempt", "checkpoint", "expected_previous"))
+
+
+def save(store: Store, name: str, attempts: DataFrame, lease: Lease | None = None) -> DataFrame:
+    """Apply attempts to the stored checkpoints of a table and return the outcome of each.
+
+    Attempts of one call are made in their order, on one snapshot; a call that another writer overtakes is made again on
+    the new one. So of two writers that expect the same checkpoint one gets expected_previous_stale.
+    """
+    attempts = materialize(attempts, "checkpoint-attempts")
+    base = store.merge({name: Merge(attempts, lambda stored, new: current(_after(stored, new)))}, lease=lease)
+    found = outcomes(_after(store.read(name, base), attempts)) if name in base.tables else outcomes(attempts)
+    return materialize(found.where("attempt IS NOT NULL"), "checkpoint-outcomes")
+
+
 def load(stored: DataFrame, tenant: str, consumer: str, endpoint_alias: str, batch_id: str) -> Row | None:
     """The checkpoint under a key. A row that breaks the rules of checkpoints is an error, as are two rows."""
     key = dict(zip(KEYS, (tenant, consumer, endpoint_alias, batch_id), strict=True))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import checks
 from ..functions.strict_json import canonical_metadata
 from ..schemas import TERMINAL_STATUSES
 from .fold import Row, ordered_fold
+from .order import numbered
 from .tenancy import visible
 
 KEYS = ["tenant_scope", "endpoint_alias", "remote_batch_id"]
@@ -121,4 +122,4 @@ def point(states: DataFrame, tenant: str | None, endpoint_alias: str, remote_bat
 
 def ordered(observations: DataFrame, reserved: int, by: list[str]) -> DataFrame:
     """Observations of one micro-batch with the next order numbers after those reserved so far."""
-    return observations.withColumn("observation_order", F.lit(reserved) + F.row_number().over(Window.orderBy(*by)))
+    return numbered(observations, by, "observation_order", reserved + 1)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..errors import CheckpointConflict, ValidationError
 from ..functions.strict_json import is_lenient_object, is_strict_object
 from ..schemas import exact_positive
+from ..sources.store import Merge, update
 from .fold import Row, ordered_fold
 
 KINDS = ("result", "error")
@@ -124,6 +125,19 @@ def imported(found: DataFrame) -> DataFrame:
     )
 
 
+REQUESTS = "request_uuid string, request_status string, response_content string, prompt_tokens int, completion_tokens int, total_tokens int"
+
+
+def import_merge(found: DataFrame) -> Merge:
+    """Imported results as an update of stored requests: what a result lacks stays as it is, a request that isn't stored is not made.
+
+    A custom_id that comes twice in the results counts once, with the larger content.
+    """
+    counts = ("prompt_tokens", "completion_tokens", "total_tokens")
+    once = found.where("custom_id IS NOT NULL").groupBy(F.col("custom_id").alias("request_uuid")).agg(F.max("response_content").alias("response_content"), *(F.max(n).alias(n) for n in counts))
+    return Merge(once, update(["request_uuid"], lambda o, n: {"request_status": F.lit("completed"), **{c: F.coalesce(n(c), o(c)) for c in ("response_content", *counts)}}))
+
+
 def require_complete(status: str, files: int) -> None:
     """Files are read of finished batches alone, and of those that have any."""
     if status not in ("completed", "failed", "expired", "cancelled"):

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import checks
-from ..operators import checkpoints, config, lifecycle, packing, payloads, reconcile, results, rules
+from ..operators import checkpoints, config, lifecycle, order, packing, payloads, reconcile, results, rules
 from ..operators.tenancy import visible
 from ..functions.tokens import Tokenizers
-from ..storage import materialize
 from ..schemas import DEFAULT_TENANT, HEALTH_COMPONENTS, REMOTE_STATUSES, Limits
+from ..sources.store import Merge, Store, insert, upsert
+from ..storage import materialize, shared_dir
+from ..streaming.ledger import Ledger
 from . import fixtures
 
 MAX_TOKENS, MAX_BYTES, MAX_RECORDS, MAX_FILES = 6000, 60_000, 50, 20
@@ -367,6 +371,77 @@ def checkpoint_current(spark: SparkSession, d: str) -> DataFrame:
     return checkpoints.current(fixtures.cas_attempts(spark, d)).select("batch_id", "checkpoint.record_count")
 
 
+def _store(spark: SparkSession) -> Store:
+    return Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+
+
+@query(f"WITH RECURSIVE {ATTEMPTS} SELECT batch_id, stored AS record_count FROM swp WHERE stored IS NOT NULL QUALIFY row_number() OVER (PARTITION BY batch_id ORDER BY rn DESC) = 1")
+def checkpoint_store(spark: SparkSession, d: str) -> DataFrame:
+    """Attempts saved to one stored table by three writers at once, each with the batches of a third of the users."""
+    store, attempts = _store(spark), materialize(fixtures.cas_attempts(spark, d), "attempts")
+    store.create("checkpoints", checkpoints.TABLE, checkpoints.KEYS, buckets=8)
+
+    def write(k: int) -> None:
+        own = attempts.where(F.pmod(F.crc32(F.col("batch_id").cast("binary")), F.lit(3)) == k)
+        checkpoints.save(Store(spark, store.root), "checkpoints", own)
+
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(write, range(3)))
+    return store.read("checkpoints").select("batch_id", "checkpoint.record_count")
+
+
+@query("SELECT user_id, count(*) AS events, max(event_id) AS last_event, max(value) AS best, min_by(event_type, event_id) AS first_type FROM events GROUP BY ALL")
+def store_merges(spark: SparkSession, d: str) -> DataFrame:
+    """Two successive merges into a stored table, each with a part of the events of every user."""
+    store, e = _store(spark), fixtures.table(spark, d, "events")
+    store.create("users", "user_id long, events long, last_event long, best double, first_event long, first_type string", ["user_id"], buckets=8)
+
+    def both(o: Callable[[str], Column], n: Callable[[str], Column]) -> dict[str, Column]:
+        return {"events": o("events") + n("events"), "last_event": F.greatest(o("last_event"), n("last_event")), "best": F.greatest(o("best"), n("best")), "first_event": F.least(o("first_event"), n("first_event")), "first_type": F.when(n("first_event") < o("first_event"), n("first_type")).otherwise(o("first_type"))}
+
+    for part in (F.col("event_id") % 2 == 1, F.col("event_id") % 2 == 0):
+        seen = e.where(part).groupBy("user_id").agg(F.count("*").alias("events"), F.max("event_id").alias("last_event"), F.max("value").alias("best"), F.min("event_id").alias("first_event"), F.min_by("event_type", "event_id").alias("first_type"))
+        store.merge({"users": Merge(seen, upsert(["user_id"], both))})
+    return store.read("users").select("user_id", "events", "last_event", "best", "first_type")
+
+
+@query("SELECT 'c' || conv_id || '-t' || turn AS request_uuid, CASE WHEN role = 'assistant' THEN 'completed' ELSE 'queued' END AS request_status, CASE WHEN role = 'assistant' THEN text END AS response_content, CASE WHEN role = 'assistant' THEN turn END::INT AS prompt_tokens FROM conversations WHERE role IN ('assistant', 'user')")
+def result_import_update(spark: SparkSession, d: str) -> DataFrame:
+    """Results imported into stored requests; requests without one stay as they are."""
+    store, c = _store(spark), fixtures.table(spark, d, "conversations").where("role IN ('assistant', 'user')")
+    store.create("requests", results.REQUESTS, ["request_uuid"], buckets=8)
+    waiting = c.select(F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-t"), F.col("turn").cast("string")).alias("request_uuid"), F.lit("queued").alias("request_status"), *(F.lit(None).cast(t).alias(n) for n, t in (("response_content", "string"), ("prompt_tokens", "int"), ("completion_tokens", "int"), ("total_tokens", "int"))))
+    store.merge({"requests": Merge(waiting, insert(["request_uuid"]))})
+    found = results.imported(results.records(fixtures.result_files(spark, d)))
+    store.merge({"requests": results.import_merge(found)})
+    return store.read("requests").select("request_uuid", "request_status", "response_content", "prompt_tokens")
+
+
+@query("SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS observation_order FROM events")
+def order_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """All events numbered in one order, over many tasks."""
+    return order.numbered(fixtures.table(spark, d, "events").select("ts", "event_id"), ["ts", "event_id"], "observation_order").select("event_id", "observation_order")
+
+
+@query(f"""WITH {FILES}, add AS (SELECT batch_id, 'consumer-' || c AS consumer, count(*) AS applied, max(record_count) AS progress FROM rec, (SELECT unnest([0, 1]) AS c) WHERE file_kind = 'result' AND (c = 0 OR record_count <= 2) GROUP BY ALL) SELECT * FROM add""")
+def result_ledger(spark: SparkSession, d: str) -> DataFrame:
+    """Result records applied by two consumers, one of them in two micro-batches of which one comes twice."""
+    store = _store(spark)
+    store.create("applied", "batch_id string, consumer string, applied long", ["batch_id", "consumer"], buckets=8)
+    found = materialize(results.checkpoints(fixtures.result_files(spark, d), "gw-0").where("file_kind = 'result'"), "checkpointed")
+
+    def effect(consumer: str) -> Callable[[DataFrame], dict[str, Merge]]:
+        add = upsert(["batch_id", "consumer"], lambda o, n: {"applied": o("applied") + n("applied")})
+        return lambda fresh: {"applied": Merge(fresh.groupBy("batch_id").agg(F.count("*").alias("applied")).withColumn("consumer", F.lit(consumer)), add)}
+
+    first = found.where("record_count <= 2")
+    for consumer, parts in (("consumer-0", ((first, 0), (first, 0), (found, 1))), ("consumer-1", ((first, 0),))):
+        ledger = Ledger(store, "tenant-0", consumer, effect(consumer), buckets=8)
+        for records, epoch in parts:
+            ledger(records, epoch)
+    return store.read("applied").join(store.read("result_progress").select("batch_id", "consumer", "record_count"), ["batch_id", "consumer"]).select("batch_id", "consumer", "applied", F.col("record_count").alias("progress"))
+
+
 @query("SELECT 'batch-' || user_id AS remote_batch_id, count(*) AS observations FROM events WHERE user_id % 3 = 2 GROUP BY ALL")
 def tenant_visible(spark: SparkSession, d: str) -> DataFrame:
     return visible(fixtures.observations(spark, d), "tenant-2").groupBy("remote_batch_id").agg(F.count("*").alias("observations"))
