@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.render import json_text
 from ..functions.tokens import whitespace_tokens
+from ..storage import shared_dir
 
 EPOCH = 1_704_067_200  # 2024-01-01
 
@@ -97,6 +99,15 @@ def result_files(spark: SparkSession, d: str) -> DataFrame:
     return out.select("batch_id", "file_kind", F.concat("batch_id", F.lit("."), "file_kind").alias("file_id"), "content")
 
 
+def stored_result_files(spark: SparkSession, d: str) -> DataFrame:
+    """The same files written to the shared folder, by their places there."""
+    root = f"{shared_dir(spark)}/result-files-{uuid.uuid4().hex}"
+    files = result_files(spark, d).select("batch_id", "file_kind", F.regexp_replace("content", r"\n\z", "").alias("value"))
+    files.repartition("batch_id", "file_kind").write.partitionBy("batch_id", "file_kind").text(root)
+    found = spark.read.format("binaryFile").load(root).select("batch_id", "file_kind", "path", "length")
+    return found.select(F.col("batch_id").cast("string").alias("batch_id"), F.col("file_kind").cast("string").alias("file_kind"), F.concat("batch_id", F.lit("."), "file_kind").alias("file_id"), "path", "length")
+
+
 def cas_attempts(spark: SparkSession, d: str) -> DataFrame:
     """Save attempts per user in the order of events: advances, repeats, stale and missing expectations."""
     e = table(spark, d, "events").select("event_id", "user_id", F.get_json_object("props", "$.k").cast("long").alias("k"))

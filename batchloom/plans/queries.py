@@ -14,6 +14,7 @@ from ..operators import checkpoints, config, lifecycle, order, packing, payloads
 from ..operators.tenancy import visible
 from ..functions.tokens import Tokenizers
 from ..schemas import DEFAULT_TENANT, HEALTH_COMPONENTS, REMOTE_STATUSES, Limits
+from ..sources.ranges import Budgets, Reading
 from ..sources.store import Merge, Store, insert, upsert
 from ..storage import materialize, shared_dir
 from ..streaming.ledger import Ledger
@@ -330,7 +331,15 @@ def result_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {FILES}, b AS (SELECT batch_id, 'batch_lines' AS budget, min(batch_line_count) AS at_line FROM bat WHERE batch_line_count > 6 GROUP BY ALL UNION ALL SELECT batch_id, 'batch_records', min(batch_line_count) FROM rec WHERE record_count > 5 GROUP BY ALL UNION ALL SELECT batch_id, 'line_bytes', min(batch_line_count) FROM bat WHERE strlen(raw) > 1500 GROUP BY ALL UNION ALL SELECT DISTINCT batch_id, 'file_bytes', 0 FROM fil WHERE strlen(content) > 4000) SELECT * FROM b")
 def result_budgets(spark: SparkSession, d: str) -> DataFrame:
-    return results.over_budget(fixtures.result_files(spark, d), file_bytes=4000, line_bytes=1500, batch_lines=6, batch_records=5)
+    return Reading(fixtures.stored_result_files(spark, d), Budgets(file_bytes=4000, line_bytes=1500, batch_lines=6, batch_records=5), range_bytes=700).broken()
+
+
+@query(f"WITH {FILES}, off AS (SELECT batch_id, file_kind, sum(strlen(raw) + 1)::BIGINT AS bytes, count(*) AS lines FROM bat GROUP BY ALL) SELECT r.batch_id, r.file_kind, file_line_number, batch_line_count, record_count, record, bytes AS file_bytes, lines AS file_lines FROM rec r JOIN off USING (batch_id, file_kind)")
+def result_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Records of stored files read in ranges of 700 bytes, beside where the reading has ended."""
+    reading = Reading(fixtures.stored_result_files(spark, d), range_bytes=700)
+    ends = reading.offsets().select("batch_id", "file_kind", F.col("bytes").alias("file_bytes"), F.col("lines").alias("file_lines"))
+    return reading.records().join(ends, ["batch_id", "file_kind"]).select("batch_id", "file_kind", "file_line_number", "batch_line_count", "record_count", "record", "file_bytes", "file_lines")
 
 
 @query(f"WITH {FILES} SELECT batch_id, file_kind, file_id, file_line_number, batch_line_count, record_count, true AS is_valid FROM rec")
