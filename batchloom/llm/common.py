@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..storage import materialize, shared_dir
 
-__all__ = ["connected_components", "forest", "materialize", "only", "shared_dir", "table", "texts", "unit"]
+__all__ = ["ROW", "connected_components", "forest", "materialize", "only", "packed", "shared_dir", "table", "texts", "unit", "unpacked"]
 
 #: ASCII white space as the contracts define it; everything else is part of a word.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -55,6 +55,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The column that holds a packed row.
+ROW = "row_"
+
+
+def packed(docs: DataFrame, *columns: Column) -> DataFrame:
+    """All columns of docs but `text`, if that is among those given, as one struct, beside those given: names that an operator uses can't meet the caller's."""
+    texts_ = {c for c in docs.columns if c == "text"} if "text" in docs.select(*columns).columns else set()
+    return docs.select(F.struct(F.lit(0).alias("0"), *(F.col(f"`{c}`") for c in docs.columns if c not in texts_)).alias(ROW), *columns)
+
+
+def unpacked(rows: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of docs again, those named with another value of the same type."""
+    return rows.select(*((changed[c].cast(docs.schema[c].dataType) if c in changed else F.col(ROW).getField(c)).alias(c) for c in docs.columns))
+
+
 def unit(key: Column, seed: int) -> Column:
     """A uniform number in [0, 1) that depends on the key and the seed alone."""
     return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import bounded
-from .common import WORD, materialize, unit
+from .common import ROW, WORD, materialize, packed, unit, unpacked
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_FACTOR = 3.0
@@ -79,7 +79,6 @@ def _round_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[
         heads = np.ones(len(d), bool)
         for k in keys:
             c = d[k].to_numpy()
-            heads[1:] &= True
             same = (c[1:] == c[:-1]) if k == keys[0] else same & (c[1:] == c[:-1])
         heads[1:] = ~same
         out = []
@@ -168,8 +167,8 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = M
     copies = mix(docs.select(key.alias("doc_id"), "text", "source"), weights, most, seed)
     copies = copies.groupBy(F.col("doc_id").alias("mixed_")).agg(F.sum("copies").cast("int").alias("copies_"), F.count("*").alias("rows_")).where("copies_ > 0")
     copies = materialize(copies, "mix-copies", compact=16)
-    rows, again = docs.withColumn("key_", key), copies.where("rows_ > 1")
+    rows, again = packed(docs, key.alias("key_")), copies.where("rows_ > 1")
     out = rows.join(bounded(copies.where("rows_ = 1"), BROADCAST_COPIES), F.col("key_") == F.col("mixed_"))
     if not again.isEmpty():
         out = out.unionByName(rows.join(bounded(again, BROADCAST_COPIES), F.col("key_") == F.col("mixed_")).dropDuplicates(["key_"]))
-    return out.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies_")))).select(*docs.columns)
+    return unpacked(out.select(ROW, F.explode(F.sequence(F.lit(1), F.col("copies_")))), docs)

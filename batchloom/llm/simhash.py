@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import bounded
-from .common import connected_components, forest, materialize, only, texts
+from .common import connected_components, forest, materialize, only, packed, texts, unpacked
 
 SEED = 42
 #: Fingerprints that the tree's vantage points and thresholds are fitted on, at most.
@@ -460,12 +460,11 @@ def without_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> Data
     first = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("key"))).alias("w")).select(F.col("w.key").alias("key_"))
     counts = groups.groupBy(F.col("key").alias("k_")).agg(F.count("*").alias("rows_"))
     kept = materialize(first.join(counts, F.col("key_") == F.col("k_")).select("key_", "rows_"), "near-kept", compact=16)
-    rows = docs.withColumn("row_key_", row_key())
-    once = rows.join(kept.where("rows_ = 1"), F.col("row_key_") == F.col("key_"), "left_semi").select(*docs.columns)
-    if (again := kept.where("rows_ > 1")).isEmpty():
-        return once
-    more = rows.join(again, F.col("row_key_") == F.col("key_"), "left_semi").dropDuplicates(["row_key_"])
-    return once.unionByName(more.select(*docs.columns))
+    rows = packed(docs, row_key().alias("row_key_"))
+    out = rows.join(kept.where("rows_ = 1"), F.col("row_key_") == F.col("key_"), "left_semi")
+    if not (again := kept.where("rows_ > 1")).isEmpty():
+        out = out.unionByName(rows.join(again, F.col("row_key_") == F.col("key_"), "left_semi").dropDuplicates(["row_key_"]))
+    return unpacked(out, docs)
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, k: int, sketched: bool = False) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import bounded
-from .common import materialize, only, texts
+from .common import ROW, materialize, only, packed, texts, unpacked
 from .simhash import _runs, _whole_groups, row_key
 
 K = 5
@@ -31,6 +31,8 @@ GAP = 0.1
 REACH = 40
 #: Rows that may be broadcast; beyond, the same join shuffles.
 BROADCAST_ROWS = 200_000
+#: Spans of one document that go with one copy of its text, about; words of slices that are sent at a time.
+SPANS, SLICE_WORDS = 1_000, 2_000_000
 MATCH, MISS, DROP = 1, -2, 8
 #: A match is alone if the document has no other one, with any source, this many words before or after it. The
 #: passages that rest on one match alone are left out: most such matches are chance.
@@ -296,22 +298,33 @@ def chained(found: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def slices(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Word hashes of (doc, start, stop): (doc, start, words), words cut at the text's end."""
+    """Word hashes of (doc, start, stop): (doc, start, stop, words), words cut at the text's end.
+
+    Each document's spans come as lists of about SPANS, so that a text goes once with each list and not with each span,
+    and a source that very many documents quote is dealt over tasks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only()
-        words, last, h = WordHashes(), None, np.empty(0, np.uint32)
+        words = WordHashes()
         for b in batches:
-            out = []
-            for d, t, i, j in zip(b.column("doc").to_pylist(), b.column("text"), b.column("start").to_pylist(), b.column("stop").to_pylist(), strict=True):
-                if (d, t) != last:
-                    last, h = (d, t), words.of(t.as_py())
-                out.append(h[i:j].tobytes())
-            yield pa.record_batch([b.column("doc"), b.column("start"), b.column("stop"), pa.array(out, pa.binary())], names=["doc", "start", "stop", "words"])
+            for d, t, spans in zip(b.column("doc").to_pylist(), b.column("text"), b.column("spans"), strict=True):
+                h = words.of(t.as_py())
+                start, stop = (spans.values.field(n).to_numpy() for n in ("start", "stop"))
+                sizes = np.cumsum(np.minimum(stop, len(h)) - np.minimum(start, len(h)))
+                at = 0
+                while at < len(start):
+                    to = max(at + 1, int(np.searchsorted(sizes, SLICE_WORDS + (sizes[at - 1] if at else 0), "right")))
+                    out = [h[i:j].tobytes() for i, j in zip(start[at:to].tolist(), stop[at:to].tolist(), strict=True)]
+                    yield pa.record_batch([pa.array([d] * (to - at), pa.int64()), pa.array(start[at:to]), pa.array(stop[at:to]), pa.array(out, pa.binary())], names=["doc", "start", "stop", "words"])
+                    at = to
 
     rows = texts(docs.where("doc_id IS NOT NULL AND text IS NOT NULL"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    both = rows.join(wanted, F.col("doc_id") == F.col("doc"))
-    return both.select("doc", "text", "start", "stop").mapInArrow(run, "doc long, start int, stop int, words binary")
+    counts = wanted.groupBy(F.col("doc").alias("of")).agg(F.ceil(F.count("*") / SPANS).alias("lists"))
+    dealt = wanted.join(counts, F.col("doc") == F.col("of")).withColumn("list", F.pmod(F.xxhash64("start", "stop"), "lists"))
+    lists = dealt.groupBy("doc", "list").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
+    both = rows.join(lists, F.col("doc_id") == F.col("doc"))
+    return both.select("doc", "text", "spans").mapInArrow(run, "doc long, start int, stop int, words binary")
 
 
 def align(a: np.ndarray, b: np.ndarray, at: list[int], other: list[int], similarity: float = SIMILARITY) -> list[tuple[int, int, int, int, float]]:
@@ -515,39 +528,44 @@ PASSAGE = ["doc_id", "start_word", "end_word", "source_doc_id", "source_start",
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """docs with passage_id_, by which no two different texts go: the doc_id where it is the only one or its row the
-    first of those that share it (by key); else, and for a null doc_id, a number above 2 ** 62."""
-    keyed = docs.withColumn("row_key_", row_key())
-    first = keyed.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("shared_")).agg(F.min("row_key_").alias("first_"), F.max("row_key_").alias("last_")).where("first_ <> last_")
-    first = bounded(materialize(first.select("shared_", "first_"), "shared-ids", compact=16), BROADCAST_ROWS)
-    both = keyed.join(first, F.col("doc_id").cast("long") == F.col("shared_"), "left")
-    own = F.col("row_key_").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
-    is_first = F.col("doc_id").isNotNull() & (F.col("shared_").isNull() | (F.col("row_key_") == F.col("first_")))
-    return both.withColumn("passage_id_", F.when(is_first, F.col("doc_id").cast("long")).otherwise(own)).drop("row_key_", "shared_", "first_")
+    """docs, packed, with passage_id, by which no two different texts go: the doc_id where it is the only one or its row
+    the first of those that share it (by key); else, and for a null doc_id, a number above 2 ** 62."""
+    keyed = packed(docs, row_key().alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    first = keyed.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("shared")).agg(F.min("row_key").alias("first"), F.max("row_key").alias("last")).where("first <> last")
+    first = bounded(materialize(first.select("shared", "first"), "shared-ids", compact=16), BROADCAST_ROWS)
+    both = keyed.join(first, F.col("doc_id") == F.col("shared"), "left")
+    own = F.col("row_key").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    is_first = F.col("doc_id").isNotNull() & (F.col("shared").isNull() | (F.col("row_key") == F.col("first")))
+    return both.select(ROW, F.when(is_first, F.col("doc_id")).otherwise(own).alias("passage_id"), "text")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs, all columns, without the passages that earlier documents have. Rows that share a doc_id, and rows without
     one, are documents of their own; identical ones are cut alike."""
     rows = numbered(docs)
-    found = repeated_passages(rows.select(F.col("passage_id_").alias("doc_id"), "text"))
-    return without_passages(rows, found, "passage_id_").select(*docs.columns)
+    found = repeated_passages(rows.select(F.col("passage_id").alias("doc_id"), "text"))
+    return unpacked(_cut(rows, found), docs, text=F.col("text"))
 
 
-def without_passages(docs: DataFrame, passages: DataFrame, key: str = "doc_id") -> DataFrame:
+def without_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """docs, all columns, with the passages cut out of their texts; a document that they make wordless goes.
 
     Spaces before a passage stay, those after it go with it. Documents without passages stay as they are.
     """
-    cuts = passages.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("cut_spans_")).withColumnRenamed("doc_id", "cut_doc_")
-    cuts = materialize(cuts, "cuts")
-    both = docs.join(bounded(cuts, BROADCAST_ROWS), docs[key] == F.col("cut_doc_"), "left")
+    rows = packed(docs, F.col("doc_id").cast("long").alias("passage_id"), F.col("text"))
+    return unpacked(_cut(rows, passages), docs, text=F.col("text"))
+
+
+def _cut(rows: DataFrame, passages: DataFrame) -> DataFrame:
+    """(row_, passage_id, text) with passages cut out of texts."""
+    cuts = passages.groupBy(F.col("doc_id").alias("cut_doc")).agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("cut_spans"))
+    both = rows.join(bounded(materialize(cuts, "cuts"), BROADCAST_ROWS), F.col("passage_id") == F.col("cut_doc"), "left")
     # Spaces and words in turn, from the spaces before the first word (maybe none) on. Each split stands outside
     # the lambda, which would else repeat it for every word.
     kept = F.expr(
         r"""filter(transform(zip_with(split(text, '[^\\x20\\x09-\\x0D]+'), filter(split(text, '[\\x20\\x09-\\x0D]+'), w -> w <> ''), (s, w) -> concat(s, w)),
-            (x, i) -> IF(exists(cut_spans_, c -> i >= c.start_word AND i < c.end_word), NULL, x)), x -> x IS NOT NULL)"""
+            (x, i) -> IF(exists(cut_spans, c -> i >= c.start_word AND i < c.end_word), NULL, x)), x -> x IS NOT NULL)"""
     )
-    both = both.withColumn("cut_kept_", F.when(F.col("cut_doc_").isNotNull(), kept)).where("cut_doc_ IS NULL OR size(cut_kept_) > 0")
-    text = F.when(F.col("cut_doc_").isNull(), F.col("text")).otherwise(F.concat(F.array_join("cut_kept_", ""), F.regexp_extract("text", r"([\x20\x09-\x0D]*)\z", 1)))
-    return both.withColumn("text", text).select(*docs.columns)
+    both = both.withColumn("kept", F.when(F.col("cut_doc").isNotNull(), kept)).where("cut_doc IS NULL OR size(kept) > 0")
+    text = F.when(F.col("cut_doc").isNull(), F.col("text")).otherwise(F.concat(F.array_join("kept", ""), F.regexp_extract("text", r"([\x20\x09-\x0D]*)\z", 1)))
+    return both.select(ROW, text.alias("text"))

@@ -5,8 +5,8 @@ import random
 import pytest
 
 #: doc_id, text, lang, source, n_chars, and columns whose names the operators use inside.
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, rep string, node int, component string, words int, size string, p string, u string, kind string, seed string, start string, doc string, hashes int"
-EXTRA = (1, "x", 2, "y", 3, "z", "q", "w", "e", "r", "t", "d", 9)
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, rep string, node int, component string, words int, size string, p string, u string, kind string, seed string, start string, doc string, hashes int, key_ string, rows_ int, copies_ string, row_key_ string, cut_doc_ int, passage_id_ string, row_ string, mixed_ int, shared int, kept string, lang_ string"
+EXTRA = (1, "x", 2, "y", 3, "z", "q", "w", "e", "r", "t", "d", 9, "k", 7, "c", "r", 5, "p", "o", 6, 8, "n", "l")
 
 
 def prose(seed: int, n: int = 120) -> str:

@@ -132,6 +132,24 @@ def test_many_copies_of_one_passage(spark):
     assert all(28 <= r.start_word <= 30 and 110 <= r.end_word <= 112 for r in rows)  # the words beside it may agree by chance
 
 
+def test_a_long_text_that_very_many_quote(spark):
+    """2 MB of text, quoted by 1,500 documents: it is sent a few times, not once for each."""
+    long_ = prose(77, 330_000).split(" ")
+    docs = documents(spark, [(0, " ".join(long_)), *((i, f"{prose(i, 20)} {' '.join(long_[200 * i : 200 * i + 70])} {prose(9000 + i, 20)}") for i in range(1, 1501))])
+    rows = {r.doc_id: r for r in substring.repeated_passages(docs).collect()}
+    assert len(rows) == 1500 and all(r.source_doc_id == 0 and abs(r.source_start - 200 * i) <= 3 and r.end_word - r.start_word >= 68 for i, r in rows.items())
+
+
+def test_spans_of_a_document_are_the_same_in_any_lists(spark, monkeypatch):
+    docs = documents(spark, [(i, prose(i, 50 + i)) for i in range(9)])
+    wanted = spark.createDataFrame([(i % 9, j, j + 3 * k) for i in range(9) for j in (0, 7, 45) for k in (1, 5, 40)], "doc long, start int, stop int").distinct()
+    want = sorted(map(tuple, substring.slices(docs, wanted).collect()))
+    monkeypatch.setattr(substring, "SPANS", 2)
+    assert sorted(map(tuple, substring.slices(docs, wanted).collect())) == want and len(want) == 81
+    for d, i, j, words in want:
+        assert len(words) == 4 * max(0, min(j, 50 + d) - i)
+
+
 def test_odd_rows(spark, odd, none):
     assert substring.repeated_passages(odd).count() == 0
     assert substring.repeated_passages(none).count() == 0
