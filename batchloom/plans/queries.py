@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import checks
 from ..operators import checkpoints, config, lifecycle, order, packing, payloads, reconcile, results, rules
+from ..operators import telemetry as metrics
 from ..operators.tenancy import visible
 from ..functions.tokens import Tokenizers
 from ..schemas import DEFAULT_TENANT, HEALTH_COMPONENTS, REMOTE_STATUSES, Limits
@@ -542,10 +543,18 @@ def dq_violations(spark: SparkSession, d: str) -> DataFrame:
     return rules.violations(n, {"counts": fine, "order": F.col("observation_order") > 0, "tenant": checks.is_scope(F.col("tenant_scope"))})
 
 
-@query("SELECT event_type, count(*) AS calls, count_if(value > 100)::BIGINT AS slow, max(value) AS longest FROM events GROUP BY ALL")
+@query("""WITH c AS (SELECT event_type AS operation, CASE WHEN value > 200 THEN 'failure' ELSE 'success' END AS outcome, CASE WHEN value > 300 THEN 'timeout' WHEN value > 200 THEN '_OTHER' END AS error_type, floor(value * 1000)::BIGINT AS m FROM events),
+b AS (SELECT *, CASE WHEN m < 8 THEN m ELSE 8 * (length(bin(m)) - 4) + (m >> (length(bin(m)) - 4)::BIGINT) END AS bucket FROM c),
+h AS (SELECT operation, outcome, error_type, bucket, count(*) AS n, sum(m) AS total, min(m) AS low, max(m) AS high FROM b GROUP BY ALL),
+r AS (SELECT *, sum(n) OVER (PARTITION BY operation, outcome, error_type ORDER BY bucket) AS reached, sum(n) OVER (PARTITION BY operation, outcome, error_type) AS calls,
+  greatest(low, CASE WHEN bucket < 8 THEN bucket ELSE (bucket % 8 + 8) << (bucket // 8 - 1) END) AS v FROM h)
+SELECT operation, outcome, error_type, sum(n)::BIGINT AS calls, sum(total)::BIGINT AS total_micros, min(low) AS low, max(high) AS high, min(v) FILTER (reached >= ceil(0.5 * calls)) AS p50, min(v) FILTER (reached >= ceil(0.99 * calls)) AS p99 FROM r GROUP BY ALL""")
 def telemetry(spark: SparkSession, d: str) -> DataFrame:
+    """Events as calls of an operation each, counted in two parts that are merged."""
     e = fixtures.table(spark, d, "events")
-    return e.groupBy("event_type").agg(F.count("*").alias("calls"), F.count_if(F.col("value") > 100).alias("slow"), F.max("value").alias("longest"))
+    calls = e.select("event_id", F.col("event_type").alias("operation"), F.when(F.col("value") > 200, "failure").otherwise("success").alias("outcome"), F.when(F.col("value") > 300, "timeout").when(F.col("value") > 200, "unheard of").alias("error_type"), F.floor(F.col("value") * 1000).alias("micros"))
+    parts = (metrics.histogram(calls.where(F.col("event_id") % 2 == k)) for k in (0, 1))
+    return metrics.summary(metrics.merged(*parts))
 
 
 @query("SELECT conv_id, max(turn) + 1 - min(turn) AS span, count(*) AS turns FROM conversations GROUP BY ALL")
