@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +36,44 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+class Scratch:
+    """Tables that a piece of work writes for itself alone."""
+
+    def __init__(self) -> None:
+        self.paths: dict[str, SparkSession] = {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """A written table that outlives the work: it belongs to whatever work surrounds this one."""
+        path = df.scratch_path
+        spark = self.paths.pop(path)
+        outer = [w for w in _works.open if w is not self]
+        if outer:
+            outer[-1].paths[path] = spark
+        return df
+
+
+class _Works(threading.local):
+    def __init__(self) -> None:
+        self.open: list[Scratch] = []
+
+
+_works = _Works()
+
+
+@contextlib.contextmanager
+def temporary() -> Iterator[Scratch]:
+    """What materialize() writes in here is deleted at the end, but for what is kept. Nothing that reads it may be left to run."""
+    work = Scratch()
+    _works.open.append(work)
+    try:
+        yield work
+    finally:
+        _works.open.pop()
+        for path, spark in work.paths.items():
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def materialize(df: DataFrame, label: str, compact: int = 0) -> DataFrame:
     """Write df once to the shared folder and read it back: lineage is cut and a lost executor costs nothing.
 
@@ -43,8 +84,12 @@ def materialize(df: DataFrame, label: str, compact: int = 0) -> DataFrame:
         spark = df.sparkSession
         df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // compact))
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    if _works.open:
+        _works.open[-1].paths[path] = df.sparkSession
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
 
 
 def bounded(df: DataFrame, rows: int, most: int = BROADCAST_BYTES) -> DataFrame:

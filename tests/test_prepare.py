@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import contextlib
+
 import datetime as dt
 import json
 
@@ -104,3 +106,24 @@ def test_command_line(tmp_path, capsys, monkeypatch):
     assert cli.main(["health", str(tmp_path)]) == 0 and json.loads(capsys.readouterr().out)["ready"] is False
     with pytest.raises(ValidationError):
         cli.read_text(b"x" * (cli.MAX_TEXT + 1))
+
+
+def test_scratch_tables_go_but_for_those_kept(spark):
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    from batchloom.storage import materialize, temporary
+
+    there = lambda df: Path(urlparse(df.scratch_path).path).exists()
+    with temporary() as outer:
+        a = materialize(spark.range(3), "a")
+        with temporary() as inner:
+            b, c = materialize(spark.range(4), "b"), inner.keep(materialize(spark.range(5), "c"))
+        assert there(a) and not there(b) and there(c) and c.count() == 5
+        outer.keep(a)
+    assert there(a) and a.count() == 3 and not there(c)
+    assert there(materialize(spark.range(1), "d"))
+    with contextlib.suppress(RuntimeError), temporary():
+        e = materialize(spark.range(2), "e")
+        raise RuntimeError
+    assert not there(e)
