@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import materialize, shared_dir
+from ..storage import Scratch, materialize, shared_dir, temporary
 
 __all__ = ["ROW", "connected_components", "forest", "materialize", "only", "packed", "shared_dir", "table", "texts", "unit", "unpacked"]
 
@@ -102,6 +102,11 @@ def connected_components(edges: DataFrame, label: str = "components", max_rounds
     """
     pairs = edges.select(F.col("src").cast("long").alias("u"), F.col("dst").cast("long").alias("v"))
     e = pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    with temporary() as work:
+        return _components(e, label, max_rounds, work)
+
+
+def _components(e: DataFrame, label: str, max_rounds: int, work: Scratch) -> DataFrame:
     e, before = materialize(e, label, compact=16), None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -112,6 +117,7 @@ def connected_components(edges: DataFrame, label: str = "components", max_rounds
         e = materialize(small, label, compact=16)
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 20)))).first()
         if now == before:
+            work.keep(e)
             nodes = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
             return nodes.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         before = now

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import bounded
+from ..storage import bounded, temporary
 from .common import materialize, only, texts
 
 #: Words of a phrase, at most.
@@ -358,6 +358,12 @@ class Trie:
 
 def counted(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     """(text, lang) -> all phrases of up to five words that occur `least` times, with their left parts; and words by lang."""
+    with temporary() as work:  # shards, buckets and tries go when phrases are counted
+        found, totals = _counted(docs, least)
+        return work.keep(found), work.keep(totals)
+
+
+def _counted(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     most = min(least, 255)
     shards = materialize(scanned(docs, most), "phrase-shards")

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import bounded
+from ..storage import bounded, temporary
 from .common import ROW, materialize, only, packed, texts, unpacked
 from .simhash import _runs, _whole_groups, row_key
 
@@ -474,12 +474,14 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
     repetition inside one document. Null texts, null ids, and texts shorter than a passage have none. Rows
     that share a doc_id are versions of one document: a passage counts that any of them has.
     """
-    found = materialize(chained(matches(materialize(seeds(docs), "seeds"))), "chains", compact=4)
+    with temporary() as work:  # seeds and matches are many times larger than chains
+        found = work.keep(materialize(chained(matches(materialize(seeds(docs), "seeds"))), "chains", compact=4))
     low = lambda c: F.greatest(F.lit(0), F.expr(f"{c}[0]") - REACH)
     high = lambda c: F.element_at(c, -1) + K + REACH
     c = found.select("*", low("at").alias("s"), high("at").alias("e"), low("source_at").alias("ss"), high("source_at").alias("se"))
     wanted = c.select("doc", F.col("s").alias("start"), F.col("e").alias("stop")).unionByName(c.select(F.col("source").alias("doc"), F.col("ss").alias("start"), F.col("se").alias("stop"))).distinct()
-    got = materialize(slices(docs, materialize(wanted, "slices-wanted", compact=4)), "slices")
+    with temporary() as work:
+        got = work.keep(materialize(slices(docs, materialize(wanted, "slices-wanted", compact=4)), "slices"))
     named = lambda p: got.select(*(F.col(n).alias(p + n) for n in got.columns))
     c = c.join(named("a_"), (F.col("doc") == F.col("a_doc")) & (F.col("s") == F.col("a_start")) & (F.col("e") == F.col("a_stop")))
     c = c.join(named("b_"), (F.col("source") == F.col("b_doc")) & (F.col("ss") == F.col("b_start")) & (F.col("se") == F.col("b_stop")))
