@@ -14,7 +14,7 @@ _NAMES = [c.split()[0] for c in STATE.split(", ")]
 _TIMES = ("first_seen_at", "last_observed_at", "terminal_at", "updated_at")
 
 
-def _plain(value: object) -> object:
+def plain(value: object) -> object:
     if isinstance(value, pd.Timestamp):
         return None if value is pd.NaT else value.to_pydatetime()
     if value is None or value is pd.NaT or isinstance(value, float) and value != value:
@@ -31,10 +31,10 @@ def current_stream(clean: DataFrame) -> DataFrame:
     def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now = dict(zip(_NAMES, state.get, strict=True)) if state.exists else None
         if now is not None:
-            now = {k: _plain(v) for k, v in now.items()}
+            now = {k: plain(v) for k, v in now.items()}
         rows = pd.concat(list(parts)).sort_values("arrival", kind="stable")
         for r in rows.to_dict("records"):
-            r = {k: _plain(v) for k, v in r.items() if k != "errors"}
+            r = {k: plain(v) for k, v in r.items() if k != "errors"}
             for n in ("observation_order", "total_requests", "completed_requests", "failed_requests"):
                 r[n] = int(r[n])
             now = advance(now, r)
