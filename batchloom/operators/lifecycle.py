@@ -121,5 +121,5 @@ def point(states: DataFrame, tenant: str | None, endpoint_alias: str, remote_bat
 
 
 def ordered(observations: DataFrame, reserved: int, by: list[str]) -> DataFrame:
-    """Observations of one micro-batch with the next order numbers after those reserved so far."""
-    return numbered(observations, by, "observation_order", reserved + 1)
+    """Observations of one micro-batch with the next order numbers after those reserved so far, in their order."""
+    return numbered(observations, by, "observation_order", reserved + 1).orderBy("observation_order")
