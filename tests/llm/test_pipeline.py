@@ -100,7 +100,7 @@ def test_run_is_the_stages_in_turn(spark, corpus):
 
 def test_registration():
     names = set(__spark_entry__.queries())
-    assert "pipeline" in names and {int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()} == set(range(1, 11))
+    assert "pipeline" in names and {int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()} == set(range(1, 14))
     assert set(__spark_entry__.oracle_sql()) <= names
 
 
