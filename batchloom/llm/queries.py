@@ -21,21 +21,25 @@ URL_RULES = [
 
 
 def op1_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text and what they decode to, as digests. A null text is empty; rows with equal ids are judged one by one."""
     coded = bpe.transcode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text, learned from the rows that are not held out. Null and letterless texts are "und" with score 0."""
     docs = table(spark, sf_dir, "documents")
     learned = langid.learn_profiles(docs.where(~langid.held_out(F.col("doc_id"))))
     return langid.identify(docs, learned).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at a cosine of 0.95. Null, zero and non-finite vectors link with nothing."""
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every text, learned from labels that are not held out. A null text is empty."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     weights = toxicity.learn_weights(docs, labels.where(~toxicity.held_out(F.col("doc_id"))))
     scored = toxicity.score(docs, weights)
@@ -43,28 +47,34 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base conditions and the method's verdict for every text. A null text has no words and fails."""
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of all texts that earlier documents have. Null texts and null ids have none."""
     return substring.repeated_passages(table(spark, sf_dir, "documents"))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every text. A null text is empty."""
     return token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and components of all texts at two bits. Texts without a word have fingerprint zero and are linked."""
     found = simhash.simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document. A null text has size 0, a null source is one of its own."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every url. A null url has an empty host and path."""
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
