@@ -7,7 +7,8 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import ConfigError
+from ..errors import ConfigError, ValidationError
+from ..sources.store import Merge, Store, upsert
 
 # Fixed default settings.
 DEFAULTS: dict[str, dict[str, object]] = {
@@ -58,6 +59,19 @@ def upserted(changes: DataFrame) -> DataFrame:
     return changes.groupBy("config_key").agg(F.max_by("config_value", "change").alias("config_value"))
 
 
+STORED = "config_key string, config_value string"
+
+
+def put(store: Store, changes: DataFrame, table: str = "com_config", tree: dict[str, dict[str, object]] = DEFAULTS) -> None:
+    """Write (config_key, config_value) settings to a stored table in the form that reading gives: bools as true or false, numbers
+    without blanks, a bad value as its default. A key that comes twice, or is null, is an error and nothing is written."""
+    store.create(table, STORED, ["config_key"], buckets=8)
+    if changes.where("config_key IS NULL").head() is not None:
+        raise ValidationError("a setting has no key")
+    canonical = typed(changes, tree).where("is_stored").select("config_key", F.col("value").alias("config_value"))
+    store.merge({table: Merge(canonical, upsert(["config_key"]))})
+
+
 def stored_secrets(secrets: DataFrame, key: bytes | None = None) -> DataFrame:
     """(secret_key, secret_value in clear) -> stored: encrypted under a 16, 24 or 32 byte key, else base64."""
     value = F.base64(F.aes_encrypt(F.col("secret_value").cast("binary"), F.lit(bytearray(key)))) if key else F.base64(F.col("secret_value").cast("binary"))

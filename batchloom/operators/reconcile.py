@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import ReconciliationError, ValidationError
 from ..functions import checks
 from ..schemas import MAX_CANDIDATES, MAX_JOBS
+from .telemetry import error_name
 from .tenancy import visible
 
+#: What a call may say of a job.
+OUTCOMES = ("polled", "retrieved", "deferred")
+
 
 def _bounded(name: str, value: int, most: int) -> int:
     if type(value) is not int or not 1 <= value <= most:
@@ -26,11 +33,14 @@ def candidates(states: DataFrame, tenant: str | None, max_candidates: int = MAX_
 def unique_prefix(scanned: DataFrame, max_jobs: int = MAX_JOBS, scan: int = MAX_CANDIDATES) -> DataFrame:
     """(position, alias, id) -> the first max_jobs different jobs of the first `scan` rows.
 
-    If the scan ends before that many were found, and there are more rows, nothing is returned: an error is raised.
+    If the scan ends before that many were found, and there are more rows, nothing is returned: an error is raised. So it is for
+    a candidate without a valid alias or id; the error doesn't repeat them.
     """
     _bounded("max_jobs", max_jobs, MAX_JOBS)
     _bounded("scan", scan, MAX_CANDIDATES)
     head = scanned.select("position", checks.clean_alias(F.col("endpoint_alias")).alias("endpoint_alias"), "remote_batch_id").orderBy("position").limit(scan + 1)
+    if head.where(F.col("endpoint_alias").isNull() | ~checks.is_resource_id(F.col("remote_batch_id"))).head() is not None:
+        raise ReconciliationError("a candidate is not valid")
     w = Window.orderBy("position")  # of scan + 1 rows at most
     numbered = head.withColumn("n_", F.row_number().over(w))
     first = numbered.where(F.col("n_") <= scan).withColumn("again_", F.row_number().over(Window.partitionBy("endpoint_alias", "remote_batch_id").orderBy("position"))).where("again_ = 1")
@@ -49,6 +59,38 @@ def outcomes(chosen: DataFrame, states: DataFrame, retrieved: DataFrame) -> Data
     return chosen.join(s, keys, "left").join(r, keys, "left").select(*chosen.columns, kind.alias("outcome"))
 
 
+Call = Callable[[str, str], str]
+
+
+def attempted(chosen: DataFrame, call: Call, tasks: int = 8) -> DataFrame:
+    """(position, endpoint_alias, remote_batch_id) -> the same, `outcome` and `failure`: one call for each job, apart from all others.
+
+    call(alias, id) says polled, retrieved or deferred. What it raises makes that job failed, under a fixed name; other jobs go
+    on. Jobs are few (unique_prefix) and dealt over tasks, as calls wait for a provider. A repeated task repeats its calls.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:
+            out = []
+            for r in d.itertuples(index=False):
+                try:
+                    said, failure = call(r.endpoint_alias, r.remote_batch_id), None
+                    said, failure = (said, None) if said in OUTCOMES else ("failed", "invalid_response")
+                except Exception as e:  # noqa: BLE001
+                    said, failure = "failed", error_name(e)
+                out.append((r.position, r.endpoint_alias, r.remote_batch_id, said, failure))
+            yield pd.DataFrame(out, columns=["position", "endpoint_alias", "remote_batch_id", "outcome", "failure"])
+
+    slim = chosen.select(F.col("position").cast("long").alias("position"), "endpoint_alias", "remote_batch_id")
+    return slim.repartition(tasks, "position").mapInPandas(run, "position long, endpoint_alias string, remote_batch_id string, outcome string, failure string")
+
+
+def outcome_list(found: DataFrame) -> DataFrame:
+    """One row: the report, and each job's outcome in order. Jobs are few."""
+    item = F.struct("position", "endpoint_alias", "remote_batch_id", "outcome")
+    return found.agg(F.count("*").alias("processed"), F.count_if(F.col("outcome") == "retrieved").alias("retrieved"), F.count_if(F.col("outcome") == "failed").alias("failed"), F.sort_array(F.collect_list(item)).alias("outcomes"))
+
+
 def report(found: DataFrame) -> DataFrame:
     """One row: how many were processed, retrieved, failed."""
     return found.agg(F.count("*").alias("processed"), F.count_if(F.col("outcome") == "retrieved").alias("retrieved"), F.count_if(F.col("outcome") == "failed").alias("failed"))

@@ -471,6 +471,34 @@ def config_typed(spark: SparkSession, d: str) -> DataFrame:
     return config.typed(fixtures.config_rows(spark))
 
 
+@query("""SELECT CASE event_type WHEN 'click' THEN 'batch_size.min' WHEN 'view' THEN 'optimization.auto_split' ELSE 'own.' || event_type END AS config_key,
+  CASE event_type WHEN 'click' THEN floor(value)::BIGINT::VARCHAR WHEN 'view' THEN CASE WHEN value > 100 THEN 'true' ELSE 'false' END ELSE 'v' || event_id END AS config_value
+FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) = 1""")
+def config_store(spark: SparkSession, d: str) -> DataFrame:
+    """Settings written twice to a stored table, in other forms than they are read back in."""
+    store, e = _store(spark), fixtures.table(spark, d, "events")
+    key = F.expr("CASE event_type WHEN 'click' THEN 'batch_size.min' WHEN 'view' THEN 'optimization.auto_split' ELSE 'own.' || event_type END")
+    value = F.expr("CASE event_type WHEN 'click' THEN ' ' || CAST(floor(value) AS STRING) || ' ' WHEN 'view' THEN IF(value > 100, 'ON', 'No') ELSE 'v' || event_id END")
+    for part in (e.where("event_id % 2 = 0"), e):
+        config.put(store, config.upserted(part.select(key.alias("config_key"), value.alias("config_value"), F.col("event_id").alias("change"))))
+    return store.read("com_config").drop("bucket_")
+
+
+@query(f"""WITH {PREFIX}, o AS (SELECT u.*, CASE (split_part(remote_batch_id, '-', 2)::BIGINT) % 4 WHEN 0 THEN 'failed' WHEN 1 THEN 'polled' WHEN 2 THEN 'retrieved' ELSE 'deferred' END AS outcome FROM uni u)
+SELECT count(*) AS processed, count_if(outcome = 'retrieved')::BIGINT AS retrieved, count_if(outcome = 'failed')::BIGINT AS failed, string_agg(remote_batch_id || '=' || outcome, ',' ORDER BY position) AS outcomes FROM o""")
+def reconciliation_pass(spark: SparkSession, d: str) -> DataFrame:
+    """A call for each chosen job, a quarter of which fail without touching the others."""
+
+    def call(alias: str, batch: str) -> str:
+        if (kind := int(batch.rsplit("-", 1)[1]) % 4) == 0:
+            raise TimeoutError(alias)
+        return ("", "polled", "retrieved", "deferred")[kind]
+
+    found = reconcile.outcome_list(reconcile.attempted(_prefix(spark, d), call))
+    items = F.transform("outcomes", lambda x: F.concat(x["remote_batch_id"], F.lit("="), x["outcome"]))
+    return found.select("processed", "retrieved", "failed", F.array_join(items, ",").alias("outcomes"))
+
+
 @query("SELECT event_type AS config_key, max_by(value, event_id) AS config_value FROM events GROUP BY ALL")
 def config_upsert(spark: SparkSession, d: str) -> DataFrame:
     changes = fixtures.table(spark, d, "events").select(F.col("event_type").alias("config_key"), F.col("value").alias("config_value"), F.col("event_id").alias("change"))

@@ -247,3 +247,16 @@ def test_two_savers_expect_the_same(spark, store):
     for t in threads:
         t.join()
     assert not failed and sorted(found) == ["expected_previous_stale", "updated"]
+
+
+def test_settings_are_stored_as_they_are_read(spark, store):
+    from batchloom.operators import config
+
+    put_ = lambda rows_: config.put(store, spark.createDataFrame(rows_, config.STORED))
+    put_([("optimization.auto_split", "OFF"), ("batch_size.min", " 7 "), ("own", "x ")])
+    put_([("batch_size.min", "many"), ("optimization.auto_split", "yes")])
+    got = dict(map(tuple, store.read("com_config").drop("bucket_").collect()))
+    assert got["optimization.auto_split"] == "true" and got["own"] == "x " and got["batch_size.min"].isdigit() and got["batch_size.min"] != "7"
+    for bad in ([(None, "x")], [("a", "1"), ("a", "2")]):
+        with pytest.raises(ValidationError):
+            put_(bad)
