@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import digests
+
 
 def outside(df: DataFrame, column: str, allowed: tuple[str, ...]) -> DataFrame:
     """Values that are not allowed, null among them, and how often."""
@@ -50,11 +52,9 @@ def health_report(components: DataFrame, required: tuple[str, ...]) -> DataFrame
     return h.agg(F.every("is_ready").alias("ready"), names(F.col("reports") == 0).alias("missing"), names(F.col("reports") > 1).alias("repeated"), names(~F.col("is_ready")).alias("not_ready"))
 
 
-def manifest(spark: SparkSession, path: str, max_bytes: int = 64 << 30) -> DataFrame:
-    """(path, length, sha256) of the files in a folder; a file above the bound is an error when its row is made."""
-    files = spark.read.format("binaryFile").load(path)
-    ok = F.when(F.col("length") > max_bytes, F.raise_error(F.lit("file is above the size bound"))).otherwise(F.sha2("content", 256))
-    return files.select("path", "length", ok.alias("sha256"))
+def manifest(spark: SparkSession, path: str, max_bytes: int = digests.LARGEST) -> DataFrame:
+    """(path, length, sha256) of the files in a folder, streamed; one above the bound, or that changes meanwhile, is an error."""
+    return digests.whole(digests.listed(spark, path), max_bytes).select("path", "length", "sha256")
 
 
 def same_manifest(a: DataFrame, b: DataFrame) -> bool:
