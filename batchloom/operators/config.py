@@ -59,6 +59,13 @@ def upserted(changes: DataFrame) -> DataFrame:
     return changes.groupBy("config_key").agg(F.max_by("config_value", "change").alias("config_value"))
 
 
+def effective_limit(settings: DataFrame) -> DataFrame:
+    """Typed settings -> (per_batch, effective_limit), one row: a batch's stored token limit, and what its buffer leaves of it."""
+    value = lambda name: F.max(F.when(F.col("config_key") == f"token_limits.{name}", F.col("value").cast("long")))
+    found = settings.agg(value("per_batch").alias("per_batch"), value("buffer_percentage").alias("buffer_"))
+    return found.select("per_batch", F.expr("per_batch * (100 - buffer_) DIV 100").alias("effective_limit"))
+
+
 STORED = "config_key string, config_value string"
 
 

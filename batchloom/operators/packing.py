@@ -28,6 +28,12 @@ def queued(requests: DataFrame) -> DataFrame:
     return requests.where("request_status = 'queued' AND batch_file_uuid IS NULL")
 
 
+def has_unassigned(requests: DataFrame) -> DataFrame:
+    """(batch_uuid, has_unassigned): whether any request of a batch still waits for a file."""
+    waits = F.coalesce((F.col("request_status") == "queued") & F.col("batch_file_uuid").isNull(), F.lit(False))
+    return requests.groupBy("batch_uuid").agg(F.bool_or(waits).alias("has_unassigned"))
+
+
 def with_model(requests: DataFrame, models: DataFrame) -> DataFrame:
     """Requests with their model's mode and tokenizer: the row verified last (null last); none leaves both null."""
     w = Window.partitionBy("model_id").orderBy(F.desc_nulls_last("last_verified_at"), F.col("endpoint_uuid"))

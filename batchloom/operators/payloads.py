@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import ValidationError
@@ -16,6 +16,11 @@ def lines(requests: DataFrame, assigned: DataFrame) -> DataFrame:
     return requests.join(a, F.col("request_uuid") == F.col("r_")).select("payload_file_id", "request_uuid", "sequence_no", F.col("line").alias("line_text"))
 
 
+def numbered_lines(lines_: DataFrame, file: str, order: list[str]) -> DataFrame:
+    """Lines that have no number yet, with `sequence_no` from 1 within their file. A file is bounded by the part's record limit."""
+    return lines_.withColumn("sequence_no", F.row_number().over(Window.partitionBy(file).orderBy(*order)).cast("long"))
+
+
 def documents(lines_: DataFrame) -> DataFrame:
     """(file_id, text, line_count): a file's lines in order, each with its newline. A file is bounded by the part's byte limit."""
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("sequence_no", "line_text"))), lambda x: x["line_text"])

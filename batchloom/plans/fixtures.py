@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.render import json_text
 from ..functions.tokens import whitespace_tokens
+from ..sources import digests
 from ..storage import shared_dir
 
 EPOCH = 1_704_067_200  # 2024-01-01
@@ -99,15 +100,26 @@ def result_files(spark: SparkSession, d: str) -> DataFrame:
     return out.select("batch_id", "file_kind", F.concat("batch_id", F.lit("."), "file_kind").alias("file_id"), "content")
 
 
+def stored_folder(spark: SparkSession, files: DataFrame) -> str:
+    """Result files written to the shared folder as batch_id=.../file_kind=.../part; the folder."""
+    root = f"{shared_dir(spark)}/result-files-{uuid.uuid4().hex}"
+    lines = files.select("batch_id", "file_kind", F.regexp_replace("content", r"\n\z", "").alias("value"))
+    lines.repartition("batch_id", "file_kind").write.partitionBy("batch_id", "file_kind").text(root)
+    return root
+
+
 def stored_result_files(spark: SparkSession, d: str) -> DataFrame:
     """The same files written to the shared folder, by their places there."""
-    root = f"{shared_dir(spark)}/result-files-{uuid.uuid4().hex}"
-    files = result_files(spark, d).select("batch_id", "file_kind", F.regexp_replace("content", r"\n\z", "").alias("value"))
-    files.repartition("batch_id", "file_kind").write.partitionBy("batch_id", "file_kind").text(root)
-    found = spark.read.format("binaryFile").load(root).select("batch_id", "file_kind", "path", "length")
+    found = spark.read.format("binaryFile").load(stored_folder(spark, result_files(spark, d))).select("batch_id", "file_kind", "path", "length")
     return found.select(F.col("batch_id").cast("string").alias("batch_id"), F.col("file_kind").cast("string").alias("file_kind"), F.concat("batch_id", F.lit("."), "file_kind").alias("file_id"), "path", "length")
 
 
+def listed_result_files(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """Result files written and listed for digests, named <batch_id>.<file_kind>."""
+    found = digests.listed(spark, stored_folder(spark, files))
+    return found.withColumn("name", F.regexp_replace("name", "^batch_id=(.*)/file_kind=([a-z]*)/.*$", "$1.$2"))
+
+
 def cas_attempts(spark: SparkSession, d: str) -> DataFrame:
     """Save attempts per user in the order of events: advances, repeats, stale and missing expectations."""
     e = table(spark, d, "events").select("event_id", "user_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
@@ -121,6 +133,16 @@ def cas_attempts(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.lit("tenant-0").alias("tenant_scope"), F.lit("loader").alias("consumer"), F.lit("gw").alias("endpoint_alias"), F.concat(F.lit("batch-"), F.col("user_id").cast("string")).alias("batch_id"), F.col("event_id").alias("attempt"), checkpoint(F.col("rc")).alias("checkpoint"), expected.alias("expected_previous"))
 
 
-def config_rows(spark: SparkSession) -> DataFrame:
-    rows = [("batch_size.min", "250"), ("batch_size.max", "many"), ("token_limits.per_batch", " 6000 "), ("optimization.auto_split", "OFF"), ("optimization.smart_batching", "maybe"), ("plain", "x"), ("gateway.base_url", "https://gateway.example.org/v1")]
-    return spark.createDataFrame(rows, "config_key string, config_value string")
+def config_rows(spark: SparkSession, d: str) -> DataFrame:
+    """A change of a setting per event, in forms that aren't canonical, some of them bad; other keys are a user's own."""
+    e = table(spark, d, "events")
+    key = "CASE event_type WHEN 'click' THEN 'batch_size.min' WHEN 'view' THEN 'optimization.auto_split' WHEN 'signup' THEN 'batch_size.max' WHEN 'purchase' THEN 'token_limits.per_batch' ELSE 'user-' || user_id END"
+    value = "CASE event_type WHEN 'click' THEN ' ' || CAST(floor(value) AS STRING) || ' ' WHEN 'view' THEN IF(value > 100, 'ON', 'No') WHEN 'signup' THEN 'many ' || event_id WHEN 'purchase' THEN CAST(1000 + event_id AS STRING) ELSE 'v' || event_id END"
+    return e.select(F.expr(key).alias("config_key"), F.expr(value).alias("config_value"), F.col("event_id").alias("change"))
+
+
+def components(spark: SparkSession, d: str) -> DataFrame:
+    """What the last event of each kind says of a component. Purchases report on one that clicks report on already; secrets have no report."""
+    last = table(spark, d, "events").groupBy("event_type").agg(F.max_by("value", "event_id").alias("value"))
+    name = F.expr("CASE event_type WHEN 'view' THEN 'tables' WHEN 'signup' THEN 'tokenizer' WHEN 'error' THEN 'checkpoints' ELSE 'config' END")
+    return last.select(name.alias("component"), F.when(F.col("event_type") == "error", F.col("value") < 0).otherwise(F.col("value") >= 0).alias("is_ready"))

@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import checks
@@ -15,6 +15,7 @@ from ..operators import telemetry as metrics
 from ..operators.tenancy import visible
 from ..functions.tokens import Tokenizers
 from ..schemas import DEFAULT_TENANT, HEALTH_COMPONENTS, REMOTE_STATUSES, Limits
+from ..sources import digests
 from ..sources.ranges import Budgets, Reading
 from ..sources.store import Merge, Store, insert, upsert
 from ..storage import materialize, shared_dir
@@ -88,12 +89,19 @@ def token_stats_by_batch(spark: SparkSession, d: str) -> DataFrame:
     return packing.enforce_batch_limit(packing.token_stats(m), Limits().effective())
 
 
-@query("SELECT * FROM (VALUES ('default', 4750000000), ('runtime', 1000000), ('stored', 5700)) t(case_name, effective_limit)")
+LAST_SETTINGS = """cfg AS (
+  SELECT CASE event_type WHEN 'click' THEN 'batch_size.min' WHEN 'view' THEN 'optimization.auto_split' WHEN 'signup' THEN 'batch_size.max' WHEN 'purchase' THEN 'token_limits.per_batch' ELSE 'user-' || user_id END AS k,
+    CASE event_type WHEN 'click' THEN floor(value)::BIGINT::VARCHAR WHEN 'view' THEN CASE WHEN value > 100 THEN 'true' ELSE 'false' END WHEN 'signup' THEN '50000' WHEN 'purchase' THEN (1000 + event_id)::VARCHAR ELSE 'v' || event_id END AS v
+  FROM events QUALIFY row_number() OVER (PARTITION BY k ORDER BY event_id DESC) = 1)"""
+
+
+@query(f"""WITH {CHAT}, {LAST_SETTINGS}, lim AS (SELECT v::BIGINT * 95 // 100 AS most FROM cfg WHERE k = 'token_limits.per_batch')
+SELECT batch_uuid, sum(s + u)::BIGINT AS total_tokens, most AS effective_limit, sum(s + u) > most AS is_above FROM cht, lim GROUP BY batch_uuid, most""")
 def effective_limits(spark: SparkSession, d: str) -> DataFrame:
-    c = config.typed(fixtures.config_rows(spark)).where("config_key IN ('token_limits.per_batch', 'token_limits.buffer_percentage')")
-    stored = c.agg(F.max(F.when(F.col("name") == "per_batch", F.col("value").cast("long"))).alias("p"), F.max(F.when(F.col("name") == "buffer_percentage", F.col("value").cast("long"))).alias("b"))
-    fixed = spark.createDataFrame([("default", Limits().effective()), ("runtime", Limits().effective(1_000_000))], "case_name string, effective_limit long")
-    return fixed.unionByName(stored.select(F.lit("stored").alias("case_name"), F.expr("p * (100 - b) DIV 100").alias("effective_limit")))
+    """Batches against the token limit that is stored, less its buffer."""
+    limit = config.effective_limit(config.typed(config.upserted(fixtures.config_rows(spark, d)))).first()["effective_limit"]
+    stats = packing.token_stats(packing.measured(packing.with_model(fixtures.chat_requests(spark, d), fixtures.models(spark))))
+    return stats.select("batch_uuid", "total_tokens", F.lit(limit).cast("long").alias("effective_limit"), (F.col("total_tokens") > limit).alias("is_above"))
 
 
 @query(f"WITH {MEASURED} SELECT request_uuid, line, bytes AS byte_size FROM mea")
@@ -207,9 +215,7 @@ def model_metadata_latest(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT source AS batch_uuid, bool_or(l.doc_id IS NULL) AS has_unassigned FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) GROUP BY ALL")
 def unassigned_exists(spark: SparkSession, d: str) -> DataFrame:
-    r = fixtures.requests(spark, d)
-    open_ = packing.queued(r).select(F.col("batch_uuid").alias("b_")).distinct()
-    return r.select("batch_uuid").distinct().join(open_, F.col("batch_uuid") == F.col("b_"), "left").select("batch_uuid", F.col("b_").isNotNull().alias("has_unassigned"))
+    return packing.has_unassigned(fixtures.requests(spark, d))
 
 
 OBSERVED = """obs AS (
@@ -349,7 +355,16 @@ def checkpoint_positions(spark: SparkSession, d: str) -> DataFrame:
     return c.select("batch_id", "file_kind", "file_id", "file_line_number", "batch_line_count", "record_count", "is_valid")
 
 
-@query()
+def _frame_sql(tag: str, payload: str) -> str:
+    """Hex of a frame: the tag's length in 2 bytes, the tag, the payload's in 8 bytes, the payload (given as hex)."""
+    return f"'{len(tag):04x}{tag.encode().hex()}' || printf('%016x', length({payload}) // 2) || {payload}"
+
+
+@query(f"""WITH {FILES}, fra AS (SELECT *, CASE WHEN file_line_number = 1 THEN {_frame_sql("file_kind", "hex(encode(file_kind))")} || {_frame_sql("file_id", "hex(encode(file_id))")} ELSE '' END
+    || {_frame_sql("file_line_number", "printf('%016x', file_line_number)")} || {_frame_sql("line_bytes", "hex(encode(raw))")} || {_frame_sql("newline_terminated", "'01'")} AS x FROM bat),
+run AS (SELECT *, {_frame_sql("domain", f"'{results.DOMAIN.hex()}'")} || {_frame_sql("batch_id", "hex(encode(batch_id))")} || {_frame_sql("endpoint_alias", "hex(encode('gw-0'))")}
+    || string_agg(x, '') OVER (PARTITION BY batch_id ORDER BY batch_line_count) AS y FROM fra)
+SELECT rec.batch_id, 'gw-0' AS endpoint_alias, rec.file_kind, rec.file_id, 1::INTEGER AS schema_version, rec.file_line_number, rec.batch_line_count, record_count, sha256(unhex(y)) AS prefix_sha256 FROM rec JOIN run USING (batch_id, batch_line_count)""")
 def checkpoint_prefix_sha(spark: SparkSession, d: str) -> DataFrame:
     return results.checkpoints(fixtures.result_files(spark, d), "gw-0")
 
@@ -462,13 +477,14 @@ def tenant_unscoped_empty(spark: SparkSession, d: str) -> DataFrame:
     return visible(fixtures.observations(spark, d), None).groupBy("remote_batch_id").agg(F.count("*").alias("observations"))
 
 
-@query("""SELECT * FROM (VALUES ('azure_limits.max_bytes_per_file', 'azure_limits', 'max_bytes_per_file', '209715200', false), ('azure_limits.max_files_per_job', 'azure_limits', 'max_files_per_job', '500', false),
-  ('azure_limits.max_records_per_file', 'azure_limits', 'max_records_per_file', '100000', false), ('batch_size.default', 'batch_size', 'default', '50000', false), ('batch_size.max', 'batch_size', 'max', '50000', true),
-  ('batch_size.min', 'batch_size', 'min', '250', true), ('gateway.base_url', 'gateway', 'base_url', 'https://gateway.example.org/v1', true), ('optimization.auto_split', 'optimization', 'auto_split', 'false', true),
-  ('optimization.smart_batching', 'optimization', 'smart_batching', 'true', true), ('plain', 'global', 'plain', 'x', true), ('token_limits.buffer_percentage', 'token_limits', 'buffer_percentage', '5', false),
-  ('token_limits.per_batch', 'token_limits', 'per_batch', '6000', true), ('token_limits.per_request', 'token_limits', 'per_request', '128000', false)) t(config_key, category, name, value, is_stored)""")
+@query(f"""WITH {LAST_SETTINGS}, def(k, v) AS (VALUES ('azure_limits.max_bytes_per_file', '209715200'), ('azure_limits.max_files_per_job', '500'), ('azure_limits.max_records_per_file', '100000'),
+  ('batch_size.default', '50000'), ('batch_size.max', '50000'), ('batch_size.min', '100'), ('optimization.auto_split', 'true'), ('optimization.smart_batching', 'true'),
+  ('token_limits.buffer_percentage', '5'), ('token_limits.per_batch', '5000000000'), ('token_limits.per_request', '128000'))
+SELECT k AS config_key, CASE WHEN contains(k, '.') THEN split_part(k, '.', 1) ELSE 'global' END AS category, CASE WHEN contains(k, '.') THEN split_part(k, '.', 2) ELSE k END AS name,
+  coalesce(cfg.v, def.v) AS value, cfg.k IS NOT NULL AS is_stored FROM cfg FULL JOIN def USING (k)""")
 def config_typed(spark: SparkSession, d: str) -> DataFrame:
-    return config.typed(fixtures.config_rows(spark))
+    """The last change of each setting, read by its default's type."""
+    return config.typed(config.upserted(fixtures.config_rows(spark, d)))
 
 
 @query("""SELECT CASE event_type WHEN 'click' THEN 'batch_size.min' WHEN 'view' THEN 'optimization.auto_split' ELSE 'own.' || event_type END AS config_key,
@@ -505,20 +521,24 @@ def config_upsert(spark: SparkSession, d: str) -> DataFrame:
     return config.upserted(changes)
 
 
-@query("SELECT *, NULL::VARCHAR AS wrong_key FROM (VALUES ('a', 'alpha', 'alpha'), ('b', 'beta', 'beta')) t(secret_key, plain, right_key)")
+@query("SELECT 'gateway_api_key.' || c_custkey AS secret_key, c_name AS plain, c_name AS right_key, NULL::VARCHAR AS wrong_key FROM customer")
 def secrets_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    s = spark.createDataFrame([("a", "alpha"), ("b", "beta")], "secret_key string, secret_value string")
+    """A secret per customer, stored plainly, and sealed, then opened with the right and with a wrong key."""
+    s = fixtures.table(spark, d, "customer").select(F.concat(F.lit("gateway_api_key."), F.col("c_custkey").cast("string")).alias("secret_key"), F.col("c_name").alias("secret_value"))
     key = b"0123456789abcdef"
-    sealed = config.stored_secrets(s, key)
+    sealed = materialize(config.stored_secrets(s, key), "secrets")
     opened = [config.clear_secrets(config.stored_secrets(s)), config.clear_secrets(sealed, key), config.clear_secrets(sealed, b"fedcba9876543210")]
     p, r, w = (o.withColumnRenamed("secret_value", n) for o, n in zip(opened, ("plain", "right_key", "wrong_key"), strict=True))
     return p.join(r, "secret_key").join(w, "secret_key")
 
 
-@query("SELECT false AS ready, 'secrets' AS missing, 'config' AS repeated, 'checkpoints,config,secrets' AS not_ready")
+@query("""WITH l AS (SELECT event_type, max_by(value, event_id) AS v FROM events GROUP BY ALL),
+c AS (SELECT CASE event_type WHEN 'view' THEN 'tables' WHEN 'signup' THEN 'tokenizer' WHEN 'error' THEN 'checkpoints' ELSE 'config' END AS component, CASE event_type WHEN 'error' THEN v < 0 ELSE v >= 0 END AS ok FROM l),
+h AS (SELECT n AS component, count(c.component) AS reports, count(c.component) = 1 AND bool_and(coalesce(ok, false)) AS ready FROM (VALUES ('tables'), ('tokenizer'), ('config'), ('secrets'), ('checkpoints')) r(n) LEFT JOIN c ON n = c.component GROUP BY ALL)
+SELECT bool_and(ready) AS ready, string_agg(component, ',' ORDER BY component) FILTER (reports = 0) AS missing, string_agg(component, ',' ORDER BY component) FILTER (reports > 1) AS repeated,
+  string_agg(component, ',' ORDER BY component) FILTER (NOT ready) AS not_ready FROM h""")
 def health_report(spark: SparkSession, d: str) -> DataFrame:
-    rows = [("tables", True), ("tokenizer", True), ("config", True), ("config", True), ("checkpoints", None), ("other", False)]
-    h = rules.health_report(spark.createDataFrame(rows, "component string, is_ready boolean"), HEALTH_COMPONENTS)
+    h = rules.health_report(fixtures.components(spark, d), HEALTH_COMPONENTS)
     return h.select("ready", *(F.array_join(n, ",").alias(n) for n in ("missing", "repeated", "not_ready")))
 
 
@@ -587,10 +607,30 @@ def telemetry(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT conv_id, max(turn) + 1 - min(turn) AS span, count(*) AS turns FROM conversations GROUP BY ALL")
 def sequence_numbers(spark: SparkSession, d: str) -> DataFrame:
-    c = fixtures.table(spark, d, "conversations")
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    n = c.withColumn("seq", F.row_number().over(w))
-    return n.groupBy("conv_id").agg((F.max("turn") + 1 - F.min("turn")).alias("span"), F.max("seq").cast("long").alias("turns"))
+    n = payloads.numbered_lines(fixtures.table(spark, d, "conversations"), "conv_id", ["turn"])
+    return n.groupBy("conv_id").agg((F.max("turn") + 1 - F.min("turn")).alias("span"), F.max("sequence_no").alias("turns"))
+
+
+TREES = f"""WITH RECURSIVE {FILES}, two AS (SELECT 0 AS side, file_id AS name, hex(encode(content)) AS h FROM fil UNION ALL SELECT 1, file_id, hex(encode(replace(content, 'c1', 'c7'))) FROM fil),
+lea AS (SELECT side, name, length(h) // 2 AS length, unnest(range((length(h) + 511) // 512)) AS node, h FROM two),
+blo AS (SELECT side, name, length, node, sha256('\\x00'::BLOB || unhex(substr(h, 512 * node + 1, 512))) AS digest FROM lea),
+tre AS (SELECT side, name, length, (length + 255) // 256 AS width, node, digest FROM blo WHERE side = 0
+  UNION ALL SELECT side, name, length, (width + 3) // 4, node // 4, sha256('\\x01'::BLOB || unhex(string_agg(digest, '' ORDER BY node))) FROM tre WHERE width > 1 GROUP BY side, name, length, width, node // 4)"""
+
+
+@query(f"{TREES} SELECT name, length, digest AS root FROM tre WHERE width = 1")
+def file_tree_roots(spark: SparkSession, d: str) -> DataFrame:
+    """Tree digests of all result files, over blocks of 256 bytes."""
+    files = fixtures.listed_result_files(spark, fixtures.result_files(spark, d))
+    return digests.roots(digests.tree(digests.blocks(files, 256), 4), files)
+
+
+@query(f"{TREES} SELECT a.name, a.node AS block FROM blo a JOIN blo b ON a.name = b.name AND a.node = b.node WHERE a.side = 0 AND b.side = 1 AND a.digest <> b.digest")
+def changed_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The blocks that differ between the result files and a copy in which ids that begin with c1 were renamed."""
+    files = fixtures.result_files(spark, d)
+    a, b = (digests.tree(digests.blocks(fixtures.listed_result_files(spark, f), 256), 4) for f in (files, files.withColumn("content", F.replace("content", F.lit("c1"), F.lit("c7")))))
+    return digests.differing(a, b, 4)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
