@@ -27,8 +27,6 @@ FIT_SAMPLE = 20_000
 CELL, BLOCK = 512, 2048
 MAX_CELLS = 2048
 ROUNDS = 8
-#: Vector lengths that one table may mix, at most; vectors link only with vectors of their own length.
-MAX_LENGTHS = 64
 STEP = 1024
 
 
@@ -59,9 +57,9 @@ def _unit(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def links(reps: DataFrame, dim: int, threshold: float = THRESHOLD, slack: float = 1.0) -> tuple[DataFrame, DataFrame]:
-    """Distinct (rep, n, v array<double>) of one length -> (rep, linked), (src, dst).
+    """Distinct (rep, n, own, v array<double>), v filled up with zeros to one length -> (rep, linked), (src, dst).
 
-    linked is how many vectors of other reps are within the threshold, each rep counting n times.
+    own is a vector's length before; only vectors of equal own are compared. linked is how many vectors of other reps are within the threshold, each rep counting n times.
     """
     total = reps.count()
     k = int(min(MAX_CELLS, max(1, total // CELL)))
@@ -74,9 +72,9 @@ def links(reps: DataFrame, dim: int, threshold: float = THRESHOLD, slack: float
         for b in batches:
             if b.num_rows:
                 home, _ = visits(_unit(b.column("v"), dim), sent.value, threshold, slack)
-                yield pa.record_batch([b.column("rep"), b.column("n"), b.column("v"), pa.array(home)], names=["rep", "n", "v", "home"])
+                yield pa.record_batch([b.column("rep"), b.column("n"), b.column("own"), b.column("v"), pa.array(home)], names=["rep", "n", "own", "v", "home"])
 
-    homes = materialize(reps.select("rep", "n", "v").mapInArrow(assign, "rep long, n long, v array<double>, home long"), "cells")
+    homes = materialize(reps.select("rep", "n", "own", "v").mapInArrow(assign, "rep long, n long, own int, v array<double>, home long"), "cells")
     blocks = {r.home: -(-r.n // BLOCK) for r in homes.groupBy("home").agg(F.count("*").alias("n")).collect()}  # MAX_CELLS rows at most
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,8 +97,8 @@ def links(reps: DataFrame, dim: int, threshold: float = THRESHOLD, slack: float
             at = np.array(row, np.int64)
             mask = np.packbits(seen, axis=1, bitorder="little")
             yield pa.record_batch(
-                [pa.array(np.array(cell, np.int64) * (1 << 32) + np.array(block, np.int64)), pa.array(np.array(role, np.int32)), pa.array(home[at]), b.column("rep").take(pa.array(at)), b.column("n").take(pa.array(at)), pa.array([mask[i].tobytes() for i in at], pa.binary()), b.column("v").take(pa.array(at))],
-                names=["task", "role", "home", "rep", "n", "seen", "v"],
+                [pa.array(np.array(cell, np.int64) * (1 << 32) + np.array(block, np.int64)), pa.array(np.array(role, np.int32)), pa.array(home[at]), b.column("rep").take(pa.array(at)), b.column("n").take(pa.array(at)), b.column("own").take(pa.array(at)), pa.array([mask[i].tobytes() for i in at], pa.binary()), b.column("v").take(pa.array(at))],
+                names=["task", "role", "home", "rep", "n", "own", "seen", "v"],
             )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +113,7 @@ def links(reps: DataFrame, dim: int, threshold: float = THRESHOLD, slack: float
                     if held and full is None:
                         yield from against(_stack(held), None)
                     now, held, full = task[i], [], None
-                part = {n: b.column(n).slice(i, j - i) for n in ("home", "rep", "n", "seen")} | {"v": _unit(b.column("v").slice(i, j - i), dim)}
+                part = {n: b.column(n).slice(i, j - i) for n in ("home", "rep", "n", "own", "seen")} | {"v": _unit(b.column("v").slice(i, j - i), dim)}
                 part = {n: c if isinstance(c, np.ndarray) else np.array(c.to_pylist()) if n != "seen" else np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(j - i, -1) for n, c in part.items()}
                 if role[i] == 0:
                     held.append(part)
@@ -135,7 +133,7 @@ def links(reps: DataFrame, dim: int, threshold: float = THRESHOLD, slack: float
         src, dst, count = [], [], {}
         got_a, got_c = np.zeros(len(rep), np.int64), np.zeros(len(other["rep"]), np.int64)
         for s in range(0, len(rep), STEP):
-            hit = a["v"][s : s + STEP] @ other["v"].T >= threshold
+            hit = (a["v"][s : s + STEP] @ other["v"].T >= threshold) & (a["own"][s : s + STEP, None] == other["own"])
             i, j = np.nonzero(hit)
             i = i + s
             if c is None:
@@ -161,7 +159,7 @@ def links(reps: DataFrame, dim: int, threshold: float = THRESHOLD, slack: float
         some = got > 0
         yield pa.record_batch([pa.array(ids[some]), pa.array(got[some]), pa.array(ids[label[some]])], names=["rep", "linked", "root"])
 
-    dealt = homes.select("rep", "n", "v").mapInArrow(deal, "task long, role int, home long, rep long, n long, seen binary, v array<double>")
+    dealt = homes.select("rep", "n", "own", "v").mapInArrow(deal, "task long, role int, home long, rep long, n long, own int, seen binary, v array<double>")
     found = dealt.repartition("task").sortWithinPartitions("task", "role").mapInArrow(compare, "rep long, linked long, root long")
     found = materialize(found, "cell-links", compact=4)
     return found.groupBy("rep").agg(F.sum("linked").alias("linked")), found.where("rep <> root").select(F.col("rep").alias("src"), F.col("root").alias("dst"))
@@ -181,13 +179,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, slack: flo
     fine = F.expr("coalesce(size(v) > 0 AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(v, x -> x <> 0), false)")
     rows = rows.withColumn("v", F.when(fine & F.col("vec_id").isNotNull(), F.expr("transform(v, x -> x + 0.0D)")))
     reps = materialize(rows.where("v IS NOT NULL").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "vectors")
-    lengths = [r.d for r in reps.select(F.size("v").alias("d")).distinct().limit(MAX_LENGTHS + 1).collect()]
-    if len(lengths) > MAX_LENGTHS:
-        raise ValueError(f"more than {MAX_LENGTHS} vector lengths")
+    # Lengths from one power of two to the next go together, filled up with zeros, so the rounds are 31 at most.
+    band = F.ceil(F.log2(F.size("v"))).cast("int").alias("band")
+    widest = [(r.band, r.d) for r in reps.groupBy(band).agg(F.max(F.size("v")).alias("d")).collect()]
     counts = rows.sparkSession.createDataFrame([], "rep long, linked long")
     edges = rows.sparkSession.createDataFrame([], "src long, dst long")
-    for d in sorted(lengths):
-        found, forest_ = links(reps.where(F.size("v") == d), d, threshold, slack)
+    for b, d in sorted(widest):
+        filled = F.concat("v", F.array_repeat(F.lit(0.0), d - F.size("v"))).alias("v")
+        part = reps.where(F.ceil(F.log2(F.size("v"))) == b).select("rep", "n", F.size("v").alias("own"), filled)
+        found, forest_ = links(part, d, threshold, slack)
         counts, edges = counts.unionByName(found), edges.unionByName(forest_)
     roots = connected_components(edges, "vector-links")
     known = (

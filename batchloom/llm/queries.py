@@ -115,7 +115,7 @@ judged AS (
      WHERE (p.host = rule_host OR ends_with(p.host, '.' || rule_host)) AND starts_with(p.path, rule_path)) AS best
   FROM parts p)
 SELECT page_id, host, path, best.rule AS rule,
-  coalesce(best.action, CASE WHEN regexp_matches(host, '(^|\.)(spam-farm|cheap-pills|casino-win|ads-track)\.') THEN 'block' ELSE 'allow' END) AS verdict
+  coalesce(best.action, CASE WHEN regexp_matches(host, '(^|[.-])(adult|bets?|casino|gambling|lottery|pills|poker|porn|replica|slots|spam|torrent|viagra|warez|xxx|ads-track|cheap-meds|click-farm|link-farm|payday-loans?)(-[^.]*)?\.') THEN 'block' ELSE 'allow' END) AS verdict
 FROM judged
 """
 

@@ -54,13 +54,18 @@ class HostPattern:
     action: str = "block"
 
 
-#: What judges a URL that no rule fits: link-selling host names are blocked, the rest is allowed.
-OWN_PATTERNS = (
-    HostPattern(r"(?:^|\.)spam-farm\.", ("spam", "farm")),
-    HostPattern(r"(?:^|\.)cheap-pills\.", ("cheap", "pills")),
-    HostPattern(r"(?:^|\.)casino-win\.", ("casino", "win")),
-    HostPattern(r"(?:^|\.)ads-track\.", ("ads", "track")),
-)
+# Words that a host label is made of where links are sold, and others that make such a label together.
+SOLD = ("adult", "bet", "bets", "casino", "gambling", "lottery", "pills", "poker", "porn", "replica", "slots", "spam", "torrent", "viagra", "warez", "xxx")
+PAIRED = (("ads", "track"), ("cheap", "meds"), ("click", "farm"), ("link", "farm"), ("payday", "loan"), ("payday", "loans"))
+
+
+def _label(*words: str) -> str:
+    """A host label of hyphenated words, with these side by side among them; never the last label, the top-level domain."""
+    return r"(?:^|[.-])" + "-".join(words) + r"(?:-[^./]*)?\."
+
+
+#: What judges a URL that no rule fits: hosts with such a label are blocked, the rest is allowed.
+OWN_PATTERNS = tuple(HostPattern(r"^[^/]*?" + _label(*w), w) for w in (*((w,) for w in SOLD), *PAIRED))
 
 
 def _quote(text: str) -> str:

@@ -54,6 +54,17 @@ def test_query_is_brute_force(spark, tables):
     assert got == brute(np.array([r.embedding for r in rows], np.float64), [r.vec_id for r in rows])
 
 
+def test_any_number_of_lengths(spark):
+    rows = [(i, [1.0] + [0.5] * (i % 150)) for i in range(450)] + [(1000 + i, [2.0] + [1.0] * i + [0.0]) for i in range(20)]
+    df = spark.createDataFrame([(i, v, None, "a", "b", "c") for i, v in rows], SCHEMA)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.near_duplicates(df).collect()}
+    want = {}
+    for d in {len(v) for _, v in rows}:
+        own = [(i, v) for i, v in rows if len(v) == d]
+        want |= {i: (n, low) for i, n, low, _ in brute(np.array([v for _, v in own]), [i for i, _ in own])}
+    assert got == want
+
+
 def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, [1.0, 0.0]), (8, [2.0, 0.0]), (9, [1.0, 0.0]), (9, [1.0, 0.0]), (10, [1.0]), (11, [3.0]), (12, [0.0, -1.0]), (13, [-0.0, -1.0]), (None, [1.0, 0.0])]

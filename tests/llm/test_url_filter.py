@@ -52,6 +52,12 @@ def test_patterns_and_odd_rows(spark):
     assert Rule("example.com/en/7", "allow").tokens == ["com", "en", "example"]
 
 
+def test_own_patterns(spark):
+    bad = ["http://casino-win.example.com/", "https://m.free-bets.example.com", "x://best-poker-room.org/a?b", "http://a.link-farm.net", "http://PILLS.net/", "http://a.example.com.xxx.org/"]
+    good = ["http://alphabets.org/", "http://casinos.example.com", "http://example.casino", "http://x.org/casino-win.example.com/", "http://link.farm.net/", "http://spamless.org/", "http://link-to-farm.org", "http://x.org/a.poker.b"]
+    assert [v[3] for v in verdicts(spark, bad + good, [])] == ["block"] * len(bad) + ["allow"] * len(good)
+
+
 def test_a_rule_is_filed_under_its_rarest_token(spark):
     urls = [f"http://h{i}.com/p{i}" for i in range(40)] + ["http://rare.com/p"]
     assert verdicts(spark, urls, [Rule("rare.com/", "block")])[-1][3] == "block"
