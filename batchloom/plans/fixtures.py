@@ -100,24 +100,22 @@ def result_files(spark: SparkSession, d: str) -> DataFrame:
     return out.select("batch_id", "file_kind", F.concat("batch_id", F.lit("."), "file_kind").alias("file_id"), "content")
 
 
-def stored_folder(spark: SparkSession, files: DataFrame) -> str:
-    """Result files written to the shared folder as batch_id=.../file_kind=.../part; the folder."""
-    root = f"{shared_dir(spark)}/result-files-{uuid.uuid4().hex}"
-    lines = files.select("batch_id", "file_kind", F.regexp_replace("content", r"\n\z", "").alias("value"))
-    lines.repartition("batch_id", "file_kind").write.partitionBy("batch_id", "file_kind").text(root)
-    return root
-
-
 def stored_result_files(spark: SparkSession, d: str) -> DataFrame:
     """The same files written to the shared folder, by their places there."""
-    found = spark.read.format("binaryFile").load(stored_folder(spark, result_files(spark, d))).select("batch_id", "file_kind", "path", "length")
+    root = f"{shared_dir(spark)}/result-files-{uuid.uuid4().hex}"
+    files = result_files(spark, d).select("batch_id", "file_kind", F.regexp_replace("content", r"\n\z", "").alias("value"))
+    files.repartition("batch_id", "file_kind").write.partitionBy("batch_id", "file_kind").text(root)
+    found = spark.read.format("binaryFile").load(root).select("batch_id", "file_kind", "path", "length")
     return found.select(F.col("batch_id").cast("string").alias("batch_id"), F.col("file_kind").cast("string").alias("file_kind"), F.concat("batch_id", F.lit("."), "file_kind").alias("file_id"), "path", "length")
 
 
-def listed_result_files(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """Result files written and listed for digests, named <batch_id>.<file_kind>."""
-    found = digests.listed(spark, stored_folder(spark, files))
-    return found.withColumn("name", F.regexp_replace("name", "^batch_id=(.*)/file_kind=([a-z]*)/.*$", "$1.$2"))
+def listed_archives(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """Result files of 64 conversations each in one file, written and listed for digests, named by their number."""
+    root = f"{shared_dir(spark)}/archives-{uuid.uuid4().hex}"
+    part = F.expr("CAST(substring(batch_id, 6) AS long) DIV 64").alias("part")
+    rows = files.select(part, "batch_id", "file_kind", F.regexp_replace("content", r"\n\z", "").alias("value"))
+    rows.repartition("part").sortWithinPartitions("part", "batch_id", "file_kind").select("part", "value").write.partitionBy("part").text(root)
+    return digests.listed(spark, root).withColumn("name", F.regexp_extract("name", "^part=([0-9]+)/", 1))
 
 
 def cas_attempts(spark: SparkSession, d: str) -> DataFrame:

@@ -611,25 +611,26 @@ def sequence_numbers(spark: SparkSession, d: str) -> DataFrame:
     return n.groupBy("conv_id").agg((F.max("turn") + 1 - F.min("turn")).alias("span"), F.max("sequence_no").alias("turns"))
 
 
-TREES = f"""WITH RECURSIVE {FILES}, two AS (SELECT 0 AS side, file_id AS name, hex(encode(content)) AS h FROM fil UNION ALL SELECT 1, file_id, hex(encode(replace(content, 'c1', 'c7'))) FROM fil),
-lea AS (SELECT side, name, length(h) // 2 AS length, unnest(range((length(h) + 511) // 512)) AS node, h FROM two),
-blo AS (SELECT side, name, length, node, sha256('\\x00'::BLOB || unhex(substr(h, 512 * node + 1, 512))) AS digest FROM lea),
-tre AS (SELECT side, name, length, (length + 255) // 256 AS width, node, digest FROM blo WHERE side = 0
+TREES = f"""WITH RECURSIVE {FILES}, arc AS (SELECT (split_part(batch_id, '-', 2)::BIGINT // 64)::VARCHAR AS name, string_agg(content, '' ORDER BY batch_id, file_kind) AS content FROM fil GROUP BY ALL),
+two AS (SELECT 0 AS side, name, hex(encode(content)) AS h FROM arc UNION ALL SELECT 1, name, hex(encode(replace(content, 'c1-', 'c7-'))) FROM arc),
+lea AS (SELECT side, name, length(h) // 2 AS length, unnest(range((length(h) + 2047) // 2048)) AS node, h FROM two),
+blo AS (SELECT side, name, length, node, sha256('\\x00'::BLOB || unhex(substr(h, 2048 * node + 1, 2048))) AS digest FROM lea),
+tre AS (SELECT side, name, length, (length + 1023) // 1024 AS width, node, digest FROM blo WHERE side = 0
   UNION ALL SELECT side, name, length, (width + 3) // 4, node // 4, sha256('\\x01'::BLOB || unhex(string_agg(digest, '' ORDER BY node))) FROM tre WHERE width > 1 GROUP BY side, name, length, width, node // 4)"""
 
 
 @query(f"{TREES} SELECT name, length, digest AS root FROM tre WHERE width = 1")
 def file_tree_roots(spark: SparkSession, d: str) -> DataFrame:
-    """Tree digests of all result files, over blocks of 256 bytes."""
-    files = fixtures.listed_result_files(spark, fixtures.result_files(spark, d))
-    return digests.roots(digests.tree(digests.blocks(files, 256), 4), files)
+    """Tree digests of all archives of result files, over blocks of 1024 bytes."""
+    files = fixtures.listed_archives(spark, fixtures.result_files(spark, d))
+    return digests.roots(digests.tree(digests.blocks(files, 1024), 4), files)
 
 
 @query(f"{TREES} SELECT a.name, a.node AS block FROM blo a JOIN blo b ON a.name = b.name AND a.node = b.node WHERE a.side = 0 AND b.side = 1 AND a.digest <> b.digest")
 def changed_blocks(spark: SparkSession, d: str) -> DataFrame:
-    """The blocks that differ between the result files and a copy in which ids that begin with c1 were renamed."""
+    """The blocks that differ between the archives and a copy in which the ids of conversation 1 were renamed."""
     files = fixtures.result_files(spark, d)
-    a, b = (digests.tree(digests.blocks(fixtures.listed_result_files(spark, f), 256), 4) for f in (files, files.withColumn("content", F.replace("content", F.lit("c1"), F.lit("c7")))))
+    a, b = (digests.tree(digests.blocks(fixtures.listed_archives(spark, f), 1024), 4) for f in (files, files.withColumn("content", F.replace("content", F.lit("c1-"), F.lit("c7-")))))
     return digests.differing(a, b, 4)
 
 
