@@ -5,7 +5,9 @@ in. Two unit vectors with cosine >= t are at most s = sqrt(2 - 2 t) apart, so fo
 cells the two margins x.(a - b) and y.(b - a) add up to at most s |a - b|: one of the two vectors has a margin of
 at most half of that and visits the other's cell. With slack = 1 no pair is missed; a smaller slack looks at fewer
 cells and may miss some. Cells are cut into blocks; a task holds one block and streams the rest past it, and what
-leaves it are counts and a spanning forest, never the pairs.
+leaves it are counts and a spanning forest, never the pairs. There are about as many cells as the root of the number of
+vectors: in many dimensions a vector visits a large share of all cells, however small they are, and smaller ones
+would only send it more often.
 """
 
 from __future__ import annotations
@@ -23,11 +25,14 @@ from .simhash import _runs
 THRESHOLD = 0.95
 #: Vectors that the centres are fitted on, at most; every vector is then assigned.
 FIT_SAMPLE = 20_000
-#: Distinct vectors aimed at in a cell, and held at most by a task.
-CELL, BLOCK = 512, 2048
+#: Distinct vectors aimed at in a cell, at least, and held at most by a task.
+CELL, BLOCK = 512, 16384
+#: Cells for n vectors: the root of n, divided by this, and MAX_CELLS at most.
+ROOT = 16
 MAX_CELLS = 2048
 ROUNDS = 8
-STEP = 1024
+#: Vectors that are compared, or looked up in cells, at a time; copies of them that leave a task at a time.
+STEP, SENT = 1024, 4096
 
 
 def fit_centres(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -62,44 +67,41 @@ def links(reps: DataFrame, dim: int, threshold: float = THRESHOLD, slack: float
     own is a vector's length before; only vectors of equal own are compared. linked is how many vectors of other reps are within the threshold, each rep counting n times.
     """
     total = reps.count()
-    k = int(min(MAX_CELLS, max(1, total // CELL)))
+    k = int(min(MAX_CELLS, max(1, min(total // CELL, np.sqrt(total) // ROOT))))
     sample = reps.orderBy(F.xxhash64("rep")).limit(min(FIT_SAMPLE, max(1, 40 * k))).select("v").collect()
     x = np.array([r.v for r in sample], np.float64).reshape(-1, dim)
     centres = fit_centres(x / np.linalg.norm(x, axis=1)[:, None], min(k, len(x))) if len(x) else np.zeros((1, dim))
     sent = reps.sparkSession.sparkContext.broadcast(centres)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                home, _ = visits(_unit(b.column("v"), dim), sent.value, threshold, slack)
-                yield pa.record_batch([b.column("rep"), b.column("n"), b.column("own"), b.column("v"), pa.array(home)], names=["rep", "n", "own", "v", "home"])
+        for b in _steps(batches):
+            home, _ = visits(_unit(b.column("v"), dim), sent.value, threshold, slack)
+            yield pa.record_batch([b.column("rep"), b.column("n"), b.column("own"), b.column("v"), pa.array(home)], names=["rep", "n", "own", "v", "home"])
 
     homes = materialize(reps.select("rep", "n", "own", "v").mapInArrow(assign, "rep long, n long, own int, v array<double>, home long"), "cells")
     blocks = {r.home: -(-r.n // BLOCK) for r in homes.groupBy("home").agg(F.count("*").alias("n")).collect()}  # MAX_CELLS rows at most
 
+    per_cell = np.array([blocks.get(c, 0) for c in range(k)], np.int64)
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in _steps(batches):
             home, seen = visits(_unit(b.column("v"), dim), sent.value, threshold, slack)
             rep = b.column("rep").to_numpy()
             own = (rep.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
-            row, cell, block, role = [], [], [], []
-            for i, c in zip(*np.nonzero(seen), strict=True):
-                n = blocks.get(c, 0)
-                mine = own[i] % n if c == home[i] else -1
-                # At home: into its own block, and past the blocks before it. Elsewhere: past all blocks.
-                for j in range(mine + 1 if mine >= 0 else n):
-                    row.append(i)
-                    cell.append(c)
-                    block.append(j)
-                    role.append(0 if j == mine else 1)
-            at = np.array(row, np.int64)
+            row, cell = np.nonzero(seen)
+            mine = np.where(cell == home[row], own[row] % np.maximum(1, per_cell[cell]), -1)
+            # At home: into its own block, and past the blocks before it. Elsewhere: past all blocks.
+            times = np.where(mine >= 0, mine + 1, per_cell[cell])
+            at, cell, mine = (np.repeat(x, times) for x in (row, cell, mine))
+            block = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
             mask = np.packbits(seen, axis=1, bitorder="little")
-            yield pa.record_batch(
-                [pa.array(np.array(cell, np.int64) * (1 << 32) + np.array(block, np.int64)), pa.array(np.array(role, np.int32)), pa.array(home[at]), b.column("rep").take(pa.array(at)), b.column("n").take(pa.array(at)), b.column("own").take(pa.array(at)), pa.array([mask[i].tobytes() for i in at], pa.binary()), b.column("v").take(pa.array(at))],
-                names=["task", "role", "home", "rep", "n", "own", "seen", "v"],
-            )
+            for i in range(0, len(at), SENT):
+                part = slice(i, i + SENT)
+                take = pa.array(at[part])
+                yield pa.record_batch(
+                    [pa.array(cell[part] * (1 << 32) + block[part]), pa.array(np.where(block[part] == mine[part], 0, 1).astype(np.int32)), pa.array(home[at[part]]), b.column("rep").take(take), b.column("n").take(take), b.column("own").take(take), pa.array([mask[j].tobytes() for j in at[part]], pa.binary()), b.column("v").take(take)],
+                    names=["task", "role", "home", "rep", "n", "own", "seen", "v"],
+                )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, full = None, [], None
@@ -130,32 +132,27 @@ def links(reps: DataFrame, dim: int, threshold: float = THRESHOLD, slack: float
         """Links inside block a, or between it and the passing rows c."""
         cell = a["home"][0]
         rep, other = a["rep"], (a if c is None else c)
-        src, dst, count = [], [], {}
-        got_a, got_c = np.zeros(len(rep), np.int64), np.zeros(len(other["rep"]), np.int64)
+        ids, past = (rep, 0) if c is None else (np.concatenate([rep, other["rep"]]), len(rep))
+        got, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
         for s in range(0, len(rep), STEP):
-            hit = (a["v"][s : s + STEP] @ other["v"].T >= threshold) & (a["own"][s : s + STEP, None] == other["own"])
-            i, j = np.nonzero(hit)
-            i = i + s
-            if c is None:
-                keep = i < j
-            else:
-                # A guest's cell sees this pair too if the partner here visits it: the lower cell counts it.
-                h = other["home"][j]
-                both = (a["seen"][i, h >> 3] >> (h & 7).astype(np.uint8)) & 1 == 1
-                keep = (h == cell) | ~both | (cell < h)
-            i, j = i[keep], j[keep]
-            np.add.at(got_a, i, other["n"][j])
-            np.add.at(got_c, j, a["n"][i])
-            src.append(i)
-            dst.append(j)
-        i, j = np.concatenate(src), np.concatenate(dst)
-        if not len(i):
+            for t in range(s if c is None else 0, len(other["rep"]), STEP):
+                hit = (a["v"][s : s + STEP] @ other["v"][t : t + STEP].T >= threshold) & (a["own"][s : s + STEP, None] == other["own"][t : t + STEP])
+                i, j = np.nonzero(hit)
+                i, j = i + s, j + t
+                if c is None:
+                    keep = i < j
+                else:
+                    # A guest's cell sees this pair too if the partner here visits it: the lower cell counts it.
+                    h = other["home"][j]
+                    both = (a["seen"][i, h >> 3] >> (h & 7).astype(np.uint8)) & 1 == 1
+                    keep = (h == cell) | ~both | (cell < h)
+                i, j = i[keep], j[keep]
+                if len(i):  # pairs of two steps at most are held, whatever a group's size
+                    np.add.at(got, i, other["n"][j])
+                    np.add.at(got, j + past, a["n"][i])
+                    label = forest(len(ids), np.concatenate([np.arange(len(ids)), i]), np.concatenate([label, j + past]))
+        if not got.any():
             return
-        if c is None:
-            ids, got, label = rep, got_a + got_c, forest(len(rep), i, j)
-        else:
-            ids, got = np.concatenate([rep, other["rep"]]), np.concatenate([got_a, got_c])
-            label = forest(len(ids), i, j + len(rep))
         some = got > 0
         yield pa.record_batch([pa.array(ids[some]), pa.array(got[some]), pa.array(ids[label[some]])], names=["rep", "linked", "root"])
 
@@ -165,6 +162,12 @@ def links(reps: DataFrame, dim: int, threshold: float = THRESHOLD, slack: float
     return found.groupBy("rep").agg(F.sum("linked").alias("linked")), found.where("rep <> root").select(F.col("rep").alias("src"), F.col("root").alias("dst"))
 
 
+def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i in range(0, b.num_rows, STEP):
+            yield b.slice(i, STEP)
+
+
 def _stack(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
     return {n: np.concatenate([p[n] for p in parts]) for n in parts[0]}
 

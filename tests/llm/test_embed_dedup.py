@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from batchloom.llm import embed_dedup, queries
@@ -76,3 +77,49 @@ def test_odd_rows(spark):
     assert got[12] == (1, 12, True) and got[13] == (1, 12, False)
     assert got[None][0] == 0
     assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_what_leaves_a_task_at_a_time_is_bounded(spark, monkeypatch):
+    x = np.random.default_rng(8).normal(size=(3000, 24))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(embed_dedup, "SENT", 100)
+    monkeypatch.setattr(embed_dedup, "CELL", 40)
+    seen, run = {}, type(df).mapInArrow
+
+    def watched(self, f, schema, **k):
+        if "seen binary" in schema:
+            seen["most"] = run(self, lambda bs: (pa.record_batch([pa.array([b.num_rows])], names=["n"]) for b in f(bs)), "n long").agg({"n": "max"}).first()[0]
+        return run(self, f, schema, **k)
+
+    monkeypatch.setattr(type(df), "mapInArrow", watched)
+    got = sorted(map(tuple, embed_dedup.near_duplicates(df).collect()))
+    assert got == brute(x, range(len(x))) and 0 < seen["most"] <= 100
+
+
+def test_a_vector_goes_to_few_tasks(spark, monkeypatch):
+    sent = []
+    x = np.random.default_rng(9).normal(size=(12_000, 48))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    run = type(df).mapInArrow
+
+    def watched(self, f, schema, **k):
+        out = run(self, f, schema, **k)
+        if "seen binary" in schema:
+            sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(type(df), "mapInArrow", watched)
+    rows = embed_dedup.near_duplicates(df).collect()
+    assert len(rows) == len(x) and sent[0] < 8 * len(x)  # of 23 cells it visited nearly all
+
+
+@pytest.mark.parametrize("block", [16, 500])
+def test_all_links_are_found_over_many_cells(spark, monkeypatch, block):
+    monkeypatch.setattr(embed_dedup, "CELL", 30)
+    monkeypatch.setattr(embed_dedup, "ROOT", 1)
+    monkeypatch.setattr(embed_dedup, "STEP", 64)
+    monkeypatch.setattr(embed_dedup, "BLOCK", block)
+    x = data()
+    df = spark.createDataFrame([(i, v.tolist(), i % 5, "a", "b", "c") for i, v in enumerate(x)], SCHEMA).repartition(5)
+    got = sorted(map(tuple, embed_dedup.near_duplicates(df).collect()))
+    assert got == brute(x.astype(np.float64), range(len(x)))
