@@ -5,13 +5,13 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.render import json_text
 from ..functions.tokens import whitespace_tokens
 from ..sources import digests
-from ..storage import shared_dir
+from ..storage import materialize, shared_dir
 
 EPOCH = 1_704_067_200  # 2024-01-01
 
@@ -101,12 +101,18 @@ def result_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stored_result_files(spark: SparkSession, d: str) -> DataFrame:
-    """The same files written to the shared folder, by their places there."""
+    """The same files written to the shared folder, those of 4096 conversations one after another in one, by their places there."""
     root = f"{shared_dir(spark)}/result-files-{uuid.uuid4().hex}"
-    files = result_files(spark, d).select("batch_id", "file_kind", F.regexp_replace("content", r"\n\z", "").alias("value"))
-    files.repartition("batch_id", "file_kind").write.partitionBy("batch_id", "file_kind").text(root)
-    found = spark.read.format("binaryFile").load(root).select("batch_id", "file_kind", "path", "length")
-    return found.select(F.col("batch_id").cast("string").alias("batch_id"), F.col("file_kind").cast("string").alias("file_kind"), F.concat("batch_id", F.lit("."), "file_kind").alias("file_id"), "path", "length")
+    part = F.expr("CAST(substring(batch_id, 6) AS long) DIV 4096").alias("part")
+    files = materialize(result_files(spark, d).select(part, "batch_id", "file_kind", F.regexp_replace("content", r"\n\z", "").alias("value")), "result-texts")
+    files.repartition("part").sortWithinPartitions("part", "batch_id", "file_kind").select("part", "value").write.option("maxRecordsPerFile", 0).partitionBy("part").text(root)
+    length = (F.octet_length("value") + 1).cast("long")
+    sizes = files.select("part", "batch_id", "file_kind", length.alias("length"))
+    start = F.sum("length").over(Window.partitionBy("part").orderBy("batch_id", "file_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("length")
+    stored = spark.read.format("binaryFile").load(root).select(F.col("part").cast("long").alias("part_"), F.col("path").alias("whole_"))
+    found = sizes.withColumn("start", start).join(stored, F.col("part") == F.col("part_"))
+    path = F.concat("whole_", F.lit("#bytes="), F.col("start").cast("string"), F.lit("-"), F.col("length").cast("string"))
+    return found.select("batch_id", "file_kind", F.concat("batch_id", F.lit("."), "file_kind").alias("file_id"), path.alias("path"), "length")
 
 
 def listed_archives(spark: SparkSession, files: DataFrame) -> DataFrame:

@@ -98,9 +98,35 @@ def lines_of(f: pa.NativeFile, low: int, high: int, most: int) -> Iterator[Line]
         held = begun + part
 
 
-def _open(path: str) -> pa.NativeFile:
-    system, inside = fs.FileSystem.from_uri(path)
-    return system.open_input_file(inside)
+class Slice:
+    """Bytes [start, start + length) of an open file, read as a file of their own."""
+
+    def __init__(self, f: pa.NativeFile, start: int, length: int) -> None:
+        self.f, self.start, self.length = f, start, length
+        f.seek(start)
+
+    def seek(self, at: int) -> None:
+        self.f.seek(self.start + at)
+
+    def tell(self) -> int:
+        return self.f.tell() - self.start
+
+    def read(self, size: int) -> bytes:
+        return self.f.read(max(0, min(size, self.length - self.tell())))
+
+    def __enter__(self) -> Slice:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.f.close()
+
+
+def _open(path: str) -> pa.NativeFile | Slice:
+    """A file; `path#bytes=start-length` is a file that lies within another."""
+    whole, _, part = path.partition("#bytes=")
+    system, inside = fs.FileSystem.from_uri(whole)
+    f = system.open_input_file(inside)
+    return Slice(f, *map(int, part.split("-"))) if part else f
 
 
 def _uri(path: str) -> str:

@@ -8,6 +8,8 @@ import pytest
 
 from batchloom.errors import ValidationError
 from batchloom.operators import results
+from batchloom.plans import fixtures
+from batchloom.sources import ranges
 from batchloom.sources.files import result_files
 from batchloom.sources.ranges import Budgets, Reading, lines_of, listed
 
@@ -93,3 +95,21 @@ def test_a_restart_goes_on_from_its_offset(spark, tmp_path):
     with pytest.raises(ValidationError) as e:  # what was read before counts against a budget
         Reading(listed(spark, path), Budgets(batch_records=2), offsets=offsets).records()
     assert e.value.details["at_line"] == 4
+
+
+def test_files_within_a_file(tmp_path):
+    (tmp_path / "x").write_bytes(b"skip\na\nbb\nccc\nnot mine\n")
+    with ranges._open(f"file://{tmp_path}/x#bytes=5-9") as f:
+        assert [(x.start, x.end, x.raw) for x in ranges.lines_of(f, 0, 9, 100)] == [(0, 2, b"a"), (2, 5, b"bb"), (5, 9, b"ccc")]
+        assert [x.raw for x in ranges.lines_of(f, 3, 9, 100)] == [b"ccc"]
+
+
+def test_stored_result_files_are_few(spark, tables):
+    found = fixtures.stored_result_files(spark, tables).collect()
+    whole = {r.path.partition("#")[0] for r in found}
+    most = max(int(r.batch_id.split("-")[1]) for r in found)
+    assert len(found) > 30 and len(whole) <= most // 4096 + 1
+    want = {(r.batch_id, r.file_kind): r.content.removesuffix("\n") + "\n" for r in fixtures.result_files(spark, tables).collect()}
+    for r in found:
+        with ranges._open(ranges._uri(r.path)) as f:
+            assert f.read(r.length + 1).decode() == want[r.batch_id, r.file_kind] and r.length == len(want[r.batch_id, r.file_kind].encode())
