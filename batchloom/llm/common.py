@@ -5,7 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..storage import Scratch, materialize, shared_dir, temporary
 
-__all__ = ["ROW", "connected_components", "forest", "materialize", "only", "packed", "shared_dir", "table", "texts", "unit", "unpacked"]
+__all__ = ["ROW", "batches_of", "connected_components", "forest", "materialize", "only", "packed", "shared_dir", "table", "texts", "unit", "unpacked"]
 
 #: ASCII white space as the contracts define it; everything else is part of a word.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -51,6 +51,18 @@ def texts(docs: DataFrame, *columns: Column) -> DataFrame:
     return docs.select(*columns)
 
 
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What is run in here gives Python no more than so many rows at a time: rows that are large, each."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -7,7 +7,7 @@ phrase's count and its left parts' (its ancestors). Right parts come by suffix l
 word, repeated.
 
 Before tries are built, windows that can't be frequent are left out, exactly: a phrase is no more frequent than its parts,
-and parts are counted into hashed buckets of a fixed number first. A bucket's count is that of its parts together, so
+and parts of up to four words are counted into hashed buckets of a fixed number first. A bucket's count is that of its parts together, so
 what lies in a bucket below the threshold is below it. Buckets above are a bit map of a fixed size, which is broadcast.
 """
 
@@ -22,18 +22,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import bounded, temporary
-from .common import materialize, only, texts
+from .common import batches_of, materialize, only, texts
 
 #: Words of a phrase, at most.
 DEPTH = 5
 #: Words of a shard, windows of a trie, about; words of one trie, at most.
-SHARD, WINDOWS, TRIE_WORDS = 1 << 20, 1 << 21, 1 << 20
+SHARD, WINDOWS, TRIE_WORDS = 1 << 19, 1 << 19, 1 << 18
+#: Shards, and parts of tries, that go to Python at a time.
+SHARD_ROWS, TRIE_ROWS = 8, 64
 #: Bytes of a text that are split at a time.
 BYTES = 1 << 22
-#: Buckets of a level, and of one row of them, as powers of two.
+#: Buckets of a level at most, and of one row of them, as powers of two.
 BITS, ROW_BITS = 26, 20
-#: Lengths whose windows are counted into buckets.
-LEVELS = (1, 2, 3)
+#: Lengths whose windows are counted into buckets, with the buckets they have, as powers of two: words are few.
+LEVELS = {1: 22, 2: BITS, 3: BITS, 4: BITS - 1}
 #: Frequent single words that may be broadcast.
 BROADCAST_WORDS = 500_000
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz\n\n\n\n\n\n\n\n\n ")
@@ -116,8 +118,8 @@ def mixed(g: np.ndarray) -> np.ndarray:
     return g ^ (g >> np.uint64(29))
 
 
-def bucket(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - BITS)).astype(np.uint32)
+def bucket(h: np.ndarray, level: int = 2) -> np.ndarray:
+    return (h >> np.uint64(64 - LEVELS[level])).astype(np.uint32)
 
 
 def read_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
@@ -164,20 +166,20 @@ class Buckets:
 
     def __init__(self, levels: tuple[int, ...], most: int) -> None:
         self.most = most
-        self.held = {n: np.zeros(1 << BITS, np.uint8) for n in levels}
+        self.held = {n: np.zeros(1 << LEVELS[n], np.uint8) for n in levels}
 
     def add(self, level: int, hashes: np.ndarray, counts: np.ndarray | None = None) -> None:
         held = self.held[level]
         if counts is None:
-            keys, n = np.unique(bucket(hashes), return_counts=True)
+            keys, n = np.unique(bucket(hashes, level), return_counts=True)
         else:
-            keys, at = np.unique(bucket(hashes), return_inverse=True)
+            keys, at = np.unique(bucket(hashes, level), return_inverse=True)
             n = np.bincount(at, counts, len(keys))
         held[keys] = np.minimum(held[keys] + np.minimum(n, self.most), self.most).astype(np.uint8)
 
     def rows(self) -> Iterator[dict]:
         for level, held in self.held.items():
-            for k in range(1 << (BITS - ROW_BITS)):
+            for k in range(len(held) >> ROW_BITS):
                 part = held[k << ROW_BITS : (k + 1) << ROW_BITS]
                 at = np.flatnonzero(part)
                 if len(at):
@@ -236,9 +238,11 @@ def bit_maps(rows: DataFrame, least: int) -> dict[int, np.ndarray]:
     dealt = rows.where("slot IS NOT NULL").select("slot", "places", "held").repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "slot")
     out: dict[int, np.ndarray] = {}
     step = 1 << (ROW_BITS - 3)
-    for r in dealt.mapInArrow(add, "slot int, bits binary").collect():
+    with batches_of(spark, SHARD_ROWS):
+        found = dealt.mapInArrow(add, "slot int, bits binary").collect()
+    for r in found:
         level, k = divmod(r["slot"], 1 << (BITS - ROW_BITS))
-        to = out.setdefault(level, np.zeros(1 << (BITS - 3), np.uint8))
+        to = out.setdefault(level, np.zeros(1 << (LEVELS[level] - 3), np.uint8))
         to[k * step : (k + 1) * step] = np.frombuffer(r["bits"], np.uint8)
     return out
 
@@ -246,7 +250,7 @@ def bit_maps(rows: DataFrame, least: int) -> dict[int, np.ndarray]:
 def passed(maps: dict[int, np.ndarray], level: int, hashes: np.ndarray) -> np.ndarray:
     if level not in maps:
         return np.zeros(len(hashes), bool)
-    at = bucket(hashes)
+    at = bucket(hashes, level)
     return (maps[level][at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
 
 
@@ -286,15 +290,21 @@ class Trie:
         rank = {w: i + 1 for i, w in enumerate(words)}
         parts = []
         for own, windows, _ in runs:
-            to = np.zeros(len(own) + 1, np.int64)
+            to = np.zeros(len(own) + 1, np.int32)
             to[1:] = [rank[w] for w in own]
             parts.append(to[windows])
-        w = np.concatenate(parts) if parts else np.zeros((0, DEPTH), np.int64)
+        del rank
+        w = np.concatenate(parts) if parts else np.zeros((0, DEPTH), np.int32)
         n = np.concatenate([r[2] for r in runs]) if runs else np.zeros(0, np.int64)
+        del parts
         k = max(1, len(words).bit_length())
-        keys = [w[:, i] for i in range(DEPTH - 1, -1, -1)] if 3 * k > 62 else [(w[:, 2] << 2 * k) | (w[:, 3] << k) | w[:, 4], (w[:, 0] << k) | w[:, 1]]
+        a, b, c, d, e = (w[:, i].astype(np.int64) if 3 * k <= 62 else w[:, i] for i in range(DEPTH))
+        keys = [e, d, c, b, a] if 3 * k > 62 else [(c << 2 * k) | (d << k) | e, (a << k) | b]
+        del a, b, c, d, e
         order = np.lexsort(keys)
+        del keys
         w, n = w[order], n[order]
+        del order
         if len(w):
             new = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]).any(1)]))
             w, n = w[new], np.add.reduceat(n, new)
@@ -332,8 +342,8 @@ class Trie:
         shared, depth = (np.frombuffer(r[n], np.uint8).astype(np.int64) for n in ("shared", "depth"))
         places = np.arange(DEPTH)
         given = (places >= shared[:, None]) & (places < depth[:, None])
-        w = np.zeros(given.shape, np.int64)
-        w[given] = np.frombuffer(r["labels"], "<i4").astype(np.int64) + 1
+        w = np.zeros(given.shape, np.int32)
+        w[given] = np.frombuffer(r["labels"], "<i4") + 1
         last = np.maximum.accumulate(np.where(given, np.arange(len(w))[:, None], 0), axis=0)
         return words, np.where(places < depth[:, None], np.take_along_axis(w, last, 0), 0), np.frombuffer(r["counts"], "<i8")
 
@@ -371,17 +381,19 @@ def _counted(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     texts_ = shards.where("slot IS NULL").select("names", "words", "langs", "ids")
     maps = spark.sparkContext.broadcast(bit_maps(shards, most))  # 8 MB a level
 
-    def third(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only()
-        buckets = Buckets((3,), most)
+        buckets = Buckets((3, 4), most)
         for s in _loaded(batches):
-            at = open_windows(s, {k: v for k, v in maps.value.items() if k < 3}, 3)[-1]
-            buckets.add(3, s.windows(3)[at & s.begins])
+            fine = open_windows(s, {k: v for k, v in maps.value.items() if k < 3}, 4)
+            for level in buckets.held:
+                buckets.add(level, s.windows(level)[fine[level - 1] & s.begins])
         for r in buckets.rows():
             yield _batch([r], ARROW_SHARDS)
 
-    triples = materialize(texts_.mapInArrow(third, SHARDS).select("slot", "places", "held"), "phrase-buckets")
-    maps = spark.sparkContext.broadcast({**maps.value, **bit_maps(triples, most)})
+    with batches_of(spark, SHARD_ROWS):
+        more = materialize(texts_.mapInArrow(longer, SHARDS).select("slot", "places", "held"), "phrase-buckets")
+    maps = spark.sparkContext.broadcast({**maps.value, **bit_maps(more, most)})
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -397,8 +409,8 @@ def _counted(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
             one = np.bincount(s.at[fine[0] & s.begins], minlength=len(s.words))
             used = np.flatnonzero(one)
             begins = np.flatnonzero(fine[1] & s.begins)
-            w = np.zeros((len(used) + len(begins), DEPTH), np.int64)
-            to = np.zeros(len(s.words) + 1, np.int64)
+            w = np.zeros((len(used) + len(begins), DEPTH), np.int32)
+            to = np.zeros(len(s.words) + 1, np.int32)
             every = np.unique(s.at[fine[0]])
             to[every] = np.arange(1, len(every) + 1)
             w[: len(used), 0] = to[used]
@@ -408,6 +420,7 @@ def _counted(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
                 w[len(used) + go, d] = to[s.at[begins[go] + d]]
             runs.append(([(s.names[s.words[i][0]], s.words[i][1]) for i in every.tolist()], w, np.concatenate([one[used], np.ones(len(begins), np.int64)])))
             rows, words = rows + len(w), words + len(every)
+            del s, fine, w
             if rows > WINDOWS or words > TRIE_WORDS:
                 yield from done()
                 runs, rows, words = [], 0, 0
@@ -440,13 +453,19 @@ def _counted(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
         for w, n in t.frequent(least):
             for ranks, sums in zip(w.tolist(), n.tolist(), strict=True):
                 own = [t.words[k - 1][1].decode("utf-8", "surrogatepass") for k in ranks]
+                if len(out) == 10_000:
+                    yield _batch(out, ARROW_FOUND)
+                    out = []
                 out.append({"lang": t.words[ranks[0] - 1][0], "size": len(own), "phrase": " ".join(own), "a": sums[-1], "lefts": sums[:-1], "head": own[0], "tail": " ".join(own[1:]), "body": " ".join(own[:-1])})
-        for at in range(0, len(out), 10_000):
-            yield _batch(out[at : at + 10_000], ARROW_FOUND)
-
-    cut = materialize(texts_.mapInArrow(tries, TRIES), "phrase-tries")
-    dealt = cut.repartitionByRange(parts, "range").sortWithinPartitions("range")
-    return materialize(dealt.mapInArrow(merge, FOUND), "phrases", compact=4), materialize(totals, "phrase-totals", compact=16)
+        if out:
+            yield _batch(out, ARROW_FOUND)
+
+    with batches_of(spark, SHARD_ROWS):
+        cut = materialize(texts_.mapInArrow(tries, TRIES), "phrase-tries")
+    with batches_of(spark, TRIE_ROWS):
+        dealt = cut.repartitionByRange(parts, "range").sortWithinPartitions("range")
+        phrases = materialize(dealt.mapInArrow(merge, FOUND), "phrases", compact=4)
+    return phrases, materialize(totals, "phrase-totals", compact=16)
 
 
 def _exact(c: Column, digits: int) -> Column:

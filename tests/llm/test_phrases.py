@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 from itertools import pairwise
 from pathlib import Path
@@ -143,3 +144,30 @@ def test_odd_rows(spark, odd, none):
     assert got == plain([(r.text, r.lang) for r in odd.collect()], 2, 100, 10**6)
     assert phrases.collocations(none).collect() == []
     assert phrases.collocations(documents(spark, [None, "", " . "]), 1).collect() == []
+
+
+def test_rare_windows_of_four_words_stay_out_of_tries(spark, monkeypatch):
+    write, depths = phrases.materialize, []
+
+    def kept(df, label, **k):
+        out = write(df, label, **k)
+        if label == "phrase-tries":
+            depths.extend(b for r in out.select("depth").collect() for b in r.depth)
+        return out
+
+    monkeypatch.setattr(phrases, "materialize", kept)
+    rows = [(f"one two three w{i % 40}", "en") for i in range(200)] + [(f"v{i % 50} two three four", "en") for i in range(100)] + [("one two three four", "en")] * 5
+    got = sorted(map(tuple, phrases.collocations(frame(spark, rows), 100).collect()))
+    assert got == plain(rows, 100, 100, 2000)
+    assert max(depths) == 3  # "one two three four" is there 5 times, its parts of three words often
+
+
+def test_a_merge_holds_few_bytes_a_window():
+    r = np.random.default_rng(3)
+    words = [("en", b"w%d" % i) for i in range(500)]
+    w = r.integers(1, 501, (200_000, 5)).astype(np.int32)
+    tracemalloc.start()
+    phrases.Trie.merged([(words, w, np.ones(len(w), np.int64))])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 110 * len(w)
