@@ -5,14 +5,20 @@ from __future__ import annotations
 import json
 import math
 import re
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schemas import MAX_METADATA_BYTES
 
 
+#: Bytes of a text that are looked at for a line's end at a time.
+CHUNK = 1 << 14
+
+
 def _unique(pairs: list[tuple[str, object]]) -> dict[str, object]:
     names = dict(pairs)
     if len(names) < len(pairs):
@@ -56,10 +62,26 @@ def is_strict_object(text: str | Column) -> Column:
 def all_strict(text: str | Column) -> Column:
     """Whether each line of a text is a strict object; the newline at its end parts nothing."""
 
-    def check(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: isinstance(t, str) and all(_is_object(x, parse_strict) for x in t.removesuffix("\n").split("\n"))).astype(bool)
-
-    return F.pandas_udf(check, "boolean")(text)
+    def check(texts: pa.Array) -> pa.Array:
+        return pa.array([t.is_valid and all(_is_object(x.decode("utf-8", "surrogatepass"), parse_strict) for x in _lines(memoryview(t.as_buffer()))) for t in texts], pa.bool_())
+
+    return F.arrow_udf(check, "boolean")(text)
+
+
+def _lines(raw: memoryview) -> Iterator[bytes]:
+    """Lines one by one, without a copy of the whole; the newline at the end parts nothing."""
+    at = 0
+    end = len(raw) - (len(raw) > 0 and raw[-1] == 10)
+    while at <= end:
+        stop, size = end, at
+        while size < end:
+            part = bytes(raw[size : min(end, size + CHUNK)])
+            if (i := part.find(b"\n")) >= 0:
+                stop = size + i
+                break
+            size += len(part)
+        yield bytes(raw[at:stop])
+        at = stop + 1
 
 
 def is_lenient_object(text: str | Column) -> Column:

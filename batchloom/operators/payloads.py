@@ -9,6 +9,9 @@ from ..errors import ValidationError
 from ..functions.checks import payload_id
 from ..functions.strict_json import all_strict
 
+#: Files that go to Python at a time, at most.
+BATCH_FILES = 64
+
 
 def lines(requests: DataFrame, assigned: DataFrame) -> DataFrame:
     """(payload_file_id, request_uuid, sequence_no, line_text), sequence numbers from 1 within a file."""
@@ -63,6 +66,9 @@ def integrity(payloads: DataFrame) -> DataFrame:
         .when(lines_ != F.col("line_count"), "line_count")
         .when(~F.col("strict_"), "json")
     )
+    conf, name = payloads.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_FILES:  # a file may be large: few go to Python at a time
+        conf.set(name, BATCH_FILES)
     return payloads.select("file_id", "text", "line_count").withColumn("strict_", all_strict("text")).select("file_id", "text", "line_count", problem.alias("problem"))
 
 

@@ -4,6 +4,7 @@ import base64
 import datetime as dt
 import hashlib
 import json
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -125,3 +126,16 @@ def test_tokenizers_are_chosen_by_model(spark):
     assert count(rows) == [5, 3, 3, 0]
     with pytest.raises(Exception, match="unknown tokenizer: m"):
         count(rows.withColumn("tokenizer_model", F.lit(None).cast("string")))
+
+
+def test_a_large_text_is_checked_line_by_line():
+    from batchloom.functions import strict_json
+
+    raw = b'{"a": 1}\n' * 300_000
+    tracemalloc.start()
+    assert sum(1 for _ in strict_json._lines(memoryview(raw))) == 300_000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1 << 20
+    cases = [b"", b"\n", b"a", b"a\n", b"a\n\n", b"a\n\nb", b"x" * 40_000 + b"\ny\n", b"x" * strict_json.CHUNK + b"\n"]
+    assert [list(strict_json._lines(memoryview(c))) for c in cases] == [c.removesuffix(b"\n").split(b"\n") for c in cases]
