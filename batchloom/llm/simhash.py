@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import bounded
+from ..storage import bounded, temporary
 from .common import connected_components, forest, materialize, only, packed, texts, unpacked
 
 SEED = 42
@@ -207,11 +207,13 @@ def simhash_components(docs: DataFrame, k: int = 3, radius: int = 2) -> DataFram
 
 #: 64-bit words of a wide fingerprint.
 WORDS = 4
-#: Pairs of the least similarity that may share no leaf of any tree, and the rows aimed at in a leaf. Each bit less
-#: in the trees' paths saves more trees than the larger leaves cost.
-MISSED, LEAF_ROWS = 0.01, 128
-#: Trees at least, so that small inputs lose still fewer.
-TREES = 40
+#: Pairs of the least similarity that may share no leaf of any tree, and the bits of a tree's paths. Both are fixed:
+#: whether two texts meet depends on them alone, and not on what else the input holds.
+MISSED, BITS = 0.01, 14
+#: Bytes of shingle sets that may be broadcast.
+SET_BYTES = 4 << 20
+#: Rows of a leaf up to which pairs are compared by their distance in it, all leaves at once.
+LEAF_ROWS = 64
 #: Rows of a leaf up to which all its pairs are looked at in the first pass; a larger one is cut by vantage points.
 HOT = 4096
 #: Bins of a sketch, each the last byte of the least hash that falls into it; this byte marks an empty one.
@@ -319,21 +321,20 @@ def near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, trees: int
 
     At such distances triangle bounds on one fingerprint prune nothing. So a wider fingerprint is looked up in
     shallow trees, each over its own random bits; two texts meet where all bits of one tree agree, and are candidates
-    if their whole fingerprints are within wide_radius() and their sizes allow it. The trees' depth follows the number
-    of texts, so leaves stay small, and their number follows the depth (trees_for), so that at any size at most MISSED
-    of the pairs at the least similarity meet nowhere.
+    if their whole fingerprints are within wide_radius() and their sizes allow it. The trees' depth and number are
+    fixed, so that at most MISSED of the pairs at the least similarity meet nowhere (trees_for), and a pair that is
+    found in one input is found in any.
 
     Only texts whose sets of shingles are that similar are linked. The lightest spanning forest of each leaf's
     candidates is tried first; a leaf that copies fill is cut by vantage points for it, without overlap. Where
     that leaves a group of candidates in parts, each text is tried with the most similar one of other parts, and at
-    last all candidates in different parts are whose sketches allow it; here leaves are searched as vantage-point
+    last all candidates in different parts are; here leaves are searched as vantage-point
     trees, over the near boundaries. So no pair inside a part is ever sent, and no candidate is left untried that
-    could join two parts.
+    could join two parts; sketches only choose the order.
     """
     fps = materialize(wide_fingerprints(docs, k), "wide")
     reps = materialize(fps.groupBy(*NAMES).agg(F.min(F.struct("key", "size")).alias("r")).select(F.col("r.key").alias("rep"), F.col("r.size").alias("size"), *NAMES), "wide-reps", compact=16)
-    bits = int(np.clip(np.ceil(np.log2(max(1, reps.count()) / LEAF_ROWS)), 4, 40))
-    trees = trees or max(TREES, trees_for(bits, similarity))
+    bits, trees = BITS, trees or trees_for(BITS, similarity)
     chosen = [np.random.default_rng(SEED + t).permutation(64 * WORDS)[:bits] for t in range(trees)]
     masks = np.zeros((trees, WORDS), np.uint64)
     for t, at in enumerate(chosen):
@@ -366,16 +367,16 @@ def near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, trees: int
             fps = np.stack([g[n] for n in NAMES], axis=1).view(np.uint64)
             starts = np.flatnonzero(np.concatenate([[True], leaf[1:] != leaf[:-1]]))
             sizes = np.diff(np.append(starts, len(leaf)))
-            small = np.repeat(sizes <= 64, sizes)
+            small = np.repeat(sizes <= LEAF_ROWS, sizes)
             found = [(np.empty(0, np.int64),) * 3]
-            for d in range(1, 64):
+            for d in range(1, int(LEAF_ROWS)):
                 at = np.flatnonzero((leaf[d:] == leaf[:-d]) & small[d:])
                 if not len(at):
                     break
                 away = np.bitwise_count(fps[at] ^ fps[at + d]).sum(axis=1, dtype=np.int64)
                 near = (away <= radius) & fit(size, at, at + d)
                 found.append((at[near], at[near] + d, away[near]))
-            for i, n in zip(starts[sizes > 64], sizes[sizes > 64], strict=True):
+            for i, n in zip(starts[sizes > LEAF_ROWS], sizes[sizes > LEAF_ROWS], strict=True):
                 own = (np.empty(0, np.int64),) * 3
                 for x, y in wide_pairs(fps[i : i + n], radius, overlap=n <= HOT):
                     keep = (x < y) & fit(size[i : i + n], x, y)
@@ -406,9 +407,6 @@ def near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, trees: int
                 for x, y in wide_pairs(fps, radius, guests=guests):
                     keep = (part[x] != part[y]) & fit(size, x, y)
                     x, y = x[keep], y[keep]
-                    like, error = alike(marks[x], marks[y])
-                    keep = like >= similarity - error
-                    x, y, like = x[keep], y[keep], like[keep]
                     if not nearest:
                         tree = int(g["leaf"][0]) >> bits
                         for i in range(0, len(x), STEP):  # once: in the first tree that they meet in
@@ -416,6 +414,9 @@ def near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, trees: int
                             new = ~((differ[:, None, :] & masks[None, :tree]) == 0).all(axis=2).any(axis=1)
                             yield batch(rep[x[i : i + STEP][new]], rep[y[i : i + STEP][new]])
                         continue
+                    like, error = alike(marks[x], marks[y])
+                    keep = like >= similarity - error
+                    x, y, like = x[keep], y[keep], like[keep]
                     for p, q in ((x, y), (y, x)):
                         order = np.lexsort((q, -like, p))
                         p, q, l = p[order], q[order], like[order]
@@ -439,12 +440,14 @@ def near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, trees: int
         split = placed.groupBy("group_").agg(F.min("part").alias("least_"), F.max("part").alias("most_")).where("least_ <> most_").select(F.col("group_").alias("split_"))
         open_ = materialize(placed.join(split, F.col("group_") == F.col("split_"), "left_semi").select("in_", "part"), "wide-open", compact=16)
         if open_.isEmpty():
+            roots = parts.select(F.col("of_").alias("node"), F.col("part_").alias("component"))
             break
         marks = shingle_sets(docs, open_.select(F.col("in_").alias("want_")), k, True)
         rows = nodes.join(open_, F.col("rep") == F.col("in_")).join(marks, F.col("rep") == F.col("node_")).select("rep", "part", "size", F.col("set_").alias("sketch"), *NAMES)
         tried = materialize(leaves(rows).mapInArrow(across(nearest), "src long, dst long").distinct(), "wide-tried", compact=4)
         links = links.unionByName(similar(docs, tried, k, similarity))
-    roots = connected_components(links, "wide-links")
+    else:
+        roots = connected_components(links, "wide-links")
     named = reps.join(roots, reps.rep == roots.node, "left").select(*(F.col(n).alias(n + "_") for n in NAMES), F.coalesce("component", "rep").alias("group"))
     placed = fps.join(named, [F.col(n) == F.col(n + "_") for n in NAMES]).select("doc_id", "key", "group")
     least = placed.groupBy(F.col("group").alias("group_")).agg(F.min("doc_id").alias("component_id"))
@@ -456,10 +459,8 @@ def without_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> Data
 
     Rows with equal doc_id and text are copies as well, whatever their other columns; one of them stays.
     """
-    groups = materialize(near_copies(docs, k, similarity).select("doc_id", "key", "group"), "near-groups", compact=16)
-    first = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("key"))).alias("w")).select(F.col("w.key").alias("key_"))
-    counts = groups.groupBy(F.col("key").alias("k_")).agg(F.count("*").alias("rows_"))
-    kept = materialize(first.join(counts, F.col("key_") == F.col("k_")).select("key_", "rows_"), "near-kept", compact=16)
+    with temporary() as work:  # fingerprints, candidates and sets go when the rows to keep are known
+        kept = work.keep(_kept(docs, k, similarity))
     rows = packed(docs, row_key().alias("row_key_"))
     out = rows.join(kept.where("rows_ = 1"), F.col("row_key_") == F.col("key_"), "left_semi")
     if not (again := kept.where("rows_ > 1")).isEmpty():
@@ -467,6 +468,14 @@ def without_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> Data
     return unpacked(out, docs)
 
 
+def _kept(docs: DataFrame, k: int, similarity: float) -> DataFrame:
+    """(key_, rows_): keys of the rows that stay, and how many rows have each."""
+    groups = materialize(near_copies(docs, k, similarity).select("doc_id", "key", "group"), "near-groups", compact=16)
+    first = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("key"))).alias("w")).select(F.col("w.key").alias("key_"))
+    counts = groups.groupBy(F.col("key").alias("k_")).agg(F.count("*").alias("rows_"))
+    return materialize(first.join(counts, F.col("key_") == F.col("k_")).select("key_", "rows_"), "near-kept", compact=16)
+
+
 def shingle_sets(docs: DataFrame, wanted: DataFrame, k: int, sketched: bool = False) -> DataFrame:
     """(node_, set_) of the rows with the wanted keys: their shingles' hashes, sorted, or a sketch of them."""
 
@@ -495,7 +504,7 @@ def similar(docs: DataFrame, pairs: DataFrame, k: int, similarity: float) -> Dat
             yield pa.record_batch([b.column("src"), b.column("dst")], names=["src", "dst"]).filter(pa.array(keep, pa.bool_()))
 
     found = shingle_sets(docs, pairs.select(F.explode(F.array("src", "dst")).alias("want_")).distinct(), k)
-    found = bounded(found, BROADCAST_ROWS)
+    found = bounded(found, BROADCAST_ROWS, SET_BYTES)
     a, b = (found.select(F.col("node_").alias(n + "_node"), F.col("set_").alias(n)) for n in "ab")
     both = pairs.join(a, F.col("src") == F.col("a_node")).join(b, F.col("dst") == F.col("b_node"))
     return materialize(both.select("src", "dst", "a", "b").mapInArrow(check, "src long, dst long").distinct(), "wide-similar", compact=16)

@@ -1,12 +1,14 @@
 from __future__ import annotations
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from batchloom.llm import queries, simhash
-from batchloom.llm.common import connected_components, forest
+from batchloom.llm.common import connected_components, forest, shared_dir
 
 from .conftest import documents, prose
 
@@ -125,3 +127,28 @@ def test_parts_of_a_group_are_joined_by_any_similar_pair(spark):
     w = prose(5, 400).split()  # windows that slide on: only near ones are similar, and the last ids lie between the first
     rows = [(i if n % 2 == 0 else 100 + i, " ".join(w[10 * n : 10 * n + 150])) for i, n in enumerate((0, 2, 4, 6, 1, 3, 5))]
     assert {r.component_id for r in simhash.near_copies(documents(spark, rows)).collect()} == {0}
+
+
+def test_leaves_do_not_depend_on_the_size_of_the_input(spark, monkeypatch):
+    texts = [prose(i, 30) for i in range(2500)]
+    run, seen = type(spark.range(0)).mapInArrow, []
+
+    def watched(self, f, schema, **k):
+        out = run(self, f, schema, **k)
+        if schema.startswith("leaf long") and "sketch" not in schema:
+            seen.append({(r.leaf, r.rep) for r in out.join(known, "rep").select("leaf", "rep").collect()})
+        return out
+
+    few = documents(spark, texts[:10])
+    known = few.select(simhash.row_key().alias("rep"))
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", watched)
+    simhash.near_copies(few)
+    simhash.near_copies(documents(spark, texts))
+    assert len(seen) == 2 and seen[0] == seen[1]
+
+
+def test_only_the_rows_to_keep_stay_written(spark):
+    shared = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(shared.iterdir())
+    out = simhash.without_copies(documents(spark, [prose(i % 7) for i in range(20)]))
+    assert {p.name.rsplit("-", 1)[0] for p in set(shared.iterdir()) - before} == {"near-kept"} and out.count() == 7
