@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..storage import Scratch, materialize, shared_dir, temporary
 
-__all__ = ["ROW", "batches_of", "connected_components", "forest", "materialize", "only", "packed", "shared_dir", "table", "texts", "unit", "unpacked"]
+__all__ = ["ROW", "batches_of", "connected_components", "forest", "grown", "materialize", "only", "packed", "shared_dir", "table", "texts", "unit", "unpacked"]
 
 #: ASCII white space as the contracts define it; everything else is part of a word.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -134,3 +134,21 @@ def _components(e: DataFrame, label: str, max_rounds: int, work: Scratch) -> Dat
             return nodes.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         before = now
     raise RuntimeError(f"no fixed point after {max_rounds} rounds")
+
+
+def grown(parts: DataFrame, edges: DataFrame, label: str = "components") -> DataFrame:
+    """Components (node, component), as connected_components() gives them, when edges (src, dst) are added.
+
+    Components meet, not their nodes: edges inside one go before the rounds, and those between the same two are one.
+    """
+    with temporary() as work:
+        own = parts.select(F.col("node").alias("node_"), F.col("component").alias("own_"))
+        sides = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).where("src <> dst")
+        for end in ("src", "dst"):
+            sides = sides.join(own, F.col(end) == F.col("node_"), "left").withColumn(f"{end}_in", F.coalesce("own_", end)).drop("node_", "own_")
+        sides = materialize(sides, label, compact=16)
+        over = sides.select(F.greatest("src_in", "dst_in").alias("src"), F.least("src_in", "dst_in").alias("dst")).where("src <> dst").distinct()
+        top = connected_components(over, label).select(F.col("node").alias("node_"), F.col("component").alias("top_"))
+        every = parts.select("node", "component").unionByName(sides.select(F.inline(F.array(*(F.struct(F.col(e).alias("node"), F.col(f"{e}_in").alias("component")) for e in ("src", "dst")))))).distinct()
+        out = every.join(top, F.col("component") == F.col("node_"), "left").select("node", F.coalesce("top_", "component").alias("component"))
+        return work.keep(materialize(out, label, compact=16))

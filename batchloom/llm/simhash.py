@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import bounded, temporary
-from .common import connected_components, forest, materialize, only, packed, texts, unpacked
+from .common import connected_components, forest, grown, materialize, only, packed, texts, unpacked
 
 SEED = 42
 #: Fingerprints that the tree's vantage points and thresholds are fitted on, at most.
@@ -432,23 +432,19 @@ def near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, trees: int
 
     nodes = reps.select("rep", "size", *NAMES)
     tried = materialize(leaves(nodes).mapInArrow(edges, "src long, dst long").distinct(), "wide-tried", compact=16)
-    groups = connected_components(tried, "wide-groups").select(F.col("node").alias("in_"), F.col("component").alias("group_"))
-    links = similar(docs, tried, k, similarity)
+    parts = connected_components(similar(docs, tried, k, similarity), "wide-parts")
+    groups = grown(parts, tried, "wide-groups").select(F.col("node").alias("in_"), F.col("component").alias("group_"))
     for nearest in (True, False):
-        parts = connected_components(links, "wide-parts").select(F.col("node").alias("of_"), F.col("component").alias("part_"))
-        placed = groups.join(parts, F.col("in_") == F.col("of_"), "left").select("in_", "group_", F.coalesce("part_", "in_").alias("part"))
+        placed = groups.join(parts.select(F.col("node").alias("of_"), F.col("component").alias("part_")), F.col("in_") == F.col("of_"), "left").select("in_", "group_", F.coalesce("part_", "in_").alias("part"))
         split = placed.groupBy("group_").agg(F.min("part").alias("least_"), F.max("part").alias("most_")).where("least_ <> most_").select(F.col("group_").alias("split_"))
         open_ = materialize(placed.join(split, F.col("group_") == F.col("split_"), "left_semi").select("in_", "part"), "wide-open", compact=16)
         if open_.isEmpty():
-            roots = parts.select(F.col("of_").alias("node"), F.col("part_").alias("component"))
             break
         marks = shingle_sets(docs, open_.select(F.col("in_").alias("want_")), k, True)
         rows = nodes.join(open_, F.col("rep") == F.col("in_")).join(marks, F.col("rep") == F.col("node_")).select("rep", "part", "size", F.col("set_").alias("sketch"), *NAMES)
         tried = materialize(leaves(rows).mapInArrow(across(nearest), "src long, dst long").distinct(), "wide-tried", compact=4)
-        links = links.unionByName(similar(docs, tried, k, similarity))
-    else:
-        roots = connected_components(links, "wide-links")
-    named = reps.join(roots, reps.rep == roots.node, "left").select(*(F.col(n).alias(n + "_") for n in NAMES), F.coalesce("component", "rep").alias("group"))
+        parts = grown(parts, similar(docs, tried, k, similarity), "wide-parts")
+    named = reps.join(parts, reps.rep == parts.node, "left").select(*(F.col(n).alias(n + "_") for n in NAMES), F.coalesce("component", "rep").alias("group"))
     placed = fps.join(named, [F.col(n) == F.col(n + "_") for n in NAMES]).select("doc_id", "key", "group")
     least = placed.groupBy(F.col("group").alias("group_")).agg(F.min("doc_id").alias("component_id"))
     return placed.join(least, F.col("group") == F.col("group_")).select("doc_id", "key", "component_id", "group")

@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from batchloom.llm import queries, simhash
+from batchloom.llm import common, queries, simhash
 from batchloom.llm.common import connected_components, forest, shared_dir
 
 from .conftest import documents, prose
@@ -152,3 +152,29 @@ def test_only_the_rows_to_keep_stay_written(spark):
     before = set(shared.iterdir())
     out = simhash.without_copies(documents(spark, [prose(i % 7) for i in range(20)]))
     assert {p.name.rsplit("-", 1)[0] for p in set(shared.iterdir()) - before} == {"near-kept"} and out.count() == 7
+
+
+def test_added_edges_join_components(spark):
+    r = np.random.default_rng(4)
+    old, new = r.integers(0, 300, (150, 2)), r.integers(0, 320, (60, 2))
+    frame = lambda e: spark.createDataFrame([(int(a), int(b)) for a, b in e], "src long, dst long")
+    got = common.grown(connected_components(frame(old)), frame(new))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, connected_components(frame([*old, *new])).collect()))
+
+
+def test_links_inside_a_part_meet_once(spark, monkeypatch):
+    find, seen = common.connected_components, []
+
+    def watched(edges, *a, **k):
+        seen.append(edges.where("src <> dst").distinct().count())
+        return find(edges, *a, **k)
+
+    monkeypatch.setattr(common, "connected_components", watched)
+    monkeypatch.setattr(simhash, "connected_components", watched)
+    text = prose(1, 300)  # each tree links the group anew
+    near = [(i, text.replace(text.split()[i % 290], f"w{i}", 1)) for i in range(150)]
+    w = prose(5, 400).split()
+    slid = [(1000 + n, " ".join(w[10 * n : 10 * n + 150])) for n in (0, 2, 4, 6, 1, 3, 5)]
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(documents(spark, near + slid)).collect()}
+    assert got == {i: 0 for i, _ in near} | {i: 1000 for i, _ in slid}
+    assert seen[0] > 150 and len(seen) > 1 and sum(seen[1:]) <= 10
