@@ -277,6 +277,17 @@ def _loaded(batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
             yield Shard.load({n: b.column(n)[i].as_py() for n in ("names", "words", "langs", "ids")})
 
 
+def narrow(numbers: np.ndarray) -> bytes:
+    """Numbers from 0 on in as few bytes each as the greatest needs, after a byte that tells how many."""
+    most = int(numbers.max(initial=0))
+    size = next(n for n in (1, 2, 4, 8) if most < 1 << 8 * n)
+    return bytes([size]) + numbers.astype(f"<u{size}").tobytes()
+
+
+def wide(held: bytes) -> np.ndarray:
+    return np.frombuffer(held, f"<u{held[0]}", offset=1).astype(np.int64)
+
+
 class Trie:
     """Sorted windows with their counts: ranks from 1 in the sorted words (language, word), 0 past a window's end."""
 
@@ -332,7 +343,7 @@ class Trie:
             names = {n: k for k, n in enumerate(dict.fromkeys(lang for lang, _ in words))}
             yield {
                 "range": int(at[rows[0]]), "names": list(names), "words": [x for _, x in words], "langs": np.array([names[lang] for lang, _ in words], "<i4").tobytes(),
-                "shared": shared.astype(np.uint8).tobytes(), "depth": depth.astype(np.uint8).tobytes(), "labels": local.astype("<i4").tobytes(), "counts": self.counts[rows].astype("<i8").tobytes(),
+                "shared": shared.astype(np.uint8).tobytes(), "depth": depth.astype(np.uint8).tobytes(), "labels": narrow(local), "counts": narrow(self.counts[rows]),
             }
 
     @staticmethod
@@ -343,9 +354,9 @@ class Trie:
         places = np.arange(DEPTH)
         given = (places >= shared[:, None]) & (places < depth[:, None])
         w = np.zeros(given.shape, np.int32)
-        w[given] = np.frombuffer(r["labels"], "<i4") + 1
+        w[given] = wide(r["labels"]) + 1
         last = np.maximum.accumulate(np.where(given, np.arange(len(w))[:, None], 0), axis=0)
-        return words, np.where(places < depth[:, None], np.take_along_axis(w, last, 0), 0), np.frombuffer(r["counts"], "<i8")
+        return words, np.where(places < depth[:, None], np.take_along_axis(w, last, 0), 0), wide(r["counts"])
 
     def frequent(self, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """By length, the windows that occur `least` times, with the counts of their beginnings from two words on and their own."""
@@ -366,6 +377,26 @@ class Trie:
             yield w[hit, :d], np.stack([s[hit] for s in sums], 1)
 
 
+def combined(runs: Iterator[tuple[list[tuple[str, bytes]], np.ndarray, np.ndarray]]) -> Iterator[Trie]:
+    """Runs of (words, windows, counts) merged into tries of half of WINDOWS different windows or TRIE_WORDS words, or more, but for the last.
+
+    A trie takes up runs as long as it stays below, so that windows which come again and again leave a task once.
+    """
+    held, rows, words = [], 0, 0
+    for run in runs:
+        held.append(run)
+        rows, words = rows + len(run[2]), words + len(run[0])
+        if rows > WINDOWS // 2 or words > TRIE_WORDS // 2:
+            t = Trie.merged(held)
+            held, rows, words = [], 0, 0  # what is in the trie doesn't count as new
+            if len(t.counts) > WINDOWS // 2 or len(t.words) > TRIE_WORDS // 2:
+                yield t
+            else:
+                held.append((t.words, t.windows, t.counts))
+    if held:
+        yield Trie.merged(held)
+
+
 def counted(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     """(text, lang) -> all phrases of up to five words that occur `least` times, with their left parts; and words by lang."""
     with temporary() as work:  # shards, buckets and tries go when phrases are counted
@@ -398,34 +429,25 @@ def _counted(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
 
     def tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only()
-        runs, rows, words = [], 0, 0
-
-        def done() -> Iterator[pa.RecordBatch]:
-            for r in Trie.merged(runs).serialised(2 * parts):
+        for t in combined(map(run, _loaded(batches))):
+            for r in t.serialised(2 * parts):
                 yield _batch([r], ARROW_TRIES)
 
-        for s in _loaded(batches):
-            fine = open_windows(s, maps.value, DEPTH)
-            one = np.bincount(s.at[fine[0] & s.begins], minlength=len(s.words))
-            used = np.flatnonzero(one)
-            begins = np.flatnonzero(fine[1] & s.begins)
-            w = np.zeros((len(used) + len(begins), DEPTH), np.int32)
-            to = np.zeros(len(s.words) + 1, np.int32)
-            every = np.unique(s.at[fine[0]])
-            to[every] = np.arange(1, len(every) + 1)
-            w[: len(used), 0] = to[used]
-            w[len(used) :, 0] = to[s.at[begins]]
-            for d in range(1, DEPTH):
-                go = np.flatnonzero(fine[d][begins])
-                w[len(used) + go, d] = to[s.at[begins[go] + d]]
-            runs.append(([(s.names[s.words[i][0]], s.words[i][1]) for i in every.tolist()], w, np.concatenate([one[used], np.ones(len(begins), np.int64)])))
-            rows, words = rows + len(w), words + len(every)
-            del s, fine, w
-            if rows > WINDOWS or words > TRIE_WORDS:
-                yield from done()
-                runs, rows, words = [], 0, 0
-        if runs:
-            yield from done()
+    def run(s: Shard) -> tuple[list[tuple[str, bytes]], np.ndarray, np.ndarray]:
+        fine = open_windows(s, maps.value, DEPTH)
+        one = np.bincount(s.at[fine[0] & s.begins], minlength=len(s.words))
+        used = np.flatnonzero(one)
+        begins = np.flatnonzero(fine[1] & s.begins)
+        w = np.zeros((len(used) + len(begins), DEPTH), np.int32)
+        to = np.zeros(len(s.words) + 1, np.int32)
+        every = np.unique(s.at[fine[0]])
+        to[every] = np.arange(1, len(every) + 1)
+        w[: len(used), 0] = to[used]
+        w[len(used) :, 0] = to[s.at[begins]]
+        for d in range(1, DEPTH):
+            go = np.flatnonzero(fine[d][begins])
+            w[len(used) + go, d] = to[s.at[begins[go] + d]]
+        return [(s.names[s.words[i][0]], s.words[i][1]) for i in every.tolist()], w, np.concatenate([one[used], np.ones(len(begins), np.int64)])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only()

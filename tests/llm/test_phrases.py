@@ -171,3 +171,18 @@ def test_a_merge_holds_few_bytes_a_window():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 110 * len(w)
+
+
+def test_windows_that_come_again_leave_a_task_once(monkeypatch):
+    monkeypatch.setattr(phrases, "WINDOWS", 1100)
+    r = np.random.default_rng(5)
+    words = [("en", b"w%02d" % i) for i in range(8)]
+    runs = [(words, r.integers(1, 9, (400, 5)).astype(np.int32) * [1, 1, 1, 0, 0], np.ones(400, np.int64)) for _ in range(20)]
+    (t,) = phrases.combined(iter(runs))
+    assert len(t.counts) <= 8**3 and t.counts.sum() == 20 * 400
+    parts = list(t.serialised(3))
+    assert all(len(p["labels"]) - 1 <= 3 * len(p["depth"]) and len(p["counts"]) - 1 == len(p["depth"]) for p in parts)
+    many = list(phrases.combined((words, r.integers(1, 9, (400, 5)).astype(np.int32), np.ones(400, np.int64)) for _ in range(20)))
+    assert len(many) > 1 and sum(int(t.counts.sum()) for t in many) == 20 * 400 and max(len(t.counts) for t in many) < 2000
+    for n in (0, 255, 256, 1 << 16, 1 << 40):
+        assert phrases.wide(phrases.narrow(np.array([0, n]))).tolist() == [0, n]
