@@ -216,8 +216,8 @@ SET_BYTES = 4 << 20
 LEAF_ROWS = 64
 #: Rows of a leaf up to which all its pairs are looked at in the first pass; a larger one is cut by vantage points.
 HOT = 4096
-#: Bins of a sketch, each the last byte of the least hash that falls into it; this byte marks an empty one.
-BINS, EMPTY = 128, 255
+#: Bits of a sketch for each hash of the set, rounded up to a power of two, and the least and most of them.
+PER_HASH, FEWEST, MOST = 2, 1 << 10, 1 << 16
 _MIX = tuple(np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 NAMES = [f"f{i}" for i in range(WORDS)]
 
@@ -278,18 +278,41 @@ def trees_for(bits: int, similarity: float, missed: float = MISSED) -> int:
 
 
 def sketch(h: np.ndarray) -> bytes:
-    """BINS bytes of a set of hashes; the share of bins that two sets have alike is their similarity, about."""
+    """Of each bin that a set's hashes fall into, whether they are odd in number: two sets differ in as many hashes, or more, as their sketches do in bits."""
+    n = min(MOST, max(FEWEST, 1 << (PER_HASH * len(h) - 1).bit_length()))
     x = (h ^ (h >> np.uint64(33))) * _MIX[2]
-    low = np.full(BINS, np.iinfo(np.uint64).max, np.uint64)
-    np.minimum.at(low, (x & np.uint64(BINS - 1)).astype(np.int64), x >> np.uint64(7))
-    return np.where(low == np.iinfo(np.uint64).max, EMPTY, low % np.uint64(EMPTY)).astype(np.uint8).tobytes()
-
-
-def alike(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Similarities of sketches, row by row, and three standard errors of what a pair of the least similarity would show."""
-    some = (a != EMPTY) | (b != EMPTY)
-    n = np.maximum(1, some.sum(axis=1))
-    return ((a == b) & some).sum(axis=1) / n, 3 * np.sqrt(0.16 / n)
+    odd = np.bincount((x & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+class Sketches:
+    """Sketches of a leaf's texts, and what they say of pairs whose sizes allow a link."""
+
+    def __init__(self, marks: np.ndarray, size: np.ndarray) -> None:
+        self.size, self.bytes, self.rows = size.astype(np.int64), np.array([len(m) for m in marks], np.int64), {}
+        for n in np.unique(self.bytes):  # of the next length too: halves of a sketch added up are the shorter one
+            own, wider = np.flatnonzero(self.bytes == n), np.flatnonzero(self.bytes == 2 * n)
+            at = np.full(len(marks), -1)
+            at[own], at[wider] = np.arange(len(own)), len(own) + np.arange(len(wider))
+            whole, halves = (np.frombuffer(b"".join(marks[i]), np.uint64).reshape(-1, k, n // 8) for i, k in ((own, 1), (wider, 2)))
+            self.rows[int(n)] = at, np.concatenate([whole[:, 0], halves[:, 0] ^ halves[:, 1]])
+
+    def apart(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bits in which the pairs' sketches differ, and how many bits these have."""
+        short, away = np.minimum(self.bytes[x], self.bytes[y]), np.zeros(len(x), np.int64)
+        for n, (at, rows) in self.rows.items():
+            of = np.flatnonzero(short == n)
+            for i in range(0, len(of), step := max(1, 4 * BLOCK // n)):
+                p = of[i : i + step]
+                away[p] = np.bitwise_count(rows[at[x[p]]] ^ rows[at[y[p]]]).sum(axis=1, dtype=np.int64)
+        return away, 8 * short
+
+    def alike(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the pairs, the greatest similarity that they can have, and an estimate of it."""
+        away, bits = self.apart(x, y)
+        both = self.size[x] + self.size[y]
+        guess = -bits / 2 * np.log(np.maximum(1 - 2 * away / bits, 1 / bits))
+        return tuple(np.maximum(0, both - d) / np.maximum(1, both + d) for d in (away, guess))
 
 
 def spanning(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -329,8 +352,8 @@ def near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, trees: int
     candidates is tried first; a leaf that copies fill is cut by vantage points for it, without overlap. Where
     that leaves a group of candidates in parts, each text is tried with the most similar one of other parts, and at
     last all candidates in different parts are; here leaves are searched as vantage-point
-    trees, over the near boundaries. So no pair inside a part is ever sent, and no candidate is left untried that
-    could join two parts; sketches only choose the order.
+    trees, over the near boundaries. So no pair inside a part is ever sent. Sketches choose the order, and a pair is
+    left untried where they show that it can't be that similar: a bound, not a guess (Sketches.apart).
     """
     fps = materialize(wide_fingerprints(docs, k), "wide")
     reps = materialize(fps.groupBy(*NAMES).agg(F.min(F.struct("key", "size")).alias("r")).select(F.col("r.key").alias("rep"), F.col("r.size").alias("size"), *NAMES), "wide-reps", compact=16)
@@ -392,31 +415,32 @@ def near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, trees: int
                 yield batch(rep[a[take]], rep[b[take]])
 
     def across(nearest: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-        """Candidates in different parts: the most similar of each text, or all."""
+        """Candidates in different parts that can be similar: the likeliest of each text, or all."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for g in _runs(batches, "leaf"):
                 fps = np.stack([g[n] for n in NAMES], axis=1).view(np.uint64)
                 rep, part, size = g["rep"], g["part"], g["size"]
-                marks = np.frombuffer(b"".join(g["sketch"]), np.uint8).reshape(-1, BINS)
                 names, number, count = np.unique(part, return_inverse=True, return_counts=True)
                 if len(names) < 2:
                     continue
                 guests = np.flatnonzero(number != count.argmax())  # any pair has one that isn't in the largest part
+                marks = Sketches(g["sketch"], size)
                 best, other = np.full(len(rep), -1.0), np.zeros(len(rep), np.int64)
                 for x, y in wide_pairs(fps, radius, guests=guests):
                     keep = (part[x] != part[y]) & fit(size, x, y)
                     x, y = x[keep], y[keep]
+                    most, like = marks.alike(x, y)
+                    keep = most >= similarity - 1e-9
+                    x, y, like = x[keep], y[keep], like[keep]
                     if not nearest:
                         tree = int(g["leaf"][0]) >> bits
                         for i in range(0, len(x), STEP):  # once: in the first tree that they meet in
                             differ = fps[x[i : i + STEP]] ^ fps[y[i : i + STEP]]
                             new = ~((differ[:, None, :] & masks[None, :tree]) == 0).all(axis=2).any(axis=1)
-                            yield batch(rep[x[i : i + STEP][new]], rep[y[i : i + STEP][new]])
+                            pairs = batch(rep[x[i : i + STEP][new]], rep[y[i : i + STEP][new]])
+                            yield pairs.append_column("like", pa.array(like[i : i + STEP][new]))
                         continue
-                    like, error = alike(marks[x], marks[y])
-                    keep = like >= similarity - error
-                    x, y, like = x[keep], y[keep], like[keep]
                     for p, q in ((x, y), (y, x)):
                         order = np.lexsort((q, -like, p))
                         p, q, l = p[order], q[order], like[order]
@@ -426,7 +450,7 @@ def near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, trees: int
                         best[p[more]], other[p[more]] = l[more], q[more]
                 x = np.flatnonzero(best >= 0)
                 if len(x):
-                    yield batch(rep[x], rep[other[x]])
+                    yield pa.record_batch([pa.array(rep[x]), pa.array(rep[other[x]]), pa.array(best[x])], names=["src", "dst", "like"])
 
         return run
 
@@ -442,7 +466,10 @@ def near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, trees: int
             break
         marks = shingle_sets(docs, open_.select(F.col("in_").alias("want_")), k, True)
         rows = nodes.join(open_, F.col("rep") == F.col("in_")).join(marks, F.col("rep") == F.col("node_")).select("rep", "part", "size", F.col("set_").alias("sketch"), *NAMES)
-        tried = materialize(leaves(rows).mapInArrow(across(nearest), "src long, dst long").distinct(), "wide-tried", compact=4)
+        found = leaves(rows).mapInArrow(across(nearest), "src long, dst long, like double")
+        if nearest:  # of all trees the likeliest
+            found = found.groupBy("src").agg(F.max(F.struct("like", "dst")).alias("best")).select("src", F.col("best.dst").alias("dst"))
+        tried = materialize(found.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), "wide-tried", compact=4)
         parts = grown(parts, similar(docs, tried, k, similarity), "wide-parts")
     named = reps.join(parts, reps.rep == parts.node, "left").select(*(F.col(n).alias(n + "_") for n in NAMES), F.coalesce("component", "rep").alias("group"))
     placed = fps.join(named, [F.col(n) == F.col(n + "_") for n in NAMES]).select("doc_id", "key", "group")
@@ -499,7 +526,8 @@ def similar(docs: DataFrame, pairs: DataFrame, k: int, similarity: float) -> Dat
                 keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield pa.record_batch([b.column("src"), b.column("dst")], names=["src", "dst"]).filter(pa.array(keep, pa.bool_()))
 
-    found = shingle_sets(docs, pairs.select(F.explode(F.array("src", "dst")).alias("want_")).distinct(), k)
+    wanted = materialize(pairs.select(F.explode(F.array("src", "dst")).alias("want_")).distinct(), "wide-wanted", compact=16)  # it is read twice
+    found = shingle_sets(docs, wanted, k)
     found = bounded(found, BROADCAST_ROWS, SET_BYTES)
     a, b = (found.select(F.col("node_").alias(n + "_node"), F.col("set_").alias(n)) for n in "ab")
     both = pairs.join(a, F.col("src") == F.col("a_node")).join(b, F.col("dst") == F.col("b_node"))

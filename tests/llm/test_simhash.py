@@ -178,3 +178,45 @@ def test_links_inside_a_part_meet_once(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in simhash.near_copies(documents(spark, near + slid)).collect()}
     assert got == {i: 0 for i, _ in near} | {i: 1000 for i, _ in slid}
     assert seen[0] > 150 and len(seen) > 1 and sum(seen[1:]) <= 10
+
+
+def test_sketches_never_hide_a_similar_pair():
+    r = np.random.default_rng(5)
+    sets = []
+    for n in (1, 3, 40, 480, 512, 513, 600, 5000, 40000, 90000):
+        base = np.unique(r.integers(0, 2**64, n, np.uint64))
+        for change in (0, 0.05, 0.11, 0.12, 0.3):
+            new = r.integers(0, 2**64, int(change * n), np.uint64)
+            sets.append(np.unique(np.concatenate([base[len(new) :], new, new[:3] + np.uint64(1)])))
+    size = np.array([len(s) for s in sets], np.int32)
+    x, y = np.triu_indices(len(sets), 1)
+    keep = np.minimum(size[x], size[y]) >= 0.8 * np.maximum(size[x], size[y])
+    x, y = x[keep], y[keep]
+    both = np.array([len(np.intersect1d(sets[a], sets[b])) for a, b in zip(x, y, strict=True)])
+    real = both / (size[x] + size[y] - both)
+    marks = np.empty(len(sets), object)
+    marks[:] = [simhash.sketch(s) for s in sets]
+    most, like = simhash.Sketches(marks, size).alike(x, y)
+    assert len({len(m) for m in marks}) > 3 and (most >= real - 1e-9).all()
+    known = (real > 0.5) & (size[x] > 100) & (size[x] < 10000)
+    assert known.sum() > 20 and (abs(like - real)[known] < 0.05).all()
+
+
+def test_texts_just_too_far_apart_are_not_tried_pair_by_pair(spark, monkeypatch):
+    check, seen = simhash.similar, []
+
+    def watched(docs, pairs, *a, **k):
+        seen.append(pairs.count())
+        return check(docs, pairs, *a, **k)
+
+    monkeypatch.setattr(simhash, "similar", watched)
+    words, rows = prose(1, 300).split(), []
+    for i in range(60):  # any two share some 0.7 of their shingles: candidates, and no copies
+        at = set(np.random.default_rng(i).permutation(60)[:5])
+        rows.append((i, " ".join(f"x{i}n{j}" if j % 5 == 2 and j // 5 in at else w for j, w in enumerate(words))))
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    like = [len(a & b) / len(a | b) for i, a in enumerate(sets) for b in sets[:i]]
+    assert max(like) < 0.8
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(documents(spark, rows)).collect()}
+    assert got == {i: i for i in range(60)}
+    assert len(seen) > 1 and sum(seen[1:]) <= 60
