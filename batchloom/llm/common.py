@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..storage import Scratch, materialize, shared_dir, temporary
 
-__all__ = ["ROW", "batches_of", "connected_components", "forest", "grown", "materialize", "only", "packed", "shared_dir", "table", "texts", "unit", "unpacked"]
+__all__ = ["ROW", "batches_of", "connected_components", "forest", "grown", "materialize", "only", "packed", "rested", "shared_dir", "table", "texts", "unit", "unpacked"]
 
 #: ASCII white space as the contracts define it; everything else is part of a word.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -27,18 +27,22 @@ def only(key: object = None, make: Callable[[], object] = lambda: None) -> objec
     """What a Python worker keeps between tasks: one thing at a time. Another key frees what was kept before.
 
     Workers outlive stages, so what one operator leaves behind would else count against the next one's memory.
-    Memory that became free goes back to the machine.
     """
     if _heavy[0] != key:
         _heavy[:] = [None, None]
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # another C library has no such call
-            ctypes.CDLL(None).malloc_trim(0)
+        rested()
         _heavy[:] = [key, make()]
     return _heavy[1]
 
 
+def rested() -> None:
+    """Memory of this worker that became free goes back to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 #: Rows that go to Python at a time, at most. Texts are large, and every batch is held more than once.
 BATCH_ROWS = 2000
 

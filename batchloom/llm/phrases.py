@@ -14,6 +14,7 @@ what lies in a bucket below the threshold is below it. Buckets above are a bit m
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +23,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import bounded, temporary
-from .common import batches_of, materialize, only, texts
+from .common import batches_of, materialize, only, rested, texts
 
 #: Words of a phrase, at most.
 DEPTH = 5
 #: Words of a shard, windows of a trie, about; words of one trie, at most.
-SHARD, WINDOWS, TRIE_WORDS = 1 << 19, 1 << 19, 1 << 18
+SHARD, WINDOWS, TRIE_WORDS = 1 << 18, 1 << 19, 1 << 18
+#: Buckets that a task holds before it gives them away; words to each range of tries, at most.
+HELD, RANGE_WORDS = 1 << 21, 1 << 21
+#: Bytes of a row group of shards and buckets.
+GROUP = 8 << 20
 #: Shards, and parts of tries, that go to Python at a time.
 SHARD_ROWS, TRIE_ROWS = 8, 64
+#: Phrases that leave Python at a time.
+FOUND_ROWS = 4000
 #: Bytes of a text that are split at a time.
 BYTES = 1 << 22
 #: Buckets of a level at most, and of one row of them, as powers of two.
@@ -43,8 +50,8 @@ GAP, SKIP = -1, -2
 A, B, C = (np.uint64(v) for v in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 UNKNOWN = "und"
 
-SHARDS = "names array<string>, words array<binary>, langs binary, ids binary, totals array<struct<lang: string, n: long>>, slot int, places binary, held binary"
-TRIES = "range int, names array<string>, words array<binary>, langs binary, shared binary, depth binary, labels binary, counts binary"
+SHARDS = "names array<string>, words binary, langs binary, ids binary, totals array<struct<lang: string, n: long>>, slot int, places binary, held binary"
+TRIES = "range int, names array<string>, words binary, langs binary, shared binary, depth binary, labels binary, counts binary"
 FOUND = "lang string, size int, phrase string, a long, lefts array<long>, head string, tail string, body string"
 
 
@@ -88,13 +95,21 @@ class Shard:
         used = np.bincount(self.at[self.begins], minlength=len(self.words))
         counts = np.bincount(np.array([i for i, _ in self.words], np.int64), used, len(self.names))
         return {
-            "names": self.names, "words": [w for _, w in self.words], "langs": np.array([i for i, _ in self.words], "<i4").tobytes(), "ids": self.ids.astype("<i4").tobytes(),
+            "names": self.names, "words": b"\n".join(w for _, w in self.words), "langs": narrow(np.array([i for i, _ in self.words], np.int64)), "ids": self.placed(),
             "totals": [{"lang": n, "n": int(c)} for n, c in zip(self.names, counts, strict=True)],
         }
 
+    def placed(self) -> bytes:
+        """How many words at the end are read on, gaps among them included, and numbers from 1, with 0 for a gap."""
+        on = np.flatnonzero(self.ids <= -3)
+        return bytes([len(self.ids) - int(on[0]) if len(on) else 0]) + narrow(self.at + 1)
+
     @classmethod
     def load(cls, r: dict) -> Shard:
-        return cls(r["names"], list(zip(np.frombuffer(r["langs"], "<i4").tolist(), r["words"], strict=True)), np.frombuffer(r["ids"], "<i4"))
+        ids, on = wide(r["ids"][1:]).astype(np.int32) - 1, r["ids"][0]
+        if on:
+            ids[-on:] = np.where(ids[-on:] >= 0, -3 - ids[-on:], ids[-on:])
+        return cls(r["names"], list(zip(wide(r["langs"]).tolist(), listed(r["words"]), strict=True)), ids)
 
     def windows(self, size: int) -> np.ndarray:
         """Hashes of the windows of so many words at each place; where such a window isn't, any number."""
@@ -113,6 +128,11 @@ class Shard:
         return out
 
 
+def listed(words: bytes) -> list[bytes]:
+    """Words that were joined by line ends, which none of them holds; none is empty."""
+    return words.split(b"\n") if words else []
+
+
 def mixed(g: np.ndarray) -> np.ndarray:
     g = (g ^ (g >> np.uint64(32))) * C
     return g ^ (g >> np.uint64(29))
@@ -161,40 +181,84 @@ def read_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
         yield made(0)
 
 
+class Counts:
+    """Counts of numbers below 2^32, cut off at `most`, which is below 2^8: as many bytes as there are numbers, whatever their range."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.parts, self.size = most, [], 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray | None = None) -> None:
+        if counts is None:
+            keys, counts = np.unique(keys, return_counts=True)
+        self.parts.append(keys.astype(np.uint64) << np.uint64(8) | np.minimum(counts, self.most).astype(np.uint64))
+        self.size += len(keys)
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers in order, and their counts."""
+        every = np.sort(np.concatenate([np.zeros(0, np.uint64), *self.parts]))
+        keys, n = every >> np.uint64(8), every & np.uint64(255)
+        del every
+        new = np.flatnonzero(np.concatenate([keys[:1] == keys[:1], keys[1:] != keys[:-1]]))
+        if len(new):
+            keys, n = keys[new], np.minimum(np.add.reduceat(n, new), np.uint64(self.most))
+        self.parts, self.size = [keys << np.uint64(8) | n], len(keys)
+        return keys.astype(np.int64), n.astype(np.uint8)
+
+    def __getitem__(self, keys: np.ndarray) -> np.ndarray:
+        own, n = self.merged()
+        at = np.minimum(np.searchsorted(own, keys), len(own) - 1)
+        return np.where(own[at] == keys, n[at], 0) if len(own) else np.zeros(len(keys), np.uint8)
+
+
 class Buckets:
-    """Counts of hashed windows, cut off at `most`."""
+    """Counts of hashed windows, cut off at `most`, of which about HELD are held at a time."""
 
     def __init__(self, levels: tuple[int, ...], most: int) -> None:
-        self.most = most
-        self.held = {n: np.zeros(1 << LEVELS[n], np.uint8) for n in levels}
+        self.held = {n: Counts(most) for n in levels}
 
     def add(self, level: int, hashes: np.ndarray, counts: np.ndarray | None = None) -> None:
-        held = self.held[level]
-        if counts is None:
-            keys, n = np.unique(bucket(hashes, level), return_counts=True)
-        else:
-            keys, at = np.unique(bucket(hashes, level), return_inverse=True)
-            n = np.bincount(at, counts, len(keys))
-        held[keys] = np.minimum(held[keys] + np.minimum(n, self.most), self.most).astype(np.uint8)
+        self.held[level].add(bucket(hashes, level), counts)
+
+    def full(self) -> bool:
+        """Whether it's time for rows(): not if most of what came are the same buckets again."""
+        if sum(c.size for c in self.held.values()) <= HELD:
+            return False
+        for c in self.held.values():
+            c.merged()
+        return sum(c.size for c in self.held.values()) > HELD // 2
 
     def rows(self) -> Iterator[dict]:
+        """What is held, which is empty then."""
         for level, held in self.held.items():
-            for k in range(len(held) >> ROW_BITS):
-                part = held[k << ROW_BITS : (k + 1) << ROW_BITS]
-                at = np.flatnonzero(part)
-                if len(at):
-                    sparse = 3 * len(at) < len(part)
-                    gaps = np.diff(at, prepend=0)
-                    gaps = gaps.astype("<u2" if gaps.max() < 1 << 16 else "<u4")
-                    yield {"slot": (level << (BITS - ROW_BITS)) + k, "places": bytes([gaps.dtype.itemsize]) + gaps.tobytes() if sparse else None, "held": (part[at] if sparse else part).tobytes()}
+            keys, n = held.merged()
+            held.parts, held.size = [], 0
+            if not len(keys):
+                continue
+            slots = keys >> ROW_BITS
+            cuts = np.flatnonzero(np.diff(slots, prepend=-1))
+            for i, j in zip(cuts, [*cuts[1:], len(keys)], strict=True):
+                at = keys[i:j] & ((1 << ROW_BITS) - 1)
+                gaps, counts = np.diff(at, prepend=0), n[i:j]
+                gaps = gaps.astype("<u2" if gaps.max() < 1 << 16 else "<u4")
+                if sparse := 3 * len(at) < 1 << ROW_BITS:
+                    gaps = bytes([gaps.dtype.itemsize]) + gaps.tobytes()
+                else:
+                    counts = np.zeros(1 << ROW_BITS, np.uint8)
+                    counts[at] = n[i:j]
+                yield {"slot": (level << (BITS - ROW_BITS)) + int(slots[i]), "places": gaps if sparse else None, "held": counts.tobytes()}
 
 
 def _batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist([{n: r.get(n) for n in schema.names} for r in rows], schema=schema)
 
 
-ARROW_SHARDS = pa.schema([("names", pa.list_(pa.string())), ("words", pa.list_(pa.binary())), ("langs", pa.binary()), ("ids", pa.binary()), ("totals", pa.list_(pa.struct([("lang", pa.string()), ("n", pa.int64())]))), ("slot", pa.int32()), ("places", pa.binary()), ("held", pa.binary())])
-ARROW_TRIES = pa.schema([("range", pa.int32()), ("names", pa.list_(pa.string())), ("words", pa.list_(pa.binary())), ("langs", pa.binary()), ("shared", pa.binary()), ("depth", pa.binary()), ("labels", pa.binary()), ("counts", pa.binary())])
+def _batches(rows: Iterator[dict], schema: pa.Schema, size: int = SHARD_ROWS) -> Iterator[pa.RecordBatch]:
+    for some in batched(rows, size):
+        yield _batch(list(some), schema)
+
+
+ARROW_SHARDS = pa.schema([("names", pa.list_(pa.string())), ("words", pa.binary()), ("langs", pa.binary()), ("ids", pa.binary()), ("totals", pa.list_(pa.struct([("lang", pa.string()), ("n", pa.int64())]))), ("slot", pa.int32()), ("places", pa.binary()), ("held", pa.binary())])
+ARROW_TRIES = pa.schema([("range", pa.int32()), ("names", pa.list_(pa.string())), ("words", pa.binary()), ("langs", pa.binary()), ("shared", pa.binary()), ("depth", pa.binary()), ("labels", pa.binary()), ("counts", pa.binary())])
 ARROW_FOUND = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.string()), ("a", pa.int64()), ("lefts", pa.list_(pa.int64())), ("head", pa.string()), ("tail", pa.string()), ("body", pa.string())])
 
 
@@ -203,14 +267,16 @@ def scanned(docs: DataFrame, least: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only()
+        rested()
         buckets = Buckets((1, 2), least)
         for s in read_shards(batches):
             if len(s.words):
                 buckets.add(1, mixed(s.hashes * A), np.bincount(s.at[s.begins], minlength=len(s.words)))
                 buckets.add(2, s.windows(2)[s.whole(2) & s.begins])
             yield _batch([s.row()], ARROW_SHARDS)
-        for r in buckets.rows():
-            yield _batch([r], ARROW_SHARDS)
+            if buckets.full():
+                yield from _batches(buckets.rows(), ARROW_SHARDS)
+        yield from _batches(buckets.rows(), ARROW_SHARDS)
 
     lang = F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN))
     return texts(docs, F.col("text").cast("string").alias("text"), lang.alias("lang")).mapInArrow(run, SHARDS)
@@ -221,16 +287,15 @@ def bit_maps(rows: DataFrame, least: int) -> dict[int, np.ndarray]:
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only()
+        rested()
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for slot, places, held in zip(*(b.column(n).to_pylist() for n in ("slot", "places", "held")), strict=True):
-                to = sums.setdefault(slot, np.zeros(1 << ROW_BITS, np.uint16))
-                n = np.frombuffer(held, np.uint8)
-                if places is None:
-                    to += n
-                else:
-                    to[np.cumsum(np.frombuffer(places, f"<u{places[0]}", offset=1), dtype=np.int64)] += n
-                np.minimum(to, least, out=to)
+                if slot not in sums:
+                    sums[slot] = np.zeros(1 << ROW_BITS, np.uint8)
+                to, n = sums[slot], np.frombuffer(held, np.uint8).astype(np.uint16)
+                at = slice(None) if places is None else np.cumsum(np.frombuffer(places, f"<u{places[0]}", offset=1), dtype=np.int64)
+                to[at] = np.minimum(to[at] + n, least)
         for slot, n in sums.items():
             yield pa.record_batch([pa.array([slot], pa.int32()), pa.array([np.packbits(n >= least).tobytes()], pa.binary())], names=["slot", "bits"])
 
@@ -342,14 +407,14 @@ class Trie:
             words = [self.words[u - 1] for u in used]
             names = {n: k for k, n in enumerate(dict.fromkeys(lang for lang, _ in words))}
             yield {
-                "range": int(at[rows[0]]), "names": list(names), "words": [x for _, x in words], "langs": np.array([names[lang] for lang, _ in words], "<i4").tobytes(),
+                "range": int(at[rows[0]]), "names": list(names), "words": b"\n".join(x for _, x in words), "langs": narrow(np.array([names[lang] for lang, _ in words], np.int64)),
                 "shared": shared.astype(np.uint8).tobytes(), "depth": depth.astype(np.uint8).tobytes(), "labels": narrow(local), "counts": narrow(self.counts[rows]),
             }
 
     @staticmethod
     def parsed(r: dict) -> tuple[list[tuple[str, bytes]], np.ndarray, np.ndarray]:
         """A run: words, windows as numbers from 1, counts."""
-        words = [(r["names"][i], w) for i, w in zip(np.frombuffer(r["langs"], "<i4").tolist(), r["words"], strict=True)]
+        words = [(r["names"][i], w) for i, w in zip(wide(r["langs"]).tolist(), listed(r["words"]), strict=True)]
         shared, depth = (np.frombuffer(r[n], np.uint8).astype(np.int64) for n in ("shared", "depth"))
         places = np.arange(DEPTH)
         given = (places >= shared[:, None]) & (places < depth[:, None])
@@ -407,31 +472,35 @@ def counted(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
 def _counted(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     most = min(least, 255)
-    shards = materialize(scanned(docs, most), "phrase-shards")
+    shards = materialize(scanned(docs, most), "phrase-shards", group=GROUP)
     totals = shards.select(F.explode("totals").alias("t")).groupBy("t.lang").agg(F.sum("t.n").alias("n"))
+    totals = materialize(totals, "phrase-totals", compact=16)
     texts_ = shards.where("slot IS NULL").select("names", "words", "langs", "ids")
     maps = spark.sparkContext.broadcast(bit_maps(shards, most))  # 8 MB a level
 
     def longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only()
+        rested()
         buckets = Buckets((3, 4), most)
         for s in _loaded(batches):
             fine = open_windows(s, {k: v for k, v in maps.value.items() if k < 3}, 4)
             for level in buckets.held:
                 buckets.add(level, s.windows(level)[fine[level - 1] & s.begins])
-        for r in buckets.rows():
-            yield _batch([r], ARROW_SHARDS)
+            if buckets.full():
+                yield from _batches(buckets.rows(), ARROW_SHARDS)
+        yield from _batches(buckets.rows(), ARROW_SHARDS)
 
     with batches_of(spark, SHARD_ROWS):
-        more = materialize(texts_.mapInArrow(longer, SHARDS).select("slot", "places", "held"), "phrase-buckets")
+        more = materialize(texts_.mapInArrow(longer, SHARDS).select("slot", "places", "held"), "phrase-buckets", group=GROUP)
     maps = spark.sparkContext.broadcast({**maps.value, **bit_maps(more, most)})
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(2 * parts, -(-(totals.agg(F.sum("n")).first()[0] or 0) // RANGE_WORDS))  # however few the partitions, a range doesn't grow with the texts
 
     def tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only()
+        rested()
         for t in combined(map(run, _loaded(batches))):
-            for r in t.serialised(2 * parts):
-                yield _batch([r], ARROW_TRIES)
+            yield from _batches(t.serialised(ranges), ARROW_TRIES, TRIE_ROWS)
 
     def run(s: Shard) -> tuple[list[tuple[str, bytes]], np.ndarray, np.ndarray]:
         fine = open_windows(s, maps.value, DEPTH)
@@ -451,7 +520,8 @@ def _counted(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only()
-        range_, held, waiting, rows = None, None, [], 0
+        rested()
+        range_, held, waiting, rows, words = None, None, [], 0, 0
 
         def settle() -> Trie:
             return Trie.merged([*([(held.words, held.windows, held.counts)] if held else []), *waiting])
@@ -462,32 +532,29 @@ def _counted(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
                 if r["range"] != range_:
                     if range_ is not None:
                         yield from found(settle())
-                    range_, held, waiting, rows = r["range"], None, [], 0
+                    range_, held, waiting, rows, words = r["range"], None, [], 0, 0
                 waiting.append(Trie.parsed(r))
-                rows += len(waiting[-1][2])
-                if rows > WINDOWS and rows > (len(held.counts) if held else 0):
-                    held, waiting, rows = settle(), [], 0
+                rows, words = rows + len(waiting[-1][2]), words + len(waiting[-1][0])
+                if rows > max(WINDOWS // 2, len(held.counts) if held else 0) or words > max(TRIE_WORDS, len(held.words) if held else 0):
+                    held, waiting, rows, words = settle(), [], 0, 0
         if range_ is not None:
             yield from found(settle())
 
     def found(t: Trie) -> Iterator[pa.RecordBatch]:
-        out = []
         for w, n in t.frequent(least):
-            for ranks, sums in zip(w.tolist(), n.tolist(), strict=True):
-                own = [t.words[k - 1][1].decode("utf-8", "surrogatepass") for k in ranks]
-                if len(out) == 10_000:
-                    yield _batch(out, ARROW_FOUND)
-                    out = []
-                out.append({"lang": t.words[ranks[0] - 1][0], "size": len(own), "phrase": " ".join(own), "a": sums[-1], "lefts": sums[:-1], "head": own[0], "tail": " ".join(own[1:]), "body": " ".join(own[:-1])})
-        if out:
-            yield _batch(out, ARROW_FOUND)
+            for i in range(0, len(w), FOUND_ROWS):
+                out = []
+                for ranks, sums in zip(w[i : i + FOUND_ROWS].tolist(), n[i : i + FOUND_ROWS].tolist(), strict=True):
+                    own = [t.words[k - 1][1].decode("utf-8", "surrogatepass") for k in ranks]
+                    out.append({"lang": t.words[ranks[0] - 1][0], "size": len(own), "phrase": " ".join(own), "a": sums[-1], "lefts": sums[:-1], "head": own[0], "tail": " ".join(own[1:]), "body": " ".join(own[:-1])})
+                yield _batch(out, ARROW_FOUND)
 
     with batches_of(spark, SHARD_ROWS):
         cut = materialize(texts_.mapInArrow(tries, TRIES), "phrase-tries")
     with batches_of(spark, TRIE_ROWS):
         dealt = cut.repartitionByRange(parts, "range").sortWithinPartitions("range")
         phrases = materialize(dealt.mapInArrow(merge, FOUND), "phrases", compact=4)
-    return phrases, materialize(totals, "phrase-totals", compact=16)
+    return phrases, totals
 
 
 def _exact(c: Column, digits: int) -> Column:

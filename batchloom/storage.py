@@ -74,11 +74,12 @@ def temporary() -> Iterator[Scratch]:
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def materialize(df: DataFrame, label: str, compact: int = 0) -> DataFrame:
+def materialize(df: DataFrame, label: str, compact: int = 0, group: int = 0) -> DataFrame:
     """Write df once to the shared folder and read it back: lineage is cut and a lost executor costs nothing.
 
     compact: for narrow tables with few bytes a task; they get no more files than twice the cluster's cores, or this
     part of the shuffle partitions where that is more (a cluster may still be growing).
+    group: bytes of a row group, for rows that are large, each: they are held in memory by the group, both ways.
     """
     if compact:
         spark = df.sparkSession
@@ -86,7 +87,8 @@ def materialize(df: DataFrame, label: str, compact: int = 0) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     if _works.open:
         _works.open[-1].paths[path] = df.sparkSession
-    df.write.parquet(path)
+    sizes = {"parquet.block.size": group, "parquet.page.size.row.check.min": 4} if group else {}  # else no size is looked at before 100 rows
+    df.write.options(**sizes).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out

@@ -10,7 +10,9 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from batchloom.llm import phrases, queries
 
@@ -186,3 +188,62 @@ def test_windows_that_come_again_leave_a_task_once(monkeypatch):
     assert len(many) > 1 and sum(int(t.counts.sum()) for t in many) == 20 * 400 and max(len(t.counts) for t in many) < 2000
     for n in (0, 255, 256, 1 << 16, 1 << 40):
         assert phrases.wide(phrases.narrow(np.array([0, n]))).tolist() == [0, n]
+
+
+def test_buckets_take_memory_for_what_they_hold():
+    r = np.random.default_rng(6)
+    tracemalloc.start()
+    b = phrases.Buckets((3, 4), 100)
+    for level in (3, 4):
+        b.add(level, r.integers(0, 1 << 63, 100_000).astype(np.uint64))
+    rows = list(b.rows())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 << 20 and max(len(x["held"]) for x in rows) < 1 << 16
+    assert not list(b.rows())
+
+
+@pytest.mark.parametrize("held", [0, 3000, 1 << 21])
+def test_buckets_given_away_early_count_the_same(monkeypatch, spark, held):
+    monkeypatch.setattr(phrases, "HELD", held)
+    hashes = np.random.default_rng(7).integers(0, 1 << 12, 30_000).astype(np.uint64) << np.uint64(51)
+    b, rows, times = phrases.Buckets((2,), 9), [], 0
+    for some in np.split(hashes, 20):
+        b.add(2, some)
+        if b.full():
+            times += 1
+            rows += b.rows()
+            assert b.held[2].size == 0
+    rows += b.rows()
+    assert times == {0: 20, 3000: times, 1 << 21: 0}[held] and (held or times)
+    maps = phrases.bit_maps(spark.createDataFrame([(x["slot"], x["places"], x["held"]) for x in rows], "slot int, places binary, held binary"), 9)
+    keys, n = np.unique(hashes, return_counts=True)
+    assert phrases.passed(maps, 2, keys).tolist() == (n >= 9).tolist() and 0 < (n >= 9).sum() < len(n)
+
+
+def test_ranges_and_rows_don_t_grow_with_the_texts(spark, monkeypatch):
+    write, held = phrases.materialize, {}
+
+    def kept(df, label, **k):
+        out = write(df, label, **k)
+        if label in ("phrase-shards", "phrase-tries"):
+            held[label] = out.drop("totals").collect()
+        return out
+
+    monkeypatch.setattr(phrases, "materialize", kept)
+    monkeypatch.setattr(phrases, "RANGE_WORDS", 4)
+    rows = [(f"{'abcdefghij'[i % 10]} {'klmnopqrst'[i // 10 % 10]} end", "en") for i in range(1000)]
+    got = sorted(map(tuple, phrases.collocations(frame(spark, rows), 3).collect()))
+    assert got == plain(rows, 3, 100, 2000)
+    assert max(r["range"] for r in held["phrase-tries"]) >= 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = [r for r in held["phrase-shards"] if r["slot"] is None]
+    assert shards and sum(len(r["ids"]) for r in shards) <= 4 * len(rows) + 2 * len(shards)  # three words and a gap in each text, a byte each
+    assert all(len(r["held"]) < 10_000 for r in held["phrase-shards"] if r["slot"] is not None)
+
+
+def test_large_rows_lie_in_small_groups(spark):
+    rows = spark.range(0, 60, 1, 1).select("id", F.encode(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(2000)), lambda i: F.sha2((i * 100 + F.col("id")).cast("string"), 256)), ""), "utf-8").alias("held"))
+    for group, least in ((0, 1), (1 << 20, 4)):
+        out = phrases.materialize(rows, "test-groups", group=group)
+        (path,) = Path(out.scratch_path.removeprefix("file:")).glob("*.parquet")
+        assert pq.ParquetFile(path).metadata.num_row_groups >= least and out.count() == 60
