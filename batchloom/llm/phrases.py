@@ -300,7 +300,7 @@ def bit_maps(rows: DataFrame, least: int) -> dict[int, np.ndarray]:
             yield pa.record_batch([pa.array([slot], pa.int32()), pa.array([np.packbits(n >= least).tobytes()], pa.binary())], names=["slot", "bits"])
 
     spark = rows.sparkSession
-    dealt = rows.where("slot IS NOT NULL").select("slot", "places", "held").repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "slot")
+    dealt = rows.where("slot IS NOT NULL").select("slot", "places", "held").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "slot")  # by hash, as ranges would make the rows twice
     out: dict[int, np.ndarray] = {}
     step = 1 << (ROW_BITS - 3)
     with batches_of(spark, SHARD_ROWS):
@@ -490,8 +490,7 @@ def _counted(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
                 yield from _batches(buckets.rows(), ARROW_SHARDS)
         yield from _batches(buckets.rows(), ARROW_SHARDS)
 
-    with batches_of(spark, SHARD_ROWS):
-        more = materialize(texts_.mapInArrow(longer, SHARDS).select("slot", "places", "held"), "phrase-buckets", group=GROUP)
+    more = texts_.mapInArrow(longer, SHARDS)  # straight to the one shuffle that reads them: each file that a task writes to a local disk starts chmod twice
     maps = spark.sparkContext.broadcast({**maps.value, **bit_maps(more, most)})
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges = max(2 * parts, -(-(totals.agg(F.sum("n")).first()[0] or 0) // RANGE_WORDS))  # however few the partitions, a range doesn't grow with the texts
@@ -550,7 +549,7 @@ def _counted(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
                 yield _batch(out, ARROW_FOUND)
 
     with batches_of(spark, SHARD_ROWS):
-        cut = materialize(texts_.mapInArrow(tries, TRIES), "phrase-tries")
+        cut = materialize(texts_.mapInArrow(tries, TRIES), "phrase-tries", compact=2)
     with batches_of(spark, TRIE_ROWS):
         dealt = cut.repartitionByRange(parts, "range").sortWithinPartitions("range")
         phrases = materialize(dealt.mapInArrow(merge, FOUND), "phrases", compact=4)
